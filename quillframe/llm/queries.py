@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, sharding
+from . import mixing, quality_rules, sharding, substring_dedup
 
 
 def table(spark, sf_dir: str, name: str):
@@ -21,13 +21,18 @@ def op5_host_quality(spark, sf_dir):
     return quality_rules.host_quality(docs, carry=["doc_id"])
 
 
+def op6_remove_repeats(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = substring_dedup.remove_repeats(docs)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op9_feistel_shards(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    narrow = sharding.feistel_shards(docs.select("doc_id", "text"), carry=["doc_id"])
-    return narrow.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return sharding.feistel_shards(docs, carry=["doc_id"]).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-QUERIES = {f.__name__: f for f in (op2_poisson_mix, op5_host_quality, op9_feistel_shards)}
+QUERIES = {f.__name__: f for f in (op2_poisson_mix, op5_host_quality, op6_remove_repeats, op9_feistel_shards)}
 
 ORACLE = {
     "op2_poisson_mix": r"""
@@ -44,6 +49,16 @@ copies as (select doc_id, source, rate, n_copies, cast(unnest(range(0, n_copies)
 select doc_id, source, copy, n_copies, round(rate, 6) as rate,
   cast('0x' || substr(md5('17/' || coalesce(cast(doc_id as varchar), 'null') || '/' || copy), 1, 15) as bigint) as shuffle_key
 from copies""",
+    "op6_remove_repeats": r"""
+with t as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda v: v <> '') as ws, row_number() over () as rid from documents),
+w as (select rid, doc_id, i, ws[i] as word, case when i + 49 <= len(ws) then array_to_string(ws[i:i + 49], ' ') end as g
+  from (select *, unnest(range(1, len(ws) + 1)) as i from t)),
+m as (select g, min(doc_id) as least from w where g is not null group by g),
+f as (select rid, i, word, coalesce(least < doc_id, false) as hit from w left join m using (g)),
+c as (select rid, i, word, bool_or(hit) over (partition by rid order by i rows between 49 preceding and current row) as gone from f),
+k as (select rid, count(*) filter (where gone) as n_removed, string_agg(word, ' ' order by i) filter (where not gone) as kept from c group by rid)
+select doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(n_removed, 0) as bigint) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from t left join k using (rid)""",
     "op5_host_quality": r"""
 with t as (select doc_id, source, coalesce(text, '') as x from documents),
 w as (select doc_id, source, x, list_filter(regexp_split_to_array(x, '[ \t\n\x0B\f\r]+'), lambda v: v <> '') as ws,
