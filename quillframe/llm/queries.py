@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, sharding, substring_dedup
+from . import mixing, ngram_jaccard, quality_rules, sharding, substring_dedup
 
 
 def table(spark, sf_dir: str, name: str):
@@ -16,6 +16,11 @@ def op2_poisson_mix(spark, sf_dir):
     return mixing.poisson_mix(docs).select("doc_id", "source", "copy", "n_copies", F.round("rate", 6).alias("rate"), "shuffle_key")
 
 
+def op4_ngram_jaccard(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_jaccard.jaccard_components(docs).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_host_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return quality_rules.host_quality(docs, carry=["doc_id"])
@@ -32,7 +37,7 @@ def op9_feistel_shards(spark, sf_dir):
     return sharding.feistel_shards(docs, carry=["doc_id"]).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-QUERIES = {f.__name__: f for f in (op2_poisson_mix, op5_host_quality, op6_remove_repeats, op9_feistel_shards)}
+QUERIES = {f.__name__: f for f in (op2_poisson_mix, op4_ngram_jaccard, op5_host_quality, op6_remove_repeats, op9_feistel_shards)}
 
 ORACLE = {
     "op2_poisson_mix": r"""
@@ -49,6 +54,18 @@ copies as (select doc_id, source, rate, n_copies, cast(unnest(range(0, n_copies)
 select doc_id, source, copy, n_copies, round(rate, 6) as rate,
   cast('0x' || substr(md5('17/' || coalesce(cast(doc_id as varchar), 'null') || '/' || copy), 1, 15) as bigint) as shuffle_key
 from copies""",
+    "op4_ngram_jaccard": r"""
+with recursive t as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'),
+    lambda v: v <> '') as ws from documents),
+s as (select distinct doc_id, unnest(case when len(ws) = 0 then [] when len(ws) < 3 then [array_to_string(ws, ' ')]
+    else list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' ')) end) as g from t),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 90 * (x.n + y.n - c)),
+e as (select a, b from l union all select b, a from l),
+r as (select doc_id as a, doc_id as b from t union select r.a, e.b from r join e on e.a = r.b)
+select t.doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, c.id as component_id
+from t left join n using (doc_id) join (select a, min(b) as id from r group by a) c on c.a = t.doc_id""",
     "op6_remove_repeats": r"""
 with t as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda v: v <> '') as ws, row_number() over () as rid from documents),
 w as (select rid, doc_id, i, ws[i] as word, case when i + 49 <= len(ws) then array_to_string(ws[i:i + 49], ' ') end as g
