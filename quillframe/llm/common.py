@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words are runs of everything but space and \t \n \v \f \r.
 BLANKS = r"[ \t\n\x0B\f\r]"
@@ -59,3 +62,16 @@ def without(df: DataFrame, names) -> DataFrame:
     """df without columns called like an operator's results: the results replace them."""
     taken = {n.lower() for n in names}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
+
+
+def appended(df: DataFrame, drop: list[str], fields: str, compute: Callable[[pa.RecordBatch], dict[str, pa.Array]]) -> DataFrame:
+    """df without ``drop`` and with the columns (DDL ``fields``) that compute makes of each Arrow batch; others pass untouched."""
+    schema = T.StructType([f for f in df.schema.fields if f.name not in drop] + T.StructType.fromDDL(fields).fields)
+
+    def run(batches):
+        for b in batches:
+            new = compute(b)
+            names = [n for n in b.schema.names if n not in drop]
+            yield pa.RecordBatch.from_arrays([b.column(n) for n in names] + list(new.values()), names + list(new))
+
+    return df.mapInArrow(run, schema)

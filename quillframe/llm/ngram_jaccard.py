@@ -19,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import appended, written
 from .words import U, Prefix, mix, signed, split, word_digests
 
 BITMAP_WORDS = 8
@@ -74,21 +75,28 @@ def _smallest_linking(percent: int) -> int:
     return next(s for s in range(1, 10_000) if 100 * s >= percent * (s + 1))
 
 
-def _describe(batches: Iterator[pd.DataFrame], n: int, percent: int, hot: np.ndarray) -> Iterator[pd.DataFrame]:
+DESCRIBED = "n_shingles long, c1 long, c2 long, keys array<long>, maps array<long>, wide binary, prefix array<long>"
+
+
+def _describe(batch: pa.RecordBatch, n: int, percent: int, hot: np.ndarray) -> dict[str, pa.Array]:
     least = _smallest_linking(percent)
     seeds = mix(np.arange(1, KEYS + 1, dtype=U) * U(0x9E3779B97F4A7C15))
-    for pdf in batches:
-        rows = []
-        for text in pdf["__text"]:
-            tokens, lengths = _ordered(text, n)
-            c1, c2 = (int(signed(mix(mix(tokens + s)).sum(keepdims=True))[0]) for s in (seeds[0], seeds[1]))
-            if len(tokens) < least:
-                rows.append((len(tokens), c1, c2, None, None, None, None))
-                continue
-            keys = [int(signed(mix(tokens ^ s).min(keepdims=True))[0]) for s in seeds]
-            rows.append((len(tokens), c1, c2, keys, _parity(tokens, 64 * BITMAP_WORDS), _parity(tokens, _wide_bits(len(tokens))).tobytes(), signed(_prefix(tokens, lengths, percent, hot))))
-        described = pd.DataFrame(rows, columns=["n_shingles", "c1", "c2", "keys", "maps", "wide", "prefix"])
-        yield pd.concat([pdf.drop(columns="__text").reset_index(drop=True), described], axis=1)
+    rows = []
+    for text in batch.column("__text").to_pylist():
+        tokens, lengths = _ordered(text, n)
+        c1, c2 = (int(signed(mix(mix(tokens + s)).sum(keepdims=True))[0]) for s in (seeds[0], seeds[1]))
+        if len(tokens) < least:
+            rows.append((len(tokens), c1, c2, None, None, None, None))
+            continue
+        keys = np.array([mix(tokens ^ s).min() for s in seeds], dtype=U)
+        rows.append((len(tokens), c1, c2, signed(keys), _parity(tokens, 64 * BITMAP_WORDS), _parity(tokens, _wide_bits(len(tokens))).tobytes(), signed(_prefix(tokens, lengths, percent, hot))))
+    kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 2 + [pa.binary(), pa.list_(pa.int64())]
+    return {f.split()[0]: pa.array([r[i] for r in rows], k) for i, (f, k) in enumerate(zip(DESCRIBED.split(", "), kinds, strict=True))}
+
+
+def described_texts(rows: DataFrame, n: int, percent: int, hot=None) -> DataFrame:
+    """hot: a broadcast array of n-grams that go last in the order."""
+    return appended(rows, ["__text"], DESCRIBED, lambda b: _describe(b, n, percent, np.zeros(0, dtype=U) if hot is None else hot.value))
 
 
 def _popcounts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -214,9 +222,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     ident, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
     narrow = docs.select(ident.alias("__id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("__th"), text.alias("__text"))
     narrow = narrow.withColumn("__key", F.coalesce("__id", "__th"))
-    schema = "__id long, __th long, __key long, n_shingles long, c1 long, c2 long, keys array<long>, maps array<long>, wide binary, prefix array<long>"
-    none = np.zeros(0, dtype=U)
-    described = written(narrow.mapInPandas(lambda it: _describe(it, n, percent, none), schema), "described")
+    described = written(described_texts(narrow, n, percent), "described")
     several = written(described.where("__id is not null").groupBy("__id").agg(F.min("__th").alias("x"), F.max("__th").alias("y")).where("x <> y").select("__id"), "several")
     if not several.isEmpty():  # an id with several texts: its rows go by their texts
         flagged = several.withColumn("__many", F.lit(True))
@@ -244,7 +250,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     # The prefix index. N-grams in the lists of more than HOT_LIST components go last in the order.
     index = firsts.select("cid", "n_shingles", *MAPS, "prefix").join(first_comps.withColumnRenamed("node", "cid"), "cid", "left")
     index = written(index.withColumn("comp", F.coalesce("comp", "cid")), "index")
-    hot, most = none, HOT_LIST
+    hot, most = np.zeros(0, dtype=U), HOT_LIST
     for _ in range(DEMOTIONS):
         entries = _entries(index)
         large = written(entries.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("token"), "large-lists")
@@ -259,7 +265,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
         hot = np.union1d(hot, fresh.toPandas()["token"].to_numpy().view(U))
         shared = spark.sparkContext.broadcast(hot)
         touched = written(entries.join(fresh, "token", "left_semi").select(F.col("cid").alias("id")).distinct(), "touched")
-        again = _texts_of(narrow, touched).mapInPandas(lambda it, h=shared: _describe(it, n, percent, h.value), schema)
+        again = described_texts(_texts_of(narrow, touched), n, percent, shared)
         again = again.where("keys is not null").dropDuplicates(["__key"]).select(F.col("__key").alias("cid"), F.col("prefix").alias("__fresh"))
         index = written(index.join(again, "cid", "left").withColumn("prefix", F.coalesce("__fresh", "prefix")).drop("__fresh"), "index")
     entries = _entries(index)

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, ngram_jaccard, quality_rules, sharding, substring_dedup
+from . import chat_format, license_scan, line_dedup, mixing, ngram_jaccard, quality_rules, sharding, substring_dedup
 
 
 def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return license_scan.license_labels(license_scan.license_spans(docs)).drop("spans")
+
+
 def op2_poisson_mix(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return mixing.poisson_mix(docs).select("doc_id", "source", "copy", "n_copies", F.round("rate", 6).alias("rate"), "shuffle_key")
@@ -32,14 +37,41 @@ def op6_remove_repeats(spark, sf_dir):
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_line_spread(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    cut = line_dedup.drop_spread_lines(docs, carry=["doc_id"])
+    return cut.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op8_snapshot_collapse(spark, sf_dir):
+    chats = chat_format.maximal_conversations(table(spark, sf_dir, "conversations"))
+    return chats.select("conv_id", "n_turns", F.length("rendered").cast("long").alias("n_chars"), F.sha2("rendered", 256).alias("rendered_sha256"))
+
+
 def op9_feistel_shards(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.feistel_shards(docs, carry=["doc_id"]).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-QUERIES = {f.__name__: f for f in (op2_poisson_mix, op4_ngram_jaccard, op5_host_quality, op6_remove_repeats, op9_feistel_shards)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_poisson_mix, op4_ngram_jaccard, op5_host_quality, op6_remove_repeats, op7_line_spread, op8_snapshot_collapse, op9_feistel_shards)}
 
 ORACLE = {
+    "op7_line_spread": r"""
+with t as (select doc_id, coalesce('s' || source, 'none') as site, string_split(coalesce(text, ''), chr(10)) as ls, row_number() over () as rid from documents),
+l as (select rid, site, i, ls[i] as line from (select *, unnest(range(1, len(ls) + 1)) as i from t)),
+bad as (select line from l where length(line) >= 12 group by line having count(distinct site) >= 10),
+k as (select rid, count(*) filter (where bad.line is not null) as gone, string_agg(l.line, chr(10) order by i) filter (where bad.line is null) as kept
+  from l left join bad on bad.line = l.line group by rid)
+select doc_id, cast(len(ls) as bigint) as n_lines, cast(gone as bigint) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from t join k using (rid)""",
+    "op8_snapshot_collapse": r"""
+with d as (select distinct conv_id, turn, role, text from conversations),
+c as (select conv_id, list(struct_pack(r := role, x := text) order by turn nulls first, role nulls first, text nulls first) as ts from d group by conv_id),
+k as (select conv_id, ts, list_transform(ts, lambda t: coalesce('v' || length(t.r) || ':' || t.r, 'n') || coalesce('v' || length(t.x) || ':' || t.x, 'n')) as ks from c),
+p as (select distinct array_to_string(ks[1:i], '') as pre, i from (select ks, unnest(range(1, len(ks))) as i from k)),
+o as (select min(conv_id) as conv_id from (select conv_id, array_to_string(ks, '') as f, len(ks) as n from k) where not exists (select 1 from p where p.pre = f and p.i = n) group by f),
+r as (select conv_id, len(ts) as n, array_to_string(list_transform(ts, lambda t: '<|im_start|>' || coalesce(t.r, 'unknown') || chr(10)
+    || replace(replace(coalesce(t.x, ''), '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>') || '<|im_end|>' || chr(10)), '') as rendered from k join o using (conv_id))
+select conv_id, cast(n as bigint) as n_turns, cast(length(rendered) as bigint) as n_chars, sha256(rendered) as rendered_sha256 from r""",
     "op2_poisson_mix": r"""
 with per as (select coalesce(source, '') as src, count(*) as n, pow(count(*), 0.5) as w from documents group by 1),
 tot as (select sum(n) as tn, sum(w) as tw from per),
@@ -96,3 +128,25 @@ select doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_wo
   not base_failed and coalesce(round((bad + m * k) / (n + k), 6) <= 0.6, true) as kept
 from f left join (select h.*, q.* from h, q) g on g.source = f.source""",
 }
+
+
+def _license_sql() -> str:
+    """The scan's labels: each template as a regular expression over words that follow blanks."""
+    method = ", ".join(f"case when regexp_matches(j, '{license_scan.template_regex(t)} ') then '{k}' end" for k, t in license_scan.TEMPLATES.items())
+    starts = []
+    for k, t in license_scan.PHRASES.items():
+        words = t.split()
+        same = " and ".join(f"ws[i + {n}] = '{w}'" for n, w in enumerate(words))
+        starts.append(f"list_transform(list_filter(range(1, len(ws) + 1), lambda i: {same}), lambda i: struct_pack(p := i - 1, l := '{k}'))")
+    return rf"""
+with w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda v: v <> '') as ws from documents),
+s as (select doc_id, ws, ' ' || array_to_string(ws, ' ') || ' ' as j, flatten([{", ".join(starts)}]) as b from w),
+m as (select doc_id, ws, b, list_filter([{method}], lambda v: v is not null) as ms, list_transform(b, lambda x: x.p) as ps, list_distinct(list_transform(b, lambda x: x.l)) as bl from s)
+select doc_id, cast(len(ws) as bigint) as n_words, cast(len(b) as bigint) as n_base, list_min(ps) as first_word, list_max(ps) as last_word,
+  array_to_string(list_sort(bl), ',') as base_labels, array_to_string(list_sort(list_concat(bl, ms)), ',') as labels,
+  cast(case when len(ms) > 0 then 1.0 when len(b) > 0 then 0.5 else 0.0 end as double) as score
+from m"""
+
+
+ORACLE["op1_license_scan"] = _license_sql()

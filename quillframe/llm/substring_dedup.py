@@ -16,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import without, written
+from .common import appended, without, written
 from .words import U, Prefix, mix, signed, split, word_digests
 
 WINDOW = 50
@@ -73,35 +74,33 @@ def _windows(batches: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFr
             yield pd.DataFrame({"w1": w1, "w2": w2, "key": key, "last": last, "s1": np.repeat(own[at], counts), "offset": offset.astype(np.int32)}).drop_duplicates()
 
 
-def _cut(batches: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        kept, n_words, n_removed = [], [], []
-        for text, s1, masks in zip(pdf["__text"], pdf["__s1"], pdf["__masks"], strict=True):
-            words = split(text)
-            n_words.append(len(words))
-            if s1 is None or len(words) < window:
-                n_removed.append(0)
-                kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
-                continue
-            s = Segments(words, window)
-            of: dict[int, int] = {}
-            for k, m in zip(s1, masks, strict=True):
-                of[k] = of.get(k, 0) | int(m)
-            change = np.zeros(len(words) + 1, dtype=np.int64)
-            for own, first, last in zip(signed(s.digests[0]).tolist(), s.first.tolist(), s.last.tolist(), strict=True):
-                mask = of.get(own, 0)
-                if mask < 0:
-                    change[first] += 1
-                    change[last + window] -= 1
-                elif mask:
-                    starts = [first + i for i in range(last - first + 1) if mask >> i & 1]
-                    np.add.at(change, starts, 1)
-                    np.add.at(change, [x + window for x in starts], -1)
-            stays = np.cumsum(change[:-1]) == 0
-            n_removed.append(int(len(words) - stays.sum()))
-            kept.append(b" ".join([words[i] for i in np.flatnonzero(stays)]).decode("utf-8", "surrogatepass"))
-        out = pdf.drop(columns=["__text", "__s1", "__masks", "__key", "__last"])
-        yield out.assign(n_words=np.array(n_words, dtype=np.int64), n_removed=np.array(n_removed, dtype=np.int64), kept_text=kept)
+def _cut(batch: pa.RecordBatch, window: int) -> dict[str, pa.Array]:
+    kept, n_words, n_removed = [], [], []
+    for text, s1, masks in zip(*(batch.column(c).to_pylist() for c in ("__text", "__s1", "__masks")), strict=True):
+        words = split(text)
+        n_words.append(len(words))
+        if s1 is None or len(words) < window:
+            n_removed.append(0)
+            kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
+            continue
+        s = Segments(words, window)
+        of: dict[int, int] = {}
+        for k, m in zip(s1, masks, strict=True):
+            of[k] = of.get(k, 0) | int(m)
+        change = np.zeros(len(words) + 1, dtype=np.int64)
+        for own, first, last in zip(signed(s.digests[0]).tolist(), s.first.tolist(), s.last.tolist(), strict=True):
+            mask = of.get(own, 0)
+            if mask < 0:
+                change[first] += 1
+                change[last + window] -= 1
+            elif mask:
+                starts = [first + i for i in range(last - first + 1) if mask >> i & 1]
+                np.add.at(change, starts, 1)
+                np.add.at(change, [x + window for x in starts], -1)
+        stays = np.cumsum(change[:-1]) == 0
+        n_removed.append(int(len(words) - stays.sum()))
+        kept.append(b" ".join([words[i] for i in np.flatnonzero(stays)]).decode("utf-8", "surrogatepass"))
+    return {"n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_text": pa.array(kept, pa.string())}
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -160,5 +159,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     found = found.groupBy("key").agg(F.collect_set(F.struct("s1", "mask")).alias("__f"))
     found = found.select(F.col("key").alias("__k"), F.transform("__f", lambda x: x["s1"]).alias("__s1"), F.transform("__f", lambda x: x["mask"]).alias("__masks"))
     joined = keyed.join(found, F.col("__key") == F.col("__k"), "left").drop("__k")
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema.fields if not f.name.startswith("__")] + ["n_words long", "n_removed long", "kept_text string"])
-    return joined.mapInPandas(lambda it: _cut(it, window), schema)
+    return appended(joined, ["__key", "__last", "__text", "__s1", "__masks"], "n_words long, n_removed long, kept_text string", lambda b: _cut(b, window))
