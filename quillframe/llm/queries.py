@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat_format, license_scan, line_dedup, mixing, ngram_jaccard, quality_rules, sharding, substring_dedup
+from . import chat_format, latent_leaks, license_scan, line_dedup, mixing, ngram_jaccard, quality_rules, sharding, substring_dedup
 
 
 def table(spark, sf_dir: str, name: str):
@@ -53,7 +53,12 @@ def op9_feistel_shards(spark, sf_dir):
     return sharding.feistel_shards(docs, carry=["doc_id"]).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_poisson_mix, op4_ngram_jaccard, op5_host_quality, op6_remove_repeats, op7_line_spread, op8_snapshot_collapse, op9_feistel_shards)}
+def op10_latent_leaks(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return latent_leaks.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_poisson_mix, op4_ngram_jaccard, op5_host_quality, op6_remove_repeats, op7_line_spread, op8_snapshot_collapse, op9_feistel_shards, op10_latent_leaks)}
 
 ORACLE = {
     "op7_line_spread": r"""
