@@ -91,5 +91,5 @@ class Tables:
     def sql(self, text: str) -> DataFrame:
         """Run SQL over tables and views of this folder."""
         used = {n for n in _USED.findall(text) if n in TABLES or n in VIEWS}
-        body = re.sub(r"\b(from|join)(\s+)(\w+)", lambda m: f"{m[1]}{m[2]}{{{m[3]}}}" if m[3] in used else m[0], text)
+        body = re.sub(r"\b(from|join)(\s+)(\w+)", lambda m: f"{m[1]}{m[2]}{{{m[3]}}}" if m[3] in used else m[0], text.replace("{", "{{").replace("}", "}}"))
         return self.spark.sql(body, **{n: getattr(self, n) for n in used}) if used else self.spark.sql(text)
