@@ -37,12 +37,14 @@ def rows_and_columns(dets: DataFrame, scene: str = "scene_id") -> DataFrame:
     df = dets.withColumns({"__cx": g.center_x(b), "__cy": g.center_y(b), "__w": b[2] - b[0], "__h": b[3] - b[1]})
     df = size_cluster(df, "__cy", "__h", "row_cluster", order=["det_id"], keys=(scene,))
     structure = F.col("label").isin("result_bar", "div_bracket")
-    free = size_cluster(df.where(~structure), "__cx", "__w", "col_cluster", order=["det_id"], keys=(scene,))
-    near = F.struct(F.abs(F.col("__cx") - F.col("__fx")).alias("d"), "__fid", "__fc")
+    alone = ~F.max(~structure).over(W.partitionBy(scene))  # nothing but structure: it is clustered like other boxes
+    df = df.withColumn("__follows", structure & ~alone)
+    free = size_cluster(df.where(~F.col("__follows")), "__cx", "__w", "col_cluster", order=["det_id"], keys=(scene,))
     other = free.select(scene, F.col("det_id").alias("__fid"), F.col("__cx").alias("__fx"), F.col("col_cluster").alias("__fc"))
-    fixed = df.where(structure).join(other, scene, "left").groupBy(*[F.col(c) for c in df.columns]).agg(F.min(F.when(F.col("__fid").isNotNull(), near)).alias("m"))
-    fixed = fixed.withColumn("col_cluster", F.coalesce(F.col("m")["__fc"], F.lit(0))).drop("m")
-    return free.unionByName(fixed).drop("__cx", "__cy", "__w", "__h")
+    follows = df.where("__follows")
+    near = F.min(F.struct(F.abs(F.col("__cx") - F.col("__fx")).alias("d"), "__fid", "__fc"))
+    found = follows.join(other, scene).groupBy(scene, "det_id").agg(near["__fc"].alias("col_cluster"))
+    return free.unionByName(follows.join(found, [scene, "det_id"])).drop("__cx", "__cy", "__w", "__h", "__follows")
 
 
 def ordinals(df: DataFrame, most: int = 7, scene: str = "scene_id", order: str = "det_id") -> DataFrame:
@@ -58,13 +60,14 @@ def islands(df: DataFrame, keys: list[str], x: str = "x", name: str = "island")
 
 
 def row_conflicts(preds: DataFrame, scene: str = "scene_id") -> DataFrame:
-    """spatial_conflict: the box's row has a median centre above the row before or below the row after it."""
-    free = preds.where(~F.col("label").isin("result_bar", "div_bracket"))
+    """spatial_conflict: the box's row has a median centre above the row before or below the row after it; never for bars and brackets."""
+    structure = F.col("label").isin("result_bar", "div_bracket")
+    free = preds.where(~structure)
     medians = free.groupBy(scene, "row").agg(F.median(g.center_y(g.box())).alias("m"))
     w = W.partitionBy(scene).orderBy("row")
     bad = (F.lag("m").over(w) > F.col("m")) | (F.lead("m").over(w) < F.col("m"))
     flags = medians.select(scene, "row", F.coalesce(bad, F.lit(False)).alias("spatial_conflict"))
-    return preds.join(flags, [scene, "row"], "left").na.fill(False, ["spatial_conflict"])
+    return preds.join(flags, [scene, "row"], "left").withColumn("spatial_conflict", F.coalesce("spatial_conflict", F.lit(False)) & ~structure)
 
 
 def carry_conflicts(preds: DataFrame, scene: str = "scene_id") -> DataFrame:
@@ -107,3 +110,33 @@ def rand_index(df: DataFrame, a: str, b: str, scene: str = "scene_id") -> DataFr
     most = (F.col("pa") + F.col("pb")) / 2
     ari = F.when(F.col("n") < 2, 0.0).when(most == expected, 1.0).otherwise(F.greatest(F.lit(0.0), (F.col("index") - expected) / (most - expected)))
     return df.select(scene, F.col("n").alias("n_items"), ari.alias("ari"))
+
+
+def gate(preds: DataFrame, scenes: DataFrame, scene: str = "scene_id") -> DataFrame:
+    """route (ood, bare_digits or valid) and ood_reason of each scene, from counts of digits, structure and marks."""
+    kind = o.role(F.col("label"))
+    n = lambda c: F.sum(c.cast("int"))
+    marks = F.col("label").isin("result_bar", "div_bracket")
+    counts = preds.groupBy(scene).agg(F.count(F.lit(1)).alias("n"), n(kind.isin("main", "carry", "borrow")).alias("digits"), n(kind.isin("operator", "structure") | marks).alias("structural"), n(marks).alias("marks"))
+    df = scenes.select(scene).join(counts, scene, "left").na.fill(0)
+    digits, structural = F.col("digits") > 0, F.col("structural") > 0
+    route = F.when(F.col("n") == 0, "ood").when(F.col("n") == 1, "bare_digits").when(~digits & (F.col("marks") > 0), "bare_digits").when(~digits, "ood").when(~structural, "bare_digits").otherwise("valid")
+    reason = F.when(F.col("n") == 0, "true_empty").when((F.col("n") > 1) & ~digits & (F.col("marks") == 0), "no_digits")
+    return df.select(scene, route.alias("route"), reason.alias("ood_reason"))
+
+
+def implied_kind(preds: DataFrame, least_bracket: float = 0.3, scene: str = "scene_id") -> DataFrame:
+    """Operator counts and the kind that the tokens imply, for information only: null without a signal."""
+    n = lambda x: F.sum((F.col("label") == x).cast("int"))
+    names = ["op_plus", "op_minus", "op_times", "op_divide"]
+    bracket = F.coalesce(F.max(F.when(F.col("label") == "div_bracket", F.col("confidence"))), F.lit(0.0))
+    df = preds.groupBy(scene).agg(*[n(x).alias(x) for x in names], bracket.alias("bracket_conf"))
+    divides = (F.col("bracket_conf") > least_bracket) | (F.col("op_divide") > 0)
+    plus, minus = F.col("op_plus"), F.col("op_minus")
+    return df.withColumn("implied", F.when(divides, "divide").when(F.col("op_times") > 0, "multiply").when(minus > plus, "subtract").when(plus > minus, "add"))
+
+
+def typeset(tokens: DataFrame, scene: str = "scene_id") -> DataFrame:
+    """The scene as text: symbols of a row by column, joined by a blank; rows joined by ' / '."""
+    rows = tokens.groupBy(scene, "row").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("col", "det_id", "glyph"))), lambda x: x["glyph"]), " ").alias("text"))
+    return rows.groupBy(scene).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row", "text"))), lambda x: x["text"]), " / ").alias("text"))

@@ -105,5 +105,5 @@ def kind_entropy(logits: Column, share: float = 0.85) -> tuple[Column, Column]:
     top = F.array_max(logits)
     e = F.transform(logits, lambda x: F.exp(x - top))
     total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-    entropy = F.aggregate(e, F.lit(0.0), lambda a, x: a - F.when(x > 0, x / total * F.log(x / total)).otherwise(0.0))
+    entropy = F.aggregate(e, F.lit(0.0), lambda a, x: a - x / total * F.log(x / total + 1e-12))
     return entropy, entropy > share * F.log(F.size(logits))

@@ -149,7 +149,7 @@ def merge_given(dets: DataFrame, cells: DataFrame, scene: str = "scene_id") -> t
 
 def pin_labels(preds: DataFrame, known: DataFrame, scene: str = "scene_id") -> DataFrame:
     """Given boxes whose rounded corners are known take the known label; all others stay."""
-    keys = [F.bround(F.col(c), 1).alias(f"__{c}") for c in g.BOX]
+    keys = [F.bround(F.col(c), 0).alias(f"__{c}") for c in g.BOX]
     table = known.select(scene, *keys, F.col("label").alias("__label")).dropDuplicates([scene, *[f"__{c}" for c in g.BOX]])
     joined = preds.select("*", *keys).join(table, [scene, *[f"__{c}" for c in g.BOX]], "left")
     return joined.withColumn("label", F.when(F.col("given"), F.coalesce("__label", "label")).otherwise(F.col("label"))).drop("__label", *[f"__{c}" for c in g.BOX])
@@ -162,26 +162,34 @@ def best_bar(preds: DataFrame, scene: str = "scene_id") -> DataFrame:
 
 
 def distinct_operators(preds: DataFrame, scene: str = "scene_id") -> DataFrame:
-    """Operators of one row and label whose x-spans overlap the group's first box become one, the most confident.
+    """Operators of one row and label whose x-spans meet (touching counts) thin out to the most confident.
 
-    Folded in order of det_id: a box joins the first group whose first box it overlaps (strictly), and takes the group's
-    place when it is more confident.
+    In order of det_id, each operator that is still there compares itself with all later ones that meet it: a less or equally
+    confident one goes, a more confident one takes over (and has its own turn later). A taken-over operator goes.
     """
     ops = preds.where(F.col("label").startswith("op_"))
-    kind = dict(preds.dtypes)["det_id"]
-    item = f"struct<det_id:{kind},x0:double,x1:double,c:double,best:{kind}>"
-    order = F.sort_array(F.collect_list(F.struct("det_id", "x0", "x1", F.col("confidence").alias("c"), F.col("det_id").alias("best"))))
-
-    def step(groups, d):
-        meets = lambda k: (k["x0"] < d["x1"]) & (d["x0"] < k["x1"])
-        at = F.array_position(F.transform(groups, meets), True)
-        better = lambda k: F.struct(k["det_id"].alias("det_id"), k["x0"].alias("x0"), k["x1"].alias("x1"), d["c"].alias("c"), d["det_id"].alias("best"))
-        swapped = F.transform(groups, lambda k, i: F.when((i + 1 == at) & (d["c"] > k["c"]), better(k)).otherwise(k))
-        return F.when(at == 0, F.array_append(groups, d)).otherwise(swapped)
-
-    none = F.array().cast(f"array<{item}>")
-    kept = ops.groupBy(scene, "row", "label").agg(order.alias("o")).select(scene, F.explode(F.aggregate("o", none, step)).alias("k")).select(scene, F.col("k.best").alias("det_id"))
-    return preds.where(~F.col("label").startswith("op_")).unionByName(ops.join(kept, [scene, "det_id"], "left_semi"))
+    order = F.sort_array(F.collect_list(F.struct("det_id", *g.BOX, F.col("confidence").alias("c"))))
+    groups = ops.groupBy(scene, "row", "label").agg(order.alias("o"))
+    item = lambda i: F.get("o", i)
+    span = lambda d: tuple(d[c] for c in g.BOX)
+
+    def turn(acc, i):
+        def later(inner, j):
+            meets = ~F.array_contains(inner["gone"], j) & g.spans_overlap(span(item(i)), span(item(j)))
+            wins = item(j)["c"] > item(inner["best"])["c"]
+            took = F.struct(j.alias("best"), F.array_append(inner["gone"], inner["best"]).alias("gone"))
+            lost = F.struct(inner["best"].alias("best"), F.array_append(inner["gone"], j).alias("gone"))
+            return F.when(meets & wins, took).when(meets, lost).otherwise(inner)
+
+        rest = F.filter(F.sequence(F.lit(0), F.size("o") - 1), lambda j: j > i)
+        done = F.aggregate(rest, F.struct(i.alias("best"), acc["gone"].alias("gone")), later)
+        after = F.struct(done["gone"].alias("gone"), F.array_append(acc["kept"], done["best"]).alias("kept"))
+        return F.when(F.array_contains(acc["gone"], i), acc).otherwise(after)
+
+    none = F.array().cast("array<int>")
+    kept = F.aggregate(F.sequence(F.lit(0), F.size("o") - 1), F.struct(none.alias("gone"), none.alias("kept")), turn)["kept"]
+    ids = groups.select(scene, F.explode(F.transform(F.array_distinct(kept), lambda i: item(i)["det_id"])).alias("det_id"))
+    return preds.where(~F.col("label").startswith("op_")).unionByName(ops.join(ids, [scene, "det_id"], "left_semi"))
 
 
 def _assign(cost: np.ndarray) -> list[tuple[int, int]]:
