@@ -1 +1,139 @@
-"""Queries."""
+"""Queries over exercises: worked solutions, variants, grading."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import worked
+from .registry import query
+
+# SQL: digits of a number as (k, d) with k = place from the units; widths; carries and borrows place by place.
+PLACES = "(select unnest(range(0, 7)) as k)"
+P10 = "cast(pow(10, k) as bigint)"
+WIDTH = "length(cast({0} as varchar))"
+
+
+def number_sql(source: str, n: str, row: str, right: str, width: str | None = None) -> str:
+    """Tokens of number n that ends in column right."""
+    return f"select exercise_id, cast({row} as int) as row, cast({right} - k as int) as col, 'main_' || (({n}) // {P10} % 10) as label from {source}, {PLACES} z where k < {width or WIDTH.format(f'({n})')}"
+
+
+ADD = f"""x as (select exercise_id, a, b, a + b as r, greatest({WIDTH.format('a')}, {WIDTH.format('b')}, {WIDTH.format('(a + b)')}) as w from exercises where op = 'add'),
+s as ({number_sql('x', 'a', '1', '(w + 1)')} union all {number_sql('x', 'b', '2', '(w + 1)')} union all {number_sql('x', 'r', '4', '(w + 1)')}
+  union all select exercise_id, 2, 1, 'op_plus' from x union all select exercise_id, 3, 1, 'result_bar' from x
+  union all select exercise_id, 0, cast(w + 1 - k as int), 'carry_1' from x, {PLACES} z where k between 1 and w - 1 and a % {P10} + b % {P10} >= {P10})"""
+
+
+@query(f"with {ADD} select * from s")
+def g02_addition(t):
+    return worked.addition(t.exercises.where("op = 'add'"))
+
+
+# The borrow chain step by step, from the units to the left: work digit after lending, marks as they are written.
+SUB = f"""x as (select exercise_id, greatest(a, b) as a, least(a, b) as b from exercises where op = 'subtract'), y as (select *, a - b as r, {WIDTH.format('a')} as w from x),
+q as (select exercise_id, w, k, a // {P10} % 10 as d, a % cast(pow(10, k + 1) as bigint) < b % cast(pow(10, k + 1) as bigint) as lack, k > 0 and a % {P10} < b % {P10} as lent from y, {PLACES} z where k < w),
+s as ({number_sql('y', 'a', '1', '(w + 1)')} union all {number_sql('y', 'b', '2', '(w + 1)')} union all {number_sql('y', 'r', '4', '(w + 1)', 'w')}
+  union all select exercise_id, 2, 1, 'op_minus' from y union all select exercise_id, 3, 1, 'result_bar' from y
+  union all select exercise_id, 0, cast(w + 1 - k as int), 'borrow_' || case when d = 0 then 9 else d - 1 end from q where lent
+  union all select exercise_id, 0, cast(w + 1 - k as int), 'borrow_1' from q where lack and not (d = 0 and lent) and k < w - 1)"""
+
+
+@query(f"with {SUB} select * from s")
+def g03_subtraction(t):
+    return worked.subtraction(t.exercises.where("op = 'subtract'"))
+
+
+@query(f"""with x as (select exercise_id, a, b, a * b as r, {WIDTH.format('b')} as n, greatest({WIDTH.format('a')}, {WIDTH.format('b')}, {WIDTH.format('(a * b)')}) + 1 as right from exercises where op = 'multiply'),
+p as (select x.*, k as i, b // {P10} % 10 as m from x, {PLACES} z where k < n), f as (select *, a * m * cast(pow(10, i) as bigint) as whole from p)
+select exercise_id, count(*) as n_products, cast(max(r) as bigint) as product, cast(sum(whole) as bigint) as total from f group by exercise_id""")
+def g04_partial_products(t):
+    df = t.exercises.where("op = 'multiply'")
+    tokens = worked.multiplication(df)
+    rows = tokens.where("label like 'main%'").groupBy("exercise_id", "row").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("col", "label"))), lambda x: F.substr(x["label"], F.lit(6))), "").cast("long").alias("n"))
+    last = rows.groupBy("exercise_id").agg(F.max("row").alias("last"), F.max_by("n", "row").alias("product"))
+    long = df.withColumn("k", F.length(F.col("b").cast("string")))
+    parts = rows.join(last, "exercise_id").join(long.select("exercise_id", "k", "b", "a"), "exercise_id")
+    many = parts.where("k > 1 and row > 2 and row < last").groupBy("exercise_id").agg(F.count(F.lit(1)).alias("n_products"), F.max("product").alias("product"), F.sum("n").alias("total"))
+    one = parts.where("k = 1 and row = last").select("exercise_id", F.lit(1).cast("long").alias("n_products"), "product", F.col("n").alias("total"))
+    return many.unionByName(one)
+
+
+@query()
+def g04_multiplication(t):
+    return worked.multiplication(t.exercises.where("op = 'multiply'"))
+
+
+DIV = f"""x as (select exercise_id, a, b, {WIDTH.format('a')} as w from exercises where op = 'divide' and b > 0),
+c as (select *, w - 1 - k as col, a // {P10} as pre, b * (a // {P10} // b) as taken, k from x, {PLACES} z where k < w),
+st as (select *, row_number() over (partition by exercise_id order by col) - 1 as step, pre // b % 10 as q, pre % b as r from c where pre >= b or k = 0)"""
+
+
+@query(f"with {DIV} select exercise_id, cast(step as int) as step, cast(q as bigint) as quotient_digit, cast(q * b as bigint) as product, cast(r as bigint) as remainder, cast(col as int) as right_col from st")
+def g05_division_steps(t):
+    return worked.division_steps(t.exercises.where("op = 'divide'")).drop("a", "b")
+
+
+@query(f"""with {DIV}, y as (select exercise_id, max(a // b) as q, max(a % b) as r from st group by exercise_id)
+select exercise_id, cast(q as bigint) as quotient, cast(r as bigint) as last_remainder from y""")
+def g05_long_division(t):
+    tokens = worked.long_division(t.exercises.where("op = 'divide'"))
+    number = lambda df: df.groupBy("exercise_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("col", "label"))), lambda x: F.substr(x["label"], F.lit(6))), "").cast("long").alias("n"))
+    last = tokens.groupBy("exercise_id").agg(F.max("row").alias("row"))
+    return number(tokens.where("row = 0")).withColumnRenamed("n", "quotient").join(number(tokens.join(last, ["exercise_id", "row"])).withColumnRenamed("n", "last_remainder"), "exercise_id")
+
+
+@query(f"""with x as (select exercise_id, a, b, a // b as r, {WIDTH.format('a')} as wa, {WIDTH.format('b')} as wb from exercises where op = 'divide' and b > 0 and a % b = 0)
+{number_sql('x', 'a', '0', '(wa - 1)')} union all {number_sql('x', 'b', '0', '(wa + wb)')} union all {number_sql('x', 'r', '2', '(wa + wb)')} union all select exercise_id, 0, cast(wa as int), 'op_divide' from x union all select exercise_id, 1, 0, 'result_bar' from x""")
+def g06_simple_division(t):
+    return worked.simple_division(t.exercises.where("op = 'divide'"))
+
+
+@query(f"""with x as (select exercise_id, a, b, greatest(a, b) as h, least(a, b) as l, greatest({WIDTH.format('a')}, {WIDTH.format('b')}) as w, least({WIDTH.format('a')}, {WIDTH.format('b')}) as n from exercises),
+c as (select exercise_id, n, count(*) filter (where a % {P10} + b % {P10} >= {P10}) as ca, count(*) filter (where h % {P10} < l % {P10}) as bo from x, {PLACES} z where k between 1 and w group by exercise_id, n)
+select exercise_id, cast(ca as int) as n_carries, cast(bo as int) as n_borrows, ca = 0 as no_carries, ca >= n as dense_carries, bo >= 1 as forced_borrows from c""")
+def g08_difficulty(t):
+    return worked.difficulty(t.exercises).select("exercise_id", "n_carries", "n_borrows", "no_carries", "dense_carries", "forced_borrows")
+
+
+def added(t):
+    return worked.addition(t.exercises.where("op = 'add'"))
+
+
+@query(f"with {ADD} select * from s where row < 3")
+def g10_without_bar(t):
+    return worked.without_bar(added(t))
+
+
+@query(f"with {ADD}, m as (select *, row = 4 as r, count(*) over (partition by exercise_id, row = 4) as n, row_number() over (partition by exercise_id, row = 4 order by col desc) as p from s) select exercise_id, row, col, label from m where not r or p > case when n <= 1 then 0 else least(greatest(1, round_even(n * 0.5, 0)), n - 1) end")
+def g10_partial_result(t):
+    return worked.partial_result(added(t))
+
+
+@query(f"with {SUB} select * from s where label not like 'borrow%'")
+def g10_without_marks(t):
+    return worked.without_marks(worked.subtraction(t.exercises.where("op = 'subtract'")))
+
+
+@query(f"with {ADD}, m as (select *, max(case when label like 'main%' then col end) over (partition by exercise_id) as c from s) select exercise_id, row, case when label = 'op_plus' then c + 1 else col end as col, label from m")
+def g07_operator_right(t):
+    return worked.operator_on_the_right(added(t))
+
+
+@query(f"with {ADD}, m as (select *, max(col) over (partition by exercise_id) as c from s) select exercise_id, row, col, case when row = 4 and col = c then 'main_' || ((cast(substring(label, 6) as int) + 1) % 10) else label end as label from m")
+def g13_wrong_result(t):
+    return worked.injected(added(t), "wrong_result")
+
+
+@query(f"with {ADD} select exercise_id, row, col, case when label = 'op_plus' then 'op_minus' else label end as label from s")
+def g13_wrong_operator(t):
+    return worked.injected(added(t), "wrong_operator")
+
+
+@query(f"with {ADD}, y as (select exercise_id, (a * 7) % 1000 as n from x), m as (select s.*, n, max(col) over (partition by s.exercise_id) - col as p from s join y on y.exercise_id = s.exercise_id) select exercise_id, row, col, case when row = 4 and p < length(cast(n as varchar)) then 'main_' || (n // cast(pow(10, p) as bigint) % 10) else label end as label from m")
+def g12_result_override(t):
+    return worked.result_override(added(t), t.exercises.select("exercise_id", ((F.col("a") * 7) % 1000).alias("result")))
+
+
+@query(f"with {SUB}, u as (select exercise_id, col, substring(label, 6) as d from s where row = 1) select exercise_id, row, col, 0 as sub_pos, label from s where not (row = 0 and label = 'borrow_1') union all select s.exercise_id, s.row, s.col, v.i, case when v.i = 0 then 'borrow_1' else 'borrow_' || u.d end from s join u on u.exercise_id = s.exercise_id and u.col = s.col, (select unnest([0, 1]) as i) v where s.row = 0 and label = 'borrow_1'")
+def g09_two_in_a_cell(t):
+    return worked.two_in_a_cell(worked.subtraction(t.exercises.where("op = 'subtract'")))
