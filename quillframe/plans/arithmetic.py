@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import worked
+from ..operators import grade, worked
 from .registry import query
 
 # SQL: digits of a number as (k, d) with k = place from the units; widths; carries and borrows place by place.
@@ -137,3 +138,160 @@ def g12_result_override(t):
 @query(f"with {SUB}, u as (select exercise_id, col, substring(label, 6) as d from s where row = 1) select exercise_id, row, col, 0 as sub_pos, label from s where not (row = 0 and label = 'borrow_1') union all select s.exercise_id, s.row, s.col, v.i, case when v.i = 0 then 'borrow_1' else 'borrow_' || u.d end from s join u on u.exercise_id = s.exercise_id and u.col = s.col, (select unnest([0, 1]) as i) v where s.row = 0 and label = 'borrow_1'")
 def g09_two_in_a_cell(t):
     return worked.two_in_a_cell(worked.subtraction(t.exercises.where("op = 'subtract'")))
+
+
+# ---- grading ----
+
+EXPECTED = f"""{ADD}, expected as (select exercise_id, col as x, 10 - row as y, case when label = 'result_bar' then '_' when label = 'op_plus' then '+' else substring(label, length(label)) end as c,
+    case when row = 0 then 'carry' when label = 'op_plus' then 'operator' when row = 3 then 'bar' when row = 4 then 'answer' else 'operand' end as role, row between 1 and 3 as given from s),
+submitted as (select exercise_id as submission_id, exercise_id, 't' || lpad(cast(row_number() over (partition by exercise_id order by y, x) as varchar), 2, '0') as token_id,
+    case when role = 'answer' and (exercise_id * 3 + x) % 11 = 0 then cast((cast(c as int) + 1) % 10 as varchar) else c end as c,
+    cast(x + case when role = 'answer' then exercise_id % 2 else 0 end as int) as x, cast(y + exercise_id % 3 - 1 as int) as y, case when role = 'carry' then 'OVERFLOW' else 'SYMBOL' end as type
+  from expected where role <> 'bar' and not (not given and (exercise_id + x) % 7 = 0))"""
+
+
+def expected(t):
+    k, row = F.col("label"), F.col("row")
+    c = F.when(k == "result_bar", "_").when(k == "op_plus", "+").otherwise(F.substr(k, F.length(k)))
+    role = F.when(row == 0, "carry").when(k == "op_plus", "operator").when(row == 3, "bar").when(row == 4, "answer").otherwise("operand")
+    return added(t).select("exercise_id", F.col("col").alias("x"), (10 - row).alias("y"), c.alias("c"), role.alias("role"), row.between(1, 3).alias("given"))
+
+
+def submitted(t):
+    df = expected(t).where("role <> 'bar' and not (not given and (exercise_id + x) % 7 = 0)")
+    n = F.row_number().over(W.partitionBy("exercise_id").orderBy("y", "x"))
+    wrong = (F.col("role") == "answer") & ((F.col("exercise_id") * 3 + F.col("x")) % 11 == 0)
+    return df.select(
+        F.col("exercise_id").alias("submission_id"), "exercise_id", F.concat(F.lit("t"), F.lpad(n.cast("string"), 2, "0")).alias("token_id"),
+        F.when(wrong, ((F.col("c").try_cast("int") + 1) % 10).cast("string")).otherwise(F.col("c")).alias("c"),
+        (F.col("x") + F.when(F.col("role") == "answer", F.col("exercise_id") % 2).otherwise(0)).cast("int").alias("x"), (F.col("y") + F.col("exercise_id") % 3 - 1).cast("int").alias("y"),
+        F.when(F.col("role") == "carry", "OVERFLOW").otherwise("SYMBOL").alias("type"), F.array().cast("array<string>").alias("tags"),
+    )
+
+
+SHIFT = """v as (select u.submission_id, e.y - u.y as dy, count(*) as n from (select distinct submission_id, exercise_id, y from submitted where c not in ('', '_')) u
+    join (select exercise_id, y from expected group by exercise_id, y having not bool_and(c in ('', '_'))) e on e.exercise_id = u.exercise_id where abs(e.y - u.y) <= 6 group by 1, 2),
+sh as (select submission_id, dy from (select *, row_number() over (partition by submission_id order by n desc, abs(dy), dy) as r from v) q where r = 1)"""
+MATCH = f"""{EXPECTED}, {SHIFT}, lv as (select exercise_id, y as ey, bool_and(c in ('', '_')) as bar from expected group by exercise_id, y),
+pl as (select * from (select u.*, lv.ey, row_number() over (partition by u.submission_id, token_id order by case when (u.c in ('', '_')) = lv.bar then 0 else 1 end, abs(u.y + coalesce(dy, 0) - lv.ey), lv.ey) as r
+    from submitted u left join sh on sh.submission_id = u.submission_id join lv on lv.exercise_id = u.exercise_id) q where r = 1),
+sl as (select *, max(x) over (partition by submission_id, ey) - x as slot from pl), so as (select *, row_number() over (partition by submission_id, ey, slot order by token_id desc) as k from sl),
+es as (select *, max(x) over (partition by exercise_id, y) - x as slot from expected),
+mt as (select so.submission_id, so.exercise_id, so.token_id, so.c, so.x, so.y, case when k = 1 then es.x end as ex, case when k = 1 then es.y end as ey from so left join es on es.exercise_id = so.exercise_id and es.y = so.ey and es.slot = so.slot)"""
+CELLS = f"""{MATCH}, gx as (select *, min(x) over (partition by exercise_id, y, role, isl) as group_x from (select *, x - row_number() over (partition by exercise_id, y, role order by x) as isl from expected) q),
+ce as (select sub.submission_id, gx.*, mt.c as got, mt.token_id, coalesce(mt.c = gx.c, false) as ok, coalesce(mt.c <> gx.c, false) as bad from (select distinct submission_id, exercise_id from submitted) sub join gx on gx.exercise_id = sub.exercise_id
+    left join mt on mt.submission_id = sub.submission_id and mt.ex = gx.x and mt.ey = gx.y),
+cw as (select *, bool_and(ok) over w as all_ok, bool_or(bad) over w as any_bad, bool_or(got is not null) over w as any_got, bool_and(given) over w as all_given, role = 'carry' and not given as step from ce window w as (partition by submission_id, y, role, group_x)),
+gr as (select submission_id, exercise_id, x, y, c, role, given, group_x, got, token_id, any_bad as group_wrong, step or not given as required, case when step then any_got else all_ok and not given end as matched,
+    case when step then case when any_got then 'OK' else 'MISSING' end when all_ok then 'OK' when any_bad then case when bad then 'ERROR' when got is null then 'MISSING' else 'OK' end when all_given then 'OK' else 'MISSING' end as status from cw)"""
+
+
+@query(f"with {EXPECTED}, {SHIFT} select distinct u.submission_id, cast(coalesce(dy, 0) as int) as dy from submitted u left join sh on sh.submission_id = u.submission_id")
+def j13_row_shift(t):
+    return grade.row_shift(submitted(t), expected(t)).withColumn("dy", F.col("dy").cast("int"))
+
+
+@query(f"with {MATCH} select submission_id, token_id, c, cast(ex as int) as ex, cast(ey as int) as ey from mt")
+def j13_structure_match(t):
+    return grade.structure_match(submitted(t), expected(t)).select("submission_id", "token_id", "c", F.col("ex").cast("int").alias("ex"), F.col("ey").cast("int").alias("ey"))
+
+
+@query(f"with {CELLS} select exercise_id, x, y, role, group_x from gx")
+def w04_groups(t):
+    return grade.groups(expected(t)).select("exercise_id", "x", "y", "role", "group_x")
+
+
+def cells(t):
+    return grade.graded_cells(submitted(t), expected(t))
+
+
+@query(f"with {CELLS} select submission_id, x, y, role, status, required, matched, got from gr")
+def a40_graded_cells(t):
+    return cells(t).select("submission_id", "x", "y", "role", "status", "required", "matched", "got")
+
+
+@query(f"""with {CELLS} select submission_id, role, group_x as left_x, y, count(*) as width, string_agg(c, '' order by x) as num, status from gr where not group_wrong or role = 'carry' group by submission_id, role, y, group_x, status
+union all select submission_id, role, x, y, 1, c, status from gr where group_wrong and status <> 'OK'""")
+def a40_graded_elements(t):
+    return grade.graded_elements(cells(t)).drop("token_ids")
+
+
+PROGRESS = "p as (select submission_id, count(*) filter (where matched and required) as matched, count(*) filter (where required) as total from gr group by submission_id)"
+
+
+@query(f"with {CELLS}, {PROGRESS} select submission_id, matched, total, round(case when total > 0 then matched / total else 1 end, 6) as progress, total = 0 or matched = total as finished from p")
+def a41_progress(t):
+    return grade.progress(cells(t)).withColumn("progress", F.round("progress", 6))
+
+
+@query(f"""with {CELLS}, {PROGRESS}, f as (select submission_id, bool_or(status = 'ERROR' and role = 'answer') as e, bool_or(status = 'MISSING' and role = 'answer') as m, bool_or(status = 'MISSING' and role = 'carry') as s, bool_or(status = 'ERROR') as ae from gr group by submission_id)
+select f.submission_id, case when e then 'mistake' when m then 'incomplete' when s then 'missing_step' when matched = total then 'correct' else 'incomplete' end as outcome,
+  case when matched = total then 'correct' when ae then 'mistake' else 'incomplete' end as short_outcome from f join p on p.submission_id = f.submission_id""")
+def a42_verdicts(t):
+    return grade.verdicts(cells(t)).drop("progress")
+
+
+@query(f"""with {CELLS}, h as (select submission_id, role, y, group_x, max(x) as lx from gr where status = 'MISSING' and not group_wrong and not given group by submission_id, role, y, group_x)
+select submission_id, group_x as left_x, y, role from (select *, row_number() over (partition by submission_id order by abs(y - 6), -lx, y, group_x, role) as r from h) q where r = 1""")
+def t02_next_hint(t):
+    rows = expected(t).select("exercise_id", F.lit(6).alias("answer_y")).distinct()
+    return grade.next_hint(cells(t), rows)
+
+
+@query(f"with {MATCH} select submission_id, token_id, c, cast(x as int) as x, cast(y as int) as y from mt where ex is null and c not in ('', '_') and y <> 10")
+def a40_extras(t):
+    return grade.extras(submitted(t), expected(t)).where("y <> 10").drop("exercise_id")
+
+
+@query(f"""with {EXPECTED}, g as (select exercise_id, x, y, c from expected where given), u as (select s.submission_id, s.x, s.y, s.c, 'child' as origin from submitted s where not exists (select 1 from g where g.exercise_id = s.exercise_id and g.x = s.x and g.y = s.y))
+select * from u union all select d.submission_id, g.x, g.y, g.c, 'given' from (select distinct submission_id, exercise_id from submitted) d join g on g.exercise_id = d.exercise_id""")
+def j21_with_given(t):
+    return grade.with_given(submitted(t), expected(t)).select("submission_id", "x", "y", "c", F.when(F.col("token_id").startswith("G"), "given").otherwise("child").alias("origin"))
+
+
+@query(f"with {EXPECTED} select exercise_id, x, y, c, case when role = 'carry' then 'OVERFLOW' else 'SYMBOL' end as type, given as fixed from expected")
+def e04_as_submission(t):
+    return grade.as_submission(expected(t)).select("exercise_id", "x", "y", "c", "type", (F.size("tags") > 0).alias("fixed"))
+
+
+@query(f"with {MATCH}, d as (select submission_id, count(ex) as matched, count(*) - count(ex) as unmatched, count(distinct case when ex is not null then (x - ex) || ',' || (y - ey) end) as n, min(x - ex) as dx, min(y - ey) as dy from mt group by submission_id) select submission_id, matched, unmatched, n = 1 and dx = 0 and dy = 0 as aligned, cast(case when n = 1 and not (dx = 0 and dy = 0) then dx end as int) as dx, cast(case when n = 1 and not (dx = 0 and dy = 0) then dy end as int) as dy from d")
+def a33_calibration(t):
+    sent = submitted(t)
+    found = grade.structure_match(sent, expected(t)).where("ex is not null").groupBy("submission_id", "ex", "ey").agg(F.collect_list("token_id").alias("token_ids"))
+    out = grade.calibration_report(sent, found)
+    return out.withColumns({"dx": F.col("dx").cast("int"), "dy": F.col("dy").cast("int")})
+
+
+@query(f"with {EXPECTED}, b as (select exercise_id, min(x) as min_x, max(x) as max_x, min(y) as min_y, max(y) as max_y from expected group by exercise_id), p as (select *, cast(floor(448.0 / greatest(max_x - min_x + 1, max_y - min_y + 1)) as bigint) as pitch from b) select *, (512 - pitch * (max_x - min_x + 1)) / 2 as origin_x, (512 - pitch * (max_y - min_y + 1)) / 2 as origin_y from p")
+def a31_layout_bounds(t):
+    return grade.layout_bounds(expected(t))
+
+
+@query(f"""with {EXPECTED}, s2 as (select exercise_id, x, y, c, role from expected), b as (select *, min(case when c = '_' then y end) over (partition by exercise_id) as bar_y from s2)
+select exercise_id, x, y, c, role, role in ('operand', 'operator') as given from b""")
+def e01_derived_exercise(t):
+    df = expected(t)
+    tags = F.when(F.col("role").isin("operand", "operator"), F.array(F.lit("AUTOSHOW"))).otherwise(F.array().cast("array<string>"))
+    tokens = df.select("exercise_id", "x", "y", "c", tags.alias("tags"), F.when(F.col("role") == "carry", "OVERFLOW").otherwise("SYMBOL").alias("type"))
+    return grade.derived_exercise(tokens).drop("answer_y")
+
+
+@query(f"with {MATCH} select submission_id, ey as element_id, cast(min(x) * 40.0 as double) as x0, cast(min(y) * 40.0 as double) as y0, cast(max(x) * 40.0 + 40 as double) as x1, cast(max(y) * 40.0 + 40 as double) as y1 from mt where ex is not null group by submission_id, ey")
+def j19_union_boxes(t):
+    sent = submitted(t)
+    found = grade.structure_match(sent, expected(t)).where("ex is not null").groupBy("submission_id", F.col("ey").alias("element_id")).agg(F.collect_list("token_id").alias("token_ids"))
+    boxes = sent.select("submission_id", "token_id", (F.col("x") * 40.0).alias("x0"), (F.col("y") * 40.0).alias("y0"), (F.col("x") * 40.0 + 40).alias("x1"), (F.col("y") * 40.0 + 40).alias("y1"))
+    return grade.union_boxes(found, boxes)
+
+
+@query(f"""with g as (select l_orderkey as submission_id, l_linenumber % 3 as cluster_id, l_orderkey || '-' || lpad(cast(row_number() over (partition by l_orderkey order by l_partkey, l_suppkey, l_extendedprice, l_shipdate) as varchar), 3, '0') as token_id, cast(l_partkey % 10 as varchar) as c, (l_partkey * 7 % 400) + 0.5 as cx, (l_suppkey * 3 % 400) + 0.25 as cy from lineitem),
+ty as (select distinct submission_id, 2 as x, 3 as y, 'REPLACE' as type from g union all select distinct submission_id, 6, 3, 'OVERFLOW' from g),
+m as (select submission_id, cluster_id, avg(cx) as mx, avg(cy) as my from g group by 1, 2), b as (select * from (select m.*, ty.x, ty.y, ty.type, abs(mx - (x + 0.5) * 40) <= 60 and abs(my - (y + 0.5) * 40) <= 60 as fits,
+    row_number() over (partition by m.submission_id, cluster_id order by (mx - (x + 0.5) * 40) * (mx - (x + 0.5) * 40) + (my - (y + 0.5) * 40) * (my - (y + 0.5) * 40), y, x) as r from m join ty on ty.submission_id = m.submission_id) q where r = 1)
+select g.submission_id, min(g.token_id) as first_id, string_agg(c, '' order by cx, token_id) as c, b.x, b.y, b.type from g join b on b.submission_id = g.submission_id and b.cluster_id = g.cluster_id where fits group by g.submission_id, b.x, b.y, b.type
+union all select g.submission_id, g.token_id, c, cast(floor(cx / 40) as int), cast(floor(cy / 40) as int), 'SYMBOL' from g join b on b.submission_id = g.submission_id and b.cluster_id = g.cluster_id where not fits""".replace("min(g.token_id) as first_id", "arg_min(g.token_id, struct_pack(a := cx, b := token_id)) as token_id"))
+def j25_snapped(t):
+    w = W.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    g = t.lineitem.select(F.col("l_orderkey").alias("submission_id"), (F.col("l_linenumber") % 3).alias("cluster_id"), F.concat_ws("-", "l_orderkey", F.lpad(F.row_number().over(w).cast("string"), 3, "0")).alias("token_id"), (F.col("l_partkey") % 10).cast("string").alias("c"), (F.col("l_partkey") * 7 % 400 + 0.5).alias("cx"), (F.col("l_suppkey") * 3 % 400 + 0.25).alias("cy"))
+    typed = g.select("submission_id").distinct().select("submission_id", F.explode(F.array(F.struct(F.lit(2).alias("x"), F.lit(3).alias("y"), F.lit("REPLACE").alias("type")), F.struct(F.lit(6).alias("x"), F.lit(3).alias("y"), F.lit("OVERFLOW").alias("type")))).alias("s")).select("submission_id", "s.*")
+    return grade.snapped(g, typed, 40.0)
