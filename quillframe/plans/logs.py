@@ -1 +1,137 @@
-"""Queries."""
+"""Queries over logs, histories and pages."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import runs
+from ..sources import readers, sinks
+from ..streaming import streams
+from .registry import query
+
+LOG = "select event_id, ts, user_id as sample, event_type as event, case when value > 150 then 'error' else 'ok' end as status, value as latency_ms from events"
+ROLLED = "count(*) as n, round(avg(case when status = 'error' then 1.0 else 0.0 end), 6) as error_rate, round(avg(latency_ms), 6) as mean_latency"
+
+
+def rounded(df):
+    return df.withColumns({"error_rate": F.round("error_rate", 6), "mean_latency": F.round("mean_latency", 6)})
+
+
+@query(f"with l as ({LOG}) select time_bucket(interval '10 minutes', ts, timestamp '2000-01-01') as start, time_bucket(interval '10 minutes', ts, timestamp '2000-01-01') + interval '10 minutes' as \"end\", event, {ROLLED} from l group by all")
+def r04_tumbling(t):
+    return rounded(streams.rolling(t.sql(LOG)))
+
+
+@query(f"with l as ({LOG}), e as (select l.*, time_bucket(interval '5 minutes', ts, timestamp '2000-01-01') - interval '5 minutes' * i as start from l, (select unnest([0, 1]) as i) z) select start, start + interval '10 minutes' as \"end\", event, {ROLLED} from e group by all")
+def r04_sliding(t):
+    return rounded(streams.rolling(t.sql(LOG), slide="5 minutes"))
+
+
+@query(f"with l as ({LOG}), p as (select * from l where event = 'view'), f as (select * from l where event = 'click') select p.sample, p.ts, p.status as predicted, f.ts as f_ts, f.status as feedback from p left join f on f.sample = p.sample and f.ts >= p.ts and f.ts <= p.ts + interval '1 hour'")
+def r03_predict_feedback(t):
+    log = t.sql(LOG)
+    return streams.predict_feedback(log.where("event = 'view'"), log.where("event = 'click'"))
+
+
+@query(f"with l as ({LOG}) select event_id, sample, event, status from (select *, row_number() over (partition by sample order by ts desc, event_id desc) as r from l) q where r = 1")
+def r02_last_feedback(t):
+    return streams.last_feedback(t.sql(LOG)).select("event_id", "sample", "event", "status")
+
+
+@query("select conv_id, turn, role, md5(text) as text_md5 from (select *, row_number() over (partition by conv_id order by turn desc, role desc) as r from conversations) q where r = 1")
+def w11_latest_record(t):
+    return runs.latest(t.conversations, "conv_id", ["turn", "role"]).select("conv_id", "turn", "role", F.md5("text").alias("text_md5"))
+
+
+@query("select o_orderkey, o_orderdate from orders where o_orderdate = (select max(o_orderdate) from orders)")
+def s17_latest_run(t):
+    return runs.latest_run(t.orders.select("o_orderkey", "o_orderdate"), "o_orderdate")
+
+
+EPOCHS = "select run_id, epoch, loss * case when epoch % 5 = 0 then 0.001 else 1.0 end as train_loss, cast(loss % 997 as double) / 997 as value from epoch_log"
+DEEP = "select run_id, epoch, case when epoch % 6 = 5 then loss * 0.001 else loss * 1.0 end as train_loss, cast(loss % 997 as double) / 997 as value from epoch_log"
+
+
+@query(f"with e as ({DEEP}), l as (select *, lag(train_loss) over (partition by run_id order by epoch) as previous from e) select run_id, epoch from l where train_loss > 0 and previous / greatest(train_loss, 1e-9) > 50")
+def w08_loss_collapses(t):
+    return runs.loss_collapses(t.sql(DEEP)).select("run_id", "epoch")
+
+
+@query(f"""with e as ({DEEP}), b as (select *, value > coalesce(max(value) over (partition by run_id order by epoch rows between unbounded preceding and 1 preceding), -1) as better from e),
+s as (select *, epoch - max(case when better then epoch end) over (partition by run_id order by epoch rows unbounded preceding) as counter from b), x as (select *, min(case when counter >= 3 then epoch end) over (partition by run_id) as stop from s),
+k as (select * from x where stop is null or epoch <= stop) select run_id, cast(arg_min(epoch, struct_pack(v := -value, e := epoch)) as int) as best_epoch, round(max(value), 6) as best_value, max(stop) as stop_epoch, bool_or(epoch <= 2 and value >= 0.999) as trivial from k group by run_id""")
+def w09_early_stops(t):
+    return runs.early_stops(t.sql(DEEP), 3).withColumn("best_value", F.round("best_value", 6))
+
+
+RUNS = "select c_custkey as run_id, (c_custkey % 7) / 10.0 as macro_f1, (c_custkey % 5) / 20.0 as row_acc, (c_custkey % 3) / 20.0 as col_acc, c_custkey % 20 as n_classes from customer"
+
+
+@query(f"""with r as ({RUNS}), b as (select run_id, macro_f1 >= 0.30 as a, row_acc + col_acc >= 0.20 as p, n_classes >= 12 as c from r)
+select run_id, array_to_string(list_filter([case when not a then 'macro_f1' end, case when not p then 'placement' end, case when not c then 'classes' end], lambda x: x is not null), ',') as blocked_by, a and p and c as promote from b""")
+def a36_promotion(t):
+    return runs.promotable(t.sql(RUNS)).select("run_id", "blocked_by", "promote")
+
+
+HISTORY = "select o_custkey as config_id, o_orderdate as created, o_orderkey as record_id, o_orderkey % 3 <> 0 as is_baseline, (o_orderkey % 100) / 100.0 as kind_acc from orders"
+
+
+@query(f"with h as ({HISTORY}) select config_id, record_id, kind_acc >= 0.70 as holds from (select *, row_number() over (partition by config_id order by created desc, record_id desc) as r from h where is_baseline) q where r = 1")
+def a37_regression_gate(t):
+    return runs.regression_gate(t.sql(HISTORY)).select("config_id", "record_id", "holds")
+
+
+@query("select c_custkey as run_id, 'd' || (c_custkey % 4) as label, round(c_acctbal, 2) as val, case when c_custkey % 2 = 0 then round(c_acctbal / 2, 4) end as test from customer")
+def a39_class_report(t):
+    label = F.concat(F.lit("d"), (F.col("c_custkey") % 4).cast("string"))
+    val, test = F.struct(F.concat(F.lit("val/"), label).alias("key"), F.col("c_acctbal").alias("value")), F.struct(F.concat(F.lit("test/"), label).alias("key"), (F.col("c_acctbal") / 2).alias("value"))
+    metrics = F.map_from_entries(F.when(F.col("c_custkey") % 2 == 0, F.array(val, test)).otherwise(F.array(val)))
+    out = runs.class_report(t.customer.select(F.col("c_custkey").alias("run_id"), metrics.alias("metrics")))
+    return out.withColumns({"val": F.round("val", 2), "test": F.round("test", 4)})
+
+
+ACTIVE = "select c_mktsegment as stage, min(c_custkey) as active_run from customer where c_mktsegment in ('BUILDING', 'MACHINERY') group by 1"
+
+
+@query(f"with l as (select c_mktsegment as stage, max(c_custkey) as last from customer group by 1) select l.stage, coalesce(active_run, last) as run_id from l left join ({ACTIVE}) a on a.stage = l.stage")
+def t07_active_run(t):
+    df = t.customer.select(F.col("c_mktsegment").alias("stage"), F.col("c_custkey").alias("run_id"), F.col("c_custkey").alias("created_utc"))
+    return runs.active_run(df, t.sql(ACTIVE))
+
+
+@query(r"""select page_id, nullif(regexp_extract(html, '<html lang="([a-z]+)"', 1), '') as lang, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') as title, cast(nullif(regexp_extract(html, 'track\(([0-9]+)\)', 1), '') as bigint) as track_id from pages""")
+def s10_page_facts(t):
+    return readers.page_facts(t.pages)
+
+
+@query(r"""select page_id, string_split(trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g')), ':')[1] as prompt from pages""")
+def e02_prompts(t):
+    return t.pages.select("page_id", readers.prompt_text(F.col("html")).alias("prompt"))
+
+
+@query("select event_id, event_type, cast(json_extract_string(props, '$.k') as varchar) as k from events")
+def s05_event_props(t):
+    return t.events.select("event_id", "event_type", F.get_json_object("props", "$.k").alias("k"))
+
+
+@query("""select scene_id, gt_id, cast(gt_id % 6 as bigint) as class_id, round((x0 + x1) / 2 / 512, 5) as cx, round((y0 + y1) / 2 / 512, 5) as cy, round(greatest(1e-6, (x1 - x0) / 512), 5) as w, 5 as n_fields from gt_symbols""")
+def s13_box_lines(t):
+    line = sinks.box_line(F.col("gt_id") % 6, *[F.col(c) for c in ("x0", "y0", "x1", "y1")])
+    f = lambda i: F.round(F.get("f", i).cast("double"), 5)
+    df = t.gt_symbols.select("scene_id", "gt_id", F.split(line, " ").alias("f"))
+    return df.select("scene_id", "gt_id", F.get("f", 0).cast("long").alias("class_id"), f(1).alias("cx"), f(2).alias("cy"), f(3).alias("w"), F.size("f").alias("n_fields"))
+
+
+@query("""with s as (select scene_id, string_agg('{"flattened":"' || label || '"}', ',' order by gt_id) as l from gt_symbols group by scene_id)
+select c.scene_id, '{"schema_version":1,"sample":"' || c.scene_id || '","equation_kind":"' || equation_kind || '"' || case when scene_case is not null then ',"scene_case":"' || scene_case || '"' else '' end || case when has_symbols then ',"symbols":[' || coalesce(l, '') || ']' else '' end || '}' as shown from scenes c left join s on s.scene_id = c.scene_id""")
+def s14_sidecar_json(t):
+    df = sinks.sidecar_json(t.scenes, t.gt_symbols)
+    return df.select("scene_id", F.regexp_replace("json", r',"bbox_px":\[[^\]]*\]', "").alias("shown"))
+
+
+@query("""select vec_id, label as class_id, round(list_sum(list_transform(embedding, lambda x: cast(x as double) / 255.0)), 6) as total from embeddings""")
+def s16_tensors(t):
+    px = t.embeddings.select(F.col("vec_id").cast("string").alias("asset_id"), F.col("label").cast("string").alias("label"), F.transform("embedding", lambda x: x.cast("double")).alias("px"))
+    classes = t.embeddings.select("label").distinct().select(F.col("label").cast("string").alias("label"), F.col("label").alias("class_id"))
+    total = F.aggregate("pixels", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return sinks.tensors(px, classes).select(F.col("asset_id").cast("long").alias("vec_id"), "class_id", F.round(total, 6).alias("total"))
