@@ -114,10 +114,10 @@ def s05_event_props(t):
     return t.events.select("event_id", "event_type", F.get_json_object("props", "$.k").alias("k"))
 
 
-@query("""select scene_id, gt_id, cast(gt_id % 6 as bigint) as class_id, round((x0 + x1) / 2 / 512, 5) as cx, round((y0 + y1) / 2 / 512, 5) as cy, round(greatest(1e-6, (x1 - x0) / 512), 5) as w, 5 as n_fields from gt_symbols""")
+@query("""select scene_id, gt_id, cast(gt_id % 6 as bigint) as class_id, round((x0 + x1) / 2, 1) as cx, round((y0 + y1) / 2, 1) as cy, round(x1 - x0, 1) as w, 5 as n_fields from gt_symbols""")
 def s13_box_lines(t):
     line = sinks.box_line(F.col("gt_id") % 6, *[F.col(c) for c in ("x0", "y0", "x1", "y1")])
-    f = lambda i: F.round(F.get("f", i).cast("double"), 5)
+    f = lambda i: F.round(F.get("f", i).cast("double") * 512, 1)
     df = t.gt_symbols.select("scene_id", "gt_id", F.split(line, " ").alias("f"))
     return df.select("scene_id", "gt_id", F.get("f", 0).cast("long").alias("class_id"), f(1).alias("cx"), f(2).alias("cy"), f(3).alias("w"), F.size("f").alias("n_fields"))
 
