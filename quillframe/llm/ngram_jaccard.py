@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import appended, written
+from .common import Scratch, appended, written
 from .words import U, Prefix, mix, signed, split, word_digests
 
 BITMAP_WORDS = 8
@@ -32,7 +32,9 @@ KEYS = 8
 HOT_LIST = 128
 #: At most so many n-grams are demoted by a broadcast; with more, the limit above doubles until they fit.
 HOT_MOST = 500_000
-DEMOTIONS = 4
+DEMOTIONS = 2
+#: Up to this many n-grams are broadcast (one long each) to pick their entries.
+FEW_TOKENS = 1_000_000
 #: Up to this many ids a broadcast picks their texts; beyond it they are joined.
 PICKED_IDS = 200_000
 MAPS = [f"m{i}" for i in range(BITMAP_WORDS)]
@@ -100,7 +102,7 @@ def described_texts(rows: DataFrame, n: int, percent: int, hot=None) -> DataFram
 
 
 def _popcounts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+    return np.bitwise_count((a ^ b).astype(U)).sum(axis=1, dtype=np.int64)  # unsigned: the count of a negative number is another one
 
 
 def _list_pairs(sizes, places, comps, maps, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -181,29 +183,29 @@ def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, docs["__key"] == ids["id"], "left_semi")
 
 
-def verified(pairs: DataFrame, described: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, described: DataFrame, docs: DataFrame, n: int, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose whole sets link: first the bitmaps' bound, then the sets."""
     sizes = described.select("cid", "n_shingles", "wide")
     for side in "ab":
         pairs = pairs.join(sizes.select(F.col("cid").alias(side), F.col("n_shingles").alias(f"n{side}"), F.col("wide").alias(f"w{side}")), side)
     able = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    near = written(pairs.where(able).mapInPandas(lambda it: _bounded(it, percent), "a long, b long").distinct(), "near")
-    ids = written(near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), "ids")
-    sets = written(_texts_of(docs, ids).mapInPandas(lambda it: _sets(it, n), "id long, set binary"), "sets")
+    near = scratch.write(pairs.where(able).mapInPandas(lambda it: _bounded(it, percent), "a long, b long").distinct(), "near")
+    ids = scratch.write(near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), "ids")
+    sets = scratch.write(_texts_of(docs, ids).mapInPandas(lambda it: _sets(it, n), "id long, set binary"), "sets")
     for side in "ab":
         near = near.join(sets.select(F.col("id").alias(side), F.col("set").alias(f"s{side}")), side)
-    return written(near.mapInPandas(lambda it: _linked(it, percent), "a long, b long").distinct(), "links")
+    return scratch.write(near.mapInPandas(lambda it: _linked(it, percent), "a long, b long").distinct(), "links")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """node, comp (its component's least node) for every node of the links (a, b): least labels with pointer jumping."""
-    both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "both-ways")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("__b")).select("node", F.least("node", "__b").alias("comp")), "labels")
+    both = scratch.write(links.select("a", "b").union(links.select("b", "a")).distinct(), "both-ways")
+    labels = scratch.write(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("__b")).select("node", F.least("node", "__b").alias("comp")), "labels")
     while True:
         around = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         lower = labels.join(around, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
         jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
-        fresh = written(lower.join(jump, "comp", "left").select("node", "old", F.coalesce("next", "comp").alias("comp")), "labels")
+        fresh = scratch.write(lower.join(jump, "comp", "left").select("node", "old", F.coalesce("next", "comp").alias("comp")), "labels")
         labels = fresh.select("node", "comp")
         if fresh.where("old <> comp").isEmpty():
             return labels
@@ -219,44 +221,45 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     a null id take part; component_id is null when no document of the component has an id. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    scratch = Scratch(spark)
     ident, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
     narrow = docs.select(ident.alias("__id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("__th"), text.alias("__text"))
     narrow = narrow.withColumn("__key", F.coalesce("__id", "__th"))
-    described = written(described_texts(narrow, n, percent), "described")
-    several = written(described.where("__id is not null").groupBy("__id").agg(F.min("__th").alias("x"), F.max("__th").alias("y")).where("x <> y").select("__id"), "several")
+    described = scratch.write(described_texts(narrow, n, percent), "described")
+    several = scratch.write(described.where("__id is not null").groupBy("__id").agg(F.min("__th").alias("x"), F.max("__th").alias("y")).where("x <> y").select("__id"), "several")
     if not several.isEmpty():  # an id with several texts: its rows go by their texts
         flagged = several.withColumn("__many", F.lit(True))
         narrow, described = (
             d.join(flagged, "__id", "left").withColumn("__key", F.when(F.col("__many"), F.col("__th")).otherwise(F.col("__key"))).drop("__many") for d in (narrow, described)
         )
 
-    # Classes: equal sets; empty ones stay apart.
+    # Classes: equal sets; empty ones stay apart. firsts: one row for each class of sets that can link with others.
     plain = F.when(F.col("__key") == F.col("__id"), F.col("__id"))
     classes = described.where("n_shingles > 0").groupBy("c1", "c2").agg(F.coalesce(F.min(plain), F.min("__key")).alias("cid"), F.min("__id").alias("least_id"))
-    classes = written(classes, "classes")
-    firsts = written(
-        described.where("keys is not null").join(classes, ["c1", "c2"]).where("__key = cid").dropDuplicates(["cid"])
-        .select("cid", "n_shingles", "keys", "wide", "prefix", *[F.get("maps", i).alias(m) for i, m in enumerate(MAPS)]),
-        "firsts",
-    )
+    classes = scratch.write(classes, "classes")
+    linking = described.where("keys is not null")
+    others = scratch.write(linking.select("__key", "c1", "c2").join(classes, ["c1", "c2"]).where("__key <> cid").select("__key").distinct(), "others")
+    firsts = linking.join(F.broadcast(others) if others.count() <= PICKED_IDS else others, "__key", "left_anti")
+    firsts = firsts.select(F.col("__key").alias("cid"), "n_shingles", "keys", "wide", "prefix", *[F.get("maps", i).alias(m) for i, m in enumerate(MAPS)])
+    if not firsts.groupBy("cid").count().where("count > 1").isEmpty():
+        firsts = scratch.write(firsts.dropDuplicates(["cid"]), "firsts")
 
     # Stars: each class with the least class of each of its keys.
     keyed = firsts.select("cid", F.explode("keys").alias("key"))
     stars = keyed.groupBy("key").agg(F.min("cid").alias("a"), F.max("cid").alias("__most")).where("a < __most").select("key", "a")
     stars = keyed.join(stars, "key").where("a < cid").select("a", F.col("cid").alias("b")).distinct()
-    links = verified(stars, firsts, narrow, n, percent)
-    first_comps = components(links)
+    links = verified(stars, firsts, narrow, n, percent, scratch)
+    first_comps = components(links, scratch).withColumnRenamed("node", "cid")
+    first_comps = F.broadcast(first_comps) if first_comps.count() <= PICKED_IDS else first_comps
 
     # The prefix index. N-grams in the lists of more than HOT_LIST components go last in the order.
-    index = firsts.select("cid", "n_shingles", *MAPS, "prefix").join(first_comps.withColumnRenamed("node", "cid"), "cid", "left")
-    index = written(index.withColumn("comp", F.coalesce("comp", "cid")), "index")
+    index = firsts.select("cid", "n_shingles", "prefix").join(first_comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     hot, most = np.zeros(0, dtype=U), HOT_LIST
+    lists = scratch.write(_lists(index), "lists")
     for _ in range(DEMOTIONS):
-        entries = _entries(index)
-        large = written(entries.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("token"), "large-lists")
-        if large.isEmpty():
-            break
-        spread = written(entries.join(large, "token").select("token", "comp").distinct().groupBy("token").count().where(F.col("count") > most), "hot-lists")
+        large = lists.where(F.col("n") > most).select("token")
+        spread = _entries(index).join(_few(large, FEW_TOKENS), "token").select("token", "comp").distinct().groupBy("token").count().where(F.col("count") > most)
+        spread = scratch.write(spread, "hot-lists")
         while (count := spread.where(F.col("count") > most).count()) + len(hot) > HOT_MOST:
             most *= 2
         if not count:
@@ -264,28 +267,40 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
         fresh = spread.where(F.col("count") > most).select("token")
         hot = np.union1d(hot, fresh.toPandas()["token"].to_numpy().view(U))
         shared = spark.sparkContext.broadcast(hot)
-        touched = written(entries.join(fresh, "token", "left_semi").select(F.col("cid").alias("id")).distinct(), "touched")
-        again = described_texts(_texts_of(narrow, touched), n, percent, shared)
-        again = again.where("keys is not null").dropDuplicates(["__key"]).select(F.col("__key").alias("cid"), F.col("prefix").alias("__fresh"))
-        index = written(index.join(again, "cid", "left").withColumn("prefix", F.coalesce("__fresh", "prefix")).drop("__fresh"), "index")
-    entries = _entries(index)
-    mixed = entries.groupBy("token").agg(F.min("comp").alias("__a"), F.max("comp").alias("__b")).where("__a < __b").select("token")
-    listed = written(entries.join(mixed, "token"), "entries").join(index.select("cid", *MAPS), "cid")
-    lists = listed.repartition("token").sortWithinPartitions("token", "n_shingles")
-    pairs = written(lists.mapInPandas(lambda it: _candidates(it, percent), "a long, b long").distinct(), "pairs")
-    final = components(links.union(verified(pairs, firsts, narrow, n, percent)))
+        touched = scratch.write(_entries(index).join(_few(fresh, FEW_TOKENS), "token", "left_semi").select(F.col("cid").alias("id")).distinct(), "touched")
+        again = described_texts(_texts_of(narrow, touched), n, percent, shared).where("keys is not null")
+        again = scratch.write(again.select(F.col("__key").alias("cid"), "n_shingles", "prefix").dropDuplicates(["cid"]), "again")
+        again = again.join(first_comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+        index = index.join(_few(touched.withColumnRenamed("id", "cid"), PICKED_IDS), "cid", "left_anti").unionByName(again)
+        lists = scratch.write(_lists(index), "lists")
+    listed = scratch.write(_entries(index).join(_few(lists.where("mixed").select("token"), FEW_TOKENS), "token"), "entries").join(firsts.select("cid", *MAPS), "cid")
+    dealt = listed.repartition("token").sortWithinPartitions("token", "n_shingles")
+    pairs = scratch.write(dealt.mapInPandas(lambda it: _candidates(it, percent), "a long, b long").distinct(), "pairs")
+    final = components(links.union(verified(pairs, firsts, narrow, n, percent, scratch)), scratch)
 
     # A component's id is its least document id; rows take it from their class.
     members = classes.join(final.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    members = written(members.select("c1", "c2", "cid", "comp", "least_id"), "members")
+    members = scratch.write(members.select("c1", "c2", "cid", "comp", "least_id"), "members")
     least = members.groupBy("comp").agg(F.min("least_id").alias("component_id"), F.min(F.struct(F.col("least_id").isNull(), "least_id", "cid"))["cid"].alias("first_cid"))
     by_class = members.join(least, "comp").select("c1", "c2", "component_id", "first_cid")
     out = described.select("__id", "__th", "__key", "n_shingles", "c1", "c2").join(by_class, ["c1", "c2"], "left")
     empty = F.col("n_shingles") == 0
-    return out.select(
+    out = out.select(
         F.col("__id").alias(id_col), "__th", "n_shingles", F.when(empty, F.col("__id")).otherwise(F.col("component_id")).alias("component_id"),
         (empty | (F.col("__key") == F.col("first_cid"))).alias("stays"),
     )
+    return scratch.result(out, "components")
+
+
+def _few(keys: DataFrame, most: int) -> DataFrame:
+    """A table of keys, to be broadcast when it is counted and small."""
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
+def _lists(index: DataFrame) -> DataFrame:
+    """token, n, mixed (entries of several components) for every n-gram with two entries or more."""
+    lists = _entries(index).groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("__a"), F.max("comp").alias("__b"))
+    return lists.where("n > 1").select("token", "n", (F.col("__a") < F.col("__b")).alias("mixed"))
 
 
 def _entries(index: DataFrame) -> DataFrame:
@@ -297,7 +312,7 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_
 
     Documents without words stay.
     """
-    judged = written(jaccard_components(docs, n, percent, id_col, text_col).select(F.col(id_col).alias("__id"), "__th", "stays"), "stays")
+    judged = jaccard_components(docs, n, percent, id_col, text_col).select(F.col(id_col).alias("__id"), "__th", "stays")
     again = not judged.groupBy("__id", "__th").count().where("count > 1").isEmpty()
     go = judged.where("not stays").select("__id", "__th").distinct()
     few = go.count() <= PICKED_IDS

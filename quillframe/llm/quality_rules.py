@@ -15,6 +15,7 @@ DUP_LINES_PERCENT = 50
 HOST_RATE = 0.6
 #: Documents that the prior stands for where the hosts' rates give no estimate (one host, or no spread).
 PRIOR_DOCUMENTS = 20.0
+REJECTED_IDS = 200_000
 RESULTS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "rule_failed", "host_rate", "kept"]
 
 
@@ -97,9 +98,16 @@ def host_quality(docs: DataFrame, carry: list[str] | None = None, host_col: str
     return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("host_rate") <= HOST_RATE, F.lit(True)))
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that the rules and their host's verdict keep, with their own columns."""
-    names = {c.lower(): f"__d{i}" for i, c in enumerate(docs.columns) if c.lower() in RESULTS}
-    safe = docs.select(*[F.col(f"`{c}`").alias(names.get(c.lower(), c)) for c in docs.columns])
-    out = host_quality(safe).where("kept")
-    return out.select(*[F.col(f"`{names.get(c.lower(), c)}`").alias(c) for c in docs.columns])
+def keep_good(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The documents that the rules and their host's verdict keep, with their own columns.
+
+    Only the rejected rows' keys (id, digest of host and text) are gathered; up to REJECTED_IDS of them are broadcast.
+    """
+    host, text = F.col(f"`{host_col}`").cast("string"), F.col(f"`{text_col}`")
+    keys = {"__d": F.col(f"`{id_col}`").cast("long"), "__h": F.xxhash64(F.coalesce(text, F.lit("")), F.coalesce(host, F.lit("")), host.isNull())}
+    judged = host_quality(docs.select(host.alias("source"), text.alias("text"), *[v.alias(k) for k, v in keys.items()]), carry=["__d", "__h"])
+    bad = written(judged.where("not kept").select(F.col("__d").alias("__bd"), F.col("__h").alias("__bh")).distinct(), "rejected")
+    few = bad.count() <= REJECTED_IDS
+    rows = docs.withColumns(keys)
+    kept = rows.join(F.broadcast(bad) if few else bad, rows["__d"].eqNullSafe(bad["__bd"]) & (rows["__h"] == bad["__bh"]), "left_anti")
+    return kept.drop("__d", "__h")
