@@ -16,6 +16,7 @@ BLANKS = r"[ \t\n\x0B\f\r]"
 #: Below this many rows a narrow table is broadcast; above it the join is salted.
 SMALL_ROWS = 20_000
 SALTS = 64
+SLICE_ROWS = 1_000
 
 _own: dict[str, str] = {}
 
@@ -91,9 +92,11 @@ def appended(df: DataFrame, drop: list[str], fields: str, compute: Callable[[pa.
     schema = T.StructType([f for f in df.schema.fields if f.name not in drop] + T.StructType.fromDDL(fields).fields)
 
     def run(batches):
-        for b in batches:
-            new = compute(b)
-            names = [n for n in b.schema.names if n not in drop]
-            yield pa.RecordBatch.from_arrays([b.column(n) for n in names] + list(new.values()), names + list(new))
+        for whole in batches:
+            for at in range(0, len(whole), SLICE_ROWS):  # a slice's Python objects at a time
+                b = whole.slice(at, SLICE_ROWS)
+                new = compute(b)
+                names = [n for n in b.schema.names if n not in drop]
+                yield pa.RecordBatch.from_arrays([b.column(n) for n in names] + list(new.values()), names + list(new))
 
     return df.mapInArrow(run, schema)
