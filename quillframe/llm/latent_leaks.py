@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 from .common import written
 from .words import U, mix, signed, word_digests
 
+#: Passages of one slice of the index. A slice has as many latent directions as passages: with fewer, a copy keeps only a part
+#: of its length in the latent space and falls under COSINE.
 RANK = 256
-#: Passages of one index; more passages make further indexes, each searched over all documents.
-SLICE = 4096
+#: Slices that one pass over the documents searches.
+SLICES = 16
 #: A long item is cut into passages of so many words.
 PASSAGE_WORDS = 64
 #: Window lengths; each window moves by half its length.
@@ -98,7 +100,7 @@ def document_frequencies(docs: DataFrame, terms: DataFrame, text_col: str = "tex
     return rows.mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")), docs.count()
 
 
-def passages(benchmark: DataFrame, docs: DataFrame, id_col: str = "item_id", text_col: str = "text", doc_text_col: str = "text") -> DataFrame:
+def passages(benchmark: DataFrame, docs: DataFrame, id_col: str = "item_id", text_col: str = "text", doc_text_col: str = "text", rank: int = RANK) -> DataFrame:
     """pid, item, part (index slice), terms, weights, idfs: TF-IDF vectors of the benchmark's passages.
 
     A term's weight comes from the number of documents that hold it; terms in more than COMMON_SHARE of them carry none.
@@ -125,7 +127,8 @@ def passages(benchmark: DataFrame, docs: DataFrame, id_col: str = "item_id", tex
     idf = F.when(held > common, F.lit(0.0)).otherwise(F.log(F.lit(total + 2.0) / (held + 1)))
     weighed = each.join(df, "term", "left").select("item", "n", "term", (F.col("tf") * idf).alias("w"), idf.alias("idf")).where("w > 0")
     lists = weighed.groupBy("item", "n").agg(F.sort_array(F.collect_list(F.struct("term", "w", "idf"))).alias("l"))
-    parts = max(1, -(-cuts.count() // SLICE))
+    size = cuts.count()
+    parts = 1 if size <= rank else -(-size * 4 // (rank * 3))  # dealt by digest: three quarters full, so that few have more than rank
     return written(
         lists.select(
             F.xxhash64("item", "n").alias("pid"), "item", F.pmod(F.xxhash64("item", "n"), F.lit(parts)).cast("int").alias("part"),
@@ -230,7 +233,7 @@ def latent_basis(index: DataFrame, rank: int = RANK) -> DataFrame:
 
 
 class Index:
-    """One slice of the benchmark, small by construction (at most SLICE passages): what a task needs to search."""
+    """One slice of the benchmark, small by construction (about RANK passages): what a task needs to search."""
 
     def __init__(self, index: DataFrame, texts: DataFrame, basis: DataFrame, rank: int):
         vectors = basis.toPandas().sort_values("term")
@@ -332,19 +335,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, id_col:
     among the documents carries no weight and matches nothing; rows without item id are left out. Repeated document rows repeat
     their rows, repeated items count once. Very long texts are searched window by window. Extra columns are not looked at.
     """
-    index = passages(benchmark, docs, item_col, item_text_col, text_col)
+    index = passages(benchmark, docs, item_col, item_text_col, text_col, rank)
     texts = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item"), F.col(f"`{item_text_col}`").alias("text")).groupBy("item").agg(F.min("text").alias("text"))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("__text"))
     spark, found = docs.sparkSession, None
-    for (part,) in sorted(index.select("part").distinct().collect()):
-        own = written(index.where(F.col("part") == part), "slice")
-        size = min(rank, own.count())
-        mine = Index(own, texts.join(own.select("item").distinct(), "item", "left_semi"), latent_basis(own, size), size)
-        shared = spark.sparkContext.broadcast(mine)
+    parts = sorted(r["part"] for r in index.select("part").distinct().collect())
+    for at in range(0, len(parts), SLICES):
+        slices = []
+        for part in parts[at : at + SLICES]:
+            own = written(index.where(F.col("part") == part), "slice")
+            size = own.count()
+            slices.append(Index(own, texts.join(own.select("item").distinct(), "item", "left_semi"), latent_basis(own, size), size))
+        shared = spark.sparkContext.broadcast(slices)
 
         def search(batches, shared=shared):
             for b in batches:
-                hits = [shared.value.leaks(t) for t in b.column("__text").to_pylist()]
+                hits = [[h for s in shared.value for h in s.leaks(t)] for t in b.column("__text").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id"), pa.array([[dict(zip(("item_id", "cosine", "lcs_share", "has_answer"), h, strict=True)) for h in x] for x in hits], LEAKS)], ["doc_id", "__leaks"]
                 )

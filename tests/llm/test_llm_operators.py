@@ -319,6 +319,15 @@ def test_paraphrase_is_found_and_clean_text_is_not(spark):
     assert len({(i, i) for i in range(40)} & got) >= 36 and not any(d >= 100 for d, _ in got)
 
 
+def test_copies_keep_their_cosine_in_a_large_benchmark(spark):
+    """More passages than one slice holds: every copy's window still has its whole length in the latent space."""
+    rng = random.Random(3)
+    items = [" ".join(f"t{rng.randrange(5000)}" for _ in range(32)) for _ in range(600)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.cosine for r in latent_leaks.find_leaks(docs(spark, [(i, x, "") for i, x in enumerate(items)]), bench).collect()}
+    assert all(got.get((i, i), 0) > 0.95 for i in range(600))
+
+
 @given(st.lists(st.integers(0, 3), min_size=1, max_size=12), st.lists(st.integers(0, 3), max_size=12))
 def test_lcs(a, b):
     table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
