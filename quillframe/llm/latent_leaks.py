@@ -26,7 +26,7 @@ from .words import U, mix, signed, word_digests
 RANK = 256
 #: Slices that one pass over the documents searches.
 SLICES = 16
-#: A long item is cut into passages of so many words.
+#: A long item is cut into passages of so many words, each half a passage after the one before.
 PASSAGE_WORDS = 64
 #: Window lengths; each window moves by half its length.
 WINDOWS = (8, 16, 32, 64)
@@ -57,6 +57,13 @@ def answer_start(text: str | None, words: list[bytes]) -> int:
     return n if 0 < n < len(words) else len(words) // 2
 
 
+def passage_starts(n: int) -> list[int]:
+    """Where the passages of an item of n words begin; the last one ends with the item."""
+    if n <= PASSAGE_WORDS:
+        return [0] if n else []
+    return [*range(0, n - PASSAGE_WORDS, PASSAGE_WORDS // 2), n - PASSAGE_WORDS]
+
+
 def lcs(a: list, b: list) -> int:
     """Length of the longest common subsequence, one machine word operation for each word of b."""
     places: dict = {}
@@ -101,8 +108,9 @@ def document_frequencies(docs: DataFrame, terms: DataFrame, text_col: str = "tex
 
 
 def passages(benchmark: DataFrame, docs: DataFrame, id_col: str = "item_id", text_col: str = "text", doc_text_col: str = "text", rank: int = RANK) -> DataFrame:
-    """pid, item, part (index slice), terms, weights, idfs: TF-IDF vectors of the benchmark's passages.
+    """pid, item, part (index slice), terms, weights, idfs, text (its words), answer (where its answer begins): the benchmark's passages and their TF-IDF vectors.
 
+    Texts that share an id are passages of their own. A passage's answer is its part of the item's answer; a half where it has none.
     A term's weight comes from the number of documents that hold it; terms in more than COMMON_SHARE of them carry none.
     """
 
@@ -111,28 +119,33 @@ def passages(benchmark: DataFrame, docs: DataFrame, id_col: str = "item_id", tex
             rows = []
             for item, text in zip(b.column("item").to_pylist(), b.column("text").to_pylist(), strict=True):
                 words = tokens(text)
-                for n, at in enumerate(range(0, len(words), PASSAGE_WORDS)):
-                    part = collections.Counter(words[at : at + PASSAGE_WORDS])
-                    rows.append((item, n, signed(word_digests(list(part))), list(part), list(part.values())))
-            kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["item", "n", "terms", "words", "counts"])
+                for at in passage_starts(len(words)):
+                    own = words[at : at + PASSAGE_WORDS]
+                    part = collections.Counter(own)
+                    answer = answer_start(text, words) - at
+                    rows.append((item, b" ".join(own), answer if 0 < answer < len(own) else len(own) // 2, signed(word_digests(list(part))), list(part), list(part.values())))
+            kinds = [pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["item", "text", "answer", "terms", "words", "counts"])
 
     rows = benchmark.select(F.col(f"`{id_col}`").cast("long").alias("item"), F.col(f"`{text_col}`").alias("text")).where("item is not null").dropDuplicates()
-    cuts = written(rows.mapInArrow(cut, "item long, n int, terms array<long>, words array<binary>, counts array<long>"), "passages")
-    each = cuts.select("item", "n", F.explode(F.arrays_zip("terms", "words", "counts")).alias("t")).select("item", "n", F.col("t.terms").alias("term"), F.col("t.words").alias("word"), F.col("t.counts").alias("tf"))
+    cuts = rows.mapInArrow(cut, "item long, text binary, answer int, terms array<long>, words array<binary>, counts array<long>")
+    cuts = written(cuts.dropDuplicates(["item", "text", "answer"]).withColumn("pid", F.xxhash64("item", "text", "answer")), "passages")
+    each = cuts.select("pid", F.explode(F.arrays_zip("terms", "words", "counts")).alias("t")).select("pid", F.col("t.terms").alias("term"), F.col("t.words").alias("word"), F.col("t.counts").alias("tf"))
     df, total = document_frequencies(docs, each.select("term", "word").dropDuplicates(["term"]), doc_text_col)
     df = written(df, "document-frequencies")
     common = max(MIN_COMMON, int(COMMON_SHARE * total))
     held = F.coalesce("df", F.lit(0))
     idf = F.when(held > common, F.lit(0.0)).otherwise(F.log(F.lit(total + 2.0) / (held + 1)))
-    weighed = each.join(df, "term", "left").select("item", "n", "term", (F.col("tf") * idf).alias("w"), idf.alias("idf")).where("w > 0")
-    lists = weighed.groupBy("item", "n").agg(F.sort_array(F.collect_list(F.struct("term", "w", "idf"))).alias("l"))
+    weighed = each.join(df, "term", "left").select("pid", "term", (F.col("tf") * idf).alias("w"), idf.alias("idf")).where("w > 0")
+    lists = weighed.groupBy("pid").agg(F.sort_array(F.collect_list(F.struct("term", "w", "idf"))).alias("l"))
     size = cuts.count()
     parts = 1 if size <= rank else -(-size * 4 // (rank * 3))  # dealt by digest: three quarters full, so that few have more than rank
+    groups = -(-parts // SLICES)  # of slices searched together; all passages of an item are in one group
+    part = F.pmod(F.xxhash64("item"), F.lit(groups)) * SLICES + F.pmod("pid", F.lit(min(parts, SLICES)))
     return written(
-        lists.select(
-            F.xxhash64("item", "n").alias("pid"), "item", F.pmod(F.xxhash64("item", "n"), F.lit(parts)).cast("int").alias("part"),
-            F.col("l.term").alias("terms"), F.col("l.w").alias("weights"), F.col("l.idf").alias("idfs"),
+        cuts.select("pid", "item", "text", "answer").join(lists, "pid").select(
+            "pid", "item", part.cast("int").alias("part"),
+            F.col("l.term").alias("terms"), F.col("l.w").alias("weights"), F.col("l.idf").alias("idfs"), "text", "answer",
         ),
         "tfidf",
     )
@@ -235,7 +248,7 @@ def latent_basis(index: DataFrame, rank: int = RANK) -> DataFrame:
 class Index:
     """One slice of the benchmark, small by construction (about RANK passages): what a task needs to search."""
 
-    def __init__(self, index: DataFrame, texts: DataFrame, basis: DataFrame, rank: int):
+    def __init__(self, index: DataFrame, basis: DataFrame, rank: int):
         vectors = basis.toPandas().sort_values("term")
         rows = index.toPandas()
         terms = vectors["term"].to_numpy(dtype=np.int64)
@@ -257,12 +270,8 @@ class Index:
         self.square = square = self.idf.astype(np.float64) ** 2
         self.terms_of = where
         self.share = (square[flat] / np.array([max(square[x].sum(), 1e-9) for x in where] or [1.0])[owner])[order]
-        self.words, self.answers, vocabulary = {}, {}, set()
-        for r in texts.collect():
-            self.words[r["item"]] = (words := tokens(r["text"]))
-            self.answers[r["item"]] = answer_start(r["text"], words)
-            vocabulary.update(words)
-        vocabulary = sorted(vocabulary)
+        self.words, self.answers = [t.split() for t in rows["text"]], rows["answer"].to_numpy()
+        vocabulary = sorted(set(itertools.chain.from_iterable(self.words)))
         digests = signed(word_digests(vocabulary))
         at = np.minimum(np.searchsorted(terms, digests), max(len(terms) - 1, 0))
         known = terms[at] == digests if len(terms) else np.zeros(len(digests), dtype=bool)
@@ -270,7 +279,7 @@ class Index:
         self.places = {w: int(p) if k else -2 for w, p, k in zip(vocabulary, at, known, strict=True)}
 
     def candidates(self, words: list[bytes]) -> dict[int, tuple[float, int, int]]:
-        """item: its best cosine with a window of the text, and that window.
+        """Place of a passage: its best cosine with a window of the text, and that window.
 
         A window's cosine with a passage is at most the root of the share of the passage's weight that the window holds. So
         the text is first looked through in overlapping spans that hold every window, and only spans with enough weight
@@ -294,7 +303,7 @@ class Index:
         return found
 
     def _fold(self, at: np.ndarray, lo: int, p: int, found: dict[int, tuple[float, int, int]]) -> None:
-        item, square = int(self.items[p]), np.where(at >= 0, self.square[np.maximum(at, 0)], np.where(at == -1, self.other, 0.0))
+        square = np.where(at >= 0, self.square[np.maximum(at, 0)], np.where(at == -1, self.other, 0.0))
         whole = np.append(0.0, np.cumsum(square))
         own = np.append(0.0, np.cumsum(np.where(np.isin(at, self.terms_of[p]), square, 0.0)))
         for size in WINDOWS:
@@ -305,26 +314,34 @@ class Index:
                 terms = at[starts[r] : ends[r]]
                 terms = terms[terms >= 0]
                 cosine = float(self.latent[p] @ (self.idf[terms] @ self.basis[terms])) / float(np.sqrt(total[r]))
-                if cosine >= COSINE and (item not in found or found[item][0] < cosine):
-                    found[item] = (cosine, lo + int(starts[r]), lo + int(ends[r]))
+                if cosine >= COSINE and (p not in found or found[p][0] < cosine):
+                    found[p] = (cosine, lo + int(starts[r]), lo + int(ends[r]))
 
     def leaks(self, text: str | None) -> list[tuple[int, float, float, bool]]:
         words = tokens(text)
         if not words:
             return []
         out = []
-        for item, (cosine, lo, hi) in sorted(self.candidates(words).items()):
-            passage = self.words[item]
+        for p, (cosine, lo, hi) in sorted(self.candidates(words).items()):
+            item, passage = int(self.items[p]), self.words[p]
             n = len(passage)
             near = words[max(0, lo - n) : hi + n]
             share = max(lcs(passage, near[i : i + 2 * n]) for i in range(0, max(1, len(near) - n), max(1, n // 2))) / n
-            answer = passage[self.answers[item] :]
+            answer = passage[self.answers[p] :]
             says = lcs(answer, near) >= ANSWER * len(answer)
             if share >= LCS_SURE or (share >= LCS_MAYBE and says):
                 out.append((item, round(cosine, 4), round(share, 4), says))
         return out
 
 
+def merged(hits: list[tuple[int, float, float, bool]]) -> list[tuple[int, float, float, bool]]:
+    """One hit for each item, whose passages may lie in several slices."""
+    best: dict[int, tuple[int, float, float, bool]] = {}
+    for h in hits:
+        best[h[0]] = max(best.get(h[0], h), h)
+    return [best[i] for i in sorted(best)]
+
+
 LEAKS = pa.list_(pa.struct([("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs_share", pa.float64()), ("has_answer", pa.bool_())]))
 
 
@@ -336,21 +353,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, id_col:
     their rows, repeated items count once. Very long texts are searched window by window. Extra columns are not looked at.
     """
     index = passages(benchmark, docs, item_col, item_text_col, text_col, rank)
-    texts = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item"), F.col(f"`{item_text_col}`").alias("text")).groupBy("item").agg(F.min("text").alias("text"))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("__text"))
     spark, found = docs.sparkSession, None
     parts = sorted(r["part"] for r in index.select("part").distinct().collect())
-    for at in range(0, len(parts), SLICES):
+    for _, group in itertools.groupby(parts, lambda part: part // SLICES):
         slices = []
-        for part in parts[at : at + SLICES]:
+        for part in group:
             own = written(index.where(F.col("part") == part), "slice")
             size = own.count()
-            slices.append(Index(own, texts.join(own.select("item").distinct(), "item", "left_semi"), latent_basis(own, size), size))
+            slices.append(Index(own, latent_basis(own, size), size))
         shared = spark.sparkContext.broadcast(slices)
 
         def search(batches, shared=shared):
             for b in batches:
-                hits = [[h for s in shared.value for h in s.leaks(t)] for t in b.column("__text").to_pylist()]
+                hits = [merged([h for s in shared.value for h in s.leaks(t)]) for t in b.column("__text").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id"), pa.array([[dict(zip(("item_id", "cosine", "lcs_share", "has_answer"), h, strict=True)) for h in x] for x in hits], LEAKS)], ["doc_id", "__leaks"]
                 )

@@ -328,6 +328,18 @@ def test_copies_keep_their_cosine_in_a_large_benchmark(spark):
     assert all(got.get((i, i), 0) > 0.95 for i in range(600))
 
 
+def test_one_passage_of_a_long_item_and_both_texts_of_an_id(spark):
+    """Any 64 words of a long item are a leak, wherever they begin; texts that share an id are searched for each."""
+    rng = random.Random(4)
+    word = lambda: f"t{rng.randrange(100000)}"
+    long, one, two = [[word() for _ in range(n)] for n in (300, 30, 30)]
+    bench = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(one)), (2, " ".join(two))], "item_id long, text string")
+    around = lambda words: " ".join([word() for _ in range(90)] + words + [word() for _ in range(70)])
+    rows = [(at, around(long[at : at + 64]), "") for at in range(0, 237, 59)] + [(1000, around(one), ""), (1001, around(two), ""), (1002, around([]), "")]
+    got = sorted((r.doc_id, r.item_id) for r in latent_leaks.find_leaks(docs(spark, rows), bench).collect())
+    assert got == [(at, 1) for at in range(0, 237, 59)] + [(1000, 2), (1001, 2)]
+
+
 @given(st.lists(st.integers(0, 3), min_size=1, max_size=12), st.lists(st.integers(0, 3), max_size=12))
 def test_lcs(a, b):
     table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
