@@ -57,6 +57,17 @@ def answer_start(text: str | None, words: list[bytes]) -> int:
     return n if 0 < n < len(words) else len(words) // 2
 
 
+def covered(windows: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
+    """Windows that meet, joined; each range with its best cosine."""
+    out: list[tuple[int, int, float]] = []
+    for lo, hi, cosine in sorted(windows):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], hi), max(out[-1][2], cosine))
+        else:
+            out.append((lo, hi, cosine))
+    return out
+
+
 def passage_starts(n: int) -> list[int]:
     """Where the passages of an item of n words begin; the last one ends with the item."""
     if n <= PASSAGE_WORDS:
@@ -278,14 +289,14 @@ class Index:
         # The place of a word's term; -2 for words of the benchmark without weight, -1 for all other words.
         self.places = {w: int(p) if k else -2 for w, p, k in zip(vocabulary, at, known, strict=True)}
 
-    def candidates(self, words: list[bytes]) -> dict[int, tuple[float, int, int]]:
-        """Place of a passage: its best cosine with a window of the text, and that window.
+    def candidates(self, words: list[bytes]) -> dict[int, list[tuple[int, int, float]]]:
+        """Place of a passage: the ranges of the text that its windows of enough cosine cover, each with its best cosine.
 
         A window's cosine with a passage is at most the root of the share of the passage's weight that the window holds. So
         the text is first looked through in overlapping spans that hold every window, and only spans with enough weight
         of a passage have their windows folded into the latent space.
         """
-        found: dict[int, tuple[float, int, int]] = {}
+        found: dict[int, list[tuple[int, int, float]]] = {}
         at = np.fromiter(map(self.places.get, words, itertools.repeat(-1)), np.int64, len(words))
         n = len(self.items)
         for first in range(0, len(words), CHUNK):
@@ -300,9 +311,9 @@ class Index:
             for block, p in np.argwhere(mass[:-1] + mass[1:] >= COSINE**2):
                 lo = first + int(block) * (SPAN // 2)
                 self._fold(at[lo : lo + SPAN], lo, int(p), found)
-        return found
+        return {p: covered(windows) for p, windows in found.items()}
 
-    def _fold(self, at: np.ndarray, lo: int, p: int, found: dict[int, tuple[float, int, int]]) -> None:
+    def _fold(self, at: np.ndarray, lo: int, p: int, found: dict[int, list[tuple[int, int, float]]]) -> None:
         square = np.where(at >= 0, self.square[np.maximum(at, 0)], np.where(at == -1, self.other, 0.0))
         whole = np.append(0.0, np.cumsum(square))
         own = np.append(0.0, np.cumsum(np.where(np.isin(at, self.terms_of[p]), square, 0.0)))
@@ -314,31 +325,33 @@ class Index:
                 terms = at[starts[r] : ends[r]]
                 terms = terms[terms >= 0]
                 cosine = float(self.latent[p] @ (self.idf[terms] @ self.basis[terms])) / float(np.sqrt(total[r]))
-                if cosine >= COSINE and (p not in found or found[p][0] < cosine):
-                    found[p] = (cosine, lo + int(starts[r]), lo + int(ends[r]))
+                if cosine >= COSINE:
+                    found.setdefault(p, []).append((lo + int(starts[r]), lo + int(ends[r]), cosine))
 
     def leaks(self, text: str | None) -> list[tuple[int, float, float, bool]]:
         words = tokens(text)
         if not words:
             return []
         out = []
-        for p, (cosine, lo, hi) in sorted(self.candidates(words).items()):
-            item, passage = int(self.items[p]), self.words[p]
+        for p, ranges in sorted(self.candidates(words).items()):
+            passage, answer = self.words[p], self.words[p][self.answers[p] :]
             n = len(passage)
-            near = words[max(0, lo - n) : hi + n]
-            share = max(lcs(passage, near[i : i + 2 * n]) for i in range(0, max(1, len(near) - n), max(1, n // 2))) / n
-            answer = passage[self.answers[p] :]
-            says = lcs(answer, near) >= ANSWER * len(answer)
-            if share >= LCS_SURE or (share >= LCS_MAYBE and says):
-                out.append((item, round(cosine, 4), round(share, 4), says))
+            for lo, hi, cosine in ranges:
+                near = words[max(0, lo - n) : hi + n]
+                share = max(lcs(passage, near[i : i + 2 * n]) for i in range(0, max(1, len(near) - n), max(1, n // 2))) / n
+                if share < LCS_MAYBE:
+                    continue
+                says = max(lcs(answer, near[i : i + 3 * n + max(WINDOWS)]) for i in range(0, max(1, len(near) - 2 * n - max(WINDOWS)), n)) >= ANSWER * len(answer)
+                if share >= LCS_SURE or says:
+                    out.append((int(self.items[p]), round(cosine, 4), round(share, 4), says))
         return out
 
 
 def merged(hits: list[tuple[int, float, float, bool]]) -> list[tuple[int, float, float, bool]]:
-    """One hit for each item, whose passages may lie in several slices."""
+    """One hit for each item, which may have several passages and places: the one of the greatest share."""
     best: dict[int, tuple[int, float, float, bool]] = {}
     for h in hits:
-        best[h[0]] = max(best.get(h[0], h), h)
+        best[h[0]] = max(best.get(h[0], h), h, key=lambda x: (x[2], x[1], x[3]))
     return [best[i] for i in sorted(best)]
 
 

@@ -340,6 +340,21 @@ def test_one_passage_of_a_long_item_and_both_texts_of_an_id(spark):
     assert got == [(at, 1) for at in range(0, 237, 59)] + [(1000, 2), (1001, 2)]
 
 
+def test_a_decoy_does_not_hide_a_paraphrase(spark):
+    """A shuffled copy has the better cosine, the paraphrase elsewhere in the text the longer common subsequence."""
+    rng = random.Random(6)
+    word = lambda: f"t{rng.randrange(100000)}"
+    item = [word() for _ in range(20)]
+    decoy = item[:16][::-1]
+    near = [word() if i % 4 == 3 else w for i, w in enumerate(item)]
+    filler = lambda: [word() for _ in range(300)]
+    rows = [(0, " ".join(filler() + decoy + filler() + near + filler()), ""), (1, " ".join(filler() + decoy + filler()), "")]
+    rows += [(2 + i, " ".join(filler()), "") for i in range(60)]
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = [(r.doc_id, r.item_id, r.lcs_share) for r in latent_leaks.find_leaks(docs(spark, rows), bench).collect()]
+    assert got == [(0, 7, 0.75)]
+
+
 @given(st.lists(st.integers(0, 3), min_size=1, max_size=12), st.lists(st.integers(0, 3), max_size=12))
 def test_lcs(a, b):
     table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
