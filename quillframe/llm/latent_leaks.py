@@ -33,9 +33,8 @@ WINDOWS = (8, 16, 32, 64)
 #: Spans of a text that are looked through as a whole, each half a span after the one before; words taken up at once.
 SPAN = 128
 CHUNK = 65_536
-#: Terms in more than this share of the documents (and in more than MIN_COMMON) carry no weight.
-COMMON_SHARE = 0.02
-MIN_COMMON = 20
+#: Runs of so many words (a shorter passage's all) that a text shares with a passage are checked whatever the words weigh.
+RUN = 8
 VOCABULARY = 2_000_000
 COSINE = 0.4
 LCS_SURE = 0.6
@@ -122,7 +121,7 @@ def passages(benchmark: DataFrame, docs: DataFrame, id_col: str = "item_id", tex
     """pid, item, part (index slice), terms, weights, idfs, text (its words), answer (where its answer begins): the benchmark's passages and their TF-IDF vectors.
 
     Texts that share an id are passages of their own. A passage's answer is its part of the item's answer; a half where it has none.
-    A term's weight comes from the number of documents that hold it; terms in more than COMMON_SHARE of them carry none.
+    A term's weight comes from the number of documents that hold it, and is over zero even for a term that all of them hold.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,10 +143,8 @@ def passages(benchmark: DataFrame, docs: DataFrame, id_col: str = "item_id", tex
     each = cuts.select("pid", F.explode(F.arrays_zip("terms", "words", "counts")).alias("t")).select("pid", F.col("t.terms").alias("term"), F.col("t.words").alias("word"), F.col("t.counts").alias("tf"))
     df, total = document_frequencies(docs, each.select("term", "word").dropDuplicates(["term"]), doc_text_col)
     df = written(df, "document-frequencies")
-    common = max(MIN_COMMON, int(COMMON_SHARE * total))
-    held = F.coalesce("df", F.lit(0))
-    idf = F.when(held > common, F.lit(0.0)).otherwise(F.log(F.lit(total + 2.0) / (held + 1)))
-    weighed = each.join(df, "term", "left").select("pid", "term", (F.col("tf") * idf).alias("w"), idf.alias("idf")).where("w > 0")
+    idf = F.log(F.lit(total + 2.0) / (F.coalesce("df", F.lit(0)) + 1))
+    weighed = each.join(df, "term", "left").select("pid", "term", (F.col("tf") * idf).alias("w"), idf.alias("idf"))
     lists = weighed.groupBy("pid").agg(F.sort_array(F.collect_list(F.struct("term", "w", "idf"))).alias("l"))
     size = cuts.count()
     parts = 1 if size <= rank else -(-size * 4 // (rank * 3))  # dealt by digest: three quarters full, so that few have more than rank
@@ -274,31 +271,77 @@ class Index:
             where.append(at)
         self.latent = latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
         self.other = float(self.idf.max(initial=1.0)) ** 2
-        # Which passages hold a term, and how much of its passage's weight a term is.
-        flat, owner = np.concatenate([*where, np.zeros(0, int)]), np.repeat(np.arange(len(where)), [len(x) for x in where])
-        order = np.argsort(flat, kind="stable")
-        self.holders, self.bounds = owner[order], np.searchsorted(flat[order], np.arange(len(terms) + 1))
-        self.square = square = self.idf.astype(np.float64) ** 2
+        self.square = self.idf.astype(np.float64) ** 2
         self.terms_of = where
-        self.share = (square[flat] / np.array([max(square[x].sum(), 1e-9) for x in where] or [1.0])[owner])[order]
+        # Which passages hold a term, and how much of its passage's weight a term is. Terms that many passages hold are not
+        # looked up one by one: what they can add to a passage is known beforehand, or, where that is much, a product of matrices.
+        flat, owner = np.concatenate([*where, np.zeros(0, int)]), np.repeat(np.arange(len(where)), [len(x) for x in where])
+        share = np.concatenate([*[np.asarray(w) ** 2 / np.square(w).sum() for w in rows["weights"]], np.zeros(0)])
+        many = np.bincount(flat, minlength=len(terms)) > 8 + len(where) // 24
+        rest = np.bincount(owner, weights=share * many[flat], minlength=len(where))
+        self.heavy = np.flatnonzero(rest >= COSINE**2 / 2)
+        self.rest = np.where(rest >= COSINE**2 / 2, 0.0, rest)
+        self.dense_of = np.where(many, np.cumsum(many) - 1, -1)
+        dense = np.zeros((int(many.sum()), len(where)))
+        dense[self.dense_of[flat[many[flat]]], owner[many[flat]]] = share[many[flat]]
+        self.dense = dense[:, self.heavy]
+        few = np.flatnonzero(~many[flat])
+        order = few[np.argsort(flat[few], kind="stable")]
+        self.holders, self.bounds, self.share = owner[order], np.searchsorted(flat[order], np.arange(len(terms) + 1)), share[order]
         self.words, self.answers = [t.split() for t in rows["text"]], rows["answer"].to_numpy()
         vocabulary = sorted(set(itertools.chain.from_iterable(self.words)))
         digests = signed(word_digests(vocabulary))
         at = np.minimum(np.searchsorted(terms, digests), max(len(terms) - 1, 0))
         known = terms[at] == digests if len(terms) else np.zeros(len(digests), dtype=bool)
-        # The place of a word's term; -2 for words of the benchmark without weight, -1 for all other words.
-        self.places = {w: int(p) if k else -2 for w, p, k in zip(vocabulary, at, known, strict=True)}
+        # The place of a word's term; -1 for words that the slice does not hold.
+        self.places = {w: int(p) for w, p, k in zip(vocabulary, at, known, strict=True) if k}
+        runs = [(self._runs(np.array([self.places[w] for w in words]), k := min(RUN, len(words))), k, p) for p, words in enumerate(self.words)]
+        self.lengths = sorted({k for _, k, _ in runs})
+        self.runs = {}
+        for size in self.lengths:
+            mine = [(x, np.full(len(x), p)) for x, k, p in runs if k == size]
+            keys, own = np.concatenate([x for x, _ in mine]), np.concatenate([p for _, p in mine])
+            order = np.argsort(keys, kind="stable")
+            self.runs[size] = keys[order], own[order]
+
+    @staticmethod
+    def _runs(at: np.ndarray, size: int) -> np.ndarray:
+        """Digests of the runs of so many words, by their places; runs with a foreign word meet none of a passage."""
+        out = np.zeros(max(0, len(at) - size + 1), dtype=U)
+        for i in range(size):
+            out = (out * U(0x9E3779B97F4A7C15)) ^ mix((at[i : i + len(out)] + 2).astype(U))
+        return out
+
+    def _shared_runs(self, at: np.ndarray, found: dict[int, list[tuple[int, int, float]]]) -> None:
+        """Runs of words that stand in a passage too, whatever they weigh."""
+        met: dict[int, list[tuple[int, int, float]]] = {}
+        inside = np.append(0, np.cumsum(at >= 0))
+        for size in self.lengths:
+            keys, own = self.runs[size]
+            starts = np.flatnonzero(inside[size:] - inside[:-size] == size) if len(at) >= size else np.zeros(0, int)
+            asked = self._runs(at, size)[starts]
+            first, last = np.searchsorted(keys, asked), np.searchsorted(keys, asked, "right")
+            for hit in np.flatnonzero(last > first):
+                for p in set(own[first[hit] : last[hit]].tolist()):
+                    met.setdefault(p, []).append((int(starts[hit]), int(starts[hit]) + size, 0.0))
+        for p, runs in met.items():
+            found[p] = [(lo, hi, self._cosine(at[lo:hi], p)) for lo, hi, _ in covered(runs)]
+
+    def _cosine(self, terms: np.ndarray, p: int) -> float:
+        """Of a run of known words and a passage."""
+        return float(self.latent[p] @ (self.idf[terms] @ self.basis[terms])) / max(float(np.sqrt(self.square[terms].sum())), 1e-9)
 
     def candidates(self, words: list[bytes]) -> dict[int, list[tuple[int, int, float]]]:
         """Place of a passage: the ranges of the text that its windows of enough cosine cover, each with its best cosine.
 
         A window's cosine with a passage is at most the root of the share of the passage's weight that the window holds. So
         the text is first looked through in overlapping spans that hold every window, and only spans with enough weight
-        of a passage have their windows folded into the latent space.
+        of a passage have their windows folded into the latent space. Runs of words that a passage holds are added.
         """
         found: dict[int, list[tuple[int, int, float]]] = {}
         at = np.fromiter(map(self.places.get, words, itertools.repeat(-1)), np.int64, len(words))
         n = len(self.items)
+        self._shared_runs(at, found)
         for first in range(0, len(words), CHUNK):
             here = at[first : first + CHUNK + SPAN]
             spots = np.flatnonzero(here >= 0)
@@ -307,8 +350,13 @@ class Index:
             pick = np.arange(lengths.sum()) + np.repeat(self.bounds[terms] - np.cumsum(lengths) + lengths, lengths)
             blocks = len(here) // (SPAN // 2) + 2
             cell = np.repeat(spots // (SPAN // 2), lengths) * n + self.holders[pick]
-            mass = np.bincount(cell, weights=self.share[pick], minlength=blocks * n).reshape(blocks, n)
-            for block, p in np.argwhere(mass[:-1] + mass[1:] >= COSINE**2):
+            mass = np.bincount(cell, weights=self.share[pick], minlength=blocks * n).reshape(blocks, n).astype(np.float64, copy=False)
+            if len(self.heavy):
+                dense = self.dense_of[terms]
+                spot, dense = spots[dense >= 0], dense[dense >= 0]
+                counts = np.bincount(spot // (SPAN // 2) * len(self.dense) + dense, minlength=blocks * len(self.dense)).reshape(blocks, -1)
+                mass[:, self.heavy] += counts @ self.dense
+            for block, p in np.argwhere(mass[:-1] + mass[1:] + self.rest >= COSINE**2):
                 lo = first + int(block) * (SPAN // 2)
                 self._fold(at[lo : lo + SPAN], lo, int(p), found)
         return {p: covered(windows) for p, windows in found.items()}
@@ -362,7 +410,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, id_col:
     """doc_id, item_id, cosine, lcs_share, has_answer: one row for each benchmark item that a document holds.
 
     Every window of every text is searched. Null or empty texts and items match nothing; an item whose words are all common
-    among the documents carries no weight and matches nothing; rows without item id are left out. Repeated document rows repeat
+    among the documents is searched like any other, and its runs of words besides; rows without item id are left out. Repeated document rows repeat
     their rows, repeated items count once. Very long texts are searched window by window. Extra columns are not looked at.
     """
     index = passages(benchmark, docs, item_col, item_text_col, text_col, rank)

@@ -355,6 +355,21 @@ def test_a_decoy_does_not_hide_a_paraphrase(spark):
     assert got == [(0, 7, 0.75)]
 
 
+def test_items_of_common_words_and_items_in_many_documents(spark):
+    """No item is exempt: one that half of the documents hold, one of words that nearly all hold, copied or a little changed."""
+    rng = random.Random(8)
+    common = [f"c{i}" for i in range(24)]
+    word = lambda: f"t{rng.randrange(100000)}"
+    filler = lambda n: [w for _ in range(n // 4) for w in (word(), word(), word(), rng.choice(common))]
+    spread, frequent = [word() for _ in range(24)], common[:]
+    near = [word() if i % 6 == 5 else w for i, w in enumerate(spread)]
+    rows = [(i, " ".join(filler(200) + (spread if i < 60 else []) + filler(200)), "") for i in range(120)]
+    rows += [(200, " ".join(filler(200) + frequent + filler(200)), ""), (201, " ".join(filler(200) + near + filler(200)), "")]
+    bench = spark.createDataFrame([(1, " ".join(spread)), (2, " ".join(frequent))], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id) for r in latent_leaks.find_leaks(docs(spark, rows), bench).collect())
+    assert got == [(i, 1) for i in range(60)] + [(200, 2), (201, 1)]
+
+
 @given(st.lists(st.integers(0, 3), min_size=1, max_size=12), st.lists(st.integers(0, 3), max_size=12))
 def test_lcs(a, b):
     table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
