@@ -1,9 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval, then word checks.
 
 The benchmark's passages, weighted by TF-IDF, are factored by a distributed randomised SVD. Every window of every document is
-folded into the latent space and compared with the passages by cosine; candidates are then checked on the words: the
-longest common subsequence with the passage, and for middling values whether the passage's answer (its last sentence) stands
-there too.
+folded into the latent space and compared with the passages there by cosine, in products of matrices. The latent space has
+RANK directions for any number of passages, so two ways stand beside it that lose nothing: the cosine over all terms, and
+runs of words that a passage has too. Candidates are then checked on the words: the longest common subsequence with the
+passage, and for middling values whether the passage's answer (its last sentence) stands there too.
 """
 
 from __future__ import annotations
@@ -19,24 +20,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .words import U, mix, signed, word_digests
+from .words import U, Prefix, mix, signed, word_digests
 
-#: Passages of one slice of the index. A slice has as many latent directions as passages: with fewer, a copy keeps only a part
-#: of its length in the latent space and falls under COSINE.
-RANK = 256
-#: Slices that one pass over the documents searches.
-SLICES = 16
+#: Latent directions, whatever the number of passages.
+RANK = 128
+#: Passages of one matrix, and of one pass over the documents.
+SLICE = 256
+PASS = 4096
 #: A long item is cut into passages of so many words, each half a passage after the one before.
 PASSAGE_WORDS = 64
-#: Window lengths; each window moves by half its length.
-WINDOWS = (8, 16, 32, 64)
-#: Spans of a text that are looked through as a whole, each half a span after the one before; words taken up at once.
-SPAN = 128
-CHUNK = 65_536
+#: Window lengths, each with the least and most words of the passages that it is compared with; a window moves by half its length.
+FITS = {8: (1, 23), 16: (6, 47), 32: (17, PASSAGE_WORDS), 64: (33, PASSAGE_WORDS)}
+#: Words of windows multiplied at once, and texts searched together.
+BLOCK = 8192
+TEXTS = 100
 #: Runs of so many words (a shorter passage's all) that a text shares with a passage are checked whatever the words weigh.
 RUN = 8
-VOCABULARY = 2_000_000
+VOCABULARY = 500_000
+#: Candidates: a window's cosine with a passage over all terms; or in the latent space, for windows that keep a share of their length there.
 COSINE = 0.4
+LATENT_COSINE = 0.7
+INSIDE = 0.4
 LCS_SURE = 0.6
 LCS_MAYBE = 0.4
 ANSWER = 0.8
@@ -74,17 +78,23 @@ def passage_starts(n: int) -> list[int]:
     return [*range(0, n - PASSAGE_WORDS, PASSAGE_WORDS // 2), n - PASSAGE_WORDS]
 
 
-def lcs(a: list, b: list) -> int:
-    """Length of the longest common subsequence, one machine word operation for each word of b."""
+def places_of(a: list) -> dict:
+    """For each word a mask of its places."""
     places: dict = {}
     for i, x in enumerate(a):
         places[x] = places.get(x, 0) | 1 << i
-    full = (1 << len(a)) - 1
+    return places
+
+
+def lcs(a: dict, n: int, b: list) -> int:
+    """Length of the longest common subsequence of n words, given by their places, and b: one integer operation for each word of b."""
+    full = (1 << n) - 1
     rows = full
     for y in b:
-        hit = rows & places.get(y, 0)
-        rows = ((rows + hit) | (rows - hit)) & full
-    return len(a) - rows.bit_count()
+        if hit := a.get(y):
+            hit &= rows
+            rows = ((rows + hit) | (rows - hit)) & full
+    return n - rows.bit_count()
 
 
 def _normals(terms: np.ndarray, rank: int) -> np.ndarray:
@@ -117,8 +127,8 @@ def document_frequencies(docs: DataFrame, terms: DataFrame, text_col: str = "tex
     return rows.mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")), docs.count()
 
 
-def passages(benchmark: DataFrame, docs: DataFrame, id_col: str = "item_id", text_col: str = "text", doc_text_col: str = "text", rank: int = RANK) -> DataFrame:
-    """pid, item, part (index slice), terms, weights, idfs, text (its words), answer (where its answer begins): the benchmark's passages and their TF-IDF vectors.
+def passages(benchmark: DataFrame, docs: DataFrame, id_col: str = "item_id", text_col: str = "text", doc_text_col: str = "text") -> DataFrame:
+    """pid, item, part (pass over the documents), terms, weights, idfs, text (its words), answer (where its answer begins): the benchmark's passages and their TF-IDF vectors.
 
     Texts that share an id are passages of their own. A passage's answer is its part of the item's answer; a half where it has none.
     A term's weight comes from the number of documents that hold it, and is over zero even for a term that all of them hold.
@@ -147,9 +157,8 @@ def passages(benchmark: DataFrame, docs: DataFrame, id_col: str = "item_id", tex
     weighed = each.join(df, "term", "left").select("pid", "term", (F.col("tf") * idf).alias("w"), idf.alias("idf"))
     lists = weighed.groupBy("pid").agg(F.sort_array(F.collect_list(F.struct("term", "w", "idf"))).alias("l"))
     size = cuts.count()
-    parts = 1 if size <= rank else -(-size * 4 // (rank * 3))  # dealt by digest: three quarters full, so that few have more than rank
-    groups = -(-parts // SLICES)  # of slices searched together; all passages of an item are in one group
-    part = F.pmod(F.xxhash64("item"), F.lit(groups)) * SLICES + F.pmod("pid", F.lit(min(parts, SLICES)))
+    # Dealt by digest, three quarters full; all passages of an item are in one pass.
+    part = F.pmod(F.xxhash64("item"), F.lit(1 if size <= PASS else -(-size * 4 // (PASS * 3))))
     return written(
         cuts.select("pid", "item", "text", "answer").join(lists, "pid").select(
             "pid", "item", part.cast("int").alias("part"),
@@ -253,147 +262,157 @@ def latent_basis(index: DataFrame, rank: int = RANK) -> DataFrame:
     return written(z.mapInArrow(rotate, "term long, v binary"), "basis")
 
 
+class Slice:
+    """Up to SLICE passages of like length: their TF-IDF vectors as a matrix, term by passage."""
+
+    def __init__(self, first: int, lengths: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], size: int):
+        """vectors: rows of the vocabulary and their share in the dot product of each passage; size: rows of the vocabulary."""
+        terms = np.unique(np.concatenate([rows for rows, _ in vectors]))
+        self.row_of = np.zeros(size, dtype=np.int32)
+        self.row_of[terms] = np.arange(1, len(terms) + 1)
+        whole = np.zeros((len(terms) + 1, len(vectors)), dtype=np.float32)
+        for p, (rows, share) in enumerate(vectors):
+            whole[self.row_of[rows], p] = share
+        # For each window length the passages it suits (a run of columns, since they are sorted by length).
+        self.by_window = {}
+        for window, (least, most) in FITS.items():
+            lo, hi = np.searchsorted(lengths, least), np.searchsorted(lengths, most, "right")
+            if lo < hi:
+                self.by_window[window] = first + lo, np.ascontiguousarray(whole[:, lo:hi])
+
+
 class Index:
-    """One slice of the benchmark, small by construction (about RANK passages): what a task needs to search."""
+    """The passages of one pass, at most PASS by construction: what a task needs to search."""
 
     def __init__(self, index: DataFrame, basis: DataFrame, rank: int):
-        vectors = basis.toPandas().sort_values("term")
+        vectors = basis.toPandas()
         rows = index.toPandas()
-        terms = vectors["term"].to_numpy(dtype=np.int64)
-        self.basis = np.array([np.frombuffer(v, np.float32) for v in vectors["v"]], dtype=np.float32).reshape(-1, rank)
-        self.idf = np.zeros(len(terms), dtype=np.float32)
-        self.items = rows["item"].to_numpy()
-        latent, where = np.zeros((len(rows), rank), dtype=np.float32), []
-        for r, (t, w, i) in enumerate(zip(rows["terms"], rows["weights"], rows["idfs"], strict=True)):
-            at, w = np.searchsorted(terms, t), np.asarray(w)
-            self.idf[at] = i
-            latent[r] = (w / np.linalg.norm(w)).astype(np.float32) @ self.basis[at]
-            where.append(at)
-        self.latent = latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-        self.other = float(self.idf.max(initial=1.0)) ** 2
-        self.square = self.idf.astype(np.float64) ** 2
-        self.terms_of = where
-        # Which passages hold a term, and how much of its passage's weight a term is. Terms that many passages hold are not
-        # looked up one by one: what they can add to a passage is known beforehand, or, where that is much, a product of matrices.
-        flat, owner = np.concatenate([*where, np.zeros(0, int)]), np.repeat(np.arange(len(where)), [len(x) for x in where])
-        share = np.concatenate([*[np.asarray(w) ** 2 / np.square(w).sum() for w in rows["weights"]], np.zeros(0)])
-        many = np.bincount(flat, minlength=len(terms)) > 8 + len(where) // 24
-        rest = np.bincount(owner, weights=share * many[flat], minlength=len(where))
-        self.heavy = np.flatnonzero(rest >= COSINE**2 / 2)
-        self.rest = np.where(rest >= COSINE**2 / 2, 0.0, rest)
-        self.dense_of = np.where(many, np.cumsum(many) - 1, -1)
-        dense = np.zeros((int(many.sum()), len(where)))
-        dense[self.dense_of[flat[many[flat]]], owner[many[flat]]] = share[many[flat]]
-        self.dense = dense[:, self.heavy]
-        few = np.flatnonzero(~many[flat])
-        order = few[np.argsort(flat[few], kind="stable")]
-        self.holders, self.bounds, self.share = owner[order], np.searchsorted(flat[order], np.arange(len(terms) + 1)), share[order]
-        self.words, self.answers = [t.split() for t in rows["text"]], rows["answer"].to_numpy()
+        rows = rows.assign(n=[len(t.split()) for t in rows["text"]]).sort_values(["n", "pid"])
+        terms = np.sort(vectors["term"].to_numpy(dtype=np.int64))
+        self.items, self.answers = rows["item"].to_numpy(), rows["answer"].to_numpy()
+        self.words = [t.split() for t in rows["text"]]
+        self.masks = [(places_of(w), places_of(w[a:]), len(w[a:])) for w, a in zip(self.words, self.answers, strict=True)]
+        lengths = rows["n"].to_numpy()
+        # Row 0 stands for a word that no passage has, the last row for the space between texts.
         vocabulary = sorted(set(itertools.chain.from_iterable(self.words)))
-        digests = signed(word_digests(vocabulary))
-        at = np.minimum(np.searchsorted(terms, digests), max(len(terms) - 1, 0))
-        known = terms[at] == digests if len(terms) else np.zeros(len(digests), dtype=bool)
-        # The place of a word's term; -1 for words that the slice does not hold.
-        self.places = {w: int(p) for w, p, k in zip(vocabulary, at, known, strict=True) if k}
+        at = np.searchsorted(terms, signed(word_digests(vocabulary)))
+        self.places = {w: int(p) + 1 for w, p in zip(vocabulary, at, strict=True)}
+        self.blank = len(terms) + 1
+        idf = np.zeros(len(terms) + 2)
+        own = []
+        for t, w, i in zip(rows["terms"], rows["weights"], rows["idfs"], strict=True):
+            at, w = np.searchsorted(terms, t) + 1, np.asarray(w)
+            idf[at] = i
+            own.append((at, w / np.linalg.norm(w)))
+        self.square = idf**2
+        self.square[0] = self.square.max(initial=1.0)  # a word from outside weighs as much as the rarest one
+        self.slices = [
+            Slice(k, lengths[k : k + SLICE], [(at, idf[at] * w) for at, w in own[k : k + SLICE]], len(idf)) for k in range(0, len(own), SLICE)
+        ]
+        self.basis = np.zeros((len(idf), rank), dtype=np.float32)
+        self.basis[np.searchsorted(terms, vectors["term"]) + 1] = np.array([np.frombuffer(v, np.float32) for v in vectors["v"]]).reshape(-1, rank)
+        latent = np.array([w.astype(np.float32) @ self.basis[at] for at, w in own])
+        latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
+        self.basis *= idf[:, None].astype(np.float32)
+        self.latent = {}
+        for window, (least, most) in FITS.items():
+            lo, hi = np.searchsorted(lengths, least), np.searchsorted(lengths, most, "right")
+            if lo < hi:
+                self.latent[window] = lo, latent[lo:hi].T.copy()
         runs = [(self._runs(np.array([self.places[w] for w in words]), k := min(RUN, len(words))), k, p) for p, words in enumerate(self.words)]
-        self.lengths = sorted({k for _, k, _ in runs})
         self.runs = {}
-        for size in self.lengths:
+        for size in sorted({k for _, k, _ in runs}):
             mine = [(x, np.full(len(x), p)) for x, k, p in runs if k == size]
-            keys, own = np.concatenate([x for x, _ in mine]), np.concatenate([p for _, p in mine])
+            keys, who = np.concatenate([x for x, _ in mine]), np.concatenate([p for _, p in mine])
             order = np.argsort(keys, kind="stable")
-            self.runs[size] = keys[order], own[order]
+            self.runs[size] = keys[order], who[order]
 
     @staticmethod
     def _runs(at: np.ndarray, size: int) -> np.ndarray:
-        """Digests of the runs of so many words, by their places; runs with a foreign word meet none of a passage."""
-        out = np.zeros(max(0, len(at) - size + 1), dtype=U)
-        for i in range(size):
-            out = (out * U(0x9E3779B97F4A7C15)) ^ mix((at[i : i + len(out)] + 2).astype(U))
-        return out
-
-    def _shared_runs(self, at: np.ndarray, found: dict[int, list[tuple[int, int, float]]]) -> None:
-        """Runs of words that stand in a passage too, whatever they weigh."""
-        met: dict[int, list[tuple[int, int, float]]] = {}
-        inside = np.append(0, np.cumsum(at >= 0))
-        for size in self.lengths:
-            keys, own = self.runs[size]
-            starts = np.flatnonzero(inside[size:] - inside[:-size] == size) if len(at) >= size else np.zeros(0, int)
+        """Digests of the runs of so many words, by their places."""
+        return Prefix(mix((at + 2).astype(U)), 1).windows(size) if len(at) >= size else np.zeros(0, dtype=U)
+
+    def _shared_runs(self, at: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """start, end, passage, cosine: runs of words that stand in a passage too, whatever they weigh."""
+        foreign = np.append(0, np.cumsum((at == 0) | (at == self.blank)))
+        for size, (keys, who) in self.runs.items():
+            starts = np.flatnonzero(foreign[size:] == foreign[:-size]) if len(at) >= size else np.zeros(0, int)
+            if not len(starts):
+                continue
             asked = self._runs(at, size)[starts]
             first, last = np.searchsorted(keys, asked), np.searchsorted(keys, asked, "right")
-            for hit in np.flatnonzero(last > first):
-                for p in set(own[first[hit] : last[hit]].tolist()):
-                    met.setdefault(p, []).append((int(starts[hit]), int(starts[hit]) + size, 0.0))
-        for p, runs in met.items():
-            found[p] = [(lo, hi, self._cosine(at[lo:hi], p)) for lo, hi, _ in covered(runs)]
-
-    def _cosine(self, terms: np.ndarray, p: int) -> float:
-        """Of a run of known words and a passage."""
-        return float(self.latent[p] @ (self.idf[terms] @ self.basis[terms])) / max(float(np.sqrt(self.square[terms].sum())), 1e-9)
-
-    def candidates(self, words: list[bytes]) -> dict[int, list[tuple[int, int, float]]]:
-        """Place of a passage: the ranges of the text that its windows of enough cosine cover, each with its best cosine.
-
-        A window's cosine with a passage is at most the root of the share of the passage's weight that the window holds. So
-        the text is first looked through in overlapping spans that hold every window, and only spans with enough weight
-        of a passage have their windows folded into the latent space. Runs of words that a passage holds are added.
+            n = last - first
+            pick = np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
+            starts = np.repeat(starts, n)
+            yield starts, starts + size, who[pick], np.zeros(len(starts))
+
+    def _near_windows(self, at: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """start, end, passage, cosine: windows near a passage, by the TF-IDF vectors themselves or in the latent space.
+
+        A window is multiplied with all passages that suit its length. Neither cosine can reach its bound where less than
+        COSINE ** 2 of the window's squared weight lies on words that the benchmark has: such windows are passed over.
         """
-        found: dict[int, list[tuple[int, int, float]]] = {}
-        at = np.fromiter(map(self.places.get, words, itertools.repeat(-1)), np.int64, len(words))
-        n = len(self.items)
-        self._shared_runs(at, found)
-        for first in range(0, len(words), CHUNK):
-            here = at[first : first + CHUNK + SPAN]
-            spots = np.flatnonzero(here >= 0)
-            terms = here[spots]
-            lengths = self.bounds[terms + 1] - self.bounds[terms]
-            pick = np.arange(lengths.sum()) + np.repeat(self.bounds[terms] - np.cumsum(lengths) + lengths, lengths)
-            blocks = len(here) // (SPAN // 2) + 2
-            cell = np.repeat(spots // (SPAN // 2), lengths) * n + self.holders[pick]
-            mass = np.bincount(cell, weights=self.share[pick], minlength=blocks * n).reshape(blocks, n).astype(np.float64, copy=False)
-            if len(self.heavy):
-                dense = self.dense_of[terms]
-                spot, dense = spots[dense >= 0], dense[dense >= 0]
-                counts = np.bincount(spot // (SPAN // 2) * len(self.dense) + dense, minlength=blocks * len(self.dense)).reshape(blocks, -1)
-                mass[:, self.heavy] += counts @ self.dense
-            for block, p in np.argwhere(mass[:-1] + mass[1:] + self.rest >= COSINE**2):
-                lo = first + int(block) * (SPAN // 2)
-                self._fold(at[lo : lo + SPAN], lo, int(p), found)
-        return {p: covered(windows) for p, windows in found.items()}
-
-    def _fold(self, at: np.ndarray, lo: int, p: int, found: dict[int, list[tuple[int, int, float]]]) -> None:
-        square = np.where(at >= 0, self.square[np.maximum(at, 0)], np.where(at == -1, self.other, 0.0))
+        square = self.square[at]
         whole = np.append(0.0, np.cumsum(square))
-        own = np.append(0.0, np.cumsum(np.where(np.isin(at, self.terms_of[p]), square, 0.0)))
-        for size in WINDOWS:
-            starts = np.arange(0, max(1, len(at) - size // 2), size // 2)
-            ends = np.minimum(starts + size, len(at))
-            total = np.maximum(whole[ends] - whole[starts], 1e-9)
-            for r in np.flatnonzero((own[ends] - own[starts]) >= COSINE**2 * total):
-                terms = at[starts[r] : ends[r]]
-                terms = terms[terms >= 0]
-                cosine = float(self.latent[p] @ (self.idf[terms] @ self.basis[terms])) / float(np.sqrt(total[r]))
-                if cosine >= COSINE:
-                    found.setdefault(p, []).append((lo + int(starts[r]), lo + int(ends[r]), cosine))
-
-    def leaks(self, text: str | None) -> list[tuple[int, float, float, bool]]:
-        words = tokens(text)
-        if not words:
-            return []
+        known = np.append(0.0, np.cumsum(np.where(at > 0, square, 0.0)))
+        for window in self.latent:
+            starts = np.arange(0, len(at) - window + 1, window // 2)
+            total = whole[starts + window] - whole[starts]
+            starts = starts[(known[starts + window] - known[starts] >= COSINE**2 * total) & (total > 0)]
+            for some in np.split(starts, range(BLOCK // window, len(starts), BLOCK // window)):
+                words = at[some[:, None] + np.arange(window)]
+                length = np.sqrt(whole[some + window] - whole[some])
+                for s in self.slices:
+                    if window in s.by_window:
+                        first, matrix = s.by_window[window]
+                        cosine = matrix[s.row_of[words]].sum(axis=1) / length[:, None]
+                        i, p = np.nonzero(cosine >= COSINE)
+                        yield some[i], some[i] + window, first + p, cosine[i, p]
+                folded = self.basis[words].sum(axis=1)
+                inside = np.linalg.norm(folded, axis=1)
+                able = np.flatnonzero(inside >= INSIDE * length)
+                if len(able):
+                    first, passages = self.latent[window]
+                    cosine = (folded[able] / inside[able, None]) @ passages
+                    i, p = np.nonzero(cosine >= LATENT_COSINE)
+                    yield some[able[i]], some[able[i]] + window, first + p, cosine[i, p]
+
+    def candidates(self, texts: list[list[bytes]]) -> list[dict[int, list[tuple[int, int, float]]]]:
+        """For each text, place of a passage: the ranges of the text that its near windows and shared runs cover, each with its best cosine."""
+        step = max(FITS) // 2  # texts begin where every window length begins
+        firsts = np.append(0, np.cumsum([-(-len(words) // step) * step for words in texts]))
+        at = np.full(int(firsts[-1]) + max(FITS), self.blank, dtype=np.int32)
+        for words, first in zip(texts, firsts.tolist()):
+            at[first : first + len(words)] = np.fromiter(map(self.places.get, words, itertools.repeat(0)), np.int32, len(words))
+        found: list[dict[int, list]] = [{} for _ in texts]
+        for starts, ends, passages, cosines in itertools.chain(self._shared_runs(at), self._near_windows(at)):
+            owner = np.searchsorted(firsts, starts, "right") - 1
+            for d, lo, hi, p, cosine in zip(owner.tolist(), starts.tolist(), ends.tolist(), passages.tolist(), cosines.tolist(), strict=True):
+                lo, hi = lo - int(firsts[d]), min(hi - int(firsts[d]), len(texts[d]))
+                if lo < hi:
+                    found[d].setdefault(p, []).append((lo, hi, cosine))
+        return [{p: covered(windows) for p, windows in f.items()} for f in found]
+
+    def leaks(self, texts: list[str | None]) -> list[list[tuple[int, float, float, bool]]]:
+        """The items that each text holds: item, cosine, share of the longest common subsequence, whether the answer is there."""
+        tokenised = [tokens(t) for t in texts]
         out = []
-        for p, ranges in sorted(self.candidates(words).items()):
-            passage, answer = self.words[p], self.words[p][self.answers[p] :]
-            n = len(passage)
-            for lo, hi, cosine in ranges:
-                near = words[max(0, lo - n) : hi + n]
-                share = max(lcs(passage, near[i : i + 2 * n]) for i in range(0, max(1, len(near) - n), max(1, n // 2))) / n
-                if share < LCS_MAYBE:
-                    continue
-                says = max(lcs(answer, near[i : i + 3 * n + max(WINDOWS)]) for i in range(0, max(1, len(near) - 2 * n - max(WINDOWS)), n)) >= ANSWER * len(answer)
-                if share >= LCS_SURE or says:
-                    out.append((int(self.items[p]), round(cosine, 4), round(share, 4), says))
+        for words, found in zip(tokenised, self.candidates(tokenised), strict=True):
+            hits = [h for p in sorted(found) for lo, hi, cosine in found[p] if (h := self._checked(words, p, lo, hi, cosine))]
+            out.append(merged(hits))
         return out
 
+    def _checked(self, words: list[bytes], p: int, lo: int, hi: int, cosine: float) -> tuple[int, float, float, bool] | None:
+        """The hit, if the words near a range of a text bear it out."""
+        passage, answer, long = self.masks[p]
+        n = len(self.words[p])
+        near = words[max(0, lo - n) : hi + n]
+        share = max(lcs(passage, n, near[i : i + 2 * n]) for i in range(0, max(1, len(near) - n), max(1, n // 2))) / n
+        if share < LCS_MAYBE:
+            return None
+        says = max(lcs(answer, long, near[i : i + 3 * n + max(FITS)]) for i in range(0, max(1, len(near) - 2 * n - max(FITS)), n)) >= ANSWER * long
+        return (int(self.items[p]), round(cosine, 4), round(share, 4), says) if share >= LCS_SURE or says else None
+
 
 def merged(hits: list[tuple[int, float, float, bool]]) -> list[tuple[int, float, float, bool]]:
     """One hit for each item, which may have several passages and places: the one of the greatest share."""
@@ -409,28 +428,31 @@ LEAKS = pa.list_(pa.struct([("item_id", pa.int64()), ("cosine", pa.float64()), (
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, cosine, lcs_share, has_answer: one row for each benchmark item that a document holds.
 
-    Every window of every text is searched. Null or empty texts and items match nothing; an item whose words are all common
-    among the documents is searched like any other, and its runs of words besides; rows without item id are left out. Repeated document rows repeat
-    their rows, repeated items count once. Very long texts are searched window by window. Extra columns are not looked at.
+    Every window of every text is multiplied with the passages that suit its length; what comes near one, over all terms or in
+    the latent space, and every run of 8 words shared with one goes to the word checks. Null or empty texts and items match
+    nothing; an item whose words are all common among the documents is searched like any other; rows without item id are left
+    out. Repeated document rows repeat their rows, repeated items count once. Very long texts are searched window by window.
+    Extra columns are not looked at.
     """
-    index = passages(benchmark, docs, item_col, item_text_col, text_col, rank)
+    index = passages(benchmark, docs, item_col, item_text_col, text_col)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("__text"))
     spark, found = docs.sparkSession, None
-    parts = sorted(r["part"] for r in index.select("part").distinct().collect())
-    for _, group in itertools.groupby(parts, lambda part: part // SLICES):
-        slices = []
-        for part in group:
-            own = written(index.where(F.col("part") == part), "slice")
-            size = own.count()
-            slices.append(Index(own, latent_basis(own, size), size))
-        shared = spark.sparkContext.broadcast(slices)
+    size = index.count()
+    rank = min(rank, size)
+    basis = latent_basis(index, rank) if size else None
+    for part in sorted(r["part"] for r in index.select("part").distinct().collect()):
+        own = index.where(F.col("part") == part)
+        held = own.select(F.explode("terms").alias("term")).distinct()
+        shared = spark.sparkContext.broadcast(Index(own, basis.join(held, "term"), rank))
 
         def search(batches, shared=shared):
-            for b in batches:
-                hits = [merged([h for s in shared.value for h in s.leaks(t)]) for t in b.column("__text").to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), pa.array([[dict(zip(("item_id", "cosine", "lcs_share", "has_answer"), h, strict=True)) for h in x] for x in hits], LEAKS)], ["doc_id", "__leaks"]
-                )
+            names = ("item_id", "cosine", "lcs_share", "has_answer")
+            for whole in batches:
+                for at in range(0, len(whole), TEXTS):
+                    b = whole.slice(at, TEXTS)
+                    hits = shared.value.leaks(b.column("__text").to_pylist())
+                    found = pa.array([[dict(zip(names, h, strict=True)) for h in x] for x in hits], LEAKS)
+                    yield pa.RecordBatch.from_arrays([b.column("doc_id"), found], ["doc_id", "__leaks"])
 
         part_rows = rows.mapInArrow(search, "doc_id long, __leaks array<struct<item_id long, cosine double, lcs_share double, has_answer boolean>>").where(F.size("__leaks") > 0)
         found = part_rows if found is None else found.unionByName(part_rows)

@@ -376,4 +376,4 @@ def test_lcs(a, b):
     for i, x in enumerate(a):
         for j, y in enumerate(b):
             table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
-    assert latent_leaks.lcs(a, b) == table[-1][-1]
+    assert latent_leaks.lcs(latent_leaks.places_of(a), len(a), b) == table[-1][-1]
