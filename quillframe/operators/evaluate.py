@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,17 +12,48 @@ from ..functions import geometry as g
 from ..functions import ontology as o
 from ..functions import stats
 from . import match
-from .cluster import gap_cluster
 
 SCENE = "scene_id"
 
 
+def scene_boxes(**sides: tuple[DataFrame, str]) -> DataFrame:
+    """scene_id and an array of boxes (id, label, x0, y0, x1, y1, row, col) for each named side, a table and its id column.
+
+    One exchange on the scene brings all sides together; what follows stays inside a row.
+    """
+    parts = []
+    for name, (df, ident) in sides.items():
+        place = [(F.col(c) if c in df.columns else F.lit(None)).cast("int").alias(c) for c in ("row", "col")]
+        parts.append(df.select(SCENE, F.lit(name).alias("side"), F.struct(F.col(ident).cast("long").alias("id"), "label", *[F.col(c).cast("double").alias(c) for c in g.BOX], *place).alias("box")))
+    both = functools.reduce(DataFrame.unionByName, parts)
+    return both.groupBy(SCENE).agg(*[F.collect_list(F.when(F.col("side") == name, F.col("box"))).alias(name) for name in sides])
+
+
+def _corners(box: Column) -> tuple[Column, ...]:
+    return tuple(box[c] for c in g.BOX)
+
+
+def matched_boxes(gts: Column, preds: Column, threshold: float = match.MATCH_IOU) -> Column:
+    """Array of (s, p, q, gt, pred): the greedy matching of two arrays of boxes, with its IoU, ids and boxes."""
+    pairs = F.flatten(F.transform(gts, lambda a: F.transform(preds, lambda b: F.struct(g.iou(_corners(a), _corners(b)).alias("s"), a["id"].alias("p"), b["id"].alias("q"), a.alias("gt"), b.alias("pred")))))
+    return match.greedy_fold(F.filter(pairs, lambda x: x["s"] >= threshold))
+
+
 def label_pairs(gt: DataFrame, pred: DataFrame, threshold: float = match.MATCH_IOU) -> DataFrame:
     """Matched boxes with both labels: scene_id, gt_id, pred_id, iou, gt_label, pred_label."""
-    pairs = match.greedy_match(match.iou_pairs(gt, pred, threshold))
-    a = gt.select(SCENE, "gt_id", F.col("label").alias("gt_label"))
-    b = pred.select(SCENE, "pred_id", F.col("label").alias("pred_label"))
-    return pairs.join(a, [SCENE, "gt_id"]).join(b, [SCENE, "pred_id"])
+    pairs = scene_boxes(gts=(gt, "gt_id"), preds=(pred, "pred_id")).select(SCENE, F.explode(matched_boxes(F.col("gts"), F.col("preds"), threshold)).alias("m"))
+    return pairs.select(SCENE, F.col("m.p").alias("gt_id"), F.col("m.q").alias("pred_id"), F.col("m.s").alias("iou"), F.col("m.gt.label").alias("gt_label"), F.col("m.pred.label").alias("pred_label"))
+
+
+def _cuts(values: Column, share: float = 0.10) -> Column:
+    """Of an array of numbers, those that begin a new cluster: the step from the next smaller one is over a share of the range."""
+    v = F.array_sort(values)
+    wide = (F.array_max(values) - F.array_min(values)) * share
+    return F.filter(v, lambda x, i: (i > 0) & (x - F.coalesce(F.get(v, i - 1), x) > wide))
+
+
+def _cluster(cuts: Column, value: Column) -> Column:
+    return F.size(F.filter(cuts, lambda c: c <= value))
 
 
 def sample_metrics(scenes: DataFrame, gt: DataFrame, pred: DataFrame, dets: DataFrame) -> DataFrame:
@@ -30,23 +63,31 @@ def sample_metrics(scenes: DataFrame, gt: DataFrame, pred: DataFrame, dets: Data
     pred_id, label and box; dets: det_id, box, row, col. Without symbols all spatial metrics are null; with symbols
     but no predictions recall is 0 and rows and columns are null; a scene with an empty list of symbols has null recall.
     """
-    pairs = label_pairs(gt, pred)
-    b = g.box()
-    centred = gt.withColumns({"__cx": g.center_x(b), "__cy": g.center_y(b)})
-    places = gap_cluster(gap_cluster(centred, "__cy", "gt_row", order=["gt_id"]), "__cx", "gt_col", order=["gt_id"])
-    near = match.nearest(pred.join(pairs.select(SCENE, "pred_id"), [SCENE, "pred_id"], "left_semi"), dets, "pred_id", "det_id")
-    near = near.join(dets.select(SCENE, "det_id", F.col("row").alias("p_row"), F.col("col").alias("p_col")), [SCENE, "det_id"])
-    full = pairs.join(places.select(SCENE, "gt_id", "gt_row", "gt_col"), [SCENE, "gt_id"]).join(near.select(SCENE, "pred_id", "p_row", "p_col"), [SCENE, "pred_id"], "left")
-    share = lambda c: F.avg(c.cast("double"))
-    hits = full.groupBy(SCENE).agg(
-        F.count(F.lit(1)).alias("matched"),
-        F.sum((F.col("gt_label") == F.col("pred_label")).cast("long")).alias("label_correct"),
-        share(F.col("p_row") == F.col("gt_row")).alias("row_acc"),
-        share(F.col("p_col") == F.col("gt_col")).alias("col_acc"),
-        F.avg("iou").alias("mean_iou"),
-    )
-    count = lambda df, name: df.groupBy(SCENE).agg(F.count(F.lit(1)).alias(name))
-    df = scenes.join(count(gt, "__g"), SCENE, "left").join(count(pred, "__p"), SCENE, "left").join(hits, SCENE, "left")
+    boxes = scene_boxes(gts=(gt, "gt_id"), preds=(pred, "pred_id"), dets=(dets, "det_id"))
+    cx, cy = lambda b: g.center_x(_corners(b)), lambda b: g.center_y(_corners(b))
+    boxes = boxes.select(
+        SCENE, "dets", F.size("gts").cast("long").alias("__g"), F.size("preds").cast("long").alias("__p"), matched_boxes(F.col("gts"), F.col("preds")).alias("m"),
+        _cuts(F.transform("gts", cy)).alias("row_cuts"), _cuts(F.transform("gts", cx)).alias("col_cuts"),
+    )
+
+    def judged(m: Column) -> Column:
+        dx, dy = lambda d: cx(d) - cx(m["pred"]), lambda d: cy(d) - cy(m["pred"])
+        near = F.array_min(F.transform("dets", lambda d: F.struct((dx(d) * dx(d) + dy(d) * dy(d)).alias("d2"), d["id"].alias("id"), d["row"].alias("row"), d["col"].alias("col"))))
+        return F.struct(
+            m["s"].alias("iou"), (m["gt"]["label"] == m["pred"]["label"]).alias("same"), near.alias("near"),
+            _cluster(F.col("row_cuts"), cy(m["gt"])).alias("row"), _cluster(F.col("col_cuts"), cx(m["gt"])).alias("col"),
+        )
+
+    boxes = boxes.select(SCENE, "__g", "__p", F.transform("m", judged).alias("m"))
+    n = F.size("m")
+    count = lambda holds: F.size(F.filter("m", holds))
+    placed = count(lambda x: x["near"].isNotNull())
+    share = lambda c: F.when(placed > 0, count(lambda x: x["near"][c] == x[c]) / placed)
+    hits = boxes.select(
+        SCENE, "__g", "__p", F.when(n > 0, n).cast("long").alias("matched"), F.when(n > 0, count(lambda x: x["same"])).cast("long").alias("label_correct"),
+        share("row").alias("row_acc"), share("col").alias("col_acc"), F.when(n > 0, F.aggregate("m", F.lit(0.0), lambda a, x: a + x["iou"]) / n).alias("mean_iou"),
+    )
+    df = scenes.join(hits, SCENE, "left").withColumn("__g", F.when(F.col("__g") > 0, F.col("__g")))
     has = F.col("has_symbols")
     n_gt = F.when(has, F.coalesce("__g", F.lit(0).cast("long")))
     triggered = (F.coalesce("pred_kind", F.lit("")) == "unknown") & F.coalesce(F.col("ood_reason") != "", F.lit(False))
@@ -77,13 +118,11 @@ def aggregate_metrics(samples: DataFrame) -> DataFrame:
 
 def metrics_by(samples: DataFrame) -> DataFrame:
     """Macro means by kind, by case and overall in one pass; scenes without a case are left out of the cases."""
-    cols = [c for c in samples.columns if c not in ("equation_kind", "scene_case")]
-    keys = F.explode(F.array(
-        F.struct(F.lit("all").alias("grouping"), F.lit("").alias("key")),
-        F.struct(F.lit("equation_kind").alias("grouping"), F.col("equation_kind").alias("key")),
-        F.struct(F.lit("scene_case").alias("grouping"), F.col("scene_case").alias("key")),
-    )).alias("k")
-    return samples.select(*cols, keys).select("*", "k.*").where("key is not null").groupBy("grouping", "key").agg(*_macro())
+    kind, case = F.col("equation_kind"), F.col("scene_case")
+    df = samples.groupingSets([[kind], [case], []], kind, case).agg(F.grouping_id().alias("g"), *_macro())
+    grouping = F.when(F.col("g") == 1, "equation_kind").when(F.col("g") == 2, "scene_case").otherwise("all")
+    key = F.when(F.col("g") == 1, kind).when(F.col("g") == 2, case).otherwise("")
+    return df.select(grouping.alias("grouping"), key.alias("key"), *[c for c in df.columns if c not in ("g", "equation_kind", "scene_case")]).where("key is not null")
 
 
 def confusion(pairs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import itertools
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -36,23 +36,21 @@ def greedy_match(pairs: DataFrame, left_id: str = "gt_id", right_id: str = "pred
     A scene's pairs (a few thousand at most) are folded inside one row; a scene needs no more than one shuffle.
     """
     first, second = larger_first or (left_id, right_id)
-    order = F.sort_array(F.collect_list(F.struct(F.col(score).alias("s"), F.col(first).alias("p"), F.col(second).alias("q"))), asc=False)
-    scenes = pairs.groupBy(scene).agg(order.alias("ps"))
-    kind = dict(pairs.dtypes)
-    none = F.struct(
-        F.array().cast(f"array<{kind[first]}>").alias("p"), F.array().cast(f"array<{kind[second]}>").alias("q"),
-        F.array().cast(f"array<struct<s:{kind[score]},p:{kind[first]},q:{kind[second]}>>").alias("got"),
-    )
-
-    def step(acc, x):
-        free = ~F.array_contains(acc["p"], x["p"]) & ~F.array_contains(acc["q"], x["q"])
-        took = F.struct(F.array_append(acc["p"], x["p"]).alias("p"), F.array_append(acc["q"], x["q"]).alias("q"), F.array_append(acc["got"], x).alias("got"))
-        return F.when(free, took).otherwise(acc)
-
-    out = scenes.select(scene, F.explode(F.aggregate("ps", none, step)["got"]).alias("m"))
+    listed = F.collect_list(F.struct(F.col(score).alias("s"), F.col(first).alias("p"), F.col(second).alias("q")))
+    out = pairs.groupBy(scene).agg(listed.alias("ps")).select(scene, F.explode(greedy_fold(F.col("ps"))).alias("m"))
     return out.select(scene, F.col("m.p").alias(first), F.col("m.q").alias(second), F.col("m.s").alias(score))
 
 
+def greedy_fold(pairs: Column) -> Column:
+    """Of an array of structs (s, p, q, ...) those taken by falling s, p, q, so that no p and no q is taken twice."""
+
+    def step(got, x):
+        taken = F.exists(got, lambda y: (y["p"] == x["p"]) | (y["q"] == x["q"]))
+        return F.when(taken, got).otherwise(F.array_append(got, x))
+
+    return F.aggregate(F.sort_array(pairs, asc=False), F.slice(pairs, 1, 0), step)
+
+
 def match_outcomes(gt: DataFrame, pred: DataFrame, threshold: float = OUTCOME_IOU, scene: str = "scene_id") -> DataFrame:
     """Every ground-truth and predicted box once: matched, missed or false_positive, with is_correct."""
     matched = greedy_match(iou_pairs(gt, pred, threshold, scene=scene), larger_first=("pred_id", "gt_id"), scene=scene)

@@ -243,7 +243,7 @@ def a40_extras(t):
     return grade.extras(submitted(t), expected(t)).where("y <> 10").drop("exercise_id")
 
 
-@query(f"""with {EXPECTED}, g as (select exercise_id, x, y, c from expected where given), u as (select s.submission_id, s.x, s.y, s.c, 'child' as origin from submitted s where not exists (select 1 from g where g.exercise_id = s.exercise_id and g.x = s.x and g.y = s.y))
+@query(f"""with {EXPECTED}, g as (select exercise_id, x, y, c from expected where given), u as (select s.submission_id, s.x, s.y, s.c, 'child' as origin from submitted s left join g on g.exercise_id = s.exercise_id and g.x = s.x and g.y = s.y where g.x is null)
 select * from u union all select d.submission_id, g.x, g.y, g.c, 'given' from (select distinct submission_id, exercise_id from submitted) d join g on g.exercise_id = d.exercise_id""")
 def j21_with_given(t):
     return grade.with_given(submitted(t), expected(t)).select("submission_id", "x", "y", "c", F.when(F.col("token_id").startswith("G"), "given").otherwise("child").alias("origin"))

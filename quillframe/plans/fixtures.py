@@ -67,7 +67,7 @@ def needs(sql: str) -> list[str]:
 
 def with_views(sql: str) -> str:
     """The text with its views in front, for the oracle. A text may begin with its own ``with`` list."""
-    views = ", ".join(f"{n} as ({VIEWS[n]})" for n in needs(sql))
+    views = ", ".join(f"{n} as materialized ({VIEWS[n]})" for n in needs(sql))
     sql = sql.strip()
     if not views:
         return sql
