@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from .common import written
 from .words import U, Prefix, mix, signed, word_digests
 
-#: Latent directions, whatever the number of passages.
+#: Latent directions: one for three passages, since a space with a direction for each passage would merge nothing, and so many at most.
+PASSAGES_A_DIRECTION = 3
 RANK = 128
 #: Passages of one matrix, and of one pass over the documents.
 SLICE = 256
@@ -438,7 +439,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, id_col:
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("__text"))
     spark, found = docs.sparkSession, None
     size = index.count()
-    rank = min(rank, size)
+    rank = max(1, min(rank, size // PASSAGES_A_DIRECTION))
     basis = latent_basis(index, rank) if size else None
     for part in sorted(r["part"] for r in index.select("part").distinct().collect()):
         own = index.where(F.col("part") == part)

@@ -319,13 +319,53 @@ def test_paraphrase_is_found_and_clean_text_is_not(spark):
     assert len({(i, i) for i in range(40)} & got) >= 36 and not any(d >= 100 for d, _ in got)
 
 
-def test_copies_keep_their_cosine_in_a_large_benchmark(spark):
-    """More passages than one slice holds: every copy's window still has its whole length in the latent space."""
-    rng = random.Random(3)
-    items = [" ".join(f"t{rng.randrange(5000)}" for _ in range(32)) for _ in range(600)]
-    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    got = {(r.doc_id, r.item_id): r.cosine for r in latent_leaks.find_leaks(docs(spark, [(i, x, "") for i, x in enumerate(items)]), bench).collect()}
-    assert all(got.get((i, i), 0) > 0.95 for i in range(600))
+@pytest.mark.parametrize("n", [200, 1000, 5000])
+def test_recall_in_benchmarks_of_every_size(spark, n):
+    """More passages than latent directions, and than one pass takes: copies and paraphrases (a fifth of the words new) are found."""
+    rng = random.Random(n)
+    word = lambda: f"t{rng.randrange(8000)}"
+    items = [[word() for _ in range(rng.randrange(12, 60))] for _ in range(n)]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    held = rng.sample(range(n), 100)
+    near = {i: [word() if rng.random() < 0.2 else w for w in items[i]] if k % 2 else items[i] for k, i in enumerate(held)}
+    rows = [(i, " ".join([word() for _ in range(rng.randrange(80))] + x + [word() for _ in range(60)]), "") for i, x in near.items()]
+    rows += [(10_000 + i, " ".join(word() for _ in range(150)), "") for i in range(100)]
+    got = {(r.doc_id, r.item_id) for r in latent_leaks.find_leaks(docs(spark, rows), bench).collect()}
+    assert all((i, i) in got for k, i in enumerate(held) if k % 2 == 0)
+    assert sum((i, i) in got for i in held) >= 95 and not any(d >= 10_000 for d, _ in got)
+
+
+@pytest.mark.parametrize("percent", [1, 5, 50])
+def test_an_item_in_many_documents_is_found_in_all_of_them(spark, percent):
+    rng = random.Random(percent)
+    word = lambda: f"t{rng.randrange(100000)}"
+    items = [[word() for _ in range(30)] for _ in range(20)]
+    near = lambda: [word() if i % 6 == 5 else w for i, w in enumerate(items[0])]
+    rows = [(i, " ".join([word() for _ in range(60)] + (near() if i < 4 * percent else []) + [word() for _ in range(60)]), "") for i in range(400)]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id) for r in latent_leaks.find_leaks(docs(spark, rows), bench).collect())
+    assert got == [(i, 0) for i in range(4 * percent)]
+
+
+def test_synonyms_are_found_through_the_latent_space(spark, monkeypatch):
+    """Every rare word of an item gives way to a word of like company elsewhere in the benchmark; only common words stay."""
+    rng = random.Random(12)
+    common = [f"c{i}" for i in range(30)]
+    frame = lambda: [rng.choice(common) for _ in range(14)]
+    fill = lambda words, rare: [w for i in range(14) for w in ([words[i], rare[i]] if i < 8 else [words[i]])]
+    items, rows = [], []
+    for k in range(40):
+        one, two, mine = [f"a{k}x{i}" for i in range(8)], [f"b{k}x{i}" for i in range(8)], frame()
+        both = one[::2] + two[1::2]
+        items += [fill(mine, one), fill(frame(), two), fill(frame(), both), fill(frame(), two[::2] + one[1::2])]
+        rows.append((k, " ".join(common + [f"u{rng.randrange(10**6)}" for _ in range(50)] + fill(mine, two) + [f"u{rng.randrange(10**6)}" for _ in range(50)]), ""))
+    rows += [(1000 + i, " ".join(common + [f"u{rng.randrange(10**6)}" for _ in range(120)]), "") for i in range(60)]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    found = lambda: {(r.doc_id, r.item_id) for r in latent_leaks.find_leaks(docs(spark, rows), bench).collect()}
+    got = found()
+    assert len({(k, 4 * k) for k in range(40)} & got) >= 36 and not any(d >= 1000 for d, _ in got)
+    monkeypatch.setattr(latent_leaks, "LATENT_COSINE", 2.0)
+    assert not {(k, 4 * k) for k in range(40)} & found()
 
 
 def test_one_passage_of_a_long_item_and_both_texts_of_an_id(spark):
