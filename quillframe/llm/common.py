@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +18,8 @@ BLANKS = r"[ \t\n\x0B\f\r]"
 SMALL_ROWS = 20_000
 SALTS = 64
 SLICE_ROWS = 1_000
+#: Rows of an Arrow batch while an intermediate table is written: texts of some kilobytes fill the usual 10,000 with tens of megabytes.
+BATCH_ROWS = 1_000
 
 _own: dict[str, str] = {}
 
@@ -34,10 +37,23 @@ def shared_folder(spark: SparkSession) -> str:
     return _own[app]
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Small Arrow batches for the jobs that run inside; the session's own setting comes back after them."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: later stages start from files, not from lineage."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -50,7 +66,8 @@ class Scratch:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
         self.paths.append(path)
-        df.write.parquet(path)
+        with small_batches(self.spark):
+            df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def result(self, df: DataFrame, name: str) -> DataFrame:
@@ -76,6 +93,13 @@ def checked_join(big: DataFrame, small: DataFrame, key: str, how: str = "left",
     return dealt.join(salted, [key, "__salt"], how).drop("__salt")
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows, so that a slice's Python objects and results stay small."""
+    for b in batches:
+        for at in range(0, len(b), rows):
+            yield b.slice(at, rows)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once for each row, also where body uses it inside a lambda."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -92,11 +116,9 @@ def appended(df: DataFrame, drop: list[str], fields: str, compute: Callable[[pa.
     schema = T.StructType([f for f in df.schema.fields if f.name not in drop] + T.StructType.fromDDL(fields).fields)
 
     def run(batches):
-        for whole in batches:
-            for at in range(0, len(whole), SLICE_ROWS):  # a slice's Python objects at a time
-                b = whole.slice(at, SLICE_ROWS)
-                new = compute(b)
-                names = [n for n in b.schema.names if n not in drop]
-                yield pa.RecordBatch.from_arrays([b.column(n) for n in names] + list(new.values()), names + list(new))
+        for b in sliced(batches):
+            new = compute(b)
+            names = [n for n in b.schema.names if n not in drop]
+            yield pa.RecordBatch.from_arrays([b.column(n) for n in names] + list(new.values()), names + list(new))
 
     return df.mapInArrow(run, schema)

@@ -22,10 +22,7 @@ def op2_poisson_mix(spark, sf_dir):
 
 
 def op3_backoff_scores(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
-    good = F.broadcast(good) if good.count() <= 200_000 else good
-    scores = backoff_lm.backoff_scores(docs, docs.join(good, "doc_id", "left_semi"))
+    scores = backoff_lm.backoff_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return scores.select("doc_id", "n_words", F.round("mean_log_score", 6).alias("mean_log_score"))
 
 
@@ -73,10 +70,9 @@ ORACLE = {
 with t as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'),
     lambda v: v <> '') as ws, row_number() over () as rid from documents),
 w as (select rid, doc_id, i, ws[i] as w, case when i > 1 then ws[i - 1] end as v from (select *, unnest(range(1, len(ws) + 1)) as i from t)),
-g as (select w.* from w where doc_id in (select doc_id from labels where quality = 1)),
-u as (select w, count(*) as c from g group by w),
-b as (select v, w, count(*) as c from g where v is not null group by v, w),
-n as (select sum(c) as n from u),
+u as (select w, count(*) as c from w group by w having count(*) >= 2),
+b as (select v, w, count(*) as c from w where v is not null group by v, w having count(*) >= 2),
+n as (select count(*) as n from w),
 s as (select rid, sum(case when b.c is not null then ln(b.c / x.c) else ln(0.4 * coalesce(y.c, 0.5) / n.n) end) as total, count(*) as k
   from w cross join n left join b on b.v = w.v and b.w = w.w left join u x on x.w = w.v left join u y on y.w = w.w group by rid)
 select doc_id, cast(len(ws) as bigint) as n_words, round(total / k, 6) as mean_log_score from t left join s using (rid)""",

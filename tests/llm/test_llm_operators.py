@@ -99,42 +99,54 @@ def test_large_rates(spark):
 # ---- language model ----
 
 
-def test_scores_equal_definition_on_both_paths(spark):
+def backoff(texts, train, order, least=2):
+    """Scores by definition: at each word the longest n-gram seen often enough."""
     import math
 
-    rng = random.Random(1)
-    texts = [" ".join(rng.choice("abcdefgh") * rng.randrange(1, 3) for _ in range(rng.randrange(0, 30))) for _ in range(60)]
-    d = docs(spark, [(i, t, "") for i, t in enumerate(texts)] + [(99, texts[3], "")])
-    train = d.where("doc_id < 20")
-    uni, bi = {}, {}
-    for t in texts[:20]:
-        w = t.split()
-        for i, x in enumerate(w):
-            uni[x] = uni.get(x, 0) + 1
-            if i:
-                bi[w[i - 1], x] = bi.get((w[i - 1], x), 0) + 1
-    n = sum(uni.values())
-
-    def score(t):
-        w = t.split()
-        return sum(math.log(bi[w[i - 1], x] / uni[w[i - 1]]) if i and (w[i - 1], x) in bi else math.log(0.4 * uni.get(x, 0.5) / n) for i, x in enumerate(w))
-
-    for few, size in ((10**6, 10**9), (0, 200)):
-        for r in backoff_lm.backoff_scores(d, train, few_words=few, bucket_bytes=size).collect():
-            t = texts[3] if r.doc_id == 99 else texts[r.doc_id]
-            if t:
-                assert abs(r.log_score - score(t)) < 1e-8
-            else:
-                assert r.log_score is None
-
-
-def test_rare_bigrams_go_through_the_buckets(spark, monkeypatch):
-    monkeypatch.setattr(backoff_lm, "COMMON", 1)
-    d = docs(spark, [(1, "a b c a b", ""), (2, "a b z", "")])
-    a = {r.doc_id: round(r.log_score, 9) for r in backoff_lm.backoff_scores(d, d.where("doc_id = 1")).collect()}
-    monkeypatch.setattr(backoff_lm, "COMMON", 1000)
-    b = {r.doc_id: round(r.log_score, 9) for r in backoff_lm.backoff_scores(d, d.where("doc_id = 1")).collect()}
-    assert a == b
+    counts, n = {}, sum(len(t.split()) for t in train)
+    for t in train:
+        w = t.lower().split()
+        for i in range(len(w)):
+            for k in range(1, order + 1):
+                if i + k <= len(w):
+                    counts[tuple(w[i : i + k])] = counts.get(tuple(w[i : i + k]), 0) + 1
+
+    def word(w, i):
+        for k in range(min(order, i + 1), 1, -1):
+            g = tuple(w[i - k + 1 : i + 1])
+            if counts.get(g, 0) >= least:
+                return math.log(0.4 ** (order - k) * counts[g] / counts[g[:-1]])
+        c = counts.get((w[i],), 0)
+        return math.log(0.4 ** (order - 1) * (c if c >= least else 0.5) / n)
+
+    return [sum(word(t.lower().split(), i) for i in range(len(t.split()))) for t in texts]
+
+
+@pytest.mark.parametrize("order,frequent,common", [(2, 100_000, 1000), (2, 3, 2), (2, 0, 1), (3, 5, 3), (4, 100_000, 1000)])
+@pytest.mark.parametrize("own", [True, False])
+def test_backoff_equals_definition(spark, monkeypatch, order, frequent, common, own):
+    monkeypatch.setattr(backoff_lm, "COMMON", common)
+    rng = random.Random(order)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randrange(1, 3) for _ in range(rng.randrange(0, 30))) for _ in range(40)]
+    texts += [texts[3], "Aa bb zzz", "qqq"]
+    d = docs(spark, [(i, t, "") for i, t in enumerate(texts)] + [(3, texts[3], "")])
+    train = texts + [texts[3]] if own else texts[:20]
+    want = backoff(texts, train, order)
+    got = backoff_lm.backoff_scores(d, None if own else d.where("doc_id < 20").dropDuplicates(), order=order, frequent=frequent).collect()
+    assert len(got) == len(texts) + 1
+    for r in got:
+        if texts[r.doc_id]:
+            assert r.n_words == len(texts[r.doc_id].split()) and abs(r.log_score - want[r.doc_id]) < 1e-8
+        else:
+            assert r.log_score is None and r.n_words == 0
+
+
+def test_documents_that_occur_twice_score_apart(spark):
+    rng = random.Random(5)
+    once = [" ".join(f"w{rng.randrange(3000)}" for _ in range(40)) for _ in range(60)]
+    d = docs(spark, [(i, t, "") for i, t in enumerate(once)] + [(100 + i, t, "") for i, t in enumerate(once[:20])])
+    got = {r.doc_id: r.mean_log_score for r in backoff_lm.backoff_scores(d).collect()}
+    assert min(got[i] for i in range(20)) > max(got[i] for i in range(20, 60))
 
 
 # ---- Jaccard join ----
