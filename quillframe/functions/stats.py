@@ -29,3 +29,8 @@ def lower_median(values: Column) -> Column:
 
 def choose2(n: Column) -> Column:
     return n * (n - 1) / 2
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with the value worked out once for each row, also where body uses it inside a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)

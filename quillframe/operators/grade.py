@@ -10,10 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import stats
+
 SUB, EX = "submission_id", "exercise_id"
 STEP_ROLES = ("carry", "borrow", "partial")
 ANSWER_ROLES = ("answer",)
 MOST_DY = 6
+TOKEN = ("token_id", "c", "x", "y", "type")
+CELL = ("x", "y", "c", "role", "given")
 
 
 def is_bar(c: Column) -> Column:
@@ -37,13 +41,53 @@ def with_given(submitted: DataFrame, expected: DataFrame) -> DataFrame:
     return child.select(*cols).unionByName(fixed.select(*cols))
 
 
+def together(submitted: DataFrame, expected: DataFrame) -> DataFrame:
+    """submission_id, exercise_id, tokens and cells: one row for each submission. All that follows stays inside the row."""
+    tokens = submitted.groupBy(SUB, EX).agg(F.collect_list(F.struct("token_id", "c", "x", "y", "type")).alias("tokens"))
+    cells = expected.groupBy(EX).agg(F.collect_list(F.struct("x", "y", "c", "role", "given")).alias("cells"))
+    none = F.array().cast("array<struct<x:int,y:int,c:string,role:string,given:boolean>>")
+    return tokens.join(cells, EX, "left").withColumn("cells", F.coalesce("cells", none))
+
+
+def _shift(tokens: Column, cells: Column, most: int = MOST_DY) -> Column:
+    rows = lambda of: F.array_distinct(F.transform(F.filter(of, lambda v: ~is_bar(v["c"])), lambda v: v["y"]))
+    own, levels = rows(tokens), rows(cells)
+    votes = F.transform(F.sequence(F.lit(-most), F.lit(most)), lambda dy: F.struct((-F.size(F.filter(own, lambda y: F.array_contains(levels, y + dy)))).alias("n"), F.abs(dy).alias("d"), dy.alias("dy")))
+    return F.coalesce(F.array_min(F.filter(votes, lambda v: v["n"] < 0))["dy"], F.lit(0))
+
+
 def row_shift(submitted: DataFrame, expected: DataFrame, most: int = MOST_DY) -> DataFrame:
     """submission_id, dy: the vertical shift that puts most of a submission's rows on expected rows; nearest to 0, then negative."""
-    rows = submitted.where(~is_bar(F.col("c"))).select(SUB, EX, "y").distinct()
-    levels = expected.groupBy(EX, "y").agg(F.bool_and(is_bar(F.col("c"))).alias("bar")).where("not bar").select(EX, F.col("y").alias("__ey"))
-    votes = rows.join(levels, EX).withColumn("dy", F.col("__ey") - F.col("y")).where(F.abs("dy") <= most).groupBy(SUB, "dy").agg(F.count(F.lit(1)).alias("n"))
-    best = votes.groupBy(SUB).agg(F.min(F.struct((-F.col("n")).alias("n"), F.abs("dy").alias("d"), "dy"))["dy"].alias("dy"))
-    return submitted.select(SUB).distinct().join(best, SUB, "left").na.fill(0, ["dy"])
+    return together(submitted, expected).select(SUB, _shift(F.col("tokens"), F.col("cells"), most).alias("dy"))
+
+
+def _levels(cells: Column) -> Column:
+    """The rows of cells: y, whether they are bars only, and their last x."""
+
+    def level(y: Column) -> Column:
+        own = F.filter(cells, lambda e: e["y"] == y)
+        return F.struct(y.alias("y"), F.forall(own, lambda e: is_bar(e["c"])).alias("bar"), F.array_max(F.transform(own, lambda e: e["x"])).alias("last"))
+
+    return F.transform(F.array_distinct(F.transform(cells, lambda e: e["y"])), level)
+
+
+def matching(tokens: Column, cells: Column) -> Column:
+    """The tokens with ex, ey, the cell that each fills; see ``structure_match``."""
+
+    def placed(t: Column, dy: Column, levels: Column) -> Column:
+        y = F.when(is_bar(t["c"]), t["y"]).otherwise(t["y"] + dy)
+        costs = F.transform(levels, lambda v: F.struct((is_bar(t["c"]) != v["bar"]).cast("int").alias("k"), F.abs(y - v["y"]).alias("d"), v["y"].alias("ey"), v["last"].alias("last")))
+        return F.struct(*[t[c].alias(c) for c in TOKEN], F.array_min(costs).alias("to"))
+
+    def found(t: Column, all_placed: Column) -> Column:
+        mates = F.filter(all_placed, lambda o: o["to"]["ey"] == t["to"]["ey"])
+        ex = t["to"]["last"] - (F.array_max(F.transform(mates, lambda o: o["x"])) - t["x"])
+        first = ~F.exists(mates, lambda o: (o["x"] == t["x"]) & (o["token_id"] > t["token_id"]))
+        here = stats.let(ex, lambda x: F.when(first & F.exists(cells, lambda e: (e["y"] == t["to"]["ey"]) & (e["x"] == x)), x))
+        return stats.let(here, lambda x: F.struct(*[t[c].alias(c) for c in TOKEN], x.alias("ex"), F.when(x.isNotNull(), t["to"]["ey"]).alias("ey")))
+
+    each = stats.let(_shift(tokens, cells), lambda dy: stats.let(_levels(cells), lambda levels: F.transform(tokens, lambda t: placed(t, dy, levels))))
+    return stats.let(F.filter(each, lambda t: t["to"].isNotNull()), lambda ts: F.transform(ts, lambda t: found(t, ts)))
 
 
 def structure_match(submitted: DataFrame, expected: DataFrame) -> DataFrame:
@@ -51,19 +95,10 @@ def structure_match(submitted: DataFrame, expected: DataFrame) -> DataFrame:
 
     After the shift of ``row_shift`` (bars stay) a token goes to the nearest expected row, a row of its own kind (bar or not)
     first, the smaller y among equals. In a row, cells and tokens are counted from the right, and equal slots match; of
-    several tokens in one slot the last by order of x and token_id counts.
+    several tokens in one slot the last by order of token_id counts.
     """
-    levels = expected.groupBy(EX, "y").agg(F.bool_and(is_bar(F.col("c"))).alias("row_bar")).withColumnRenamed("y", "ey")
-    subs = submitted.join(row_shift(submitted, expected), SUB).withColumn("__y", F.when(is_bar(F.col("c")), F.col("y")).otherwise(F.col("y") + F.col("dy")))
-    cost = F.struct((is_bar(F.col("c")) != F.col("row_bar")).cast("int").alias("k"), F.abs(F.col("__y") - F.col("ey")).alias("d"), "ey")
-    cols = [SUB, EX, "token_id", "c", "x", "y", "type"]
-    placed = subs.join(levels, EX).groupBy(*cols).agg(F.min(cost)["ey"].alias("ey"))
-    w = W.partitionBy(SUB, "ey")
-    placed = placed.withColumn("slot", F.max("x").over(w) - F.col("x"))
-    placed = placed.withColumn("__r", F.row_number().over(W.partitionBy(SUB, "ey", "slot").orderBy(F.desc("token_id"))))
-    cells = expected.withColumn("slot", F.max("x").over(W.partitionBy(EX, "y")) - F.col("x")).select(EX, F.col("y").alias("ey"), "slot", F.col("x").alias("ex"))
-    out = placed.join(cells, [EX, "ey", "slot"], "left").withColumn("ex", F.when(F.col("__r") == 1, F.col("ex")))
-    return out.withColumn("ey", F.when(F.col("ex").isNotNull(), F.col("ey"))).select(*cols, "ex", "ey")
+    both = together(submitted, expected)
+    return both.select(SUB, EX, F.explode(matching(F.col("tokens"), F.col("cells"))).alias("t")).select(SUB, EX, "t.*")
 
 
 def groups(expected: DataFrame) -> DataFrame:
@@ -84,28 +119,56 @@ def graded_cells(submitted: DataFrame, expected: DataFrame) -> DataFrame:
     right, else wrong cells are ERROR and empty ones MISSING if any is wrong, else the group is MISSING as a whole; given
     groups without a wrong cell are always OK. Borrows are optional: only drawn ones (type REPLACE) count, by value.
     """
-    core = structure_match(submitted.where("type <> 'REPLACE'"), _core(expected)).where("ex is not null").select(SUB, F.col("ex").alias("x"), F.col("ey").alias("y"), F.col("c").alias("got"), "token_id")
-    subs = submitted.select(SUB, EX).distinct()
-    cells = subs.join(groups(_core(expected)), EX).join(core, [SUB, "x", "y"], "left")
-    w = W.partitionBy(SUB, "y", "role", "group_x")
-    right = F.coalesce(F.col("got") == F.col("c"), F.lit(False))
-    wrong = F.coalesce(F.col("got") != F.col("c"), F.lit(False))
-    given = F.min("given").over(w)
-    step = F.col("role").isin(*STEP_ROLES) & ~given
-    cells = cells.withColumns({"__all": F.min(right).over(w), "__wrong": F.max(wrong).over(w), "__any": F.max(F.col("got").isNotNull()).over(w), "__given": given, "__step": step})
-    status = (
-        F.when(F.col("__step"), F.when(F.col("__any"), "OK").otherwise("MISSING"))
-        .when(F.col("__all"), "OK")
-        .when(F.col("__wrong"), F.when(wrong, "ERROR").when(F.col("got").isNull(), "MISSING").otherwise("OK"))
-        .when(F.col("__given"), "OK").otherwise("MISSING")
+    optional = lambda e: (e["role"] == "borrow") & ~e["given"]
+    drawn = lambda t: t["type"] == "REPLACE"
+    right = lambda e: F.coalesce(e["got"] == e["c"], F.lit(False))
+    wrong = lambda e: F.coalesce(e["got"] != e["c"], F.lit(False))
+
+    def filled(e: Column, cells: Column, placed: Column) -> Column:
+        """The cell with what was written there and the first x of its group."""
+        xs = F.transform(F.filter(cells, lambda o: (o["y"] == e["y"]) & (o["role"] == e["role"]) & (o["x"] <= e["x"])), lambda o: o["x"])
+        first = F.array_max(F.filter(xs, lambda x: ~F.array_contains(xs, x - 1)))
+        written = F.get(F.filter(placed, lambda p: (p["ex"] == e["x"]) & (p["ey"] == e["y"])), 0)
+        return stats.let(written, lambda t: F.struct(*[e[c].alias(c) for c in CELL], first.alias("group_x"), t["c"].alias("got"), t["token_id"].alias("token_id")))
+
+    def judged(e: Column, cells: Column) -> Column:
+        own = F.filter(cells, lambda o: (o["y"] == e["y"]) & (o["role"] == e["role"]) & (o["group_x"] == e["group_x"]))
+        facts = lambda g: F.struct(
+            F.forall(g, lambda o: o["given"]).alias("given"), F.forall(g, right).alias("all"), F.exists(g, wrong).alias("bad"), F.exists(g, lambda o: o["got"].isNotNull()).alias("some")
+        )
+        return stats.let(stats.let(own, facts), lambda f: result(e, f))
+
+    def result(e: Column, f: Column) -> Column:
+        step = e["role"].isin(*STEP_ROLES) & ~f["given"]
+        status = (
+            F.when(step, F.when(f["some"], "OK").otherwise("MISSING"))
+            .when(f["all"], "OK")
+            .when(f["bad"], F.when(wrong(e), "ERROR").when(e["got"].isNull(), "MISSING").otherwise("OK"))
+            .when(f["given"], "OK").otherwise("MISSING")
+        )
+        counts = F.when(step, f["some"]).otherwise(f["all"] & ~e["given"])
+        return _graded(e, e["group_x"], e["got"], e["token_id"], status, step | ~e["given"], counts, f["bad"])
+
+    def borrowed(e: Column, tokens: Column) -> Column:
+        here = F.filter(tokens, lambda t: drawn(t) & (t["x"] == e["x"]) & (t["y"] == e["y"]))
+        ok = lambda t: F.coalesce(t["c"] == e["c"], F.lit(False))
+        return F.transform(here, lambda t: _graded(e, e["x"], t["c"], t["token_id"], F.when(ok(t), "OK").otherwise("ERROR"), F.lit(True), ok(t), ~ok(t)))
+
+    def whole(tokens: Column, cells: Column) -> Column:
+        core = F.filter(cells, lambda e: ~optional(e))
+        placed = lambda es: matching(F.filter(tokens, lambda t: ~drawn(t)), es)
+        graded = stats.let(core, lambda es: stats.let(placed(es), lambda ps: stats.let(F.transform(es, lambda e: filled(e, es, ps)), lambda fs: F.transform(fs, lambda e: judged(e, fs)))))
+        return F.concat(graded, F.flatten(F.transform(F.filter(cells, optional), lambda e: borrowed(e, tokens))))
+
+    both = together(submitted, expected)
+    return both.select(SUB, EX, F.explode(whole(F.col("tokens"), F.col("cells"))).alias("e")).select(SUB, EX, "e.*")
+
+
+def _graded(e: Column, group_x: Column, got: Column, token_id: Column, status: Column, required: Column, matched: Column, group_wrong: Column) -> Column:
+    return F.struct(
+        *[e[c].alias(c) for c in CELL], group_x.alias("group_x"), got.alias("got"), token_id.alias("token_id"), status.alias("status"),
+        required.alias("required"), matched.alias("matched"), group_wrong.alias("group_wrong"),
     )
-    counts = F.when(F.col("__step"), F.col("__any")).otherwise(F.col("__all") & ~F.col("given"))
-    cells = cells.select(SUB, EX, "x", "y", "c", "role", "given", "group_x", "got", "token_id", status.alias("status"), (F.col("__step") | ~F.col("given")).alias("required"), F.coalesce(counts, F.lit(False)).alias("matched"), F.col("__wrong").alias("group_wrong"))
-    drawn = submitted.where("type = 'REPLACE'").select(SUB, EX, "x", "y", F.col("c").alias("got"), "token_id")
-    borrows = expected.where("role = 'borrow' and not given").join(drawn, [EX, "x", "y"])
-    ok = F.col("got") == F.col("c")
-    borrows = borrows.select(SUB, EX, "x", "y", "c", "role", "given", F.col("x").alias("group_x"), "got", "token_id", F.when(ok, "OK").otherwise("ERROR").alias("status"), F.lit(True).alias("required"), ok.alias("matched"), (~ok).alias("group_wrong"))
-    return cells.unionByName(borrows)
 
 
 def graded_elements(cells: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Worked column solutions: tokens of an exercise (op, a, b), on the rows and columns where they are written.
 
 Input tables have exercise_id, op and the two numbers a and b (not negative). Every digit comes from one expression over
-the exercise; the tokens of a kind are one explode, and their union is the solution. Columns: exercise_id, row, col, label.
+the exercise; all tokens of an exercise are one array, exploded once. Columns: exercise_id, row, col, label.
 """
 
 from __future__ import annotations
@@ -33,16 +33,32 @@ def digit_at(n: Column, k: Column) -> Column:
     return F.floor(n / power10(k)).cast("long") % 10
 
 
-def _number(df: DataFrame, n: str, row: int | Column, right: Column, label: str = "main_") -> DataFrame:
-    """Tokens of a number that ends at column ``right``."""
-    at = df.select("*", F.posexplode(F.split(F.col(n).cast("string"), "")).alias("__i", "__c"))
-    col = right - n_digits(F.col(n)) + 1 + F.col("__i")
-    return _tokens(at, row, col, F.concat(F.lit(label), F.col("__c")))
+def _column(x) -> Column:
+    return x if isinstance(x, Column) else F.lit(x)
 
 
-def _tokens(df: DataFrame, row, col, label) -> DataFrame:
-    as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
-    return df.select(ID, as_column(row).cast("int").alias("row"), as_column(col).cast("int").alias("col"), as_column(label).alias("label"))
+def _token(row, col, label) -> Column:
+    return F.struct(_column(row).cast("int").alias("row"), _column(col).cast("int").alias("col"), _column(label).alias("label"))
+
+
+def _one(row, col, label) -> Column:
+    return F.array(_token(row, col, label))
+
+
+def _number(n: Column, row, right, label: str = "main_") -> Column:
+    """Tokens of a number (or of its digits as text) that ends at column ``right``."""
+    text = n.cast("string")
+    return F.transform(F.split(text, ""), lambda c, i: _token(row, _column(right) - F.length(text) + 1 + i, F.concat(F.lit(label), c)))
+
+
+def _range(first: int, last: Column) -> Column:
+    """first to last; empty when last is smaller."""
+    return F.when(last >= first, F.sequence(F.lit(first), last.cast("int"))).otherwise(F.array().cast("array<int>"))
+
+
+def _written(df: DataFrame, *parts: Column) -> DataFrame:
+    """One row for each token of the parts (arrays of tokens)."""
+    return df.select(ID, F.explode(F.concat(*parts)).alias("t")).select(ID, "t.row", "t.col", "t.label")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -66,15 +82,11 @@ def lacks(a: Column, b: Column, k: Column) -> Column:
 
 def addition(ex: DataFrame) -> DataFrame:
     """Rows: carries 0, a 1, b with the operator 2, bar 3, sum 4."""
-    df = ex.select(ID, "a", "b", (F.col("a") + F.col("b")).alias("r"))
-    df = df.withColumn("w", F.greatest(n_digits(F.col("a")), n_digits(F.col("b")), n_digits(F.col("r"))))
+    a, b, r = F.col("a"), F.col("b"), F.col("a") + F.col("b")
+    df = ex.select(ID, "a", "b", F.greatest(n_digits(a), n_digits(b), n_digits(r)).alias("w"))
     right = F.col("w") + (OFFSET - 1)
-    marks = df.select("*", F.explode(F.when(F.col("w") > 1, F.sequence(F.lit(1), F.col("w") - 1)).otherwise(F.array().cast("array<int>"))).alias("k")).where(carries(F.col("a"), F.col("b"), F.col("k")))
-    lead = F.col("w") - F.greatest(n_digits(F.col("a")), n_digits(F.col("b")), n_digits(F.col("r")))
-    return _union([
-        _tokens(marks, 0, right - F.col("k"), "carry_1"), _number(df, "a", 1, right), _number(df, "b", 2, right), _tokens(df, 2, OFFSET + lead - 1, "op_plus"),
-        _tokens(df, 3, OFFSET - 1, "result_bar"), _number(df, "r", 4, right),
-    ])
+    marks = F.transform(F.filter(_range(1, F.col("w") - 1), lambda k: carries(a, b, k)), lambda k: _token(0, right - k, "carry_1"))
+    return _written(df, marks, _number(a, 1, right), _number(b, 2, right), _one(2, OFFSET - 1, "op_plus"), _one(3, OFFSET - 1, "result_bar"), _number(r, 4, right))
 
 
 def subtraction(ex: DataFrame) -> DataFrame:
@@ -84,26 +96,23 @@ def subtraction(ex: DataFrame) -> DataFrame:
     a place that borrows shows a 1, but for the leftmost place and for zeros inside a chain.
     """
     hi, lo = F.greatest("a", "b"), F.least("a", "b")
-    df = ex.select(ID, hi.alias("a"), lo.alias("b"), (hi - lo).alias("r")).withColumn("w", n_digits(F.col("a")))
-    right = F.col("w") + (OFFSET - 1)
-    places = df.select("*", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("k"))
-    a, b, k = F.col("a"), F.col("b"), F.col("k")
-    d, lent = digit_at(a, k), lacks(a, b, k - 1)
-    shown = places.where(lent).withColumn("n", F.when(d == 0, 9).otherwise(d - 1))
-    borrows = places.where(lacks(a, b, k) & ~((d == 0) & lent) & (k < F.col("w") - 1))
-    padded = df.withColumn("r", F.lpad(F.col("r").cast("string"), F.col("w"), F.lit("0")))
-    return _union([
-        _tokens(shown, 0, right - k, F.concat(F.lit("borrow_"), F.col("n").cast("string"))), _tokens(borrows, 0, right - k, "borrow_1"), _number(df, "a", 1, right), _number(df, "b", 2, right),
-        _tokens(df, 2, OFFSET - 1, "op_minus"), _tokens(df, 3, OFFSET - 1, "result_bar"), _number(padded, "r", 4, right),
-    ])
-
-
-def _pass_carries(df: DataFrame, right: Column, row) -> DataFrame:
+    df = ex.select(ID, hi.alias("a"), lo.alias("b")).withColumn("w", n_digits(F.col("a")))
+    a, b, w = F.col("a"), F.col("b"), F.col("w")
+    right, places = w + (OFFSET - 1), _range(0, w - 1)
+    lent = lambda k: lacks(a, b, k - 1)
+    left = lambda k: F.when(digit_at(a, k) == 0, 9).otherwise(digit_at(a, k) - 1).cast("string")
+    shown = F.transform(F.filter(places, lent), lambda k: _token(0, right - k, F.concat(F.lit("borrow_"), left(k))))
+    takes = F.filter(places, lambda k: lacks(a, b, k) & ~((digit_at(a, k) == 0) & lent(k)) & (k < w - 1))
+    borrows = F.transform(takes, lambda k: _token(0, right - k, "borrow_1"))
+    result = F.lpad((a - b).cast("string"), w, F.lit("0"))
+    return _written(df, shown, borrows, _number(a, 1, right), _number(b, 2, right), _one(2, OFFSET - 1, "op_minus"), _one(3, OFFSET - 1, "result_bar"), _number(result, 4, right))
+
+
+def _pass_carries(a: Column, m: Column, right: Column, row) -> Column:
     """Carry marks of a times one digit m: the carry out of place k stands one column to the left, but for the leftmost."""
-    places = df.select("*", F.explode(F.when(n_digits(F.col("a")) > 1, F.sequence(F.lit(0), n_digits(F.col("a")) - 2)).otherwise(F.array().cast("array<int>"))).alias("k"))
-    p = power10(F.col("k") + 1)
-    places = places.withColumn("c", F.floor((F.col("a") % p) * F.col("m") / p).cast("long")).where("c > 0")
-    return _tokens(places, row, right - F.col("k") - 1, F.concat(F.lit("carry_"), F.col("c").cast("string")))
+    carry = lambda k: F.floor((a % power10(k + 1)) * m / power10(k + 1)).cast("long")
+    places = F.filter(_range(0, n_digits(a) - 2), lambda k: carry(k) > 0)
+    return F.transform(places, lambda k: _token(row, right - k - 1, F.concat(F.lit("carry_"), carry(k).cast("string"))))
 
 
 def multiplication(ex: DataFrame) -> DataFrame:
@@ -111,39 +120,34 @@ def multiplication(ex: DataFrame) -> DataFrame:
     and its partial product (with trailing zeros and, after the first, a plus), the carries of the sum, bar, product; rows
     of carries that stay empty close up.
     """
-    a, b = F.col("a"), F.col("b")
-    df = ex.select(ID, "a", "b", (a * b).alias("r")).withColumn("n", n_digits(b))
-    df = df.withColumn("right", F.greatest(n_digits(a), n_digits(b), n_digits(F.col("r"))) + (OFFSET - 1))
-    right = F.col("right")
-    left = right - F.greatest(n_digits(a), n_digits(b), n_digits(F.col("r"))) + 1
-    one, many = df.where("n = 1").withColumn("m", b), df.where("n > 1")
-    short = _union([
-        _pass_carries(one, right, 0), _number(one, "a", 1, right), _tokens(one, 2, left - 1, "op_times"), _number(one, "b", 2, right), _tokens(one, 3, OFFSET - 1, "result_bar"), _number(one, "r", 4, right),
-    ])
-    passes = many.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")).withColumn("m", digit_at(b, F.col("i")))
-    passes = passes.withColumn("part", (a * F.col("m"))).withColumn("full", F.concat(F.col("part").cast("string"), F.repeat(F.lit("0"), F.col("i"))))
-    pluses = passes.where("i > 0")
-    # Carry into column right - k when the partial products are added: their digit sums below place k, over 10 ** k.
-    sums = passes.select(ID, "right", F.posexplode(F.reverse(F.split(F.col("part").cast("string"), ""))).alias("j", "d"), "i").withColumn("k", F.col("j") + F.col("i"))
-    sums = sums.groupBy(ID, "right", "k").agg(F.sum(F.col("d").cast("long")).alias("s"))
-    below = F.sum(F.col("s") * power10(F.col("k"))).over(W.partitionBy(ID).orderBy("k"))
-    into = sums.withColumn("c", F.floor(below / power10(F.col("k") + 1)).cast("long")).where((F.col("c") > 0) & (right - F.col("k") > OFFSET))
-    base = 3 + F.col("n") * 2
-    long = _union([
-        _number(many, "a", 0, right), _tokens(many, 1, left - 1, "op_times"), _number(many, "b", 1, right), _tokens(many, 2, OFFSET - 1, "result_bar"),
-        _pass_carries(passes, right - F.col("i"), 3 + F.col("i") * 2), _number(passes, "full", 4 + F.col("i") * 2, right), _tokens(pluses, 4 + F.col("i") * 2, right - F.length("full"), "op_plus"),
-        _tokens(into.join(many.select(ID, "n"), ID), base, right - F.col("k") - 1, F.concat(F.lit("carry_"), F.col("c").cast("string"))), _tokens(many, base + 1, OFFSET - 1, "result_bar"), _number(many, "r", base + 2, right),
-    ])
+    a, b, n, w = (F.col(c) for c in ("a", "b", "n", "w"))
+    r = a * b
+    df = ex.select(ID, "a", "b", n_digits(b).alias("n"), F.greatest(n_digits(a), n_digits(b), n_digits(r)).alias("w"))
+    right, left = w + (OFFSET - 1), OFFSET - 1
+    short = [_pass_carries(a, b, right, 0), _number(a, 1, right), _one(2, left, "op_times"), _number(b, 2, right), _one(3, left, "result_bar"), _number(r, 4, right)]
+    passes = _range(0, n - 1)
+    part = lambda i: a * digit_at(b, i)
+    full = lambda i: F.concat(part(i).cast("string"), F.repeat(F.lit("0"), i))
+    # Carry out of place k when the partial products are added: what their digits up to place k come to, over 10 ** (k + 1).
+    below = lambda k: F.aggregate(passes, F.lit(0).cast("long"), lambda s, i: s + F.when(i <= k, part(i) % power10(k + 1 - i) * power10(i)).otherwise(0).cast("long"))
+    carry = lambda k: F.floor(below(k) / power10(k + 1)).cast("long")
+    last = F.array_max(F.transform(passes, lambda i: F.length(full(i)))) - 1
+    base = 3 + n * 2
+    sums = F.transform(F.filter(_range(0, last), lambda k: (carry(k) > 0) & (right - k > OFFSET)), lambda k: _token(base, right - k - 1, F.concat(F.lit("carry_"), carry(k).cast("string"))))
+    each = lambda i: F.concat(
+        _pass_carries(a, digit_at(b, i), right - i, 3 + i * 2), _number(full(i), 4 + i * 2, right),
+        F.filter(_one(4 + i * 2, right - F.length(full(i)), "op_plus"), lambda t: i > 0),
+    )
+    long = [_number(a, 0, right), _one(1, left, "op_times"), _number(b, 1, right), _one(2, left, "result_bar"), F.flatten(F.transform(passes, each)), sums, _one(base + 1, left, "result_bar"), _number(r, base + 2, right)]
     # Close up: a row's number falls by the empty carry rows above it.
-    nominal = many.select(ID, F.explode(F.transform(F.sequence(F.lit(0), F.col("n")), lambda i: 3 + i * 2)).alias("row"))
-    empty = nominal.join(long.select(ID, "row").distinct(), [ID, "row"], "left_anti").groupBy(ID).agg(F.collect_list("row").alias("empty"))
-    closed = long.join(empty, ID, "left").withColumn("empty", F.coalesce("empty", F.array().cast("array<int>")))
-    closed = closed.withColumn("row", (F.col("row") - F.size(F.filter("empty", lambda r: r < F.col("row")))).cast("int")).drop("empty")
-    return short.unionByName(closed)
+    many = df.where("n > 1").select(ID, F.concat(*long).alias("ts"), F.transform(_range(0, n), lambda i: 3 + i * 2).alias("rows"))
+    many = many.select(ID, "ts", F.array_except("rows", F.transform("ts", lambda t: t["row"])).alias("empty"))
+    closed = F.transform("ts", lambda t: _token(t["row"] - F.size(F.filter("empty", lambda e: e < t["row"])), t["col"], t["label"]))
+    return _written(df.where("n = 1"), *short).unionByName(_written(many, closed))
 
 
-def division_steps(ex: DataFrame) -> DataFrame:
-    """exercise_id, step, quotient_digit, product, remainder, right_col: the steps of a / b, from the first prefix >= b."""
+def _steps() -> Column:
+    """Array of (quotient digit q, product p, remainder r, last column c): the steps of a / b, from the first prefix >= b."""
     zero = F.lit(0).cast("long")
     step_type = "array<struct<q:long,p:long,r:long,c:int>>"
     start = F.struct(zero.alias("cur"), F.array().cast(step_type).alias("steps"))
@@ -158,32 +162,39 @@ def division_steps(ex: DataFrame) -> DataFrame:
         counts = (F.size(acc["steps"]) > 0) | (cur >= b) | last
         return F.when(counts, F.struct((cur - q * b).alias("cur"), F.array_append(acc["steps"], step).alias("steps"))).otherwise(F.struct(cur.alias("cur"), acc["steps"].alias("steps")))
 
-    df = ex.where("b > 0").select(ID, "a", "b", F.posexplode(F.aggregate(places, start, take)["steps"]).alias("step", "s"))
+    return F.aggregate(places, start, take)["steps"]
+
+
+def division_steps(ex: DataFrame) -> DataFrame:
+    """exercise_id, step, quotient_digit, product, remainder, right_col: the steps of a / b, from the first prefix >= b."""
+    df = ex.where("b > 0").select(ID, "a", "b", F.posexplode(_steps()).alias("step", "s"))
     return df.select(ID, "a", "b", "step", F.col("s.q").alias("quotient_digit"), F.col("s.p").alias("product"), F.col("s.r").alias("remainder"), F.col("s.c").alias("right_col"))
 
 
 def long_division(ex: DataFrame) -> DataFrame:
     """Quotient in row 0; divisor, bracket (column -1) and dividend in row 1; product, bar and remainder of step k in rows 2 + 3k on."""
-    st = division_steps(ex)
-    w = W.partitionBy(ID).orderBy("step")
-    st = st.withColumns({"next_col": F.lead("right_col").over(w), "base": 2 + F.col("step") * 3})
-    st = st.withColumn("brought", F.when(F.col("next_col").isNotNull(), F.substr(F.col("a").cast("string"), F.col("next_col") + 1, F.lit(1))))
-    df = ex.where("b > 0").select(ID, "a", "b")
-    left = F.col("right_col") - n_digits(F.col("product")) + 1
-    inner, last = st.where("next_col is not null"), st.where("next_col is null")
-    return _union([
-        _tokens(st, 0, F.col("right_col"), F.concat(F.lit("main_"), F.col("quotient_digit").cast("string"))), _number(df, "b", 1, F.lit(-2)), _tokens(df, 1, -1, "div_bracket"), _number(df, "a", 1, n_digits(F.col("a")) - 1),
-        _number(st, "product", F.col("base"), F.col("right_col")), _tokens(st, F.col("base") + 1, left - 1, "result_bar"),
-        _number(inner.where("remainder > 0"), "remainder", F.col("base") + 2, F.col("next_col") - 1), _tokens(inner, F.col("base") + 2, F.col("next_col"), F.concat(F.lit("main_"), F.col("brought"))),
-        _number(last, "remainder", F.col("base") + 2, F.col("right_col")),
-    ])
+    df = ex.where("b > 0").select(ID, "a", "b", _steps().alias("steps"))
+    a, b = F.col("a"), F.col("b")
+
+    def tokens(s: Column, i: Column) -> Column:
+        row, following = 2 + i * 3, F.get("steps", i + 1)["c"]
+        last = following.isNull()
+        brought = F.substr(a.cast("string"), following + 1, F.lit(1))
+        return F.concat(
+            _one(0, s["c"], F.concat(F.lit("main_"), s["q"].cast("string"))), _number(s["p"], row, s["c"]), _one(row + 1, s["c"] - n_digits(s["p"]), "result_bar"),
+            F.filter(_number(s["r"], row + 2, F.when(last, s["c"]).otherwise(following - 1)), lambda t: last | (s["r"] > 0)),
+            F.filter(_one(row + 2, following, F.concat(F.lit("main_"), brought)), lambda t: ~last),
+        )
+
+    return _written(df, F.flatten(F.transform("steps", tokens)), _number(b, 1, -2), _one(1, -1, "div_bracket"), _number(a, 1, n_digits(a) - 1))
 
 
 def simple_division(ex: DataFrame) -> DataFrame:
     """Exact divisions on one line: dividend, operator, divisor; the quotient right-aligned under a bar. Others are left out."""
-    df = ex.where("b > 0 and a % b = 0").select(ID, "a", "b", F.floor(F.col("a") / F.col("b")).cast("long").alias("r"))
-    end = n_digits(F.col("a")) + n_digits(F.col("b"))
-    return _union([_number(df, "a", 0, n_digits(F.col("a")) - 1), _tokens(df, 0, n_digits(F.col("a")), "op_divide"), _number(df, "b", 0, end), _tokens(df, 1, 0, "result_bar"), _number(df, "r", 2, end)])
+    df = ex.where("b > 0 and a % b = 0").select(ID, "a", "b")
+    a, b = F.col("a"), F.col("b")
+    end = n_digits(a) + n_digits(b)
+    return _written(df, _number(a, 0, n_digits(a) - 1), _one(0, n_digits(a), "op_divide"), _number(b, 0, end), _one(1, 0, "result_bar"), _number(F.floor(a / b).cast("long"), 2, end))
 
 
 def solutions(ex: DataFrame) -> DataFrame:

@@ -45,8 +45,8 @@ union all
 select scene_id, det_id + 1000 as det_id, label, confidence, x0 + 3 as x0, y0, x1 + 3 as x1, y1, 'b' as source from detections where source = 'a' and det_id % 3 = 0""",
     "assets": "select source || '/' || cast(doc_id as string) as path, lang as label, doc_id, text from documents",
     "exercises": """
-select row_number() over (order by op, a, b) as exercise_id, op, a, b from (
-  select distinct case l_linenumber % 4 when 0 then 'add' when 1 then 'subtract' when 2 then 'multiply' else 'divide' end as op, l_partkey % 1000 as a, l_suppkey % 1000 as b from lineitem) t""",
+select k * 1000000 + a * 1000 + b as exercise_id, case k when 0 then 'add' when 1 then 'subtract' when 2 then 'multiply' else 'divide' end as op, a, b
+from (select distinct l_linenumber % 4 as k, l_partkey % 1000 as a, l_suppkey % 1000 as b from lineitem) t""",
     "epoch_log": """
 select user_id as run_id, cast(row_number() over (partition by user_id order by ts, event_id) as int) as epoch, cast(floor(value * 100) as bigint) as loss, event_type, event_id from events""",
 }
