@@ -213,3 +213,13 @@ def by_metric(aggregate: DataFrame, keys: list[str] = ()) -> DataFrame:
     names = [c for c in aggregate.columns if c not in keys]
     pairs = [x for n in names for x in (F.lit(n), F.col(n).cast("double"))]
     return aggregate.select(*keys, F.explode(F.create_map(*pairs)).alias("metric", "value"))
+
+
+def report(scenes: DataFrame, gt: DataFrame, pred: DataFrame, dets: DataFrame) -> DataFrame:
+    """section, key, metric, value: means overall (aggregate), per_kind and per_case, recall per_label and per_sample."""
+    samples = sample_metrics(scenes, gt, pred, dets)
+    section = F.create_map(*[F.lit(x) for x in ("all", "aggregate", "equation_kind", "per_kind", "scene_case", "per_case")])[F.col("grouping")]
+    groups = by_metric(metrics_by(samples).withColumn("section", section).drop("grouping"), ["section", "key"]).where("value is not null")
+    labels = label_recall(confusion(label_pairs(gt, pred))).select(F.lit("per_label").alias("section"), F.col("gt_label").alias("key"), F.lit("recall").alias("metric"), F.col("recall").alias("value"))
+    each = samples.where("recall is not null").select(F.lit("per_sample").alias("section"), F.col(SCENE).cast("string").alias("key"), F.lit("recall").alias("metric"), F.col("recall").alias("value"))
+    return groups.unionByName(labels).unionByName(each)

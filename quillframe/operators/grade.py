@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from .quality import issues
 
 SUB, EX = "submission_id", "exercise_id"
 STEP_ROLES = ("carry", "borrow", "partial")
@@ -249,9 +250,13 @@ def snapped(glyphs: DataFrame, typed: DataFrame, pitch: float, key: str = SUB) -
     glyphs: key, cluster_id, token_id, c, cx, cy. typed: key, x, y, type. A snapped cluster is one token: characters from left to
     right, the first one's id.
     """
+    return tokens_to_grid(glyphs, typed, pitch, key=key)
+
+
+def tokens_to_grid(glyphs: DataFrame, typed: DataFrame, pitch: float, origin_x: float = 0.0, origin_y: float = 0.0, cells: int | None = None, key: str = SUB) -> DataFrame:
+    """Glyphs at pixel centres to tokens on a grid (cells: its size, to which places are clamped); see ``snapped`` for the columns and the snapping."""
     centre = glyphs.groupBy(key, "cluster_id").agg(F.avg("cx").alias("mx"), F.avg("cy").alias("my"))
-    tx, ty = (F.col("x") + 0.5) * pitch, (F.col("y") + 0.5) * pitch
-    dx, dy = F.abs(F.col("mx") - tx), F.abs(F.col("my") - ty)
+    dx, dy = (F.abs(F.col(m) - (F.col(c) + 0.5) * pitch - o) for m, c, o in (("mx", "x", origin_x), ("my", "y", origin_y)))
     near = F.min(F.struct((dx * dx + dy * dy).alias("d"), "y", "x", "type", ((dx <= 1.5 * pitch) & (dy <= 1.5 * pitch)).alias("fits")))
     best = centre.join(typed, key).groupBy(key, "cluster_id").agg(near.alias("b"))
     joined = glyphs.join(best, [key, "cluster_id"], "left")
@@ -259,10 +264,43 @@ def snapped(glyphs: DataFrame, typed: DataFrame, pitch: float, key: str = SUB) -
     order = F.sort_array(F.collect_list(F.struct("cx", "token_id", "c")))
     moved = joined.where(fits).groupBy(key, F.col("b.x").alias("x"), F.col("b.y").alias("y"), F.col("b.type").alias("type")).agg(order.alias("o"))
     moved = moved.select(key, F.get("o", 0)["token_id"].alias("token_id"), F.array_join(F.transform("o", lambda g: g["c"]), "").alias("c"), "x", "y", "type")
-    stay = joined.where(~fits).select(key, "token_id", "c", F.floor(F.col("cx") / pitch).cast("int").alias("x"), F.floor(F.col("cy") / pitch).cast("int").alias("y"), F.lit("SYMBOL").alias("type"))
+
+    def cell(c: str, origin: float) -> Column:
+        at = F.floor((F.col(c) - origin) / pitch)
+        return (at if cells is None else F.greatest(F.lit(0), F.least(F.lit(cells - 1), at))).cast("int")
+
+    stay = joined.where(~fits).select(key, "token_id", "c", cell("cx", origin_x).alias("x"), cell("cy", origin_y).alias("y"), F.lit("SYMBOL").alias("type"))
     return moved.unionByName(stay)
 
 
+# Signs of the operators in exercise cells.
+OPERATOR_SIGNS = {"+": "op_plus", "-": "op_minus", "*": "op_times", "×": "op_times", "x": "op_times", "/": "op_divide", "÷": "op_divide"}
+
+
+def given_prior(expected: DataFrame, pitch: float, origin_x: float, origin_y: float, top: int) -> tuple[DataFrame, DataFrame]:
+    """Pixel boxes and labels of an exercise's given cells (row ``top`` is the uppermost), and issues for cells that cannot be used.
+
+    Boxes are cut to whole pixels. Only printed scaffold may enter: bars, brackets, operators and operand digits. A given
+    cell of a role that a child fills in is refused (not_given), a sign without a label too (unknown_label).
+    """
+    c, role = F.col("c"), F.col("role")
+    sign = F.create_map(*[F.lit(x) for kv in OPERATOR_SIGNS.items() for x in kv])[c]
+    fine = (
+        F.when(role.isin("bar", "result_bar"), "result_bar").when(role.isin("bracket", "div_bracket"), "div_bracket").when(role == "operator", sign)
+        .when((role == "operand") & c.rlike("^[0-9]$"), F.concat(F.lit("main_"), c))
+    )
+    df = expected.where("given").withColumn("fine_label", fine)
+    coarse = F.when(role == "operator", "operator").when(F.col("fine_label") == "div_bracket", "divide_bracket").when(F.col("fine_label") == "result_bar", "result_bar").otherwise("digit_main")
+    left, upper = F.col("x") * pitch + origin_x, (top - F.col("y")) * pitch + origin_y
+    whole = lambda v: v.cast("int")
+    nodes = df.where("fine_label is not null").select(
+        EX, "x", "y", "c", whole(left).alias("x0"), whole(upper).alias("y0"), whole(left + pitch).alias("x1"), whole(upper + pitch).alias("y1"), "fine_label", coarse.alias("coarse_label")
+    )
+    filled = role.isin(*STEP_ROLES, *ANSWER_ROLES)
+    found = issues(df, F.concat_ws("/", EX, "x", "y"), [(filled, "not_given", role), (F.col("fine_label").isNull() & ~filled, "unknown_label", c)])
+    return nodes, found
+
+
 def derived_exercise(tokens: DataFrame) -> DataFrame:
     """Expected cells from solution tokens (exercise_id, x, y, c, tags, type).
 

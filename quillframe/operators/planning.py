@@ -91,11 +91,21 @@ def allocate(cases: DataFrame, budget: int, floor: int = CASE_FLOOR) -> DataFram
     return df.join(won, "case", "left").select("case", "weakness", "cap", (F.col("base") + F.col("part") + F.coalesce("extra", F.lit(0))).alias("alloc"))
 
 
+def _placed(items: DataFrame, order: DataFrame, key: str, place: str) -> DataFrame:
+    """items (key, item from 0 on without gaps) with pos: the keys in the order of ``place``, each one's items after those of the keys before.
+
+    Only the table of keys is put in order; an item's place is its key's offset plus its own number.
+    """
+    counts = items.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).join(order.select(key, place), key)
+    offsets = counts.select(key, (F.sum("__n").over(W.orderBy(place)) - F.col("__n")).alias("__before"))
+    return items.join(offsets, key).withColumn("pos", (F.col("__before") + F.col("item")).cast("int")).drop("__before")
+
+
 def eval_worklist(targets: DataFrame, existing: DataFrame, buckets: DataFrame, served: DataFrame) -> DataFrame:
     """pos, case, stage, seed: the scenes still needed, by falling deficit."""
     need = deficits(targets, existing)
     items = allocate_seeds(need.select("case", F.col("deficit").alias("n")), buckets, served, "eval")
-    return items.join(need.select("case", F.col("pos").alias("case_pos")), "case").withColumn("pos", F.row_number().over(W.orderBy("case_pos", "item")) - 1).select("pos", "case", "stage", "seed")
+    return _placed(items, need.withColumnRenamed("pos", "case_pos"), "case", "case_pos").select("pos", "case", "stage", "seed")
 
 
 def train_worklist(caps: DataFrame, metrics: DataFrame | None, budget: int, buckets: DataFrame, served: DataFrame) -> DataFrame:
@@ -108,14 +118,16 @@ def train_worklist(caps: DataFrame, metrics: DataFrame | None, budget: int, buck
     plan = allocate(weak if budget > 0 else weak.limit(0), budget).where("alloc > 0")
     order = plan.withColumn("case_pos", F.row_number().over(W.orderBy(F.desc("alloc"), F.desc("weakness"), "case")))
     items = allocate_seeds(plan.select("case", F.col("alloc").alias("n")), buckets, served, "train")
-    return items.join(order.select("case", "case_pos"), "case").withColumn("pos", F.row_number().over(W.orderBy("case_pos", "item")) - 1).select("pos", "case", "stage", "seed")
+    return _placed(items, order, "case", "case_pos").select("pos", "case", "stage", "seed")
 
 
 def with_error_items(items: DataFrame, errors: DataFrame) -> DataFrame:
     """The list with the error items after it."""
-    a = items.select(F.lit(0).alias("block"), F.col("pos").cast("long").alias("n"), "case", "stage", "seed", F.lit("draw").alias("directive"))
-    b = errors.select(F.lit(1).alias("block"), F.row_number().over(W.orderBy("kind", "item")).cast("long").alias("n"), "case", F.lit("full").alias("stage"), "seed", F.lit("error").alias("directive"))
-    return a.unionByName(b).withColumn("pos", F.row_number().over(W.orderBy("block", "n")) - 1).drop("block", "n")
+    kinds = errors.select("kind").distinct().withColumn("kind_pos", F.row_number().over(W.orderBy("kind")))
+    last = items.agg(F.count(F.lit(1)).alias("n_items"))
+    a = items.select("case", "stage", "seed", F.lit("draw").alias("directive"), F.col("pos").cast("int").alias("pos"))
+    b = _placed(errors, kinds, "kind", "kind_pos").join(F.broadcast(last)).select("case", F.lit("full").alias("stage"), "seed", F.lit("error").alias("directive"), (F.col("pos") + F.col("n_items")).cast("int").alias("pos"))
+    return a.unionByName(b)
 
 
 def list_progress(worklist: DataFrame) -> DataFrame:
@@ -132,6 +144,19 @@ def trimmed(worklist: DataFrame, key: str) -> DataFrame:
     return kept.withColumn("pos", F.row_number().over(w) - 1)
 
 
-def marked_done(worklist: DataFrame, done: DataFrame) -> DataFrame:
-    """status = done at the positions given."""
-    return worklist.join(done.select("pos", F.lit(True).alias("__d")), "pos", "left").withColumn("status", F.when(F.col("__d"), "done").otherwise(F.col("status"))).drop("__d")
+def advanced(worklist: DataFrame, sessions: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The lists with the item at each session's cursor done, and the sessions with the cursor one further.
+
+    sessions: key, cursor. A cursor before or after the list changes nothing.
+    """
+    size = worklist.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    within = (F.col("cursor") >= 0) & (F.col("cursor") < F.coalesce("__n", F.lit(0)))
+    moved = sessions.join(size, key, "left").withColumn("__on", within).drop("__n")
+    at = moved.where("__on").select(key, F.col("cursor").alias("pos"), F.lit(True).alias("__d"))
+    marked = worklist.join(at, [key, "pos"], "left").withColumn("status", F.when(F.col("__d"), "done").otherwise(F.col("status"))).drop("__d")
+    return marked, moved.withColumn("cursor", F.col("cursor") + F.col("__on").cast("int")).drop("__on")
+
+
+def with_served(served: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The served seeds with those of a new session, each once."""
+    return served.select("seed").unionByName(seeds.select("seed")).distinct()

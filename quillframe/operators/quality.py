@@ -11,6 +11,18 @@ from ..functions import ontology as o
 ISSUE = ("kind", "path", "detail", "severity")
 # Issue kinds that stop a preparation run.
 HARD_FAIL = ("corrupt_image", "invalid_size", "invalid_channels", "unknown_label", "invalid_label_path", "missing_required_label", "insufficient_class_count")
+#: Tables of up to so many labels are broadcast.
+FEW_LABELS = 10_000
+#: Hexadecimal digits of the digest ranges in which a label's rows are numbered: 4,096 ranges.
+RANGE_DIGITS = 3
+# What people write for a kind of issue.
+ISSUE_ALIASES = {
+    "wrong_label": ("wrong", "w", "wrong_label", "yes", "y", "1", "x"),
+    "duplicate": ("dup", "duplicate", "d"),
+    "spurious": ("extra", "spurious", "ghost", "fake"),
+    "split": ("split",),
+    "merged": ("merge",),
+}
 EQUATION_KINDS = ("addition", "subtraction", "multiplication", "division", "bare_digits")
 BOX_CLASSES = 6
 
@@ -105,15 +117,20 @@ def stratified_split(assets: DataFrame, val: float = 0.1, test: float = 0.1, see
     Contents count once. A label of n rows gives round(n * (val + test)) rows, of which val takes its share; both round half
     to even, and at least one row stays in train.
     """
-    df = first_of_each(assets)
+    order = F.sha2(F.concat(F.lit(f"{seed}:"), "sha256"), 256)
+    df = first_of_each(assets).withColumn("__o", order).withColumn("__range", F.substring("__o", 1, RANGE_DIGITS))
+    # A label's rows are numbered in ranges of the order, each in a task of its own, however many rows the label has.
+    ranges = df.groupBy("label", "__range").agg(F.count(F.lit(1)).alias("__c"))
     w = W.partitionBy("label")
-    place = F.row_number().over(w.orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), "sha256"), 256), "path"))
-    df = df.withColumns({"__n": F.count(F.lit(1)).over(w), "__p": place})
+    ranges = ranges.select("label", "__range", F.sum("__c").over(w).alias("__n"), (F.sum("__c").over(w.orderBy("__range")) - F.col("__c")).alias("__before"))
+    place = F.row_number().over(W.partitionBy("label", "__range").orderBy("__o", "path"))
+    df = df.withColumn("__p", place).join(ranges.withColumnRenamed("label", "__label"), F.col("label").eqNullSafe(F.col("__label")) & (df["__range"] == ranges["__range"]))
+    df = df.drop("__label").drop(ranges["__range"]).withColumn("__p", F.col("__p") + F.col("__before"))
     out = F.least(F.bround(F.col("__n") * (val + test), 0).cast("int"), (F.col("__n") - 1).cast("int"))
     out = F.when(F.col("__n") < 2, 0).otherwise(out)
     n_val = F.bround(out * (val / (val + test)), 0).cast("int")
     split = F.when(F.col("__p") <= n_val, "val").when(F.col("__p") <= out, "test").otherwise("train")
-    return df.withColumn("split", split).drop("__n", "__p")
+    return df.withColumn("split", split).drop("__n", "__p", "__o", "__range", "__before")
 
 
 def leakage(splits: DataFrame) -> DataFrame:
@@ -149,7 +166,8 @@ def scene_weights(scenes: DataFrame, symbols: DataFrame) -> DataFrame:
     """Sampling weight of a scene: the largest total / count over its labels; 1 for a scene without symbols."""
     counts = symbols.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     rarity = counts.withColumn("rarity", F.sum("n").over(W.partitionBy()) / F.col("n")).select("label", "rarity")
-    most = symbols.join(F.broadcast(rarity), "label").groupBy("scene_id").agg(F.max("rarity").alias("weight"))
+    few = rarity.count() <= FEW_LABELS
+    most = symbols.join(F.broadcast(rarity) if few else rarity, "label").groupBy("scene_id").agg(F.max("rarity").alias("weight"))
     return scenes.select("scene_id").join(most, "scene_id", "left").na.fill(1.0, ["weight"])
 
 
@@ -218,3 +236,21 @@ def enriched(assets: DataFrame) -> DataFrame:
         "role": o.role(label), "glyph_key": o.glyph_key(label), "yolo_class": o.coarse_or_main(label), "asset_id": F.substring("sha256", 1, 20),
         "source_type": F.when(o.role(label) == "operator", "operator").otherwise("digit"),
     })
+
+
+def reported_issues(rows: DataFrame) -> DataFrame:
+    """report_id, token_index, issue_type, should_be of the reported tokens (issue and should_be as people wrote them).
+
+    A known alias names the issue; without one, a correction alone makes it a wrong label; other rows report nothing.
+    """
+    said = F.lower(F.trim(F.coalesce("issue", F.lit(""))))
+    should = F.trim(F.coalesce("should_be", F.lit("")))
+    kind = F.create_map(*[F.lit(x) for k, names in ISSUE_ALIASES.items() for n in names for x in (n, k)])[said]
+    kind = F.coalesce(kind, F.when(should != "", "wrong_label"))
+    return rows.select("report_id", "token_index", kind.alias("issue_type"), should.alias("should_be")).where("issue_type is not null")
+
+
+def missed_lines(rows: DataFrame) -> DataFrame:
+    """report_id, should_be, note: one row for each line that names a missed token (column missed, a text); its first word is the label."""
+    lines = rows.select("report_id", F.explode(F.split("missed", "\\r?\\n")).alias("line")).select("report_id", F.trim(F.regexp_replace("line", "^\\s+|\\s+$", "")).alias("note")).where("note <> ''")
+    return lines.select("report_id", F.get(F.split("note", "\\s+"), 0).alias("should_be"), "note")

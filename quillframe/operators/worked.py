@@ -6,7 +6,7 @@ the exercise; all tokens of an exercise are one array, exploded once. Columns: e
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -338,3 +338,38 @@ def injected(tokens: DataFrame, kind: str, p: float = 1.0, seed: int = 0) -> Dat
     if kind == "shifted_marks":
         return tokens.withColumn("col", F.when(hit & is_mark(), F.col("col") - 1).otherwise(F.col("col")))
     raise ValueError(f"unknown error kind {kind}")
+
+
+# ---- completion stages of a scene case ----
+
+# Stages with their weights, and the scene cases by the stages they allow.
+STAGE_WEIGHTS = {"full": 0.65, "done_80": 0.15, "done_60": 0.07, "done_40": 0.06, "done_20": 0.07}
+STAGES_OF = {
+    ("full", "done_80", "done_60", "done_40", "done_20"): (
+        "addition", "subtraction", "addition_op_right", "subtraction_op_right", "subtraction_heavy_borrow", "addition_dense_carries", "addition_no_carries", "subtraction_crowded_borrow",
+        "addition_crowded_carry", "multiplication_simple", "multiplication_multi", "multiplication_simple_op_right", "division_short", "division_long",
+    ),
+    ("full", "done_60", "done_40", "done_20"): ("addition_no_bar", "subtraction_no_bar", "multiplication_simple_no_bar"),
+    ("full", "done_80", "done_40"): ("division_simple",),
+    ("full",): ("bare_digits", "bare_digit_grid", "standalone_bar", "standalone_bracket"),
+}
+
+
+def stage_weights(spark: SparkSession, weights: dict[str, float] | None = None) -> DataFrame:
+    """scene_case, place, stage, upto: the stages of each case with the upper end of their share; the last one takes the rest."""
+    weights = STAGE_WEIGHTS if weights is None else weights
+    rows = []
+    for stages, cases in STAGES_OF.items():
+        ends = [round(sum(weights[s] for s in stages[: i + 1]), 9) for i in range(len(stages) - 1)] + [1.0]
+        rows += [(case, i, stage, end) for case in cases for i, (stage, end) in enumerate(zip(stages, ends, strict=True))]
+    return spark.createDataFrame(rows, "scene_case string, place int, stage string, upto double")
+
+
+def drawn_stage(scenes: DataFrame, uniform: str | None = None, seed: int = 11, weights: dict[str, float] | None = None) -> DataFrame:
+    """scenes (exercise_id, scene_case) with a stage drawn by weight; cases that are not known stay full.
+
+    uniform: a column of numbers from 0 to 1; without it they are digests of the exercise.
+    """
+    listed = stage_weights(scenes.sparkSession, weights).groupBy("scene_case").agg(F.sort_array(F.collect_list(F.struct("place", "upto", "stage"))).alias("__s"))
+    u = chance(seed, ID) if uniform is None else F.col(uniform)
+    return scenes.join(F.broadcast(listed), "scene_case", "left").withColumn("stage", F.coalesce(F.get(F.filter("__s", lambda s: u < s["upto"]), 0)["stage"], F.lit("full"))).drop("__s")

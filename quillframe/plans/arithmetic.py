@@ -59,7 +59,22 @@ def g04_partial_products(t):
     return many.unionByName(one)
 
 
-@query()
+MUL = f"""x as (select exercise_id, a, b, a * b as r, {WIDTH.format('b')} as n, greatest({WIDTH.format('a')}, {WIDTH.format('b')}, {WIDTH.format('(a * b)')}) + 1 as rt from exercises where op = 'multiply'),
+one as (select * from x where n = 1), many as (select * from x where n > 1),
+ps as (select many.*, k as i, b // {P10} % 10 as m, a * (b // {P10} % 10) as part, a * (b // {P10} % 10) * {P10} as whole, {WIDTH.format(f'(a * (b // {P10} % 10))')} + k as len from many, {PLACES} z where k < n),
+sc as (select exercise_id, any_value(rt) as rt, any_value(3 + n * 2) as row, z.k, cast(sum(case when i <= z.k then part % cast(pow(10, z.k + 1 - i) as bigint) * cast(pow(10, i) as bigint) else 0 end) as bigint) // cast(pow(10, z.k + 1) as bigint) as c, max(len) as len
+  from ps, {PLACES} z group by exercise_id, z.k),
+s1 as (select exercise_id, 0 as row, cast(rt - k - 1 as int) as col, 'carry_' || (a % cast(pow(10, k + 1) as bigint) * b // cast(pow(10, k + 1) as bigint)) as label from one, {PLACES} z where k < {WIDTH.format('a')} - 1 and a % cast(pow(10, k + 1) as bigint) * b >= pow(10, k + 1)
+  union all {number_sql('one', 'a', '1', 'rt')} union all {number_sql('one', 'b', '2', 'rt')} union all {number_sql('one', 'r', '4', 'rt')} union all select exercise_id, 2, 1, 'op_times' from one union all select exercise_id, 3, 1, 'result_bar' from one),
+s2 as ({number_sql('many', 'a', '0', 'rt')} union all {number_sql('many', 'b', '1', 'rt')} union all {number_sql('many', 'r', '5 + n * 2', 'rt')} union all select exercise_id, 1, 1, 'op_times' from many union all select exercise_id, 2, 1, 'result_bar' from many union all select exercise_id, cast(4 + n * 2 as int), 1, 'result_bar' from many
+  union all select exercise_id, cast(3 + i * 2 as int), cast(rt - i - k - 1 as int), 'carry_' || (a % cast(pow(10, k + 1) as bigint) * m // cast(pow(10, k + 1) as bigint)) from ps, {PLACES} z where k < {WIDTH.format('a')} - 1 and a % cast(pow(10, k + 1) as bigint) * m >= pow(10, k + 1)
+  union all {number_sql('ps', 'whole', '4 + i * 2', 'rt', 'len')} union all select exercise_id, cast(4 + i * 2 as int), cast(rt - len as int), 'op_plus' from ps where i > 0
+  union all select exercise_id, cast(row as int), cast(rt - k - 1 as int), 'carry_' || c from sc where k < len and c > 0 and rt - k > 2),
+free as (select many.exercise_id, 3 + z.k * 2 as row from many, {PLACES} z where z.k <= n and not exists (select 1 from s2 where s2.exercise_id = many.exercise_id and s2.row = 3 + z.k * 2)),
+s as (select * from s1 union all select s2.exercise_id, cast(s2.row - count(free.row) as int), col, label from s2 left join free on free.exercise_id = s2.exercise_id and free.row < s2.row group by s2.exercise_id, s2.row, col, label)"""
+
+
+@query(f"with {MUL} select * from s")
 def g04_multiplication(t):
     return worked.multiplication(t.exercises.where("op = 'multiply'"))
 
@@ -147,7 +162,8 @@ EXPECTED = f"""{ADD}, expected as (select exercise_id, col as x, 10 - row as y,
 submitted as (select exercise_id as submission_id, exercise_id, 't' || lpad(cast(row_number() over (partition by exercise_id order by y, x) as varchar), 2, '0') as token_id,
     case when role = 'answer' and (exercise_id * 3 + x) % 11 = 0 then cast((cast(c as int) + 1) % 10 as varchar) else c end as c,
     cast(x + case when role = 'answer' then exercise_id % 2 else 0 end as int) as x, cast(y + exercise_id % 3 - 1 as int) as y, case when role = 'carry' then 'OVERFLOW' else 'SYMBOL' end as type
-  from expected where role <> 'bar' and not (not given and (exercise_id + x) % 7 = 0))"""
+  from expected where role <> 'bar' and not (not given and (exercise_id + x) % 7 = 0)
+  union all select exercise_id, exercise_id, 't99', '8', 0, cast(5 + exercise_id % 3 as int), 'SYMBOL' from x where exercise_id % 5 = 2)"""
 
 
 def expected(t):
@@ -161,12 +177,18 @@ def submitted(t):
     df = expected(t).where("role <> 'bar' and not (not given and (exercise_id + x) % 7 = 0)")
     n = F.row_number().over(W.partitionBy("exercise_id").orderBy("y", "x"))
     wrong = (F.col("role") == "answer") & ((F.col("exercise_id") * 3 + F.col("x")) % 11 == 0)
-    return df.select(
+    own = df.select(
         F.col("exercise_id").alias("submission_id"), "exercise_id", F.concat(F.lit("t"), F.lpad(n.cast("string"), 2, "0")).alias("token_id"),
         F.when(wrong, ((F.col("c").try_cast("int") + 1) % 10).cast("string")).otherwise(F.col("c")).alias("c"),
         (F.col("x") + F.when(F.col("role") == "answer", F.col("exercise_id") % 2).otherwise(0)).cast("int").alias("x"), (F.col("y") + F.col("exercise_id") % 3 - 1).cast("int").alias("y"),
         F.when(F.col("role") == "carry", "OVERFLOW").otherwise("SYMBOL").alias("type"), F.array().cast("array<string>").alias("tags"),
     )
+    # A stray digit far to the left of some answers.
+    stray = t.exercises.where("op = 'add' and exercise_id % 5 = 2").select(
+        F.col("exercise_id").alias("submission_id"), "exercise_id", F.lit("t99").alias("token_id"), F.lit("8").alias("c"), F.lit(0).alias("x"), (5 + F.col("exercise_id") % 3).cast("int").alias("y"),
+        F.lit("SYMBOL").alias("type"), F.array().cast("array<string>").alias("tags"),
+    )
+    return own.unionByName(stray)
 
 
 SHIFT = """v as (select u.submission_id, e.y - u.y as dy, count(*) as n from (select distinct submission_id, exercise_id, y from submitted where c not in ('', '_')) u
@@ -249,6 +271,19 @@ def j21_with_given(t):
     return grade.with_given(submitted(t), expected(t)).select("submission_id", "x", "y", "c", F.when(F.col("token_id").startswith("G"), "given").otherwise("child").alias("origin"))
 
 
+@query(f"""with {EXPECTED} select exercise_id, x, y, c, cast(floor(x * 40.5) as int) as x0, cast(floor((10 - y) * 40.5) as int) as y0, cast(floor(x * 40.5 + 40.5) as int) as x1, cast(floor((10 - y) * 40.5 + 40.5) as int) as y1,
+  case role when 'bar' then 'result_bar' when 'operator' then 'op_plus' else 'main_' || c end as fine_label, case role when 'bar' then 'result_bar' when 'operator' then 'operator' else 'digit_main' end as coarse_label from expected where given""")
+def e05_given_prior(t):
+    nodes, _ = grade.given_prior(expected(t), 40.5, 0.0, 0.0, 10)
+    return nodes
+
+
+@query(f"with {EXPECTED} select cast(exercise_id as varchar) || '/' || x || '/' || y as path, 'not_given' as kind, count(*) as n from expected where not given group by all")
+def e05_refused_cells(t):
+    _, refused = grade.given_prior(expected(t).withColumn("given", F.col("given") | F.col("role").isin("carry", "answer")), 40.5, 0.0, 0.0, 10)
+    return refused.groupBy("path", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"with {EXPECTED} select exercise_id, x, y, c, case when role = 'carry' then 'OVERFLOW' else 'SYMBOL' end as type, given as fixed from expected")
 def e04_as_submission(t):
     return grade.as_submission(expected(t)).select("exercise_id", "x", "y", "c", "type", (F.size("tags") > 0).alias("fixed"))
@@ -295,3 +330,17 @@ def j25_snapped(t):
     g = t.lineitem.select(F.col("l_orderkey").alias("submission_id"), (F.col("l_linenumber") % 3).alias("cluster_id"), F.concat_ws("-", "l_orderkey", F.lpad(F.row_number().over(w).cast("string"), 3, "0")).alias("token_id"), (F.col("l_partkey") % 10).cast("string").alias("c"), (F.col("l_partkey") * 7 % 400 + 0.5).alias("cx"), (F.col("l_suppkey") * 3 % 400 + 0.25).alias("cy"))
     typed = g.select("submission_id").distinct().select("submission_id", F.explode(F.array(F.struct(F.lit(2).alias("x"), F.lit(3).alias("y"), F.lit("REPLACE").alias("type")), F.struct(F.lit(6).alias("x"), F.lit(3).alias("y"), F.lit("OVERFLOW").alias("type")))).alias("s")).select("submission_id", "s.*")
     return grade.snapped(g, typed, 40.0)
+
+
+@query("""with g as (select l_orderkey as submission_id, l_orderkey || '-' || lpad(cast(row_number() over (partition by l_orderkey order by l_partkey, l_suppkey, l_extendedprice, l_shipdate) as varchar), 3, '0') as token_id, cast(l_partkey % 10 as varchar) as c, l_linenumber % 3 as cluster_id, (l_partkey * 7 % 400) + 20.5 as cx, (l_suppkey * 3 % 400) + 20.25 as cy from lineitem),
+p as (select *, cast(greatest(0, least(9, floor((cx - 12) / 40))) as int) as px, cast(greatest(0, least(9, floor((cy - 8) / 40))) as int) as py from g), m as (select submission_id, cluster_id, avg(cx) as mx, avg(cy) as my from p group by all),
+ty as (select distinct submission_id, 2 as x, 3 as y, 'REPLACE' as type from g union all select distinct submission_id, 6, 3, 'OVERFLOW' from g),
+b as (select * from (select m.*, ty.x, ty.y, ty.type, abs(mx - (x + 0.5) * 40 - 12) <= 60 and abs(my - (y + 0.5) * 40 - 8) <= 60 as fits, row_number() over (partition by m.submission_id, cluster_id order by (mx - (x + 0.5) * 40 - 12) * (mx - (x + 0.5) * 40 - 12) + (my - (y + 0.5) * 40 - 8) * (my - (y + 0.5) * 40 - 8), y, x) as r from m join ty using (submission_id)) q where r = 1),
+f as (select p.submission_id, p.token_id, p.c, cx, case when fits then b.x else px end as x, case when fits then b.y else py end as y, case when fits then b.type else 'SYMBOL' end as type, fits from p join b on b.submission_id = p.submission_id and b.cluster_id = p.cluster_id)
+select submission_id, min(token_id) as token_id, string_agg(c, '' order by cx, token_id) as c, x, y, type from f where fits group by all union all select submission_id, token_id, c, x, y, type from f where not fits""".replace("min(token_id) as token_id", "arg_min(token_id, struct_pack(a := cx, b := token_id)) as token_id"))
+def e03_tokens_to_grid(t):
+    """Placed glyphs to grid tokens: pixels to cells, then clusters to the typed cell nearest them."""
+    w = W.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    g = t.lineitem.select(F.col("l_orderkey").alias("submission_id"), F.concat_ws("-", "l_orderkey", F.lpad(F.row_number().over(w).cast("string"), 3, "0")).alias("token_id"), (F.col("l_partkey") % 10).cast("string").alias("c"), (F.col("l_linenumber") % 3).alias("cluster_id"), (F.col("l_partkey") * 7 % 400 + 20.5).alias("cx"), (F.col("l_suppkey") * 3 % 400 + 20.25).alias("cy"))
+    typed = g.select("submission_id").distinct().select("submission_id", F.explode(F.array(F.struct(F.lit(2).alias("x"), F.lit(3).alias("y"), F.lit("REPLACE").alias("type")), F.struct(F.lit(6).alias("x"), F.lit(3).alias("y"), F.lit("OVERFLOW").alias("type")))).alias("s")).select("submission_id", "s.*")
+    return grade.tokens_to_grid(g, typed, 40.0, 12.0, 8.0, 10)

@@ -147,14 +147,34 @@ def r05_fresh_seeds(t):
     return streams.fresh_seeds(t.events.select((F.col("event_id") % 1000).alias("seed"), "ts"))
 
 
-@query("""select n_name as "case", stage from nation n, lateral (select c_mktsegment as stage from customer where c_nationkey = n_nationkey group by 1) s where not exists (select 1 from customer c join orders o on o.o_custkey = c.c_custkey where c.c_nationkey = n.n_nationkey and c.c_mktsegment = s.stage and o.o_totalprice > 300000)""")
+@query("""select n_name as "case", stage from nation n, lateral (select c_mktsegment as stage from customer where c_nationkey = n_nationkey group by 1) s where not exists (select 1 from customer c join orders o on o.o_custkey = c.c_custkey where c.c_nationkey = n.n_nationkey and c.c_mktsegment = s.stage and o.o_orderdate > (select max(o_orderdate) from orders) - interval '5 days')""")
 def a34_case_coverage(t):
     have = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("case"), F.col("c_mktsegment").alias("stage"), "c_custkey")
-    big = have.join(t.orders.where("o_totalprice > 300000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("case", "stage")
-    return have.select("case", "stage").distinct().join(big, ["case", "stage"], "left_anti")
+    last = t.orders.agg(F.max("o_orderdate").alias("last"))
+    fresh = t.orders.join(F.broadcast(last)).where(F.expr("o_orderdate > last - interval 5 days"))
+    made = have.join(fresh, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("case", "stage")
+    return have.select("case", "stage").distinct().join(made, ["case", "stage"], "left_anti")
 
 
 @query("select n_name as \"case\", c_mktsegment as stage, min(c_custkey) as first_key from customer join nation on n_nationkey = c_nationkey group by all")
 def w17_first_of_bucket(t):
     have = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
     return have.groupBy(F.col("n_name").alias("case"), F.col("c_mktsegment").alias("stage")).agg(F.min("c_custkey").alias("first_key"))
+
+
+SESSIONS = "select n_nationkey as list_id, cast(n_nationkey * 7 % 60 - 2 as int) as cursor from nation"
+
+
+@query(f"""with l as ({LIST.format('"case"')}), s as ({SESSIONS}) select l.list_id, "case", case when l.pos = s.cursor then 'done' else status end as status, cast(l.pos as int) as pos from l left join s on s.list_id = l.list_id""")
+def c05_advanced(t):
+    return planning.advanced(t.sql(LIST.format("`case`")).withColumn("pos", F.col("pos").cast("int")), t.sql(SESSIONS), "list_id")[0].select("list_id", "case", "status", "pos")
+
+
+@query(f"""with l as ({LIST.format('"case"')}), k as (select list_id, count(*) as n from l group by list_id), s as ({SESSIONS}) select s.list_id, cast(case when cursor >= 0 and cursor < coalesce(n, 0) then cursor + 1 else cursor end as int) as cursor from s left join k on k.list_id = s.list_id""")
+def c05_cursors(t):
+    return planning.advanced(t.sql(LIST.format("`case`")).withColumn("pos", F.col("pos").cast("int")), t.sql(SESSIONS), "list_id")[1].select("list_id", F.col("cursor").cast("int").alias("cursor"))
+
+
+@query(f"select seed from ({SERVED}) a union select 1000000 + o_custkey % 5000 as seed from orders")
+def c05_served_seeds(t):
+    return planning.with_served(served(t), t.orders.select((1000000 + F.col("o_custkey") % 5000).alias("seed")))

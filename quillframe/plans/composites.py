@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import ontology as o
 from ..operators import cluster, evaluate, grade, graph, match, pixels, quality, runs, worked
-from .arithmetic import ADD, CELLS, MATCH, added, cells, expected, submitted
-from .datasets import LABELS, assets
+from .arithmetic import ADD, CELLS, MATCH, PROGRESS, SHIFT, added, cells, expected, submitted
+from .datasets import LABELS, SPLIT, assets
 from .registry import query
-from .scenes import MEANS, SAMPLES, samples
+from .scenes import MACRO, MEANS, SAMPLES, samples
 
-PIXELS = "select distinct l_orderkey % 200 as scene_id, l_partkey * 13 % 512 as y, l_suppkey * 29 % 512 as x, l_partkey * 7 % 256 as v from lineitem"
-BOXES = "select scene_id, det_id, x0, y0, x1, y1 from detections where scene_id < 200"
+PIXELS = "select distinct l_orderkey as scene_id, l_partkey * 13 % 512 as y, l_suppkey * 29 % 512 as x, l_partkey * 7 % 256 as v from lineitem"
+BOXES = "select scene_id, det_id, x0, y0, x1, y1 from detections"
 COMPS = "select scene_id, gt_id as comp_id, x0 as x, y0 as y, x1 - x0 as w, y1 - y0 as h, cast((x1 - x0) * (gt_id % 5) as double) as area from gt_symbols"
 
 
@@ -140,7 +140,13 @@ def j14_roles_of_missing(t):
     return miss.join(expected(t).select("exercise_id", "x", "y", "role"), ["exercise_id", "x", "y"], "left").select("submission_id", "x", "y", F.coalesce("role", F.lit("")).alias("role"))
 
 
-@query()
+GIVEN_IN = CELLS.replace("submitted as (select", "sub0 as (select", 1).replace(f", {SHIFT}", f""", gs as (select exercise_id, x, y, c, 'GE' || (row_number() over (partition by exercise_id order by y, x, role) - 1) as token_id from expected where given),
+submitted as (select s.* from sub0 s left join gs on gs.exercise_id = s.exercise_id and gs.x = s.x and gs.y = s.y where gs.x is null union all select d.submission_id, d.exercise_id, gs.token_id, gs.c, gs.x, gs.y, 'SYMBOL' from (select distinct submission_id, exercise_id from sub0) d join gs on gs.exercise_id = d.exercise_id), {SHIFT}""", 1)
+
+
+@query(f"""with {GIVEN_IN}, {PROGRESS}, f as (select submission_id, bool_or(status = 'ERROR' and role = 'answer') as e, bool_or(status = 'MISSING' and role = 'answer') as m, bool_or(status = 'MISSING' and role = 'carry') as s, bool_or(status = 'ERROR') as ae from gr group by submission_id)
+select f.submission_id, round(case when total > 0 then matched / total else 1 end, 6) as progress, case when e then 'mistake' when m then 'incomplete' when s then 'missing_step' when matched = total then 'correct' else 'incomplete' end as outcome,
+  case when matched = total then 'correct' when ae then 'mistake' else 'incomplete' end as short_outcome from f join p on p.submission_id = f.submission_id""")
 def e06_evaluated(t):
     """Given cells injected, then matched, graded and judged: one row for each submission."""
     e, s = expected(t), submitted(t)
@@ -160,7 +166,10 @@ def c06_recognised_set(t):
     return routes.join(rows, "scene_id", "left").select("scene_id", "route", "ood_reason", F.coalesce(F.size("rows"), F.lit(0)).alias("n_rows"), F.to_json("rows").alias("rows_json"))
 
 
-@query()
+@query(f"""{SPLIT}, c as (select label, count(*) as n from a group by label), w as (select unnest(['de', 'en', 'es', 'fr', 'it']) as label), b as (select n, w.label is not null as need from c full join w on w.label = c.label),
+i as (select case when not need then 'unknown_label' else 'missing_required_label' end as kind from b where not need or n is null)
+select 'issue' as section, kind as key, count(*) as n from i group by kind union all select 'balance', coalesce(split, 'all') || '/' || coalesce(label, 'all'), count(*) from s group by cube (split, label)
+union all select 'leakage', x.split || '/' || y.split, count(*) from s x join s y on y.sha256 = x.sha256 and x.split < y.split group by x.split, y.split""")
 def c07_preparation_report(t):
     """Issues, balance and leakage of a labelled dataset as one long table."""
     a = assets(t)
@@ -191,12 +200,51 @@ def g01_token_counts(t):
     return added(t).groupBy("exercise_id").agg(F.count(F.lit(1)).alias("n_tokens"), n("main_").alias("n_digits"), n("carry_").alias("n_carries"))
 
 
-@query()
+# Scene cases that stand for the exercises of an operation, by the digits of b.
+CASES = "case when op = 'add' then case when b % 3 = 0 then 'addition_no_bar' else 'addition' end when op = 'subtract' then 'subtraction' when op = 'multiply' then 'multiplication_simple' when b > 0 and a % b = 0 then 'division_simple' else 'standalone_bar' end"
+
+
+@query(f"""with c as (select exercise_id, {CASES} as scene_case from exercises) select exercise_id, scene_case,
+  case scene_case when 'addition_no_bar' then 'full,done_60,done_40,done_20' when 'division_simple' then 'full,done_80,done_40' when 'standalone_bar' then 'full' else 'full,done_80,done_60,done_40,done_20' end as stages from c""")
+def g11_valid_stages(t):
+    valid = worked.stage_weights(t.spark).groupBy("scene_case").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "stage"))), lambda s: s["stage"]), ",").alias("stages"))
+    return t.exercises.selectExpr("exercise_id", f"{CASES} as scene_case").join(F.broadcast(valid), "scene_case").select("exercise_id", "scene_case", "stages")
+
+
+@query(f"""with c as (select exercise_id, {CASES} as scene_case, (exercise_id * 7919 % 1000) / 1000.0 as u from exercises) select exercise_id, scene_case,
+  case scene_case when 'addition_no_bar' then case when u < 0.65 then 'full' when u < 0.72 then 'done_60' when u < 0.78 then 'done_40' else 'done_20' end when 'division_simple' then case when u < 0.65 then 'full' when u < 0.80 then 'done_80' else 'done_40' end
+  when 'standalone_bar' then 'full' else case when u < 0.65 then 'full' when u < 0.80 then 'done_80' when u < 0.87 then 'done_60' when u < 0.93 then 'done_40' else 'done_20' end end as stage from c""")
 def g11_stage_draw(t):
-    """One completion stage for each sum, drawn by weight from a digest of the exercise."""
-    weights = [("full", 0.5), ("no_result", 0.7), ("no_marks", 0.9), ("no_bar", 1.0)]
-    u = worked.chance(11, "exercise_id")
-    stage = F.when(u < weights[0][1], weights[0][0])
-    for name, upto in weights[1:]:
-        stage = stage.when(u < upto, name)
-    return t.exercises.where("op = 'add'").select("exercise_id", stage.otherwise("no_bar").alias("stage"))
+    """One valid stage for each exercise, drawn by the weights of its case; the uniform number is given, so that SQL can follow."""
+    ex = t.exercises.selectExpr("exercise_id", f"{CASES} as scene_case").withColumn("u", (F.col("exercise_id") * 7919 % 1000) / 1000.0)
+    return worked.drawn_stage(ex, "u").select("exercise_id", "scene_case", "stage")
+
+
+ISSUES = """r as (select l_orderkey as report_id, l_linenumber as token_index, case l_partkey % 9 when 0 then ' Wrong' when 1 then 'dup' when 2 then 'GHOST' when 3 then 'split' when 4 then 'merge' when 5 then 'y ' when 6 then 'no' when 7 then '' end as issue,
+  case when l_suppkey % 4 = 0 then 'main_' || l_suppkey % 10 when l_suppkey % 4 = 1 then ' ' end as should_be from lineitem)"""
+
+
+@query(f"""with {ISSUES}, k as (select *, case lower(trim(coalesce(issue, ''))) when 'wrong' then 'wrong_label' when 'y' then 'wrong_label' when 'dup' then 'duplicate' when 'ghost' then 'spurious' when 'split' then 'split' when 'merge' then 'merged'
+  else case when trim(coalesce(should_be, '')) <> '' then 'wrong_label' end end as issue_type from r) select report_id, token_index, issue_type, trim(coalesce(should_be, '')) as should_be from k where issue_type is not null""")
+def p25_issue_types(t):
+    return quality.reported_issues(t.sql(f"with {ISSUES} select * from r"))
+
+
+@query("""with l as (select o_orderkey as report_id, unnest(string_split(o_comment_text, chr(10))) as line from (select o_orderkey, case o_orderkey % 4 when 0 then 'main_' || o_orderkey % 10 || ' after #' || o_custkey || chr(10) || chr(10) || '  op_plus near top ' when 1 then 'carry_1' when 2 then '  ' end as o_comment_text from orders) q)
+select report_id, string_split(trim(line), ' ')[1] as should_be, trim(line) as note from l where trim(line) <> ''""")
+def p25_missed_lines(t):
+    text = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("main_"), F.col("o_orderkey") % 10, F.lit(" after #"), "o_custkey", F.lit("\n\n  op_plus near top "))).when(F.col("o_orderkey") % 4 == 1, "carry_1").when(F.col("o_orderkey") % 4 == 2, "  ")
+    return quality.missed_lines(t.orders.select(F.col("o_orderkey").alias("report_id"), text.alias("missed")))
+
+
+REPORT = """select 'aggregate' as section, '' as key, {0} from s union all select 'per_kind', equation_kind, {0} from s group by equation_kind union all select 'per_case', scene_case, {0} from s where scene_case is not null group by scene_case"""
+
+
+@query(f"""{SAMPLES}, c as (select a.label as gt_label, p.label as pred_label, count(*) as n from m join gt_symbols a on a.scene_id = m.scene_id and a.gt_id = m.gt_id join predictions p on p.scene_id = m.scene_id and p.pred_id = m.pred_id group by 1, 2),
+q as ({REPORT.format(MACRO)}),
+long as (unpivot (select section, key, cast(n_samples as double) as n_samples, kind_acc, ood_rate, ood_honest_rate, label_acc, recall, row_acc, col_acc, cast(n_spatial as double) as n_spatial, cast(total_wall_ms as double) as total_wall_ms from q) on n_samples, kind_acc, ood_rate, ood_honest_rate, label_acc, recall, row_acc, col_acc, n_spatial, total_wall_ms into name metric value value)
+select section, key, metric, value from long union all select 'per_label', gt_label, 'recall', round(sum(case when gt_label = pred_label then n else 0 end) / sum(n), 6) from c group by gt_label
+union all select 'per_sample', cast(scene_id as varchar), 'recall', round(recall, 6) from s where recall is not null""")
+def c08_evaluation_report(t):
+    """The whole evaluation as one long table: aggregate, by kind, by case, by label and by sample."""
+    return evaluate.report(t.scenes, t.gt_symbols, t.predictions, t.detections).withColumn("value", F.round("value", 6))

@@ -373,6 +373,20 @@ def j17_edges(t):
     return df.select("scene_id", "src", "dst", f(2).alias("dist"), f(3).alias("w_ratio"), f(5).alias("angle_sin"), f(7).alias("col_delta"), f(9).alias("size_ratio"), f(10).alias("log_dist"), (f(15) == 1).alias("same"), "edge_type")
 
 
+@query(f"""with {NODE}, {MED}, e as (select a.scene_id, a.det_id as src, b.det_id as dst, b.cx - a.cx as dx, b.cy - a.cy as dy, sqrt((b.cx - a.cx) * (b.cx - a.cx) + (b.cy - a.cy) * (b.cy - a.cy) + 1e-8) as dist, a.h as ah, b.h as bh, a.coarse as ca, b.coarse as cb,
+    hs[(len(hs) - 1) // 2 + 1] as mh from n a join n b on b.scene_id = a.scene_id and a.det_id <> b.det_id join md on md.scene_id = a.scene_id)
+select scene_id, src, dst, round(dx, 6) as dx, round(dy, 6) as dy, round(bh / (ah + 1e-6), 6) as h_ratio, round(dx / (dist + 1e-8), 6) as angle_cos, round(dy / (mh + 1e-6), 6) as row_delta,
+  ca = 'operator' as src_operator, cb = 'operator' as dst_operator, ca = 'result_bar' as src_structure, cb = 'result_bar' as dst_structure from e""")
+def p17_edge_features(t):
+    """The features that j17_edges leaves out."""
+    x, f = lambda i: F.get("features", i), lambda i: F.round(F.get("features", i), R)
+    df = graph.edges(graph.node_features(t.sql(COARSE)))
+    return df.select(
+        "scene_id", "src", "dst", f(0).alias("dx"), f(1).alias("dy"), f(4).alias("h_ratio"), f(6).alias("angle_cos"), f(8).alias("row_delta"),
+        (x(11) == 1).alias("src_operator"), (x(12) == 1).alias("dst_operator"), (x(13) == 1).alias("src_structure"), (x(14) == 1).alias("dst_structure"),
+    )
+
+
 @query(f"""with c as ({COARSE}), r as {size_sql('c', '(y0 + y1) / 2', 'greatest(abs(y1 - y0), 1)', 'rc')}, k as (select scene_id, max(rc) + 1 as n_rows from r group by scene_id)
 select c.scene_id, round(count(*) / 80, 6) as total, round(count(*) filter (where coarse = 'operator') / 4, 6) as operators, round(max(n_rows) / 6, 6) as n_rows, round(stddev_pop(greatest(abs(x1 - x0), 1) / greatest(abs(y1 - y0), 1)) / 2 + 1e-9, 6) as spread from c join k on k.scene_id = c.scene_id group by c.scene_id""")
 def a29_scene_summary(t):
