@@ -19,12 +19,15 @@ SCENE = "scene_id"
 def scene_boxes(**sides: tuple[DataFrame, str]) -> DataFrame:
     """scene_id and an array of boxes (id, label, x0, y0, x1, y1, row, col) for each named side, a table and its id column.
 
+    Label, row and column are null where a table has none.
+
     One exchange on the scene brings all sides together; what follows stays inside a row.
     """
     parts = []
     for name, (df, ident) in sides.items():
-        place = [(F.col(c) if c in df.columns else F.lit(None)).cast("int").alias(c) for c in ("row", "col")]
-        parts.append(df.select(SCENE, F.lit(name).alias("side"), F.struct(F.col(ident).cast("long").alias("id"), "label", *[F.col(c).cast("double").alias(c) for c in g.BOX], *place).alias("box")))
+        held = lambda c, kind, df=df: (F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c)
+        place = [held("row", "int"), held("col", "int")]
+        parts.append(df.select(SCENE, F.lit(name).alias("side"), F.struct(F.col(ident).cast("long").alias("id"), held("label", "string"), *[F.col(c).cast("double").alias(c) for c in g.BOX], *place).alias("box")))
     both = functools.reduce(DataFrame.unionByName, parts)
     return both.groupBy(SCENE).agg(*[F.collect_list(F.when(F.col("side") == name, F.col("box"))).alias(name) for name in sides])
 

@@ -25,14 +25,19 @@ def asset_pool(spark: SparkSession, root: str, pattern: str = "*.png") -> DataFr
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
     name = relative(F.col("path"), root.rsplit("/", 1)[-1])
-    number = lambda at: F.conv(F.hex(F.substring("content", at, 4)), 16, 10).cast("int")
-    ok = F.hex(F.substring("content", 1, 8)) == PNG
     return files.select(
         name.alias("path"), F.split_part(name, F.lit("/"), F.lit(1)).alias("label"), F.sha2("content", 256).alias("sha256"), F.substring(F.sha2("content", 256), 1, 16).alias("content_id"),
-        F.when(ok, number(17)).alias("width"), F.when(ok, number(21)).alias("height"), ok.alias("header_ok"),
+        *png_header(F.col("content")),
     )
 
 
+def png_header(content: Column) -> list[Column]:
+    """width, height and header_ok from the first bytes of a file; no pixels are decoded."""
+    number = lambda at: F.conv(F.hex(F.substring(content, at, 4)), 16, 10).cast("int")
+    ok = F.hex(F.substring(content, 1, 8)) == PNG
+    return [F.when(ok, number(17)).alias("width"), F.when(ok, number(21)).alias("height"), ok.alias("header_ok")]
+
+
 def asset_issues(assets: DataFrame, width: int = 28, height: int = 28) -> DataFrame:
     """corrupt_image and invalid_size rows."""
     size = F.concat_ws("x", "width", "height")
@@ -83,6 +88,11 @@ def box_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("path"), F.col("value").alias("text"))
 
 
+def bucketed_box_lines(spark: SparkSession, path: str) -> DataFrame:
+    """scene_id as path, and text, of what sinks.write_box_lines wrote."""
+    return spark.read.parquet(path).select(F.col("scene_id").cast("string").alias("path"), "text")
+
+
 def boxes(files: DataFrame, size: float = 512.0) -> DataFrame:
     """Boxes in pixels from box-label texts whose lines are good."""
     lines = files.select("path", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select("path", "line_no", F.split(F.trim("line"), r"\s+").alias("f")).where(F.size("f") == 5)
@@ -96,9 +106,9 @@ def manifest(spark: SparkSession, path: str, schema: str = MANIFEST) -> DataFram
     return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
 
 
-def run_registry(spark: SparkSession, index: str, labels: str | None = None) -> DataFrame:
-    """One row for each run of an index file, with its label where a label file (run_id, label lines) is given."""
-    runs = spark.read.schema(RUN_INDEX).option("multiLine", True).json(index).select(F.explode("runs").alias("r")).select("r.*")
+def run_registry(spark: SparkSession, index: str, labels: str | None = None, multi_line: bool = True) -> DataFrame:
+    """One row for each run of an index file (or of its lines), with its label where a label file (run_id, label lines) is given."""
+    runs = spark.read.schema(RUN_INDEX).option("multiLine", multi_line).json(index).select(F.explode("runs").alias("r")).select("r.*")
     runs = runs.withColumn("created_utc", F.to_timestamp("created_utc", "yyyyMMdd'T'HHmmss'Z'"))
     return runs if labels is None else runs.join(spark.read.schema("run_id string, label string").json(labels), "run_id", "left")
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Tables of up to so many classes are broadcast.
+FEW_CLASSES = 10_000
+
 
 def append_history(records: DataFrame, path: str, version: int) -> None:
     """Append run records as JSON lines; refuses a log written by another schema version."""
@@ -21,9 +24,10 @@ def append_history(records: DataFrame, path: str, version: int) -> None:
     out.write.mode("append").json(path)
 
 
-def write_manifests(splits: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """One folder for each split."""
-    writer = splits.repartition("split").write.mode("overwrite").partitionBy("split")
+def write_manifests(splits: DataFrame, path: str, fmt: str = "parquet", files: int = 64) -> None:
+    """One folder for each split, each of at most ``files`` files: a split's rows are dealt to so many tasks by their digest."""
+    dealt = splits.repartition("split", F.pmod(F.xxhash64(*splits.columns), F.lit(files)))
+    writer = dealt.write.mode("overwrite").partitionBy("split")
     (writer.option("header", True).csv if fmt == "csv" else writer.parquet)(path)
 
 
@@ -33,10 +37,11 @@ def box_line(class_id: Column, x0: Column, y0: Column, x1: Column, y1: Column, s
     return F.format_string("%d %.6f %.6f %.6f %.6f", class_id.cast("int"), (x0 + x1) / 2 / size, (y0 + y1) / 2 / size, side(x0, x1), side(y0, y1))
 
 
-def write_box_lines(boxes: DataFrame, path: str, scene: str = "scene_id") -> None:
-    """Text files in one folder for each scene."""
+def write_box_lines(boxes: DataFrame, path: str, scene: str = "scene_id", buckets: int = 64) -> None:
+    """Scenes' box-label texts as rows (scene, text) in folders of scene buckets: millions of scenes make few folders and files."""
     line = box_line(F.col("class_id"), *[F.col(c) for c in ("x0", "y0", "x1", "y1")])
-    boxes.select(scene, line.alias("value")).repartition(scene).write.mode("overwrite").partitionBy(scene).text(path)
+    texts = boxes.groupBy(scene).agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("text"))
+    texts.withColumn("bucket", F.pmod(F.xxhash64(scene), F.lit(buckets)).cast("int")).write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def sidecar_json(scenes: DataFrame, symbols: DataFrame, key: str = "scene_id") -> DataFrame:
@@ -51,7 +56,8 @@ def sidecar_json(scenes: DataFrame, symbols: DataFrame, key: str = "scene_id") -
 
 def tensors(pixels: DataFrame, classes: DataFrame, values: str = "px") -> DataFrame:
     """id, class_id and pixels over 255 as float arrays, for a Parquet export."""
-    return pixels.join(F.broadcast(classes), "label").select("asset_id", "class_id", F.transform(values, lambda p: (p / 255.0).cast("float")).alias("pixels"))
+    few = classes.count() <= FEW_CLASSES
+    return pixels.join(F.broadcast(classes) if few else classes, "label").select("asset_id", "class_id", F.transform(values, lambda p: (p / 255.0).cast("float")).alias("pixels"))
 
 
 def report_tables(aggregate: DataFrame, by_group: DataFrame, labels: DataFrame, samples: DataFrame) -> dict[str, DataFrame]:

@@ -44,19 +44,27 @@ def last_feedback(feedback: DataFrame) -> DataFrame:
 
 
 def keep_last_feedback(feedback: DataFrame, path: str, checkpoint: str):
-    """Stream form of last_feedback: each batch is merged into the table of the next version under path.
+    """Stream form of last_feedback: each batch adds a folder with the last feedback of its own samples.
 
-    Versions are folders version=N named by batch, so a batch that runs again writes its own version again.
+    A batch costs what it brings, not what came before it; a batch that runs again writes its own folder again.
+    ``kept_feedback`` reads the last one of each sample, ``compact_feedback`` gathers old folders into one.
     """
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = last_feedback(batch)
-        if batch_id > 0:
-            fresh = last_feedback(spark.read.parquet(f"{path}/version={batch_id - 1}").unionByName(fresh))
-        fresh.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        last_feedback(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return feedback.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return feedback.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def kept_feedback(spark: SparkSession, path: str) -> DataFrame:
+    """The last feedback of each sample over all batches."""
+    return last_feedback(spark.read.parquet(path).drop("batch"))
+
+
+def compact_feedback(spark: SparkSession, path: str, target: str) -> DataFrame:
+    """Write the last feedback of each sample to a new folder, as its batch -1, from where later batches go on."""
+    kept_feedback(spark, path).write.mode("overwrite").parquet(f"{target}/batch=-1")
+    return kept_feedback(spark, target)
 
 
 def fresh_seeds(served: DataFrame, late: str = "1 day") -> DataFrame:

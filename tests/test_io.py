@@ -61,7 +61,7 @@ def test_real_samples(spark):
 def test_box_lines_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, 3, 10.0, 20.0, 30.0, 60.0), (2, 0, 5.0, 5.0, 5.0, 6.0)], "scene_id long, class_id int, x0 double, y0 double, x1 double, y1 double")
     sinks.write_box_lines(df, str(tmp_path / "out"))
-    back = readers.boxes(readers.box_lines(spark, str(tmp_path / "out")))
+    back = readers.boxes(readers.bucketed_box_lines(spark, str(tmp_path / "out")))
     assert {(r.class_id, round(r.x0, 2), round(r.y1, 2)) for r in back.collect()} == {(3, 10.0, 60.0), (0, 5.0, 6.0)}
 
 
@@ -74,6 +74,8 @@ def test_box_line_issues(spark):
 def test_manifests_and_registry(spark, tmp_path):
     df = spark.createDataFrame([("a", "train"), ("b", "val")], "path string, split string")
     sinks.write_manifests(df, str(tmp_path / "m"))
+    plan = df.repartition("split", F.pmod(F.xxhash64(*df.columns), F.lit(64)))._jdf.queryExecution().toString()
+    assert "hashpartitioning(split" in plan and "xxhash64" in plan  # a split is no single task
     assert spark.read.parquet(str(tmp_path / "m")).where("split = 'val'").first().path == "b"
     (tmp_path / "index.json").write_text('{"runs": [{"run_id": "r1", "stage": "g", "created_utc": "20260101T000000Z", "metrics": {"val/a": 1.0}}]}')
     r = readers.run_registry(spark, str(tmp_path / "index.json")).first()
@@ -97,7 +99,10 @@ def test_streams_equal_batches(spark, tmp_path):
     assert sorted(spark.table("rolled").collect()) == want
     q = streams.keep_last_feedback(streams.tail(spark, log).where("event = 'feedback'"), str(tmp_path / "last"), str(tmp_path / "ck"))
     q.awaitTermination(60)
-    assert [r.event_id for r in spark.read.parquet(str(tmp_path / "last/version=0")).collect()] == [4]
+    assert [r.event_id for r in streams.kept_feedback(spark, str(tmp_path / "last")).collect()] == [4]
+    events(spark, [(9, "2026-01-01 00:20:00", 1, "feedback", "ok", 5.0)]).write.parquet(str(tmp_path / "last/batch=1"))
+    assert [r.event_id for r in streams.kept_feedback(spark, str(tmp_path / "last")).collect()] == [9]
+    assert [r.event_id for r in streams.compact_feedback(spark, str(tmp_path / "last"), str(tmp_path / "small")).collect()] == [9]
     q = streams.append_log(streams.tail(spark, log), str(tmp_path / "copy"), str(tmp_path / "ck2"))
     q.awaitTermination(60)
     assert spark.read.schema(streams.EVENTS).json(str(tmp_path / "copy")).count() == 4
@@ -109,6 +114,14 @@ def test_predict_feedback(spark):
     assert got == {(1, "error"), (2, None)}
 
 
+def test_splits_are_numbered_in_ranges(spark):
+    df = spark.createDataFrame([(f"p{i}", "only", f"{i:064x}") for i in range(500)], "path string, label string, sha256 string")
+    split = quality.stratified_split(df)
+    windows = [x for x in split._jdf.queryExecution().executedPlan().toString().splitlines() if "Window [row_number()" in x]
+    assert windows and all("__range" in x or "sha256" in x for x in windows)
+    assert {r.split: r["count"] for r in split.groupBy("split").count().collect()} == {"train": 400, "val": 50, "test": 50}
+
+
 def test_plans_push_down_and_broadcast(spark, sf):
     import contextlib
     import io
