@@ -18,17 +18,38 @@ PHRASES = {
     "reserved": "all rights reserved",
 }
 
-# Wording of public license notices. <<opt>> ... <<end>> may be left out; <<var>> stands for 0 to 12 words.
+# Wording of public licence notices and licence texts. <<opt>> ... <<end>> may be left out; <<var>> stands for 0 to 12 words.
 TEMPLATES = {
+    # Short mentions.
     "apache-2.0": "licensed under the apache license <<opt>>version 2 0<<end>>",
     "mit": "<<opt>>released<<end>> under the <<opt>>terms of the<<end>> mit license",
-    "gpl-3.0": "licensed under the gnu general public license <<opt>>as published by the free software foundation<<end>> <<opt>>either<<end>> version 3",
-    "gpl-2.0": "licensed under the gnu general public license <<opt>>as published by the free software foundation<<end>> <<opt>>either<<end>> version 2",
+    "gpl-3.0": "licensed under the <<opt>>terms of the<<end>> gnu general public license <<opt>>as published by the free software foundation<<end>> <<opt>>either<<end>> version 3",
+    "gpl-2.0": "licensed under the <<opt>>terms of the<<end>> gnu general public license <<opt>>as published by the free software foundation<<end>> <<opt>>either<<end>> version 2",
     "cc-by-4.0": "<<opt>>licensed under<<end>> <<opt>>a<<end>> <<opt>>creative commons<<end>> cc by 4 0",
     "cc-by-sa-4.0": "cc by sa 4 0",
+    "reserved-by": "copyright <<opt>>c<<end>> <<var>> all rights reserved",
+    # Notices that stand at the head of a work.
+    "apache-2.0-notice": "licensed under the apache license version 2 0 <<opt>>the license<<end>> you may not use this <<var>> except in compliance with the license you may obtain a copy of the license at <<opt>>http<<end>> <<opt>>https<<end>> www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    "gpl-3.0-notice": "this <<var>> is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license <<opt>>or at your option any later version<<end>>",
+    "gpl-2.0-notice": "this <<var>> is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license <<opt>>or at your option any later version<<end>>",
+    "gpl-2.0-only-notice": "this <<var>> is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation",
+    "lgpl-3.0-notice": "this <<var>> is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license <<opt>>or at your option any later version<<end>>",
+    "lgpl-2.1-notice": "this <<var>> is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license <<opt>>or at your option any later version<<end>>",
+    "agpl-3.0-notice": "this <<var>> is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license <<opt>>or at your option any later version<<end>>",
+    "mpl-2.0-notice": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at <<opt>>http<<end>> <<opt>>https<<end>> mozilla org mpl 2 0",
+    "cc-by-4.0-notice": "this work is licensed under <<opt>>a<<end>> <<opt>>the<<end>> creative commons attribution 4 0 international license",
+    "cc-by-sa-4.0-notice": "this work is licensed under <<opt>>a<<end>> <<opt>>the<<end>> creative commons attribution sharealike 4 0 international license",
+    "bsd-style-notice": "use of this source code is governed by a bsd style license that can be found in the license file",
+    # Whole licence texts.
+    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice <<opt>>including the next paragraph<<end>> shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall <<var>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "isc-text": "permission to use copy modify and <<opt>>or<<end>> distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and <<var>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "bsd-2-clause-text": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<opt>>1<<end>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<opt>>2<<end>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution <<opt>>3<<end>> <<opt>>neither the name of <<var>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission<<end>> this software is provided by <<var>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "bsl-1.0-text": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software",
+    "zlib-text": "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely",
+    "unlicense-text": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software",
+    # Openings of texts that are often cut short.
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software <<opt>>and associated documentation files<<end>> <<opt>>the software<<end>> to deal in the software without restriction",
     "bsd-grant": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<var>> redistributions of source code must retain the above copyright notice",
-    "reserved-by": "copyright <<opt>>c<<end>> <<var>> all rights reserved",
 }
 
 VAR_WORDS = 12

@@ -77,6 +77,23 @@ def test_mandatory_words_must_match(spark):
     assert got == {1: ("apache-2.0", 1.0), 2: ("", 0.0), 3: ("reserved,reserved-by", 1.0), 4: ("cc-by,cc-by-4.0", 1.0)}
 
 
+NOTICES = {
+    "gpl-3.0-notice": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+    "lgpl-2.1-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License.",
+    "apache-2.0-notice": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n    http://www.apache.org/licenses/LICENSE-2.0\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "isc-text": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
+    "zlib-text": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
+}
+
+
+def test_standard_notices_are_known_and_one_changed_word_is_not(spark):
+    rows = [(i, t, "") for i, t in enumerate(NOTICES.values())] + [(100 + i, t.replace("software", "sofware", 1), "") for i, t in enumerate(NOTICES.values()) if "software" in t]
+    got = {r.doc_id: r.labels.split(",") for r in CALLS["license"](docs(spark, rows)).collect()}
+    for i, name in enumerate(NOTICES):
+        assert name in got[i] and name not in got.get(100 + i, [])
+
+
 # ---- mixing ----
 
 
