@@ -2,26 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checked_join, let, without, written
 
-#: Poisson rates above this are split: the whole excess is repeated for certain, the rest is drawn.
-LARGEST_DRAWN = 500
+#: Below this rate the distribution is summed up from 0. Above it e ** -rate vanishes, and the sum begins twelve standard
+#: deviations below the mean, where less than 1e-30 has been passed over.
+FROM_ZERO = 400
+
+
+def _named(source_col: str) -> Column:
+    """A source's name, so that null is apart from every text."""
+    source = F.col(f"`{source_col}`").cast("string")
+    return F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
+
+
+def _log_factorial(k: Column) -> Column:
+    """ln k! by Stirling's series; for k from 100 on its error is under 1e-17."""
+    return k * F.log(k) - k + F.log(2 * F.lit(math.pi) * k) / 2 + 1 / (12 * k) - 1 / (360 * k * k * k)
+
+
+def distribution(rate: Column) -> Column:
+    """(first, cdf): the Poisson distribution's sums from a number of copies on, one for each further copy."""
+    wide = 12 * F.sqrt(rate) + 20
+    first = F.when(rate < FROM_ZERO, F.lit(0)).otherwise(F.floor(rate - wide)).cast("long")
+    start = F.when(first == 0, F.exp(-rate)).otherwise(F.exp(first * F.log(rate) - rate - _log_factorial(first.cast("double"))))
+    steps = F.sequence(first + 1, F.ceil(rate + wide).cast("long"))
+
+    def more(acc, k):
+        p = acc["p"] * rate / k
+        return F.struct(p.alias("p"), F.array_append(acc["cdf"], F.element_at(acc["cdf"], -1) + p).alias("cdf"))
+
+    return F.struct(first.alias("first"), F.aggregate(steps, F.struct(start.alias("p"), F.array(start).alias("cdf")), more)["cdf"].alias("cdf"))
 
 
 def rates(docs: DataFrame, source_col: str = "source", weights: dict[str, float] | None = None, power: float = 0.5, total: int | None = None) -> DataFrame:
     """One row for each source: its rows and its mean repetition rate.
 
-    Target shares come from ``weights`` (sources not named get 0), else from rows ** power. The rates lead to ``total``
+    Target shares come from ``weights`` (sources not named get 0; None names the null source), else from rows ** power. A rate may be of any size. The rates lead to ``total``
     rows in the mean (as many as come in by default). A null source is a source of its own.
     """
-    counts = docs.groupBy(F.coalesce(F.col(f"`{source_col}`"), F.lit("")).alias("__source")).agg(F.count(F.lit(1)).alias("rows"))
+    counts = docs.groupBy(_named(source_col).alias("__source")).agg(F.count(F.lit(1)).alias("rows"))
     if weights is None:
         counts = counts.withColumn("weight", F.pow("rows", F.lit(power)))
     else:
-        named = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "__source string, weight double")
+        named = docs.sparkSession.createDataFrame([("n" if k is None else "s" + k, float(v)) for k, v in weights.items()], "__source string, weight double")
         counts = counts.join(named, "__source", "left").fillna(0.0, "weight")
     counts = written(counts, "source-counts")
     sums = counts.agg(F.sum("rows"), F.sum("weight")).first()
@@ -40,21 +68,13 @@ def poisson_mix(
     draw the same number; a null id draws as 'null'; a null source is a source of its own; texts are not looked at.
     """
     base = without(docs, ["copy", "n_copies", "rate", "shuffle_key"])
-    per = rates(base, source_col, weights, power, total).withColumn("__sure", F.greatest(F.floor("rate") - LARGEST_DRAWN, F.lit(0)))
-    drawn = F.col("rate") - F.col("__sure")
-    steps = F.sequence(F.lit(1), F.ceil(drawn + 12 * F.sqrt(drawn) + 20).cast("int"))
-    start = F.struct(F.exp(-drawn).alias("p"), F.array(F.exp(-drawn)).alias("cdf"))
-
-    def more(acc, k):
-        p = acc["p"] * drawn / k
-        return F.struct(p.alias("p"), F.concat(acc["cdf"], F.array(F.element_at(acc["cdf"], -1) + p)).alias("cdf"))
-
-    per = per.withColumn("__cdf", F.aggregate(steps, start, more)["cdf"]).select("__source", "rate", "__sure", "__cdf")
+    per = rates(base, source_col, weights, power, total)
+    per = per.select("__source", "rate", distribution(F.col("rate")).alias("__d"))
     ident = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null"))
     u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), ident)), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
-    mixed = checked_join(base.withColumn("__source", F.coalesce(F.col(f"`{source_col}`"), F.lit(""))), per, "__source")
-    mixed = mixed.withColumn("n_copies", (F.col("__sure") + let(u, lambda x: F.size(F.filter("__cdf", lambda c: c <= x)))).cast("int"))
-    mixed = mixed.drop("__source", "__sure", "__cdf").where("n_copies > 0")
+    mixed = checked_join(base.withColumn("__source", _named(source_col)), per, "__source")
+    mixed = mixed.withColumn("n_copies", (F.col("__d.first") + let(u, lambda x: F.size(F.filter("__d.cdf", lambda c: c <= x)))).cast("int"))
+    mixed = mixed.drop("__source", "__d").where("n_copies > 0")
     mixed = mixed.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
     key = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/"), ident, F.lit("/"), F.col("copy").cast("string"))), 1, 15), 16, 10).cast("long")
     return mixed.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key")

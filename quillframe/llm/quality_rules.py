@@ -15,6 +15,8 @@ DUP_LINES_PERCENT = 50
 HOST_RATE = 0.6
 #: Documents that the prior stands for where the hosts' rates give no estimate (one host, or no spread).
 PRIOR_DOCUMENTS = 20.0
+#: Bounds of the correlation within hosts: the hosts differ by chance alone, or their documents are all alike.
+LEAST_WITHIN, MOST_WITHIN = 1e-6, 0.999
 REJECTED_IDS = 200_000
 RESULTS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "rule_failed", "host_rate", "kept"]
 
@@ -64,12 +66,27 @@ def document_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     }).select("*", "__c.*", "__l.*").drop("__c", "__l")
 
 
+def beta_prior(mean: float | None, var: float | None, inverse: float | None) -> tuple[float, float]:
+    """Mean and strength (in documents) of the beta prior: the moments of a beta-binomial.
+
+    mean, var: of the hosts' shares; inverse: the mean of 1 / documents. A share of n documents varies by
+    m (1 - m) (r + (1 - r) / n), where r is the correlation within hosts and 1 / r - 1 the strength: chance alone spreads
+    small hosts, and what it spreads does not count as a difference between them.
+    """
+    if mean is None:
+        return 0.0, PRIOR_DOCUMENTS
+    if var is None or not 0 < mean < 1 or inverse >= 1:
+        return mean, PRIOR_DOCUMENTS
+    within = (var / (mean * (1 - mean)) - inverse) / (1 - inverse)
+    return mean, 1 / min(max(within, LEAST_WITHIN), MOST_WITHIN) - 1
+
+
 def host_quality(docs: DataFrame, carry: list[str] | None = None, host_col: str = "source", text_col: str = "text") -> DataFrame:
     """Rule counts and verdict of each document, with its host's failures taken into account.
 
     base_failed: fewer than 10 words, or more than 20 % of words in repeated 5-word windows. rule_failed: base_failed, or
     more than one symbol for two words, or over half of the lines repeat an earlier line. A host's rate is its share of
-    documents with rule_failed, shrunk by a beta prior fitted to all hosts' shares by moments; hosts above 0.6 are
+    documents with rule_failed, shrunk by a beta prior whose moments fit all hosts' shares as a beta-binomial; hosts above 0.6 are
     rejected with all their documents. Returns ``carry`` (all input columns by default) and the counts; input columns named
     like a result are replaced. Null or empty texts have no words and fail. Documents without a host are judged alone
     (host_rate null). Repeated rows are judged row by row; an empty table gives no rows.
@@ -89,9 +106,7 @@ def host_quality(docs: DataFrame, carry: list[str] | None = None, host_col: str
         stats.where("__host is not null").groupBy("__host").agg(F.count(F.lit(1)).alias("__n"), F.sum(F.col("rule_failed").cast("long")).alias("__bad")), "hosts"
     )
     share = F.col("__bad") / F.col("__n")
-    mean, var = hosts.agg(F.avg(share), F.var_samp(share)).first() or (None, None)
-    mean = 0.0 if mean is None else mean
-    strength = mean * (1 - mean) / var - 1 if var and var < mean * (1 - mean) else PRIOR_DOCUMENTS
+    mean, strength = beta_prior(*(hosts.agg(F.avg(share), F.var_samp(share), F.avg(1 / F.col("__n"))).first() or (None, None, None)))
     rate = (F.col("__bad") + F.lit(mean * strength)) / (F.col("__n") + F.lit(strength))
     verdicts = hosts.select("__host", F.round(rate, 6).alias("host_rate"))
     judged = checked_join(stats, verdicts, "__host").drop("__host")

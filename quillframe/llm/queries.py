@@ -17,8 +17,8 @@ def op1_license_scan(spark, sf_dir):
 
 
 def op2_poisson_mix(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return mixing.poisson_mix(docs).select("doc_id", "source", "copy", "n_copies", F.round("rate", 6).alias("rate"), "shuffle_key")
+    mixed = mixing.poisson_mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.select("doc_id", "source", "copy", "n_copies", F.round("rate", 6).alias("rate"), "shuffle_key", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
 
 
 def op3_backoff_scores(spark, sf_dir):
@@ -93,18 +93,16 @@ r as (select conv_id, len(ts) as n, array_to_string(list_transform(ts, lambda t:
     || replace(replace(coalesce(t.x, ''), '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>') || '<|im_end|>' || chr(10)), '') as rendered from k join o using (conv_id))
 select conv_id, cast(n as bigint) as n_turns, cast(length(rendered) as bigint) as n_chars, sha256(rendered) as rendered_sha256 from r""",
     "op2_poisson_mix": r"""
-with per as (select coalesce(source, '') as src, count(*) as n, pow(count(*), 0.5) as w from documents group by 1),
+with per as (select coalesce('s' || source, 'n') as src, count(*) as n, pow(count(*), 0.5) as w from documents group by 1),
 tot as (select sum(n) as tn, sum(w) as tw from per),
 rates as (select src, tn * w / tw / n as rate from per, tot),
-drawn as (select d.doc_id, d.source, r.rate, greatest(floor(r.rate) - 500, 0) as sure,
-    cast('0x' || substr(md5('17:' || coalesce(cast(d.doc_id as varchar), 'null')), 1, 13) as bigint) / cast(4503599627370496 as double) as u
-  from documents d join rates r on r.src = coalesce(d.source, '')),
-counted as (select *, cast(sure + len(list_filter(range(0, cast(ceil(rate - sure + 12 * sqrt(rate - sure) + 20) as bigint) + 1),
-    lambda k: list_sum(list_transform(range(0, k + 1), lambda i: exp(-(rate - sure) + i * ln(rate - sure) - lgamma(i + 1)))) <= u)) as integer) as n_copies
-  from drawn),
-copies as (select doc_id, source, rate, n_copies, cast(unnest(range(0, n_copies)) as integer) as copy from counted where n_copies > 0)
+drawn as (select d.doc_id, d.source, d.text, r.rate, cast('0x' || substr(md5('17:' || coalesce(cast(d.doc_id as varchar), 'null')), 1, 13) as bigint) / cast(4503599627370496 as double) as u
+  from documents d join rates r on r.src = coalesce('s' || d.source, 'n')),
+counted as (select *, cast(len(list_filter(range(0, cast(ceil(rate + 12 * sqrt(rate) + 20) as bigint) + 1),
+    lambda k: list_sum(list_transform(range(0, k + 1), lambda i: exp(-rate + i * ln(rate) - lgamma(i + 1)))) <= u)) as integer) as n_copies from drawn),
+copies as (select doc_id, source, text, rate, n_copies, cast(unnest(range(0, n_copies)) as integer) as copy from counted where n_copies > 0)
 select doc_id, source, copy, n_copies, round(rate, 6) as rate,
-  cast('0x' || substr(md5('17/' || coalesce(cast(doc_id as varchar), 'null') || '/' || copy), 1, 15) as bigint) as shuffle_key
+  cast('0x' || substr(md5('17/' || coalesce(cast(doc_id as varchar), 'null') || '/' || copy), 1, 15) as bigint) as shuffle_key, md5(coalesce(text, '')) as text_md5
 from copies""",
     "op4_ngram_jaccard": r"""
 with recursive t as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'),
@@ -142,8 +140,9 @@ s as (select doc_id, source, cast(len(ws) as bigint) as n_words, cast(length(arr
 b as (select *, n_words < 10 or n_repeat_words * 100 > n_words * 20 as base_failed from s),
 f as (select *, base_failed or n_symbols * 100 > n_words * 50 or n_dup_lines * 100 > n_lines * 50 as rule_failed from b),
 h as (select source, count(*) as n, sum(rule_failed::int) as bad from f where source is not null group by source),
-p as (select avg(bad / n) as m, var_samp(bad / n) as v from h),
-q as (select m, case when v > 0 and v < m * (1 - m) then m * (1 - m) / v - 1 else 20.0 end as k from p)
+p as (select avg(bad / n) as m, var_samp(bad / n) as v, avg(1 / n) as a from h),
+r as (select m, case when v is not null and m > 0 and m < 1 and a < 1 then (v / (m * (1 - m)) - a) / (1 - a) end as rho from p),
+q as (select m, case when rho is null then 20.0 else 1 / least(greatest(rho, 1e-6), 0.999) - 1 end as k from r)
 select doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed, rule_failed, round((bad + m * k) / (n + k), 6) as host_rate,
   not base_failed and coalesce(round((bad + m * k) / (n + k), 6) <= 0.6, true) as kept
 from f left join (select h.*, q.* from h, q) g on g.source = f.source""",

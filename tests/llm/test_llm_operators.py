@@ -107,10 +107,32 @@ def test_mix_reaches_the_targets_and_repeats_itself(spark):
     assert abs(small - 3000) < 300 and abs(len(a) - 6000) < 400
 
 
-def test_large_rates(spark):
-    d = docs(spark, [(1, "t", "a")])
-    n = mixing.poisson_mix(d, {"a": 1.0}, total=5000).count()
-    assert 4800 < n < 5200
+def test_large_rates_have_poisson_spread(spark):
+    """Mean and variance are both the rate, below and above where the sum no longer begins at 0."""
+    for rate in (350, 2000):
+        d = docs(spark, [(i, "t", "a") for i in range(60)])
+        mixed = mixing.poisson_mix(d, {"a": 1.0}, total=60 * rate).groupBy("doc_id").count().collect()
+        n = [r["count"] for r in mixed]
+        mean = sum(n) / 60
+        var = sum((x - mean) ** 2 for x in n) / 59
+        assert abs(mean - rate) < 5 * (rate / 60) ** 0.5 and 0.5 * rate < var < 1.8 * rate
+
+
+def test_distribution_equals_definition(spark):
+    import math
+
+    for rate in (0.3, 7.0, 399.0, 401.0, 5000.0):
+        first, cdf = spark.range(1).select(mixing.distribution(F.lit(rate)).alias("d")).select("d.*").first()
+        for i in range(0, len(cdf), max(1, len(cdf) // 20)):
+            k = first + i
+            want = sum(math.exp(-rate + j * math.log(rate) - math.lgamma(j + 1)) for j in range(k + 1))
+            assert abs(cdf[i] - want) < 1e-9
+
+
+def test_a_null_source_is_apart_from_an_empty_one(spark):
+    d = docs(spark, [(i, "t", None) for i in range(3)] + [(10 + i, "t", "") for i in range(3)] + [(20 + i, "t", "x") for i in range(6)])
+    got = {r["__source"]: (r["rows"], round(r["rate"], 3)) for r in mixing.rates(d, weights={None: 1.0, "x": 1.0}).collect()}
+    assert got == {"n": (3, 2.0), "s": (3, 0.0), "sx": (6, 1.0)}
 
 
 # ---- language model ----
@@ -260,6 +282,22 @@ def test_a_bad_host_goes_and_a_good_one_stays(spark):
     assert not any(got[i] for i in range(110) if i in got) and all(got[200 + i] for i in range(50))
 
 
+def test_prior_takes_chance_apart_from_differences(spark):
+    """Hosts of five documents that all fail half the time by chance shrink to the mean; hosts that differ do not."""
+    rng = random.Random(3)
+    share = [sum(rng.random() < 0.5 for _ in range(5)) / 5 for _ in range(400)]
+    m = sum(share) / 400
+    mean, strength = quality_rules.beta_prior(m, sum((x - m) ** 2 for x in share) / 399, 0.2)
+    assert strength > 10
+    apart = quality_rules.beta_prior(0.5, 0.24, 0.2)[1]
+    assert apart < 1 and quality_rules.beta_prior(None, None, None) == (0.0, quality_rules.PRIOR_DOCUMENTS)
+    # A beta-binomial of known strength 8 gives it back.
+    p = [rng.betavariate(4, 4) for _ in range(20000)]
+    share = [sum(rng.random() < x for _ in range(6)) / 6 for x in p]
+    m = sum(share) / len(share)
+    assert 6.5 < quality_rules.beta_prior(m, sum((x - m) ** 2 for x in share) / (len(share) - 1), 1 / 6)[1] < 10
+
+
 # ---- long repeats ----
 
 
