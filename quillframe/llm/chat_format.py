@@ -19,13 +19,12 @@ def conversations_with_prefixes(turns: DataFrame) -> DataFrame:
     """conv_id, turns (in order), digests: digests[i] covers the first i + 1 turns, rolled from digests[i - 1]."""
     rows = turns.select(F.col("conv_id"), F.struct("turn", "role", "text").alias("t"))
     convs = rows.groupBy("conv_id").agg(F.sort_array(F.collect_set("t")).alias("turns"))
-    start = F.struct(F.lit("").alias("h"), F.array().cast("array<string>").alias("all"))
 
-    def roll(acc, t):
-        h = F.md5(F.concat(acc["h"], _said(t["role"]), _said(t["text"])))
-        return F.struct(h.alias("h"), F.concat(acc["all"], F.array(h)).alias("all"))
+    def roll(seen, t):
+        h = F.md5(F.concat(F.coalesce(F.element_at(seen, -1), F.lit("")), _said(t["role"]), _said(t["text"])))
+        return F.array_append(seen, h)
 
-    return convs.withColumn("digests", F.aggregate("turns", start, roll)["all"])
+    return convs.withColumn("digests", F.aggregate("turns", F.slice(F.array(F.lit("")), 1, 0), roll))
 
 
 def maximal_conversations(turns: DataFrame) -> DataFrame:

@@ -463,7 +463,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, id_col:
 
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those that hold a benchmark item. Documents without an id are kept apart by their text."""
+    """docs without those that hold a benchmark item, with their own columns.
+
+    A row is judged by its id and text, so repeated rows go or stay together, and rows without an id, or that share one, are
+    judged by their texts. Null and empty texts stay. An empty table or an empty benchmark drops nothing.
+    """
     key = F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
     rows = docs.select(key.alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     bad = written(find_leaks(rows, benchmark).select(F.col("doc_id").alias("__key")).distinct(), "leaking")

@@ -193,7 +193,10 @@ def license_spans(docs: DataFrame, templates: dict[str, str] | None = None, text
 
 
 def license_labels(spanned: DataFrame) -> DataFrame:
-    """Counts and labels from spans; score: 1 where a whole notice matches, 0.5 where only a phrase does, else 0."""
+    """Counts and labels from spans; score: 1 where a whole notice matches, 0.5 where only a phrase does, else 0.
+
+    Rows without spans have no labels (empty strings), null places and the score 0.
+    """
     base = F.filter("spans", lambda s: s["label"].isin(*PHRASES))
     starts = F.transform(base, lambda s: s["start"])
     names = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")

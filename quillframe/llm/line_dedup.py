@@ -26,7 +26,7 @@ def _digests(line):
 
 
 def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, site_col: str = "source", text_col: str = "text") -> DataFrame:
-    """h1, h2, sites of the lines that stand on at least min_sites distinct sites. A null site is a site of its own.
+    """h1, h2, sites of the lines that stand on at least min_sites distinct sites. A null site is a site of its own; a null text has no lines.
 
     Lines of fewer documents than min_sites go first. The others' sites are sketched and the sketches merged; only lines
     whose estimate lies near the threshold are counted exactly. sites: the estimate, or the exact count where one was made.

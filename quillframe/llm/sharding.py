@@ -118,5 +118,9 @@ def feistel_shards(docs: DataFrame, n_shards: int = 24, seed: int = 20_240_601,
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """One folder for each shard, rows in slot order."""
-    sharded.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """One folder for each shard; its files hold its rows in slot order, file after file.
+
+    Tasks take ranges of (shard, slot), so that a shard is written by as many tasks as its size asks for. An empty table
+    writes no shard; all columns are written.
+    """
+    sharded.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

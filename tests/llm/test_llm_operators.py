@@ -33,7 +33,7 @@ def clash(df, names):
 CALLS = {
     "license": lambda d: license_scan.license_labels(license_scan.license_spans(d)),
     "mix": mixing.poisson_mix,
-    "lm": lambda d: backoff_lm.backoff_scores(d, d.select("text")),
+    "lm": backoff_lm.backoff_scores,
     "jaccard": ngram_jaccard.jaccard_components,
     "keep_one": ngram_jaccard.keep_one,
     "quality": quality_rules.host_quality,
@@ -41,6 +41,9 @@ CALLS = {
     "repeats": substring_dedup.remove_repeats,
     "lines": line_dedup.drop_spread_lines,
     "shards": sharding.feistel_shards,
+    "drop_leaking": lambda d: latent_leaks.drop_leaking(d, d.select(F.col("doc_id").alias("item_id"), "text").where("doc_id < 3")),
+    "lm3": lambda d: backoff_lm.backoff_scores(d, order=3),
+    "lm_train": lambda d: backoff_lm.backoff_scores(d, d.select("text")),
     "leaks": lambda d: latent_leaks.find_leaks(d, d.select(F.col("doc_id").alias("item_id"), "text").where("doc_id < 3")),
 }
 
@@ -49,7 +52,7 @@ CALLS = {
 def test_odd_rows_and_empty_tables(spark, name):
     rows = odd(spark)
     out = CALLS[name](clash(rows, ["n_words", "kept", "shard", "copy", "n_copies", "spans", "kept_text", "n_shingles", "log_score", "rate", "n_lines", "__x"]))
-    if name not in ("mix", "keep_one", "keep_good", "leaks"):
+    if name not in ("mix", "keep_one", "keep_good", "leaks", "drop_leaking"):
         assert out.count() == rows.count()
     else:
         out.count()
@@ -369,6 +372,27 @@ def test_prefixes_and_copies_collapse(spark):
     assert chat_format.maximal_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_odd_turns(spark):
+    """Rows without conversation, turn, role or text, very long and repeated turns, and columns called like results."""
+    kind = "conv_id long, turn long, role string, text string, n_turns string, rendered string"
+    long = "x y " * 100_000
+    rows = [(None, 0, "user", "a"), (None, 1, "user", "b"), (1, None, None, None), (2, 0, "user", long), (2, 1, "assistant", ""), (3, 0, "user", long), (3, 0, "user", long), (4, 0, "user", ""), (5, 0, "user", None)]
+    got = {r.conv_id: (r.n_turns, len(r.rendered)) for r in chat_format.maximal_conversations(spark.createDataFrame([(*r, "t", "t") for r in rows], kind)).collect()}
+    assert set(got) == {None, 1, 2, 4, 5} and got[None][0] == 2 and got[2][0] == 2 and got[2][1] > len(long) and got[4] == got[5]
+
+
+# ---- sharding ----
+
+
+def test_shards_are_written_in_slot_order(spark, tmp_path):
+    d = docs(spark, [(i, f"text {i}", "s") for i in range(500)])
+    sharding.write_shards(sharding.feistel_shards(d, 4), str(tmp_path / "shards"))
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert back.count() == 500 and sorted(p.name for p in (tmp_path / "shards").iterdir() if p.is_dir()) == [f"shard={i}" for i in range(4)]
+    slots = [r.slot for r in spark.read.parquet(str(tmp_path / "shards/shard=1")).orderBy("slot").collect()]
+    assert slots == list(range(125))
+
+
 # ---- leaks ----
 
 

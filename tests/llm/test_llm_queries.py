@@ -96,3 +96,14 @@ def test_pipeline_against_its_stages(spark, sf):
     rows = corpus_pipeline.run(spark, sf).collect()
     assert sorted(r.doc_id for r in rows) == copies
     assert len({(r.shard, r.slot) for r in rows}) == len(rows)
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None, None, None, None), (None, "", "en", "s", 0), (2, "a b c", None, None, None), (2, "a b c", None, None, None), (3, "w " * 50_000, "en", "s", 1)]])
+def test_pipeline_on_odd_tables(spark, tmp_path, rows):
+    import corpus_pipeline
+
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "an item of seven words or so")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert {"doc_id", "text", "lang", "source", "n_chars", "shard", "slot"} <= set(out.columns)
+    assert out.count() <= 10 * max(1, len(rows))
