@@ -59,24 +59,24 @@ def _edges(batches: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFram
 def _windows(batches: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFrame]:
     """The digests of all windows of the segments asked for."""
     for pdf in batches:
-        for key, last, text, wanted in zip(pdf["__key"], pdf["__last"], pdf["__text"], pdf["wanted"], strict=True):
+        for key, last, text, w1s, w2s in zip(pdf["__key"], pdf["__last"], pdf["__text"], pdf["w1s"], pdf["w2s"], strict=True):
             if len(words := split(text)) < window:
                 continue
             s = Segments(words, window)
-            own = signed(s.digests[0])
-            at = np.flatnonzero(np.isin(own, np.asarray(wanted, dtype=np.int64)))
+            own, wanted = [signed(d) for d in s.digests], set(zip(w1s, w2s, strict=True))
+            at = np.flatnonzero([x in wanted for x in zip(own[0].tolist(), own[1].tolist(), strict=True)])
             if not len(at):
                 continue
             counts = s.last[at] - s.first[at] + 1
             offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
             starts = np.repeat(s.first[at], counts) + offset
             w1, w2 = (signed(lane.runs(starts, starts + window)) for lane in s.lanes)
-            yield pd.DataFrame({"w1": w1, "w2": w2, "key": key, "last": last, "s1": np.repeat(own[at], counts), "offset": offset.astype(np.int32)}).drop_duplicates()
+            yield pd.DataFrame({"w1": w1, "w2": w2, "key": key, "last": last, "s1": np.repeat(own[0][at], counts), "s2": np.repeat(own[1][at], counts), "offset": offset.astype(np.int32)}).drop_duplicates()
 
 
 def _cut(batch: pa.RecordBatch, window: int) -> dict[str, pa.Array]:
     kept, n_words, n_removed = [], [], []
-    for text, s1, masks in zip(*(batch.column(c).to_pylist() for c in ("__text", "__s1", "__masks")), strict=True):
+    for text, s1, s2, masks in zip(*(batch.column(c).to_pylist() for c in ("__text", "__s1", "__s2", "__masks")), strict=True):
         words = split(text)
         n_words.append(len(words))
         if s1 is None or len(words) < window:
@@ -84,12 +84,12 @@ def _cut(batch: pa.RecordBatch, window: int) -> dict[str, pa.Array]:
             kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
             continue
         s = Segments(words, window)
-        of: dict[int, int] = {}
-        for k, m in zip(s1, masks, strict=True):
-            of[k] = of.get(k, 0) | int(m)
+        of: dict[tuple[int, int], int] = {}
+        for a, b, m in zip(s1, s2, masks, strict=True):
+            of[a, b] = of.get((a, b), 0) | int(m)
         change = np.zeros(len(words) + 1, dtype=np.int64)
-        for own, first, last in zip(signed(s.digests[0]).tolist(), s.first.tolist(), s.last.tolist(), strict=True):
-            mask = of.get(own, 0)
+        for a, b, first, last in zip(*(signed(d).tolist() for d in s.digests), s.first.tolist(), s.last.tolist(), strict=True):
+            mask = of.get((a, b), 0)
             if mask < 0:
                 change[first] += 1
                 change[last + window] -= 1
@@ -128,35 +128,35 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     # Edges that at least two documents have; one segment or several.
     shared = (
         edges.groupBy("kmer")
-        .agg(F.min("ord").alias("least"), F.max("ord").alias("most"), F.min("s1").alias("__a"), F.max("s1").alias("__b"))
+        .agg(F.min("ord").alias("least"), F.max("ord").alias("most"), F.min(F.struct("s1", "s2")).alias("__a"), F.max(F.struct("s1", "s2")).alias("__b"))
         .where("least < most")
         .select("kmer", "least", (F.col("__a") != F.col("__b")).alias("branches"))
     )
     met = written(edges.join(shared, "kmer"), "shared-edges")
-    straight = met.where("not branches and ord > least").select("key", "s1", F.lit(-1).cast("long").alias("mask"))
+    straight = met.where("not branches and ord > least").select("key", "s1", "s2", F.lit(-1).cast("long").alias("mask"))
 
     # Branching edges: the least document of each segment, then of each of its windows.
     branching = met.where("branches")
     segments = written(branching.groupBy("s1", "s2").agg(F.min("ord").alias("first_ord"), F.max("ord").alias("last_ord")), "segments")
     repeated = segments.where("first_ord < last_ord").select("s1", "s2", "first_ord")
-    later = branching.join(repeated, ["s1", "s2"]).where("ord > first_ord").select("key", "s1", F.lit(-1).cast("long").alias("mask"))
+    later = branching.join(repeated, ["s1", "s2"]).where("ord > first_ord").select("key", "s1", "s2", F.lit(-1).cast("long").alias("mask"))
     firsts = branching.select("s1", "s2", "key", "ord").join(segments.select("s1", "s2", "first_ord"), ["s1", "s2"]).where("ord = first_ord")
-    asked = written(firsts.groupBy("key").agg(F.collect_set("s1").alias("wanted")), "asked")
+    asked = written(firsts.groupBy("key").agg(F.collect_set(F.struct("s1", "s2")).alias("w")).select("key", F.col("w.s1").alias("w1s"), F.col("w.s2").alias("w2s")), "asked")
     few = asked.count() <= PICKED_IDS
     picked = narrow.join(F.broadcast(asked.select("key")), narrow["__key"] == F.col("key"), "left_semi") if few else narrow
     spelled = written(
-        picked.join(asked, picked["__key"] == asked["key"]).select("__key", "__last", "__text", "wanted")
-        .mapInPandas(lambda it: _windows(it, window), "w1 long, w2 long, key long, last boolean, s1 long, offset int"),
+        picked.join(asked, picked["__key"] == asked["key"]).select("__key", "__last", "__text", "w1s", "w2s")
+        .mapInPandas(lambda it: _windows(it, window), "w1 long, w2 long, key long, last boolean, s1 long, s2 long, offset int"),
         "windows",
     ).withColumn("ord", F.when(F.col("last"), F.lit(LAST)).otherwise(F.col("key")))
     least = spelled.groupBy("w1", "w2").agg(F.min("ord").alias("least"), F.max("ord").alias("most")).where("least < most").select("w1", "w2", "least")
     single = (
         spelled.join(least, ["w1", "w2"]).where("ord > least")
-        .select("key", "s1", "offset").distinct()
-        .groupBy("key", "s1").agg(F.sum(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("offset"))).alias("mask"))
+        .select("key", "s1", "s2", "offset").distinct()
+        .groupBy("key", "s1", "s2").agg(F.sum(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("offset"))).alias("mask"))
     )
     found = straight.unionByName(later).unionByName(single)
-    found = found.groupBy("key").agg(F.collect_set(F.struct("s1", "mask")).alias("__f"))
-    found = found.select(F.col("key").alias("__k"), F.transform("__f", lambda x: x["s1"]).alias("__s1"), F.transform("__f", lambda x: x["mask"]).alias("__masks"))
+    found = found.groupBy("key").agg(F.collect_set(F.struct("s1", "s2", "mask")).alias("__f"))
+    found = found.select(F.col("key").alias("__k"), F.col("__f.s1").alias("__s1"), F.col("__f.s2").alias("__s2"), F.col("__f.mask").alias("__masks"))
     joined = keyed.join(found, F.col("__key") == F.col("__k"), "left").drop("__k")
-    return appended(joined, ["__key", "__last", "__text", "__s1", "__masks"], "n_words long, n_removed long, kept_text string", lambda b: _cut(b, window))
+    return appended(joined, ["__key", "__last", "__text", "__s1", "__s2", "__masks"], "n_words long, n_removed long, kept_text string", lambda b: _cut(b, window))
