@@ -1,7 +1,8 @@
 """Exact Jaccard join of word n-gram sets, reduced to components, with set-relation skipping.
 
 Two relations between sets save work. Among the entries of an index list, sorted by size, only the block of sizes that can
-still link is looked at, and entries whose positions leave too few n-grams are passed over (index skipping). And a set that
+still link is looked at, and each block of one size only up to the position from which too few n-grams follow (index
+skipping). And a set that
 is highly similar to another one takes over that set's answers: it joins its component at once, and from then on only pairs
 of sets from different components are compared (answer skipping). So a group of thousands of near copies costs a star of
 comparisons, not all pairs.
@@ -106,25 +107,39 @@ def _popcounts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _list_pairs(sizes, places, comps, maps, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one list's entries, sorted by size, that may link and lie in different components."""
+    """Pairs of one list's entries, sorted by (size, place), that may link and lie in different components.
+
+    Entries of one size are a block in order of place. An entry and one of a block share at most one n-gram more than what
+    the later place leaves, so from each block only the part before a place is read, or nothing where the entry's own place
+    leaves too little; what lies beyond is skipped unread.
+    """
     lefts, rights = [], []
-    upto = np.searchsorted(sizes, sizes * 100 // percent, side="right")
+    block_sizes, starts = np.unique(sizes, return_index=True)
+    ends = np.append(starts[1:], len(sizes))
+    codes = sizes * (1 << 32) + places
+    first_block = np.searchsorted(block_sizes, sizes)
+    last_block = np.searchsorted(block_sizes, sizes * 100 // percent, side="right")
     for i in range(len(sizes) - 1):
-        block = slice(i + 1, upto[i])  # larger sets that are not too large
-        if block.start >= block.stop:
-            continue
-        both = sizes[block] + sizes[i]
-        room = (1 + np.minimum(sizes[i] - places[i], sizes[block] - places[block])) * (100 + percent) >= percent * both
-        at = np.flatnonzero(room & (comps[block] != comps[i]))
+        blocks = slice(first_block[i], last_block[i])  # of sizes that are not too large
+        size = block_sizes[blocks]
+        need = -(-percent * (size + sizes[i]) // (100 + percent)) - 1  # n-grams to share after this one
+        open_ = need <= sizes[i] - places[i]
+        size, need = size[open_], need[open_]
+        lo = np.maximum(starts[blocks][open_], i + 1)
+        hi = np.minimum(np.searchsorted(codes, size * (1 << 32) + np.maximum(size - need, -1), side="right"), ends[blocks][open_])
+        n = np.maximum(hi - lo, 0)
+        at = np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)
+        at = at[comps[at] != comps[i]]
         if len(at):
-            at = at[_popcounts(maps[block][at], maps[i]) * (100 + percent) <= both[at] * (100 - percent)]
+            both = sizes[at] + sizes[i]
+            at = at[_popcounts(maps[at], maps[i]) * (100 + percent) <= both * (100 - percent)]
             lefts.append(np.full(len(at), i))
-            rights.append(at + i + 1)
+            rights.append(at)
     return (np.concatenate(lefts), np.concatenate(rights)) if lefts else (np.zeros(0, int), np.zeros(0, int))
 
 
 def _candidates(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
-    """Entries come sorted by (token, size); a list that goes on in the next batch is carried over."""
+    """Entries come sorted by (token, size, place); a list that goes on in the next batch is carried over."""
     rest = None
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -274,7 +289,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
         index = index.join(_few(touched.withColumnRenamed("id", "cid"), PICKED_IDS), "cid", "left_anti").unionByName(again)
         lists = scratch.write(_lists(index), "lists")
     listed = scratch.write(_entries(index).join(_few(lists.where("mixed").select("token"), FEW_TOKENS), "token"), "entries").join(firsts.select("cid", *MAPS), "cid")
-    dealt = listed.repartition("token").sortWithinPartitions("token", "n_shingles")
+    dealt = listed.repartition("token").sortWithinPartitions("token", "n_shingles", "place")
     pairs = scratch.write(dealt.mapInPandas(lambda it: _candidates(it, percent), "a long, b long").distinct(), "pairs")
     final = components(links.union(verified(pairs, firsts, narrow, n, percent, scratch)), scratch)
 
