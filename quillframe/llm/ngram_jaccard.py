@@ -1,11 +1,10 @@
 """Exact Jaccard join of word n-gram sets, reduced to components, with set-relation skipping.
 
-Two relations between sets save work. Among the entries of an index list, sorted by size, only the block of sizes that can
-still link is looked at, and each block of one size only up to the position from which too few n-grams follow (index
-skipping). And a set that
-is highly similar to another one takes over that set's answers: it joins its component at once, and from then on only pairs
-of sets from different components are compared (answer skipping). So a group of thousands of near copies costs a star of
-comparisons, not all pairs.
+Two relations between sets save work. Among the entries of an index list, sorted by size and position, only the blocks of
+sizes that can still link are looked at, and each of them only up to the position from which too few n-grams follow (index
+skipping). And a set that is highly similar to another one takes over that set's answers: it joins its component at once,
+and from then on only pairs of sets from different components are compared (answer skipping). So a group of thousands of
+near copies costs a star of comparisons, not all pairs.
 
 Steps: one pass describes each text (set digest, size, parity bitmap, min-hash keys, prefix of n-grams). Equal sets become
 one class. Classes that share a min-hash key are compared with the key's least class only; what links forms the first
