@@ -164,3 +164,62 @@ def test_carry_above_all_mains_is_flagged(spark):
     rows = [(1, 1, "carry_1", 5.0, 0), (1, 2, "main_3", 50.0, 0), (1, 3, "carry_1", 60.0, 0), (1, 4, "borrow_1", 9.0, 4)]
     df = spark.createDataFrame(rows, "scene_id long, det_id long, label string, y0 double, col int")
     assert {r.det_id for r in cluster.carry_conflicts(df).where("carry_conflict").collect()} == {1, 4}
+
+
+def random_boxes(seed, n=12, size=120):
+    rng = random.Random(seed)
+    out = []
+    for _ in range(n):
+        x, y = rng.randrange(size), rng.randrange(size)
+        out.append((float(x), float(y), float(x + rng.randrange(2, 40)), float(y + rng.randrange(2, 40))))
+    return out
+
+
+def test_box_merging_by_gap_equals_closure(spark):
+    """Boxes within a gap of each other end in one; the rectangles of what is left are further apart than the gap."""
+    scenes = {k: random_boxes(k, 10, 400) for k in range(8)}
+    df = spark.createDataFrame([(k, i, *b) for k, boxes in scenes.items() for i, b in enumerate(boxes)], "scene_id long, det_id long, x0 double, y0 double, x1 double, y1 double")
+    got = {}
+    for r in match.merge_boxes(df).collect():
+        got.setdefault(r.scene_id, []).append((r.x0, r.y0, r.x1, r.y1))
+    near = lambda a, b: a[0] <= b[2] + 14 and b[0] <= a[2] + 14 and a[1] <= b[3] + 14 and b[1] <= a[3] + 14
+    for k, boxes in scenes.items():
+        left = set(boxes)
+        while pair := next(((a, b) for a in left for b in left if a < b and near(a, b)), None):
+            a, b = pair
+            left = (left - {a, b}) | {(min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3]))}
+        assert sorted(got[k]) == sorted(left)
+
+
+def test_overlapping_boxes_merge_until_none_overlaps(spark):
+    scenes = {k: random_boxes(100 + k) for k in range(8)}
+    df = spark.createDataFrame([(k, i, *b) for k, boxes in scenes.items() for i, b in enumerate(boxes)], "scene_id long, box_id long, x0 double, y0 double, x1 double, y1 double")
+    got = {}
+    for r in match.merge_overlapping(df).collect():
+        got.setdefault(r.scene_id, []).append((r.x0, r.y0, r.x1, r.y1))
+    area = lambda b: (b[2] - b[0]) * (b[3] - b[1])
+    shared = lambda a, b: max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
+    for k, boxes in scenes.items():
+        for i, a in enumerate(got[k]):
+            assert all(shared(a, b) <= 0.5 * min(area(a), area(b)) for b in got[k][i + 1 :])
+        for b in boxes:  # no box is lost: each lies inside one that is left
+            assert any(g[0] <= b[0] and g[1] <= b[1] and g[2] >= b[2] and g[3] >= b[3] for g in got[k])
+
+
+def test_jitter_stays_near_and_inside(spark):
+    from quillframe.operators import graph
+
+    rows = [(k, i, *b) for k in range(30) for i, b in enumerate(random_boxes(k, 6, 500))]
+    df = spark.createDataFrame(rows, "scene_id long, det_id long, x0 double, y0 double, x1 double, y1 double")
+    kept = {(r.scene_id, r.det_id): tuple(r)[2:] for r in graph.jittered(df, 6.0).collect()}
+    again = {(r.scene_id, r.det_id): tuple(r)[2:] for r in graph.jittered(df.repartition(5), 6.0).collect()}
+    assert kept == again
+    moved = []
+    for k, i, *b in rows:
+        got = kept[k, i]
+        assert all(0 <= v <= 512 for v in got) and got[0] <= got[2] and got[1] <= got[3]
+        if b[2] - b[0] > 12 and b[3] - b[1] > 12:
+            assert all(abs(v - min(512.0, w)) <= 6 for v, w in zip(got, b))
+            moved += [v - w for v, w in zip(got, b) if 6 < w < 506]
+    assert abs(sum(moved) / len(moved)) < 1 and min(moved) < -4 and max(moved) > 4
+
