@@ -85,12 +85,14 @@ k as (select rid, count(*) filter (where bad.line is not null) as gone, string_a
 select doc_id, cast(len(ls) as bigint) as n_lines, cast(gone as bigint) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from t join k using (rid)""",
     "op8_snapshot_collapse": r"""
 with d as (select distinct conv_id, turn, role, text from conversations),
-c as (select conv_id, list(struct_pack(r := role, x := text) order by turn nulls first, role nulls first, text nulls first) as ts from d group by conv_id),
-k as (select conv_id, ts, list_transform(ts, lambda t: coalesce('v' || length(t.r) || ':' || t.r, 'n') || coalesce('v' || length(t.x) || ':' || t.x, 'n')) as ks from c),
+e as (select *, case when conv_id is null then coalesce(cast(turn as varchar), 'n') || '/' || coalesce('v' || role, 'n') || coalesce('v' || text, 'n') end as own from d),
+c as (select conv_id, own, list(struct_pack(r := role, x := text) order by turn nulls first, role nulls first, text nulls first) as ts from e group by conv_id, own),
+k as (select conv_id, own, ts, list_transform(ts, lambda t: coalesce('v' || length(t.r) || ':' || t.r, 'n') || coalesce('v' || length(t.x) || ':' || t.x, 'n')) as ks from c),
 p as (select distinct array_to_string(ks[1:i], '') as pre, i from (select ks, unnest(range(1, len(ks))) as i from k)),
-o as (select min(conv_id) as conv_id from (select conv_id, array_to_string(ks, '') as f, len(ks) as n from k) where not exists (select 1 from p where p.pre = f and p.i = n) group by f),
+f as (select *, array_to_string(ks, '') as f, len(ks) as n from k),
+o as (select * from (select *, row_number() over (partition by f order by conv_id nulls last, own) as place from f where not exists (select 1 from p where p.pre = f and p.i = n)) q where place = 1),
 r as (select conv_id, len(ts) as n, array_to_string(list_transform(ts, lambda t: '<|im_start|>' || coalesce(t.r, 'unknown') || chr(10)
-    || replace(replace(coalesce(t.x, ''), '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>') || '<|im_end|>' || chr(10)), '') as rendered from k join o using (conv_id))
+    || replace(replace(coalesce(t.x, ''), '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>') || '<|im_end|>' || chr(10)), '') as rendered from o)
 select conv_id, cast(n as bigint) as n_turns, cast(length(rendered) as bigint) as n_chars, sha256(rendered) as rendered_sha256 from r""",
     "op2_poisson_mix": r"""
 with per as (select coalesce('s' || source, 'n') as src, count(*) as n, pow(count(*), 0.5) as w from documents group by 1),

@@ -377,8 +377,10 @@ def test_odd_turns(spark):
     kind = "conv_id long, turn long, role string, text string, n_turns string, rendered string"
     long = "x y " * 100_000
     rows = [(None, 0, "user", "a"), (None, 1, "user", "b"), (1, None, None, None), (2, 0, "user", long), (2, 1, "assistant", ""), (3, 0, "user", long), (3, 0, "user", long), (4, 0, "user", ""), (5, 0, "user", None)]
-    got = {r.conv_id: (r.n_turns, len(r.rendered)) for r in chat_format.maximal_conversations(spark.createDataFrame([(*r, "t", "t") for r in rows], kind)).collect()}
-    assert set(got) == {None, 1, 2, 4, 5} and got[None][0] == 2 and got[2][0] == 2 and got[2][1] > len(long) and got[4] == got[5]
+    found = chat_format.maximal_conversations(spark.createDataFrame([(*r, "t", "t") for r in rows], kind)).collect()
+    assert sorted(r.rendered for r in found if r.conv_id is None) == [f"<|im_start|>user\n{x}<|im_end|>\n" for x in "ab"]
+    got = {r.conv_id: (r.n_turns, len(r.rendered)) for r in found}
+    assert set(got) == {None, 1, 2, 4, 5} and got[None][0] == 1 and got[2][0] == 2 and got[2][1] > len(long) and got[4] == got[5]
 
 
 # ---- sharding ----
