@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 from .common import written
 from .words import U, Prefix, mix, signed, word_digests
 
-#: Latent directions: one for three passages, since a space with a direction for each passage would merge nothing, and so many at most.
-PASSAGES_A_DIRECTION = 3
+#: Latent directions: one for four passages, since a space with a direction for each passage would merge nothing, and so many at most.
+PASSAGES_A_DIRECTION = 4
 RANK = 128
+SPARE = 16
 #: Passages of one matrix, and of one pass over the documents.
 SLICE = 256
 PASS = 4096
@@ -37,7 +38,6 @@ BLOCK = 8192
 TEXTS = 100
 #: Runs of so many words (a shorter passage's all) that a text shares with a passage are checked whatever the words weigh.
 RUN = 8
-VOCABULARY = 500_000
 #: Candidates: a window's cosine with a passage over all terms; or in the latent space, for windows that keep a share of their length there.
 COSINE = 0.4
 LATENT_COSINE = 0.7
@@ -105,34 +105,12 @@ def _normals(terms: np.ndarray, rank: int) -> np.ndarray:
     return np.sqrt(-2 * np.log(unit[:, :rank])) * np.cos(2 * np.pi * unit[:, rank:])
 
 
-def document_frequencies(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> tuple[DataFrame, int]:
-    """term, df (documents that hold it) for the benchmark's terms (term, word) over all documents, and the number of documents.
-
-    Up to VOCABULARY words are looked up in a broadcast table; with more, every word is counted.
-    """
-    known = None
-    if terms.count() <= VOCABULARY:
-        known = docs.sparkSession.sparkContext.broadcast({bytes(r["word"]): r["term"] for r in terms.collect()})
-
-    def count(batches):
-        for b in batches:
-            sums: collections.Counter = collections.Counter()
-            for text in b.column("text").to_pylist():
-                words = set(tokens(text))
-                sums.update(known.value.keys() & words if known else words)
-            words = sorted(sums)
-            keys = [known.value[w] for w in words] if known else signed(word_digests(words)).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([sums[w] for w in words], pa.int64())], ["term", "df"])
-
-    rows = docs.select(F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")), docs.count()
-
-
-def passages(benchmark: DataFrame, docs: DataFrame, id_col: str = "item_id", text_col: str = "text", doc_text_col: str = "text") -> DataFrame:
+def passages(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """pid, item, part (pass over the documents), terms, weights, idfs, text (its words), answer (where its answer begins): the benchmark's passages and their TF-IDF vectors.
 
     Texts that share an id are passages of their own. A passage's answer is its part of the item's answer; a half where it has none.
-    A term's weight comes from the number of documents that hold it, and is over zero even for a term that all of them hold.
+    A term's weight comes from the number of passages that hold it. The documents have no say in it: a passage that has leaked
+    into many of them would weigh itself down. It is over zero even for a term of all passages.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,12 +130,11 @@ def passages(benchmark: DataFrame, docs: DataFrame, id_col: str = "item_id", tex
     cuts = rows.mapInArrow(cut, "item long, text binary, answer int, terms array<long>, words array<binary>, counts array<long>")
     cuts = written(cuts.dropDuplicates(["item", "text", "answer"]).withColumn("pid", F.xxhash64("item", "text", "answer")), "passages")
     each = cuts.select("pid", F.explode(F.arrays_zip("terms", "words", "counts")).alias("t")).select("pid", F.col("t.terms").alias("term"), F.col("t.words").alias("word"), F.col("t.counts").alias("tf"))
-    df, total = document_frequencies(docs, each.select("term", "word").dropDuplicates(["term"]), doc_text_col)
-    df = written(df, "document-frequencies")
-    idf = F.log(F.lit(total + 2.0) / (F.coalesce("df", F.lit(0)) + 1))
-    weighed = each.join(df, "term", "left").select("pid", "term", (F.col("tf") * idf).alias("w"), idf.alias("idf"))
-    lists = weighed.groupBy("pid").agg(F.sort_array(F.collect_list(F.struct("term", "w", "idf"))).alias("l"))
+    df = each.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     size = cuts.count()
+    idf = F.log(F.lit(size + 2.0) / (F.col("df") + 1))
+    weighed = each.join(df, "term").select("pid", "term", (F.col("tf") * idf).alias("w"), idf.alias("idf"))
+    lists = weighed.groupBy("pid").agg(F.sort_array(F.collect_list(F.struct("term", "w", "idf"))).alias("l"))
     # Dealt by digest, three quarters full; all passages of an item are in one pass.
     part = F.pmod(F.xxhash64("item"), F.lit(1 if size <= PASS else -(-size * 4 // (PASS * 3))))
     return written(
@@ -202,8 +179,10 @@ def latent_basis(index: DataFrame, rank: int = RANK) -> DataFrame:
     """term, v: the right singular vectors of the passages' matrix, found by a randomised SVD over its partitions.
 
     The range is sampled with a random matrix, refined by one power iteration, and made orthonormal through rank-by-rank
-    inner products; nothing larger than rank by rank comes to the driver.
+    inner products; nothing larger than rank by rank comes to the driver. SPARE directions more than asked for are sampled and
+    dropped at the end, since the last sampled ones are the least exact.
     """
+    keep, rank = rank, rank + SPARE
 
     def times_random(batches):
         for b in batches:
@@ -254,7 +233,7 @@ def latent_basis(index: DataFrame, rank: int = RANK) -> DataFrame:
     z = to_terms(y, _root_inverse(_gram(y, rank)))
     y = to_passages(z, _root_inverse(_gram(z, rank)))
     z = to_terms(y, _root_inverse(_gram(y, rank)))
-    w = _root_inverse(_gram(z, rank))
+    w = _root_inverse(_gram(z, rank))[:, :keep]
 
     def rotate(batches):
         for b in batches:
@@ -285,7 +264,8 @@ class Slice:
 class Index:
     """The passages of one pass, at most PASS by construction: what a task needs to search."""
 
-    def __init__(self, index: DataFrame, basis: DataFrame, rank: int):
+    def __init__(self, index: DataFrame, basis: DataFrame, rank: int, size: int):
+        """size: passages of the whole benchmark."""
         vectors = basis.toPandas()
         rows = index.toPandas()
         rows = rows.assign(n=[len(t.split()) for t in rows["text"]]).sort_values(["n", "pid"])
@@ -306,7 +286,7 @@ class Index:
             idf[at] = i
             own.append((at, w / np.linalg.norm(w)))
         self.square = idf**2
-        self.square[0] = self.square.max(initial=1.0)  # a word from outside weighs as much as the rarest one
+        self.square[0] = np.log(size + 2.0) ** 2  # a word of no passage
         self.slices = [
             Slice(k, lengths[k : k + SLICE], [(at, idf[at] * w) for at, w in own[k : k + SLICE]], len(idf)) for k in range(0, len(own), SLICE)
         ]
@@ -431,11 +411,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, id_col:
 
     Every window of every text is multiplied with the passages that suit its length; what comes near one, over all terms or in
     the latent space, and every run of 8 words shared with one goes to the word checks. Null or empty texts and items match
-    nothing; an item whose words are all common among the documents is searched like any other; rows without item id are left
+    nothing; an item whose words are all common, or that most documents hold, is searched like any other; rows without item id are left
     out. Repeated document rows repeat their rows, repeated items count once. Very long texts are searched window by window.
     Extra columns are not looked at.
     """
-    index = passages(benchmark, docs, item_col, item_text_col, text_col)
+    index = passages(benchmark, item_col, item_text_col)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("__text"))
     spark, found = docs.sparkSession, None
     size = index.count()
@@ -444,7 +424,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, id_col:
     for part in sorted(r["part"] for r in index.select("part").distinct().collect()):
         own = index.where(F.col("part") == part)
         held = own.select(F.explode("terms").alias("term")).distinct()
-        shared = spark.sparkContext.broadcast(Index(own, basis.join(held, "term"), rank))
+        shared = spark.sparkContext.broadcast(Index(own, basis.join(held, "term"), rank, size))
 
         def search(batches, shared=shared):
             names = ("item_id", "cosine", "lcs_share", "has_answer")
