@@ -388,6 +388,8 @@ class Index:
         passage, answer, long = self.masks[p]
         n = len(self.words[p])
         near = words[max(0, lo - n) : hi + n]
+        if sum(w in passage for w in near) < LCS_MAYBE * n:  # no common subsequence is longer than that
+            return None
         share = max(lcs(passage, n, near[i : i + 2 * n]) for i in range(0, max(1, len(near) - n), max(1, n // 2))) / n
         if share < LCS_MAYBE:
             return None
