@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import backoff_lm, chat_format, latent_leaks, license_scan, line_dedup, mixing, ngram_jaccard, quality_rules, sharding, substring_dedup
+from . import backoff_lm, chat_format, collocations, latent_leaks, license_scan, line_dedup, mixing, ngram_jaccard, private_spans, quality_rules, sharding, substring_dedup, token_alignment
 
 
 def table(spark, sf_dir: str, name: str):
@@ -63,7 +63,20 @@ def op10_latent_leaks(spark, sf_dir):
     return latent_leaks.find_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_poisson_mix, op3_backoff_scores, op4_ngram_jaccard, op5_host_quality, op6_remove_repeats, op7_line_spread, op8_snapshot_collapse, op9_feistel_shards, op10_latent_leaks)}
+def op11_private_spans(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return private_spans.counted(private_spans.private_spans(docs))
+
+
+def op12_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+def op13_token_alignment(spark, sf_dir):
+    return token_alignment.aligned_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_poisson_mix, op3_backoff_scores, op4_ngram_jaccard, op5_host_quality, op6_remove_repeats, op7_line_spread, op8_snapshot_collapse, op9_feistel_shards, op10_latent_leaks, op11_private_spans, op12_collocations, op13_token_alignment)}
 
 ORACLE = {
     "op3_backoff_scores": r"""
@@ -171,3 +184,5 @@ from m"""
 
 
 ORACLE["op1_license_scan"] = _license_sql()
+ORACLE["op11_private_spans"] = private_spans.oracle_sql()
+ORACLE["op12_collocations"] = collocations.ORACLE
