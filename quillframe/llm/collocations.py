@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -149,6 +149,12 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     return found, totals
 
 
+def score(a: Column, n: Column, l: Column, r: Column) -> Column:
+    """floor(1000 a n / (l r)), exact up to 38 digits."""
+    big = lambda c: c.cast("decimal(19,0)")
+    return F.call_function("div", (F.lit(1000).cast("decimal(4,0)") * big(a)).cast("decimal(22,0)") * big(n), big(l) * big(r))
+
+
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The phrases of each language with the highest scores: lang, rank, phrase, a, l, r, n, score.
 
@@ -185,10 +191,7 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     for more in kept[1:]:
         rows = rows.unionByName(more)
     rows = rows.join(F.broadcast(totals) if totals.count() <= 1_000 else totals, "lang")
-    big = lambda c: c.cast("decimal(20,0)")
-    cut = lambda l, i: F.struct(
-        F.call_function("div", (big(F.lit(1000)) * big(F.col("f"))).cast("decimal(38,0)") * big(F.col("n")), big(l) * big(F.get(F.reverse("tails"), i))).alias("score"), i.alias("i"), l.alias("l"), F.get(F.reverse("tails"), i).alias("r")
-    )
+    cut = lambda l, i: F.struct(score(F.col("f"), F.col("n"), l, F.get(F.reverse("tails"), i)).alias("score"), i.alias("i"), l.alias("l"), F.get(F.reverse("tails"), i).alias("r"))
     scored = rows.withColumn("best", F.array_min(F.transform("heads", cut)))
     flat = scored.select("lang", F.array_join("words", " ").alias("phrase"), F.col("f").alias("a"), F.col("best.l").alias("l"), F.col("best.r").alias("r"), "n", F.col("best.score").alias("score"))
     order = [F.desc("score"), F.desc("a"), "phrase"]

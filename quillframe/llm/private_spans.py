@@ -35,7 +35,7 @@ PATTERNS = {
     "ip": r"()[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
     "card": r"()[0-9](?:[\x20-]?[0-9])+",
     "phone": r"()\+[0-9][\x20().0-9-]+[0-9]",
-    "address": rf"()[{LOCAL}{WIDE}]+@[A-Za-z0-9{WIDE}-]+(?:\.[A-Za-z0-9{WIDE}-]+)+",
+    "address": rf"()[{WIDE}{LOCAL}]+@[A-Za-z0-9{WIDE}-]+(?:\.[A-Za-z0-9{WIDE}-]+)+",
     "login": rf"([A-Za-z0-9+.-]://){USER}+(?::{USER}*)?@",
     "iban": rf"((?:{'|'.join(IBAN_CUES)})[:\x20]{{0,2}})(?:" + "|".join(rf"{c}[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for c, n in IBAN_LENGTHS.items()) + ")",
     "account": rf"((?:{'|'.join(ACCOUNT_CUES)})(?:\x20(?:number|no|nr))?[.:#]?\x20?)[0-9](?:[\x20-]?[0-9])+",
