@@ -11,7 +11,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from . import tiles
+from .components import components, first_takers
+from .lineage import cut
 
+#: Scenes with more boxes on a side are paired over tiles and folded by components.
+SCENE_BOXES = 2_000
 MATCH_IOU = 0.35
 OUTCOME_IOU = 0.40
 NMS_IOU = 0.3
@@ -23,11 +28,41 @@ def _sided(df: DataFrame, side: str, scene: str = "scene_id") -> DataFrame:
     return df.select(scene, *[F.col(c).alias(f"{side}_{c}") for c in df.columns if c != scene])
 
 
-def iou_pairs(left: DataFrame, right: DataFrame, threshold: float = MATCH_IOU, left_id: str = "gt_id", right_id: str = "pred_id", scene: str = "scene_id") -> DataFrame:
-    """All pairs of one scene with IoU >= threshold: scene, both ids, iou. One shuffle on the scene."""
-    pairs = _sided(left, "a", scene).join(_sided(right, "b", scene), scene)
-    pairs = pairs.withColumn("iou", g.iou(g.box("a_"), g.box("b_"))).where(F.col("iou") >= threshold)
-    return pairs.select(scene, F.col(f"a_{left_id}").alias(left_id), F.col(f"b_{right_id}").alias(right_id), "iou")
+def crowded(scene: str, most: int, *tables: DataFrame) -> DataFrame:
+    """The scenes with more than ``most`` rows in one of the tables."""
+    found = [t.groupBy(scene).count().where(F.col("count") > most).select(scene) for t in tables]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.distinct()
+
+
+def iou_pairs(left: DataFrame, right: DataFrame, threshold: float = MATCH_IOU, left_id: str = "gt_id", right_id: str = "pred_id", scene: str = "scene_id", scene_boxes: int = SCENE_BOXES) -> DataFrame:
+    """All pairs of one scene with IoU >= threshold: scene, both ids, iou.
+
+    Scenes of up to ``scene_boxes`` boxes on each side are paired whole, with one shuffle on the scene; larger ones over
+    tiles, where candidates are near the result and a scene spreads over many tasks. Pairs without common area come back
+    only for a threshold of 0 or less, which pairs all scenes whole.
+    """
+
+    def whole(a, b):
+        both = _sided(a, "a", scene).join(_sided(b, "b", scene), scene)
+        return both.withColumn("iou", g.iou(g.box("a_"), g.box("b_"))).where(F.col("iou") >= threshold)
+
+    picked = [scene, F.col(f"a_{left_id}").alias(left_id), F.col(f"b_{right_id}").alias(right_id), "iou"]
+    large = crowded(scene, scene_boxes, left, right)
+    if threshold <= 0 or large.isEmpty():
+        return whole(left, right).select(*picked)
+    large = cut(large)
+    few, many = ([t.join(large, scene, how) for t in (left, right)] for how in ("left_anti", "left_semi"))
+    return whole(*few).select(*picked).unionByName(tiled_iou_pairs(*many, threshold, scene).select(*picked))
+
+
+def tiled_iou_pairs(left: DataFrame, right: DataFrame, threshold: float, scene: str = "scene_id") -> DataFrame:
+    """The same over tiles; a pair of this IoU has sides at most 1 / threshold apart, which bounds the levels between them."""
+    meets = lambda a, b: g.iou(a, b) >= threshold
+    reach = max(1, int(np.ceil(np.log2(1 / threshold))) + 1)
+    return tiles.pairs(left, right, scene, meets, reach=reach).withColumn("iou", g.iou(g.box("a_"), g.box("b_")))
 
 
 def greedy_match(pairs: DataFrame, left_id: str = "gt_id", right_id: str = "pred_id", score: str = "iou", larger_first: tuple[str, str] | None = None, scene: str = "scene_id") -> DataFrame:
@@ -70,29 +105,71 @@ def nearest(queries: DataFrame, targets: DataFrame, query_id: str, target_id: st
     return both.groupBy(scene, F.col(f"a_{query_id}").alias(query_id)).agg(best.alias("m")).select(scene, query_id, F.col("m.id").alias(target_id), F.col("m.d2").alias("d2"))
 
 
-def suppress(dets: DataFrame, first_source: str, threshold: float = NMS_IOU, use_ioa: bool = True, scene: str = "scene_id") -> DataFrame:
+def suppress(dets: DataFrame, first_source: str, threshold: float = NMS_IOU, use_ioa: bool = True, scene: str = "scene_id", scene_boxes: int = SCENE_BOXES) -> DataFrame:
     """Greedy suppression over two sources: one source first, falling confidence within a source, then rising id.
 
-    A box goes where its IoU (or intersection over the smaller area) with a kept box is over the threshold.
+    A box goes where its IoU (or intersection over the smaller area) with a kept box is over the threshold. Ids are unique in
+    a scene. A scene of up to ``scene_boxes`` boxes is folded in one row. A larger one is split into the connected
+    components of its overlaps, found over tiles: boxes that overlap none stay, a component of up to ``scene_boxes`` boxes is
+    folded by itself, and a larger one is decided in rounds over its overlaps, without being gathered.
     """
-    later = (F.col("source") != first_source).cast("int")
-    order = F.sort_array(F.collect_list(F.struct(later.alias("l"), (-F.col("confidence")).alias("c"), "det_id", *g.BOX)))
+    large = crowded(scene, scene_boxes, dets)
+    if large.isEmpty():
+        kept = _kept(dets, first_source, threshold, use_ioa, [scene])
+    else:
+        large = cut(large)
+        kept = _kept(dets.join(large, scene, "left_anti"), first_source, threshold, use_ioa, [scene])
+        kept = kept.unionByName(_kept_by_component(dets.join(large, scene, "left_semi"), first_source, threshold, use_ioa, scene, scene_boxes))
+    return dets.join(kept, [scene, "det_id"], "left_semi")
+
+
+def _turn(first_source: str) -> list[Column]:
+    return [(F.col("source") != first_source).cast("int").alias("l"), (-F.col("confidence")).alias("c"), F.col("det_id")]
+
+
+def _hides(threshold: float, use_ioa: bool):
+    def meets(a, b):
+        over = g.iou(a, b) > threshold
+        return over | (g.ioa(a, b) > threshold) if use_ioa else over
+
+    return meets
+
+
+def _kept(dets: DataFrame, first_source: str, threshold: float, use_ioa: bool, keys: list[str]) -> DataFrame:
+    """(scene, det_id) of the boxes that stay, each group of the keys folded in one row."""
+    order = F.sort_array(F.collect_list(F.struct(*_turn(first_source), *g.BOX)))
     kind = dict(dets.dtypes)["det_id"]
-    scenes = dets.groupBy(scene).agg(order.alias("ds"))
+    meets = _hides(threshold, use_ioa)
 
     def step(kept, d):
         here = tuple(d[c] for c in g.BOX)
-
-        def hides(k):
-            other = tuple(k[c] for c in g.BOX)
-            over = g.iou(here, other) > threshold
-            return over | (g.ioa(here, other) > threshold) if use_ioa else over
-
-        return F.when(F.exists(kept, hides), kept).otherwise(F.array_append(kept, d))
+        return F.when(F.exists(kept, lambda k: meets(here, tuple(k[c] for c in g.BOX))), kept).otherwise(F.array_append(kept, d))
 
     none = F.array().cast(f"array<struct<l:int,c:double,det_id:{kind},x0:double,y0:double,x1:double,y1:double>>")
-    kept = scenes.select(scene, F.explode(F.aggregate("ds", none, step)).alias("k")).select(scene, F.col("k.det_id").alias("det_id"))
-    return dets.join(kept, [scene, "det_id"], "left_semi")
+    kept = dets.groupBy(*keys).agg(order.alias("ds")).select(keys[0], F.explode(F.aggregate("ds", none, step)).alias("k"))
+    return kept.select(keys[0], F.col("k.det_id").alias("det_id"))
+
+
+def _kept_by_component(dets: DataFrame, first_source: str, threshold: float, use_ioa: bool, scene: str, fold: int) -> DataFrame:
+    rows = cut(dets.select(scene, "source", "confidence", "det_id", *g.BOX))
+    wide = (F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0"))
+    # of boxes with the same corners only the first can hide others, and it hides the rest or goes with them
+    firsts = rows.where(wide).groupBy(scene, *g.BOX).agg(F.min(F.struct(*_turn(first_source))).alias("turn"))
+    boxes = cut(firsts.select(scene, "turn", F.col("turn.det_id").alias("id"), *g.BOX))
+    over = tiles.pairs(boxes, None, scene, _hides(threshold, use_ioa))
+    above = F.col("a_turn") < F.col("b_turn")
+    edges = cut(over.select(scene, F.when(above, F.col("a_id")).otherwise(F.col("b_id")).alias("high"), F.when(above, F.col("b_id")).otherwise(F.col("a_id")).alias("low")))
+    roots = cut(components(edges, scene, "high", "low"))
+    alone = boxes.join(roots, [scene, "id"], "left_anti").select(scene, F.col("id").alias("det_id"))
+    flat = rows.where(~F.coalesce(wide, F.lit(False))).select(scene, "det_id")
+    huge = cut(roots.groupBy(scene, "root").count().where(F.col("count") > fold).select(scene, "root"))
+    joined = rows.join(roots.withColumnRenamed("id", "det_id"), [scene, "det_id"])
+    kept = _kept(joined.join(huge, [scene, "root"], "left_anti"), first_source, threshold, use_ioa, [scene, "root"])
+    out = kept.unionByName(alone).unionByName(flat)
+    if not huge.isEmpty():
+        within = edges.join(roots.join(huge, [scene, "root"], "left_semi").select(scene, F.col("id").alias("low")), [scene, "low"], "left_semi")
+        out = out.unionByName(first_takers(within, scene).select(scene, F.col("id").alias("det_id")))
+    return out
 
 
 def provenance(kept: DataFrame, scene: str = "scene_id") -> DataFrame:
@@ -242,26 +319,28 @@ def assign(targets: DataFrame, dets: DataFrame, furthest: float = 96.0, scene: s
 def merge_boxes(boxes: DataFrame, gap: float = 14.0, scene: str = "scene_id") -> DataFrame:
     """Join boxes of a scene that lie within a gap until nothing changes; the boxes of what is left.
 
-    The result does not depend on the order. Each scene's boxes are merged in one task.
+    The result does not depend on the order, so each round joins at once: pairs within the gap, found over tiles, hand on the
+    least of their digests, and the boxes of one digest become their hull. Digests stand in no order in space, so a chain
+    shrinks by a share in each round and the rounds grow with the logarithm of its length. Boxes without four finite
+    coordinates in order are left out, and so are those of a null scene; equal boxes are one.
     """
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        todo = [tuple(r) for r in pdf[list(g.BOX)].itertuples(index=False)]
-        again = True
-        while again:
-            again, out = False, []
-            for b in todo:
-                for i, o in enumerate(out):
-                    if b[0] <= o[2] + gap and o[0] <= b[2] + gap and b[1] <= o[3] + gap and o[1] <= b[3] + gap:
-                        out[i] = (min(b[0], o[0]), min(b[1], o[1]), max(b[2], o[2]), max(b[3], o[3]))
-                        again = True
-                        break
-                else:
-                    out.append(b)
-            todo = out
-        return pd.DataFrame(sorted(todo), columns=list(g.BOX)).assign(**{scene: pdf[scene].iloc[0]})
-
-    return boxes.groupBy(scene).applyInPandas(merge, f"x0 double, y0 double, x1 double, y1 double, {scene} long")
+    corners = [F.col(c) for c in g.BOX]
+    digest = F.struct(F.xxhash64(*corners), *corners)
+    near = lambda a, b: (a[0] <= b[2] + gap) & (b[0] <= a[2] + gap) & (a[1] <= b[3] + gap) & (b[1] <= a[3] + gap)
+    own = lambda side: [F.col(f"{side}_{c}") for c in ("p0", "q0", "p1", "q1")]
+    now = cut(tiles.solid(boxes.where(F.col(scene).isNotNull()).select(scene, *[F.col(c).cast("double") for c in g.BOX]), g.box()).distinct())
+    while True:
+        wider = now.select(
+            scene, digest.alias("id"), *[c.alias(n) for c, n in zip(corners, ("p0", "q0", "p1", "q1"), strict=True)],
+            (F.col("x0") - gap).alias("x0"), (F.col("y0") - gap).alias("y0"), (F.col("x1") + gap).alias("x1"), (F.col("y1") + gap).alias("y1"),
+        )
+        met = cut(tiles.pairs(wider, None, scene, lambda a, b: near(own("a"), own("b"))).select(scene, "a_id", "b_id"))
+        if met.isEmpty():
+            return now.select(*g.BOX, scene)
+        told = met.unionByName(met.select(scene, F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id"))).groupBy(scene, F.col("a_id").alias("id")).agg(F.min("b_id").alias("least"))
+        joined = now.withColumn("id", digest).join(told, [scene, "id"], "left")
+        hull = joined.groupBy(scene, F.least(F.col("id"), F.col("least")).alias("to")).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+        now = cut(hull.select(scene, *g.BOX).distinct())
 
 
 def merge_overlapping(boxes: DataFrame, overlap: float = 0.5, near: float = 0.1, scene: str = "scene_id") -> DataFrame:

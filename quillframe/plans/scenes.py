@@ -49,6 +49,13 @@ def j01_iou_pairs(t):
     return rounded(match.iou_pairs(t.gt_symbols, t.predictions), "iou")
 
 
+@query(f"select scene_id, gt_id, pred_id, round(iou, 6) as iou from ({PAIRS}0.35) p")
+def j01_tiled_pairs(t):
+    """The same pairs, every scene over tiles."""
+    found = match.tiled_iou_pairs(t.gt_symbols, t.predictions, 0.35)
+    return rounded(found.select("scene_id", F.col("a_gt_id").alias("gt_id"), F.col("b_pred_id").alias("pred_id"), "iou"), "iou")
+
+
 @query(f"{M35} select scene_id, gt_id, pred_id, round(iou, 6) as iou from m")
 def j02_greedy_match(t):
     return rounded(match.greedy_match(match.iou_pairs(t.gt_symbols, t.predictions)), "iou").select("scene_id", "gt_id", "pred_id", "iou")
