@@ -6,7 +6,7 @@ import hashlib
 import os
 import re
 from functools import cache
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +25,10 @@ PIECE_BPE = f"{FOLDER}/piece_bpe_32k.model"
 #: A code is a's id times PAIR plus b's id.
 PAIR = 1 << 20
 CHUNK_ROWS, CHUNK_CHARS = 2_000, 3_000_000
-#: Segments up to so many characters are kept, so many at most; then all are forgotten.
-KEPT_CHARS, KEPT = 48, 200_000
+#: Segments up to so many characters are kept, so many in a turn; those of the turn before are forgotten at its end.
+KEPT_CHARS, KEPT = 48, 150_000
+#: So many new segments are encoded as one text.
+JOINED = 2_000
 
 #: A single space between two others than spaces: both tokenizers begin a token there whatever stands around it.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -56,81 +58,118 @@ class Tokenizers:
         size = max(self.a.get_vocab().values()) + 1
         self.a_bytes = [self._decoded(self.a.id_to_token(i), letters) for i in range(size)]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.b_raw = [_RAW_PIECE.fullmatch(p) for p in pieces]
-        self.b_bytes = [bytes([int(m[1], 16)]) if m else p.replace(_BLANK, " ").encode() for p, m in zip(pieces, self.b_raw, strict=True)]
+        raw = [_RAW_PIECE.fullmatch(p) for p in pieces]
+        self.b_raw = np.array([m is not None for m in raw])
+        self.b_bytes = [bytes([int(m[1], 16)]) if m else p.replace(_BLANK, " ").encode() for p, m in zip(pieces, raw, strict=True)]
+        self.a_lens, self.b_lens = (np.array(list(map(len, t)), np.int64) for t in (self.a_bytes, self.b_bytes))
+        self.names = {side + end: np.array([f"{i}{end}" for i in range(len(t))], object) for side, end, t in (("a", ",", self.a_bytes), ("a", "|", self.a_bytes), ("b", ",", self.b_bytes), ("b", ";", self.b_bytes), ("b", "", self.b_bytes))}
         self.known: dict[str, tuple | None] = {}
+        self.older: dict[str, tuple | None] = {}
 
     @staticmethod
     def _decoded(token: str | None, letters: dict[str, int]) -> bytes:
         return bytes(letters[c] for c in token) if token and all(c in letters for c in token) else (token or "").encode()
 
-    def a_ends(self, text: str, encoding) -> tuple[list[int], list[int]]:
+    def a_ends(self, text: str, encoding) -> tuple[np.ndarray, np.ndarray]:
         """Character offsets are coarse cuts; where a character's bytes belong to several tokens the decoded bytes cut it."""
-        ids, offsets = encoding.ids, encoding.offsets
-        places = range(len(text) + 1) if text.isascii() else [0, *np.cumsum([len(c.encode()) for c in text]).tolist()]
-        ends, at = [], 0
-        for i, (_, end) in enumerate(offsets):
-            split = i + 1 < len(offsets) and offsets[i + 1][0] < end
-            at = at + len(self.a_bytes[ids[i]]) if split else places[end]
-            ends.append(at)
-        return ids, ends
-
-    def b_ends(self, proto) -> tuple[list[int], list[int]]:
+        ids = np.array(encoding.ids, np.int64)
+        spans = np.fromiter(chain.from_iterable(encoding.offsets), np.int64, 2 * len(ids)).reshape(-1, 2)
+        if text.isascii():  # a character is a byte
+            return ids, spans[:, 1]
+        coarse = np.concatenate([[0], np.cumsum(_width(text))])[spans[:, 1]]
+        split = np.append(spans[1:, 0] < spans[:-1, 1], False)
+        whole = np.maximum.accumulate(np.where(split, -1, np.arange(len(ids))))  # the last token before that ends with a character
+        read = np.cumsum(self.a_lens[ids])
+        return ids, np.where(split, np.where(whole < 0, 0, coarse[whole] - read[whole]) + read, coarse)
+
+    def b_ends(self, proto) -> tuple[np.ndarray, np.ndarray]:
         """The proto's spans count the text's bytes without the leading space; single-byte pieces stand at their character's end."""
-        ids, ends, at = [], [], 0
-        for p in proto.pieces:
-            i = p.id
-            at = at + 1 if self.b_raw[i] else p.end + 1
-            ids.append(i)
-            ends.append(at)
-        return ids, ends
+        pieces = proto.pieces
+        ids = np.array([p.id for p in pieces], np.int64)
+        coarse = np.array([p.end for p in pieces], np.int64) + 1
+        raw = self.b_raw[ids]
+        whole = np.maximum.accumulate(np.where(raw, -1, np.arange(len(ids))))
+        read = np.cumsum(self.b_lens[ids])
+        return ids, np.where(raw, np.where(whole < 0, 0, coarse[whole] - read[whole]) + read, coarse)
 
     @staticmethod
-    def holds(raw: bytes, ids: list[int], ends: list[int], table: list[bytes]) -> bool:
+    def holds(raw: bytes, ids: np.ndarray, ends: np.ndarray, table: list[bytes], lens: np.ndarray) -> bool:
         """Whether the cuts give the tokens' own bytes and together the text."""
-        at = 0
-        for i, end in zip(ids, ends, strict=True):
-            if raw[at:end] != table[i]:
-                return False
-            at = end
-        return at == len(raw)
+        return bool((np.cumsum(lens[ids]) == ends).all()) and b"".join(map(table.__getitem__, ids.tolist())) == raw
+
+    def links(self, spaced: str, encoding, proto, cuts: list[int]) -> list[tuple] | None:
+        """What ``linked`` says up to each cut; None where the bytes differ."""
+        raw = spaced.encode()
+        a, b = self.a_ends(spaced, encoding), self.b_ends(proto)
+        good = self.holds(raw, *a, self.a_bytes, self.a_lens) and self.holds(raw, *b, self.b_bytes, self.b_lens)
+        return linked(*a, *b, np.array(cuts, np.int64), self.names) if good else None
 
     def aligned(self, texts: list[str]) -> list[tuple | None]:
         """Of each text: its groups, codes of its links, and counts of tokens and groups; None where the bytes differ."""
         spaced = [" " + t for t in texts]
+        both = zip(spaced, self.a.encode_batch(spaced, add_special_tokens=False), self.b.encode(texts, return_type="proto", num_threads=1), strict=True)
+        return [(self.links(t, e, p, [len(t.encode())]) or [None])[0] for t, e, p in both]
+
+    def aligned_words(self, words: list[str]) -> list[tuple | None]:
+        """The same for texts without a space at either end, many at a time as one text in which they follow each other."""
         out = []
-        for t, e, p in zip(spaced, self.a.encode_batch(spaced, add_special_tokens=False), self.b.encode(texts, return_type="proto", num_threads=1), strict=True):
-            raw = t.encode()
-            a, a_ends = self.a_ends(t, e)
-            b, b_ends = self.b_ends(p)
-            good = self.holds(raw, a, a_ends, self.a_bytes) and self.holds(raw, b, b_ends, self.b_bytes)
-            out.append(linked(a, a_ends, b, b_ends) if good else None)
+        for i in range(0, len(words), JOINED):
+            some = words[i : i + JOINED]
+            text = " ".join(some)
+            got = self.links(" " + text, self.a.encode(" " + text, add_special_tokens=False), self.b.encode(text, return_type="proto"), list(accumulate(len(w.encode()) + 1 for w in some)))
+            out += self.aligned(some) if got is None else got
         return out
 
     def segments(self, texts: list[str]) -> list[tuple | None]:
-        """The same, short texts from memory."""
+        """The same, short texts from memory: what was seen since the last turn, or in the turn before."""
         if len(self.known) > KEPT:
-            self.known.clear()
-        new = [t for t in texts if t not in self.known]
-        got = dict(zip(new, chain.from_iterable(self.aligned(new[i : i + 1000]) for i in range(0, len(new), 1000)), strict=True))
-        out = [got[t] if t in got else self.known[t] for t in texts]
-        self.known.update((t, x) for t, x in got.items() if len(t) <= KEPT_CHARS)
-        return out
-
-
-def linked(a: list[int], a_ends: list[int], b: list[int], b_ends: list[int]) -> tuple[str, list[int], int, int, int]:
-    """Groups between common ends; a link for each pair of tokens that share bytes: both lists advance to the next end."""
-    i = j = 0
-    codes, groups, a_from, b_from = [], [], 0, 0
-    while i < len(a) and j < len(b):
-        codes.append(a[i] * PAIR + b[j])
-        x, y = a_ends[i], b_ends[j]
-        i += x <= y
-        j += y <= x
-        if x == y:
-            groups.append(",".join(map(str, a[a_from:i])) + "|" + ",".join(map(str, b[b_from:j])))
-            a_from, b_from = i, j
-    return ";".join(groups), codes, len(a), len(b), len(groups)
+            self.older, self.known = self.known, {}
+        new, words = [], []
+        for t in texts:
+            if t not in self.known:
+                if t in self.older:
+                    self.known[t] = self.older[t]
+                else:
+                    (words if len(t) <= KEPT_CHARS and t == t.strip() and t and _BLANK not in t else new).append(t)
+        got = dict(zip(words, self.aligned_words(words), strict=True))
+        self.known.update(got)
+        for i in range(0, len(new), 200):
+            got.update(zip(new[i : i + 200], self.aligned(new[i : i + 200]), strict=True))
+        return [got[t] if t in got else self.known[t] for t in texts]
+
+
+def _width(text: str) -> np.ndarray:
+    """Bytes of each character in UTF-8."""
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    return 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+
+
+def linked(a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray, cuts: np.ndarray, names: dict[str, np.ndarray]) -> list[tuple[str, np.ndarray, int, int, int]]:
+    """For each stretch up to a cut, at which tokens of both end: its groups, its links, and counts of tokens and groups.
+
+    Groups lie between common ends. A link is a pair of tokens that share bytes: for a token of A, those of B from the first
+    that ends after its start to the first that ends with it or after it.
+    """
+    first = np.searchsorted(b_ends, np.concatenate([[0], a_ends[:-1]]), "right")
+    n = np.searchsorted(b_ends, a_ends, "left") - first + 1
+    upto = np.cumsum(n)
+    codes = np.repeat(a * PAIR, n) + b[np.arange(int(n.sum())) + np.repeat(first - upto + n, n)]
+    common = np.intersect1d(a_ends, b_ends)
+    a_group, b_group = np.searchsorted(common, a_ends), np.searchsorted(common, b_ends)
+    groups = np.arange(len(common) + 1)
+    written = np.empty(len(a) + len(b), object)  # a group's tokens of A, then its tokens of B
+    written[np.arange(len(a)) + np.searchsorted(b_group, groups)[a_group]] = np.where(common[a_group] == a_ends, names["a|"][a], names["a,"][a])
+    last = np.isin(b_ends, cuts)
+    tail = np.where(last, names["b"][b], np.where(common[b_group] == b_ends, names["b;"][b], names["b,"][b]))
+    written[np.arange(len(b)) + np.searchsorted(a_group, groups, "right")[b_group]] = tail
+    written = written.tolist()
+    at_a, at_b, at_g = (np.searchsorted(x, cuts, "right").tolist() for x in (a_ends, b_ends, common))
+    at_l = np.concatenate([[0], upto])[at_a].tolist()
+    out, i, j, g, k = [], 0, 0, 0, 0
+    for i2, j2, g2, k2 in zip(at_a, at_b, at_g, at_l, strict=True):
+        out.append(("".join(written[i + j : i2 + j2]), codes[k:k2].copy(), i2 - i, j2 - j, g2 - g))
+        i, j, g, k = i2, j2, g2, k2
+    return out
 
 
 @cache
@@ -156,36 +195,45 @@ def _slices(batches):
             yield b.slice(start)
 
 
+class Numbers(dict):
+    """Numbers for keys in the order in which they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self)
+        return number
+
+
 def _chunk(t: Tokenizers, texts: list[str | None], number: int) -> dict[str, pa.Array]:
     """A slice's rows: their own counts and, for what needs the whole corpus, the numbers of their segments."""
-    place: dict[str, int] = {}
+    place = Numbers()
     whole: set[int] = set()
-    rows = []
+    parts = []
     for d, text in enumerate(texts):
         if text and _BLANK in text:
             whole.add(d)
-        rows.append([place.setdefault(s, len(place)) for s in ((text,) if d in whole else _CUT.split(text))] if text else [])
+        own = ((text,) if d in whole else _CUT.split(text)) if text else ()
+        parts.append(np.fromiter(map(place.__getitem__, own), np.int32, len(own)))
     found = t.segments(list(place))
-    for d, row in enumerate(rows):  # a segment whose bytes differ decides nothing about the text around it
-        if d not in whole and len(row) > 1 and any(found[s] is None for s in row):
-            if texts[d] not in place:
-                place[texts[d]] = len(place)
-                found += t.aligned([texts[d]])
-            rows[d] = [place[texts[d]]]
-    for d, row in enumerate(rows):
-        if any(found[s] is None for s in row):
-            rows[d] = []
-    one = [x or ("", [], 0, 0, 0) for x in found]
+    bad = np.array([x is None for x in found], bool)
+    for d, row in enumerate(parts):
+        if bad[row].any():
+            if d not in whole and len(row) > 1:  # a segment whose bytes differ decides nothing about the text around it
+                again = t.aligned([texts[d]])
+                parts[d] = np.array([len(found)] if again[0] else [], np.int32)
+                found += again
+            else:
+                parts[d] = np.zeros(0, np.int32)
+    one = [x or ("", np.zeros(0, np.int64), 0, 0, 0) for x in found]
     sums = np.array([[x[2], x[3], x[4], len(x[1])] for x in one], np.int64).reshape(-1, 4)
     lens = sums[:, 3]
-    flat = np.fromiter(chain.from_iterable(x[1] for x in one), np.int64, int(lens.sum()))
-    parts = [np.array(r, np.int32) for r in rows]
+    flat = np.concatenate([np.zeros(0, np.int64), *[x[1] for x in one]])
     times = np.bincount(np.concatenate([np.zeros(0, np.int32), *parts]), minlength=len(one))
     codes, at = np.unique(flat, return_inverse=True)
     counts = np.bincount(at, weights=np.repeat(times, lens), minlength=len(codes)).astype(np.int64)
     real = counts > 0
     made = np.array([sums[r].sum(0) for r in parts], np.int64).reshape(-1, 4)
-    digest = ["" if not r else hashlib.sha256(";".join([one[s][0] for s in r]).encode()).hexdigest() for r in rows]
+    groups = [x[0] for x in one]
+    digest = [hashlib.sha256(";".join(map(groups.__getitem__, r.tolist())).encode()).hexdigest() if len(r) else "" for r in parts]
     first = lambda x: [x] + [None] * (len(texts) - 1)
     columns = [*made.T, digest, [number] * len(texts), [p.tobytes() for p in parts], first(lens.astype(np.int32).tobytes()), first(flat.tobytes()), first(codes[real]), first(counts[real])]
     kinds = [pa.int64()] * 4 + [pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
