@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import Scratch
+from .common import Scratch, packed, unpacked
 from .sharding import numbered
 
 LONGEST = 5
@@ -35,14 +35,6 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_BYTES).replace(_BREAK, b" \xff ").split(b" ")
 
 
-def packed(keys: np.ndarray) -> bytes:
-    return pa.compress(keys.astype(np.int32).tobytes(), codec="zstd", asbytes=True)
-
-
-def unpacked(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(raw[8:], n * 4, codec="zstd"), np.int32)
-
-
 def pair_tiles(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct id pairs as codes (left in the upper 32 bits), their counts, and the number of each occurrence's pair.
 
@@ -81,7 +73,7 @@ def _chunks(batches):
         words, keys = open_.pop(lang)
         keys = np.concatenate(keys)
         counts = np.bincount(keys[keys >= 0], minlength=len(words) - 1)
-        row = {"chunk": part + made, "lang": lang, "keys": len(keys).to_bytes(8, "little") + packed(keys), "codes": range(len(counts)), "counts": counts, "words": list(words)[1:]}
+        row = {"chunk": part + made, "lang": lang, "keys": packed(keys), "codes": range(len(counts)), "counts": counts, "words": list(words)[1:]}
         made += 1
         return pa.RecordBatch.from_pylist([row], schema=_ARROW)
 
@@ -104,17 +96,15 @@ def _longer(chunk: pa.Table, known: pa.Table) -> pa.Table:
     """A chunk's positions one word on: ids of its frequent phrases where both parts of a longer one are frequent."""
     if not chunk.num_rows:
         return _ARROW.empty_table()
-    raw = chunk.column("keys")[0].as_py()
-    n = int.from_bytes(raw[:8], "little")
-    keys = unpacked(raw, n)
+    keys = unpacked(chunk.column("keys")[0].as_py())
     ids = np.full(len(chunk.column("codes")[0]) + 1, -1, np.int64)  # the last is that of no phrase, -1
     ids[known.column("at").to_numpy()] = known.column("id").to_numpy()
     now = ids[keys]
     both = np.flatnonzero((now[:-1] >= 0) & (now[1:] >= 0))
     codes, counts, number = pair_tiles(now[both], now[both + 1])
-    new = np.full(n, -1, np.int32)
+    new = np.full(len(keys), -1, np.int32)
     new[both] = number
-    row = {"chunk": chunk.column("chunk")[0].as_py(), "lang": None, "keys": len(new).to_bytes(8, "little") + packed(new), "codes": codes, "counts": counts, "words": None}
+    row = {"chunk": chunk.column("chunk")[0].as_py(), "lang": None, "keys": packed(new), "codes": codes, "counts": counts, "words": None}
     return pa.Table.from_pylist([row], schema=_ARROW)
 
 

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,6 +101,16 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield b.slice(at, rows)
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Small whole numbers, compressed: their count, then 32 bits each."""
+    return len(x).to_bytes(8, "little") + pa.compress(x.astype(np.int32).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:8], "little")
+    return np.frombuffer(pa.decompress(raw[8:], 4 * n, codec="zstd"), np.int32)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once for each row, also where body uses it inside a lambda."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, without
+from .common import Scratch, packed, unpacked, without
 
 #: Where the tokenizers' files lie on every machine.
 FOLDER = "/opt/tokenizers"
@@ -230,12 +230,11 @@ def _chunk(t: Tokenizers, texts: list[str | None], number: int) -> dict[str, pa.
     times = np.bincount(np.concatenate([np.zeros(0, np.int32), *parts]), minlength=len(one))
     codes, at = np.unique(flat, return_inverse=True)
     counts = np.bincount(at, weights=np.repeat(times, lens), minlength=len(codes)).astype(np.int64)
-    real = counts > 0
     made = np.array([sums[r].sum(0) for r in parts], np.int64).reshape(-1, 4)
     groups = [x[0] for x in one]
     digest = [hashlib.sha256(";".join(map(groups.__getitem__, r.tolist())).encode()).hexdigest() if len(r) else "" for r in parts]
     first = lambda x: [x] + [None] * (len(texts) - 1)
-    columns = [*made.T, digest, [number] * len(texts), [p.tobytes() for p in parts], first(lens.astype(np.int32).tobytes()), first(flat.tobytes()), first(codes[real]), first(counts[real])]
+    columns = [*made.T, digest, [number] * len(texts), [packed(p) for p in parts], first(packed(lens)), first(packed(at)), first(codes), first(counts)]
     kinds = [pa.int64()] * 4 + [pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
     names = [f.split()[0] for f in f"{MADE}, {HELD}".split(", ")]
     return {n: pa.array(c, k) for n, c, k in zip(names, columns, kinds, strict=True)}
@@ -246,15 +245,15 @@ def _summed(rows: pa.Table, known: pa.Table) -> pa.Table:
     if not rows.num_rows:
         return _finished(rows, [], [])
     head = next(i for i, x in enumerate(rows.column("__lens").is_valid().to_pylist()) if x)
-    lens = np.frombuffer(rows.column("__lens")[head].as_py(), np.int32)
-    flat = np.frombuffer(rows.column("__all")[head].as_py(), np.int64)
-    order = np.argsort(codes := known.column("code").to_numpy())
-    codes, n, best = codes[order], known.column("n").to_numpy()[order], known.column("best").to_numpy(zero_copy_only=False)[order]
-    at = np.minimum(np.searchsorted(codes, flat), max(len(codes) - 1, 0))
-    starts = np.concatenate([[0], np.cumsum(lens)])
-    # segments of texts without tokens may hold codes that no link has: they are in no row
-    sums = [np.diff(np.concatenate([[0], np.cumsum(v[at] if len(codes) else np.zeros(len(flat), np.int64))])[starts]).astype(np.int64) for v in (best.astype(np.int64), n)]
-    parts = [np.frombuffer(p, np.int32) for p in rows.column("__parts").to_pylist()]
+    starts = np.concatenate([[0], np.cumsum(unpacked(rows.column("__lens")[head].as_py()))])
+    links = unpacked(rows.column("__all")[head].as_py())
+    places, size = known.column("at").to_numpy(), int(links.max()) + 1 if len(links) else 0
+    sums = []
+    for name in ("best", "n"):
+        of_code = np.zeros(size, np.int64)  # codes of texts without tokens have none
+        of_code[places] = known.column(name).to_numpy(zero_copy_only=False)
+        sums.append(np.diff(np.concatenate([[0], np.cumsum(of_code[links])])[starts]))
+    parts = [unpacked(p) for p in rows.column("__parts").to_pylist()]
     return _finished(rows, *[[int(s[p].sum()) for p in parts] for s in sums])
 
 
@@ -298,11 +297,11 @@ def aligned_tokens(docs: DataFrame, a_path: str = BYTE_BPE, b_path: str = PIECE_
             yield pa.RecordBatch.from_arrays([b.column(n) for n in names] + list(new.values()), names + list(new))
 
     chunks = scratch.write(rows.mapInArrow(align, T.StructType(kept.fields + T.StructType.fromDDL(f"{MADE}, {HELD}").fields)), "aligned")
-    pairs = chunks.where("__codes is not null").select("__chunk", F.explode(F.arrays_zip("__codes", "__counts")).alias("u")).select("__chunk", F.col("u.__codes").alias("code"), F.col("u.__counts").alias("c"))
+    pairs = chunks.where("__codes is not null").select("__chunk", F.posexplode(F.arrays_zip("__codes", "__counts")).alias("at", "u")).select("__chunk", "at", F.col("u.__codes").alias("code"), F.col("u.__counts").alias("c")).where("c > 0")
     counts = scratch.write(pairs.groupBy("code").agg(F.sum("c").alias("n")).withColumn("b", F.col("code").bitwiseAND(PAIR - 1)), "pairs")
     top = counts.groupBy("b").agg(F.max("n").alias("top"))
     judged = counts.join(F.broadcast(top), "b").select("code", "n", (F.col("n") == F.col("top")).alias("best"))
-    known = pairs.select(F.col("__chunk").alias("of_chunk"), "code").join(judged, "code").select("of_chunk", "code", "n", "best")
+    known = pairs.select(F.col("__chunk").alias("of_chunk"), "at", "code").join(judged, "code").select("of_chunk", "at", "n", "best")
     out = T.StructType(kept.fields + T.StructType.fromDDL(f"{MADE}, n_best long, count_sum long").fields)
     result = chunks.drop("__codes", "__counts").groupBy("__chunk").cogroup(known.groupBy("of_chunk")).applyInArrow(_summed, out)
     return scratch.result(result, "aligned-tokens")
