@@ -21,6 +21,7 @@ MATCH_IOU = 0.35
 OUTCOME_IOU = 0.40
 NMS_IOU = 0.3
 MAX_NODES = 80
+MOST_SOURCES = 100
 
 
 def _sided(df: DataFrame, side: str, scene: str = "scene_id") -> DataFrame:
@@ -172,9 +173,21 @@ def _kept_by_component(dets: DataFrame, first_source: str, threshold: float, use
     return out
 
 
-def provenance(kept: DataFrame, scene: str = "scene_id") -> DataFrame:
-    """How many boxes each source keeps in a scene."""
-    return kept.groupBy(scene).pivot("source", ["a", "b"]).count().na.fill(0)
+def provenance(kept: DataFrame, sources: list[str] | None = None, scene: str = "scene_id") -> DataFrame:
+    """How many boxes each source keeps in a scene, a column for each.
+
+    Without ``sources`` the columns are those that occur, in order (a few at most: they come to the driver). With them,
+    boxes of other sources, or of none, count in a column ``other``, which is there only when such a box is.
+    """
+    if sources is None:
+        sources = sorted(r[0] for r in kept.select("source").distinct().where("source is not null").limit(MOST_SOURCES + 1).collect())
+        if len(sources) > MOST_SOURCES:
+            raise ValueError(f"more than {MOST_SOURCES} sources: name those that are wanted")
+    known = F.coalesce(F.col("source").isin(*sources), F.lit(False))
+    columns = [F.count(F.when(F.col("source") == s, 1)).alias(s) for s in sources]
+    if not kept.where(~known).isEmpty():
+        columns.append(F.count(F.when(~known, 1)).alias("other"))
+    return kept.groupBy(scene).agg(*columns) if columns else kept.select(scene).distinct()
 
 
 def gated(dets: DataFrame, first_source: str, min_boxes: int = 6, min_confidence: float = 0.6, scene: str = "scene_id") -> DataFrame:
@@ -300,8 +313,13 @@ def _assign(cost: np.ndarray) -> list[tuple[int, int]]:
 def assign(targets: DataFrame, dets: DataFrame, furthest: float = 96.0, scene: str = "scene_id") -> DataFrame:
     """Assignment of detections to targets with the least total centre distance; pairs beyond ``furthest`` are cut after.
 
-    Returns scene, det_id, target_id (null for a detection of its own) and distance. One scene at a time.
+    Returns scene, det_id, target_id (null for a detection of its own) and distance. One scene at a time, as far as its
+    cost matrix goes: a scene has up to a few hundred boxes. Rows of a null scene, of a null id or without four coordinates
+    take no part; a detection among them that has scene and id comes back without a target.
     """
+    wanted = [scene, "target_id", *g.BOX], [scene, "det_id", *g.BOX]
+    placed = " and ".join(f"{c} is not null and not isnan({c})" for c in g.BOX)
+    a_rows, b_rows = (t.select(*c).where(f"`{scene}` is not null and `{c[1]}` is not null") for t, c in zip((targets, dets), wanted, strict=True))
 
     def solve(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         a, b = a.sort_values("target_id"), b.sort_values("det_id")
@@ -313,7 +331,10 @@ def assign(targets: DataFrame, dets: DataFrame, furthest: float = 96.0, scene: s
         rows = [(int(b[scene].iloc[j]), int(b["det_id"].iloc[j]), *got.get(j, (None, None))) for j in range(len(b))]
         return pd.DataFrame(rows, columns=[scene, "det_id", "target_id", "distance"]).astype({"target_id": "Int64"})
 
-    return targets.groupBy(scene).cogroup(dets.groupBy(scene)).applyInPandas(solve, f"{scene} long, det_id long, target_id long, distance double")
+    schema = f"{scene} long, det_id long, target_id long, distance double"
+    solved = a_rows.where(placed).groupBy(scene).cogroup(b_rows.where(placed).groupBy(scene)).applyInPandas(solve, schema)
+    nowhere = b_rows.where(f"not ({placed})").select(F.col(scene).cast("long"), F.col("det_id").cast("long"), F.lit(None).cast("long").alias("target_id"), F.lit(None).cast("double").alias("distance"))
+    return solved.unionByName(nowhere)
 
 
 def merge_boxes(boxes: DataFrame, gap: float = 14.0, scene: str = "scene_id") -> DataFrame:

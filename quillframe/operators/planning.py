@@ -76,7 +76,8 @@ def weakness() -> Column:
 def allocate(cases: DataFrame, budget: int, floor: int = CASE_FLOOR) -> DataFrame:
     """case, weakness, cap -> alloc: floors first, then shares of the rest by weakness, largest remainder, never above the cap.
 
-    Units left over are handed out one by one, pass by pass, in order of falling remainders, to cases with room.
+    Units left over go pass by pass, in order of falling remainders, to cases with room: full passes are a level found from
+    sums over the cases, the last one is a rank. No unit is a row.
     """
     one = W.partitionBy()
     df = cases.withColumn("base", F.greatest(F.lit(0), F.least(F.lit(floor), F.col("cap"))).cast("long"))
@@ -85,10 +86,18 @@ def allocate(cases: DataFrame, budget: int, floor: int = CASE_FLOOR) -> DataFram
     df = df.withColumn("raw", F.when(share, F.col("rest") * (F.col("weakness") / F.col("total"))).otherwise(0.0))
     df = df.withColumn("part", F.least(F.floor("raw"), F.col("room"))).withColumn("left", F.when(share, F.col("rest") - F.sum("part").over(one)).otherwise(0))
     df = df.withColumn("turn", F.row_number().over(W.orderBy(F.desc(F.col("raw") - F.floor("raw")), "case")))
-    spare = (F.col("room") - F.col("part")).cast("int")
-    units = df.where((spare > 0) & (F.col("left") > 0)).select("case", "turn", "left", F.explode(F.sequence(F.lit(1), F.least(spare, F.col("left").cast("int")))).alias("pass_no"))
-    won = units.withColumn("n", F.row_number().over(W.orderBy("pass_no", "turn"))).where(F.col("n") <= F.col("left")).groupBy("case").agg(F.count(F.lit(1)).alias("extra"))
-    return df.join(won, "case", "left").select("case", "weakness", "cap", (F.col("base") + F.col("part") + F.coalesce("extra", F.lit(0))).alias("alloc"))
+    df = df.withColumn("spare", F.greatest(F.lit(0), F.col("room") - F.col("part")).cast("long"))
+    # The level up to which all cases with room are filled: below it every pass is full. Of the cases by rising spare, those
+    # before a case are used up when the units last for them and for as much in every case from there on.
+    w = W.orderBy("spare", "case")
+    up = df.select("left", "spare", F.coalesce(F.sum("spare").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"), (F.count(F.lit(1)).over(one) - F.row_number().over(w) + 1).alias("still"))
+    level = up.where(F.col("before") + F.col("spare") * F.col("still") >= F.col("left")).agg(F.min(F.struct("spare", "before", "still", "left")).alias("u"))
+    level = level.select(F.floor((F.col("u.left") - F.col("u.before")) / F.col("u.still")).cast("long").alias("level"))
+    df = df.join(F.broadcast(level)).withColumn("full", F.least(F.col("spare"), F.coalesce("level", F.col("spare"))))  # a level is one row
+    open_ = F.col("spare") > F.col("full")
+    df = df.withColumn("place", F.row_number().over(W.orderBy(F.desc(open_), "turn"))).withColumn("last", F.col("left") - F.sum("full").over(one))
+    extra = F.when(F.col("left") > 0, F.col("full") + F.when(open_ & (F.col("place") <= F.col("last")), 1).otherwise(0)).otherwise(0)
+    return df.select("case", "weakness", "cap", (F.col("base") + F.col("part") + extra).cast("long").alias("alloc"))
 
 
 def _placed(items: DataFrame, order: DataFrame, key: str, place: str) -> DataFrame:

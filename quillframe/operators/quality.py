@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import ontology as o
+from .lineage import cut
 
 ISSUE = ("kind", "path", "detail", "severity")
 # Issue kinds that stop a preparation run.
@@ -23,6 +24,8 @@ ISSUE_ALIASES = {
     "split": ("split",),
     "merged": ("merge",),
 }
+#: Files in a range of a tree digest, on average and at most.
+MERKLE_LEAF = 256
 EQUATION_KINDS = ("addition", "subtraction", "multiplication", "division", "bare_digits")
 BOX_CLASSES = 6
 
@@ -102,22 +105,32 @@ def gate(found: DataFrame, kinds: tuple = HARD_FAIL, sample: int = 10) -> DataFr
 
 
 def duplicates(assets: DataFrame) -> DataFrame:
-    """All rows whose content another row has too."""
-    return assets.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("sha256"))).where("n > 1")
+    """All rows whose content another row has too, with the number n of those rows; rows without content are none.
+
+    Contents are counted apart and joined back, so that rows of one content need not meet in a task.
+    """
+    often = assets.groupBy("sha256").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return assets.join(often, "sha256").select(*assets.columns, "n")
 
 
 def first_of_each(assets: DataFrame, key: str = "sha256", order: str = "path") -> DataFrame:
-    """One row for each content: the first by path."""
-    return assets.withColumn("__r", F.row_number().over(W.partitionBy(key).orderBy(order))).where("__r = 1").drop("__r")
+    """One row for each content: the first by path. Rows without content are no copies of each other and all stay.
+
+    An aggregate: a content with many rows sends one from each task.
+    """
+    row = F.struct(*[F.col(c) for c in assets.columns])
+    lone = F.when(F.col(key).isNull(), F.struct(F.col(order), F.monotonically_increasing_id()))
+    first = assets.groupBy(F.col(key).alias("__k"), lone.alias("__lone")).agg(F.min_by(row, F.struct(F.col(order).isNotNull().alias("known"), order)).alias("__f"))
+    return first.select("__f.*")
 
 
 def stratified_split(assets: DataFrame, val: float = 0.1, test: float = 0.1, seed: int = 42) -> DataFrame:
     """split = train, val or test, by label and in a seeded order of contents; labels with one row stay in train.
 
-    Contents count once. A label of n rows gives round(n * (val + test)) rows, of which val takes its share; both round half
+    Contents count once; rows without content each count. A label of n rows gives round(n * (val + test)) rows, of which val takes its share; both round half
     to even, and at least one row stays in train.
     """
-    order = F.sha2(F.concat(F.lit(f"{seed}:"), "sha256"), 256)
+    order = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce("sha256", F.concat(F.lit("none:"), F.coalesce("path", F.lit(""))))), 256)
     df = first_of_each(assets).withColumn("__o", order).withColumn("__range", F.substring("__o", 1, RANGE_DIGITS))
     # A label's rows are numbered in ranges of the order, each in a task of its own, however many rows the label has.
     ranges = df.groupBy("label", "__range").agg(F.count(F.lit(1)).alias("__c"))
@@ -191,10 +204,30 @@ def clean_counters(rows: DataFrame) -> DataFrame:
     return rows.rollup("label").agg(F.count(F.lit(1)).alias("processed"), n(F.col("rejected")).alias("rejected"), n(~F.col("rejected")).alias("saved"), F.grouping_id().alias("g")).select(F.when(F.col("g") > 0, "all").otherwise(F.col("label")).alias("label"), "processed", "rejected", "saved")
 
 
-def tree_digest(files: DataFrame, by: str) -> DataFrame:
-    """A digest of each group's files, from the sorted names and content digests."""
-    each = F.concat(F.col("path"), F.lit("\n"), F.col("sha256"))
-    return files.groupBy(by).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(each)), "\n"), 256).alias("digest"), F.count(F.lit(1)).alias("n_files"))
+def tree_digest(files: DataFrame, by: str, leaf: int = MERKLE_LEAF) -> DataFrame:
+    """by, digest, n_files: the root of a Merkle tree over each group's files (columns path, sha256).
+
+    Files stand in ranges of the digest of name and content. A group of n files has the fewest levels of 256 ranges that
+    leave ``leaf`` files or fewer in a range on average; a range's digest covers its files' sorted digests, a node's those of
+    its at most 256 children with their numbers. So no array holds more than a range or a node, whatever the group's size,
+    and the root depends on the files alone. A repeated row counts (the leaf holds how often); a null path or content differs
+    from every text.
+    """
+    part = lambda c: F.coalesce(F.concat(F.lit("v"), F.col(c)), F.lit("n"))
+    rows = files.select(F.col(by).alias("g"), F.sha2(F.concat(part("path"), F.lit("\n"), part("sha256")), 256).alias("h")).groupBy("g", "h").agg(F.count(F.lit(1)).alias("c"))
+    sizes = rows.groupBy("g").agg(F.sum("c").alias("n_files"), F.count(F.lit(1)).alias("u"))
+    depth = F.aggregate(F.sequence(F.lit(0), F.lit(7)), F.lit(0), lambda d, i: F.when(F.col("u") > leaf * F.pow(F.lit(256.0), i), i + 1).otherwise(d))
+    sizes = cut(sizes.select("g", "n_files", depth.alias("d")))
+    top = sizes.agg(F.max("d")).first()[0] or 0
+    nodes = rows.join(sizes.select(F.col("g").alias("s"), "d"), F.col("g").eqNullSafe(F.col("s"))).drop("s")
+    listed = lambda x: F.sha2(F.array_join(F.sort_array(F.collect_list(x)), "\n"), 256)
+    nodes = nodes.withColumn("at", F.substring("h", F.lit(1), F.col("d") * 2)).groupBy("g", "d", "at").agg(listed(F.concat("h", F.lit(":"), F.col("c").cast("string"))).alias("x"))
+    for level in range(top, 0, -1):
+        deep = F.col("d") >= level
+        up = F.when(deep, F.substring("at", 1, 2 * (level - 1))).otherwise(F.col("at"))
+        nodes = nodes.groupBy("g", "d", up.alias("at")).agg(F.when(deep, listed(F.concat("at", F.lit(":"), "x"))).otherwise(F.first("x")).alias("x"))
+    out = nodes.join(sizes.select(F.col("g").alias("s"), "n_files"), F.col("g").eqNullSafe(F.col("s")))
+    return out.select(F.col("g").alias(by), F.col("x").alias("digest"), "n_files")
 
 
 def dataset_meta(assets: DataFrame, splits: DataFrame, found: DataFrame) -> DataFrame:

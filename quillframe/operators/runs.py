@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 
 def latest(records: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The last record of each key."""
-    w = W.partitionBy(key).orderBy(*[F.desc(c) for c in order])
-    return records.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+    """The last record of each key; nulls come first in the order. An aggregate: a key with many records sends one from each task."""
+    last = F.max_by(F.struct(*[F.col(c) for c in records.columns]), F.struct(*order))
+    return records.groupBy(F.col(key).alias("__k")).agg(last.alias("__l")).select("__l.*")
 
 
 def latest_run(records: DataFrame, run_col: str = "run_id") -> DataFrame:

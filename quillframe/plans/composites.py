@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import ontology as o
-from ..operators import cluster, evaluate, grade, graph, match, pixels, quality, runs, worked
+from ..operators import cluster, evaluate, grade, graph, latency, match, pixels, quality, runs, worked
 from .arithmetic import ADD, CELLS, MATCH, PROGRESS, SHIFT, added, cells, expected, submitted
 from .datasets import LABELS, SPLIT, assets
 from .registry import query
@@ -108,7 +108,7 @@ def a35_tally(t):
 
 @query("select equation_kind, sum(wall_ms) as total_ms, round(avg(wall_ms), 6) as mean_ms, max(wall_ms) as most_ms, quantile_disc(wall_ms, 0.5) as median_ms from scenes group by equation_kind")
 def a43_timing(t):
-    return t.scenes.groupBy("equation_kind").agg(F.sum("wall_ms").alias("total_ms"), F.round(F.avg("wall_ms"), 6).alias("mean_ms"), F.max("wall_ms").alias("most_ms"), F.expr("percentile_disc(0.5) within group (order by wall_ms)").alias("median_ms"))
+    return t.scenes.groupBy("equation_kind").agg(F.sum("wall_ms").alias("total_ms"), F.round(F.avg("wall_ms"), 6).alias("mean_ms"), F.max("wall_ms").alias("most_ms")).join(latency.exact_quantile(t.scenes, "equation_kind", "wall_ms", 0.5).withColumnRenamed("quantile", "median_ms"), "equation_kind")
 
 
 @query("select run_id, round(0.5 * max(loss % 997) / 997 + 0.5 * max(loss % 499) / 499, 6) as combined from epoch_log group by run_id")

@@ -159,9 +159,15 @@ def a21_clean_counters(t):
     return quality.clean_counters(t.documents.select(F.col("lang").alias("label"), (F.col("n_chars") < 200).alias("rejected")))
 
 
-@query(f"{A} select label, sha256(string_agg(path || chr(10) || sha256, chr(10) order by path || chr(10) || sha256)) as digest, count(*) as n_files from a group by label")
+@query(f"""{A}, h as (select label, sha256(coalesce('v' || path, 'n') || chr(10) || coalesce('v' || sha256, 'n')) as h, count(*) as c from a group by all),
+s as (select label, cast(sum(c) as bigint) as n_files, case when count(*) > 16 * 65536 then 3 when count(*) > 16 * 256 then 2 when count(*) > 16 then 1 else 0 end as d from h group by label),
+n3 as (select h.label, d, substring(h, 1, 2 * d) as rg, sha256(string_agg(h || ':' || c, chr(10) order by h)) as x from h join s on s.label = h.label group by all),
+n2 as (select label, d, substring(rg, 1, 4) as rg, case when d >= 3 then sha256(string_agg(rg || ':' || x, chr(10) order by rg)) else first(x) end as x from n3 group by label, d, substring(rg, 1, 4)),
+n1 as (select label, d, substring(rg, 1, 2) as rg, case when d >= 2 then sha256(string_agg(rg || ':' || x, chr(10) order by rg)) else first(x) end as x from n2 group by label, d, substring(rg, 1, 2)),
+n0 as (select label, case when d >= 1 then sha256(string_agg(rg || ':' || x, chr(10) order by rg)) else first(x) end as digest from n1 group by label, d)
+select n0.label, digest, n_files from n0 join s on s.label = n0.label""")
 def a22_tree_digest(t):
-    return quality.tree_digest(assets(t), "label")
+    return quality.tree_digest(assets(t), "label", leaf=16)
 
 
 @query("select path, label, sha256(text) as sha256, substring(sha256(text), 1, 16) as content_id from assets")

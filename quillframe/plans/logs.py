@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import runs
+from ..operators import latency, runs
 from ..sources import readers, sinks
 from ..streaming import streams
 from .registry import query
@@ -27,6 +27,23 @@ def r04_sliding(t):
     return rounded(streams.rolling(t.sql(LOG), slide="5 minutes"))
 
 
+SKETCHED = "count(latency_ms) as n_values, quantile_disc(latency_ms, 0.5) as p50, quantile_disc(latency_ms, 0.9) as p90"
+P50_90 = {"p50": 0.5, "p90": 0.9}
+
+
+@query(f"with l as ({LOG}) select time_bucket(interval '10 minutes', ts, timestamp '2000-01-01') as start, time_bucket(interval '10 minutes', ts, timestamp '2000-01-01') + interval '10 minutes' as \"end\", event, {SKETCHED} from l group by all")
+def r04_window_quantiles(t):
+    """Latency quantiles by window from sketches; windows of few events are exact."""
+    return latency.quantiles(streams.window_sketches(t.sql(LOG)), P50_90)
+
+
+@query(f"with l as ({LOG}) select time_bucket(interval '1 hour', ts, timestamp '2000-01-01') as start, event, {SKETCHED} from l group by all")
+def r04_hourly_quantiles(t):
+    """The same by hour, from the windows' stored sketches instead of the events."""
+    parts = streams.window_sketches(t.sql(LOG)).withColumn("start", F.date_trunc("hour", "start"))
+    return latency.quantiles(latency.merged(parts, ["start", "event"]), P50_90)
+
+
 @query(f"with l as ({LOG}), p as (select * from l where event = 'view'), f as (select * from l where event = 'click') select p.sample, p.ts, p.status as predicted, f.ts as f_ts, f.status as feedback from p left join f on f.sample = p.sample and f.ts >= p.ts and f.ts <= p.ts + interval '1 hour'")
 def r03_predict_feedback(t):
     log = t.sql(LOG)
@@ -109,6 +126,32 @@ def e02_prompts(t):
     return t.pages.select("page_id", readers.prompt_text(F.col("html")).alias("prompt"))
 
 
+#: Pages with a data script made of their own facts: some broken, some without one, some whose first block is no object.
+PAGES = """select page_id, case when page_id % 11 = 3 then html else concat(html, '<script type="grading/init-data">', '{"view":{"elements":[{"interactions":[',
+  case when page_id % 5 = 0 then '{"ans":"none"},' else '' end, '{"ans":{"width":', cast(page_id % 9 as string), ',"title":"', cast(length(url) as string), '"},"solution":[{"id":"t', cast(page_id as string),
+  '","c":"', cast(page_id % 10 as string), '","x":', cast(page_id % 4 as string), ',"y":', case when page_id % 6 = 0 then '"up"' else '2' end, ',"type":"SYMBOL","tags":["A","B"]},{"id":"u","c":"+","x":1,"y":1,"tags":[]}]}]}]}',
+  case when page_id % 7 = 2 then '' else '}' end, '</script>') end as html from pages"""
+BODY = r"""with h as (%s), b as (select page_id, nullif(regexp_extract(html, '(?s)<script type="grading/init-data">(.*?)</script>', 1), '') as body from h),
+d as (select page_id, body, case when json_valid(body) then cast(body as json) end as data from b)""" % PAGES.replace("as string", "as varchar")
+
+
+@query(BODY + r""", i as (select page_id, unnest(cast(json_extract(data, '$.view.elements[*].interactions[*].ans') as json[])) as ans from d where data is not null),
+f as (select page_id, first(ans) as ans from i where json_type(ans) = 'OBJECT' group by page_id)
+select d.page_id, case when body is null then 'no_script' when data is null then 'bad_json' end as data_issue, cast(json_extract_string(ans, '$.width') as int) as width, json_extract_string(ans, '$.title') as title from d left join f on f.page_id = d.page_id""")
+def s10_answer_blocks(t):
+    """JSON inside pages: the script's body as VARIANT, then the first answer block of any interaction."""
+    pages = readers.embedded_data(t.sql(PAGES)).withColumn("ans", readers.answer_block(F.col("data")))
+    return pages.select("page_id", "data_issue", F.try_variant_get("ans", "$.width", "int").alias("width"), F.try_variant_get("ans", "$.title", "string").alias("title"))
+
+
+@query(BODY + r""", s as (select page_id, cast(json_extract(data, '$.view.elements[0].interactions[0].solution') as json[]) as l from d where data is not null),
+e as (select page_id, i - 1 as pos, l[i] as v from (select page_id, l, unnest(range(1, len(l) + 1)) as i from s where l is not null))
+select page_id, cast(pos as int) as pos, json_extract_string(v, '$.id') as id, json_extract_string(v, '$.c') as c, try_cast(json_extract_string(v, '$.x') as int) as x, try_cast(json_extract_string(v, '$.y') as int) as y,
+  json_extract_string(v, '$.type') as type, cast(len(cast(json_extract(v, '$.tags') as json[])) as int) as n_tags from e""")
+def s10_solution_tokens(t):
+    return readers.solution_tokens(readers.embedded_data(t.sql(PAGES)), "page_id").withColumn("n_tags", F.size("tags")).drop("tags")
+
+
 @query("select event_id, event_type, cast(json_extract_string(props, '$.k') as varchar) as k from events")
 def s05_event_props(t):
     return t.events.select("event_id", "event_type", F.get_json_object("props", "$.k").alias("k"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..functions import ontology
+from ..functions import ontology, sql
 from ..operators import cluster, evaluate, graph, match
 from .registry import query
 
@@ -56,6 +56,23 @@ def j01_tiled_pairs(t):
     return rounded(found.select("scene_id", F.col("a_gt_id").alias("gt_id"), F.col("b_pred_id").alias("pred_id"), "iou"), "iou")
 
 
+@query(f"select a.scene_id, gt_id, pred_id, round({IOU}, 6) as iou, round(coalesce(({IW}) / nullif(least({AREA.format('a')}, {AREA.format('b')}), 0), 0), 6) as ioa from gt_symbols a join predictions b on a.scene_id = b.scene_id where {IOU} >= 0.35")
+def f14_box_functions(t):
+    """Overlap of boxes by the session's SQL functions."""
+    sql.register(t.spark)
+    a, b = ("a.x0, a.y0, a.x1, a.y1", "b.x0, b.y0, b.x1, b.y1")
+    return t.sql(f"select a.scene_id, gt_id, pred_id, round(iou({a}, {b}), 6) as iou, round(ioa({a}, {b}), 6) as ioa from gt_symbols a join predictions b on a.scene_id = b.scene_id where iou({a}, {b}) >= 0.35")
+
+
+@query("""with c as (select label, count(*) filter (where conf > 0.7) as hits, count(*) as n from predictions group by label), p as (select label, hits, n, hits / n as p from c)
+select label, hits, n, round(greatest(0.0, (p + 3.8416 / (2 * n)) / (1 + 3.8416 / n) - 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4.0 * n * n)) / (1 + 3.8416 / n)), 6) as lo,
+  round(least(1.0, (p + 3.8416 / (2 * n)) / (1 + 3.8416 / n) + 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4.0 * n * n)) / (1 + 3.8416 / n)), 6) as hi from p""")
+def f14_interval_functions(t):
+    sql.register(t.spark)
+    counts = t.predictions.groupBy("label").agg(F.count(F.when(F.col("conf") > 0.7, 1)).alias("hits"), F.count(F.lit(1)).alias("n"))
+    return counts.selectExpr("label", "hits", "n", "round(wilson_lo(hits, n), 6) as lo", "round(wilson_hi(hits, n), 6) as hi")
+
+
 @query(f"{M35} select scene_id, gt_id, pred_id, round(iou, 6) as iou from m")
 def j02_greedy_match(t):
     return rounded(match.greedy_match(match.iou_pairs(t.gt_symbols, t.predictions)), "iou").select("scene_id", "gt_id", "pred_id", "iou")
@@ -179,7 +196,7 @@ def suppress_sql(rounds: int = 9) -> str:
     out = [
         "r as materialized (select *, row_number() over (partition by scene_id order by case when source = 'a' then 0 else 1 end, confidence desc, det_id) as k from two_sources)",
         f"e as materialized (select h.scene_id, h.k as hi, d.k as lo from r h join r d on d.scene_id = h.scene_id and h.k < d.k where {over})",
-        "o0 as materialized (select scene_id, k from r)",
+        "o0 as materialized (select scene_id, k, det_id, source from r)",
     ]
     for i in range(rounds):
         out.append(f"k{i} as materialized (select * from o{i} o where not exists (select 1 from e join o{i} h on h.scene_id = e.scene_id and h.k = e.hi where e.scene_id = o.scene_id and e.lo = o.k))")
@@ -193,14 +210,14 @@ def suppress_sql(rounds: int = 9) -> str:
 NMS = f"with {suppress_sql()}"
 
 
-@query(f"{NMS} select r.scene_id, det_id, source from r join kept on kept.scene_id = r.scene_id and kept.k = r.k")
+@query(f"{NMS} select scene_id, det_id, source from kept")
 def n01_suppress(t):
     return match.suppress(t.two_sources, "a").select("scene_id", "det_id", "source")
 
 
-@query(f"{NMS} select r.scene_id, count(*) filter (where source = 'a') as a, count(*) filter (where source = 'b') as b from r join kept on kept.scene_id = r.scene_id and kept.k = r.k group by r.scene_id")
+@query(f"{NMS} select scene_id, count(*) filter (where source = 'a') as a, count(*) filter (where source = 'b') as b from kept group by scene_id")
 def n10_provenance(t):
-    return match.provenance(match.suppress(t.two_sources, "a"))
+    return match.provenance(match.suppress(t.two_sources, "a"), ["a", "b"])
 
 
 @query("select scene_id, det_id, label from (select *, row_number() over (partition by scene_id, row, label order by confidence desc, det_id) as r from detections) q where label <> 'result_bar' or r = 1")

@@ -113,9 +113,37 @@ def run_registry(spark: SparkSession, index: str, labels: str | None = None, mul
     return runs if labels is None else runs.join(spark.read.schema("run_id string, label string").json(labels), "run_id", "left")
 
 
-def embedded_json(pages: DataFrame, pattern: str, schema: str, html_col: str = "html") -> DataFrame:
-    """The JSON that a pattern's first group finds in each page; pages without it have null."""
-    return pages.withColumn("data", F.from_json(F.nullif(F.regexp_extract(html_col, pattern, 1), F.lit("")), schema))
+# Fixed value: where pages carry their data.
+DATA_SCRIPT = r'(?s)<script type="grading/init-data">(.*?)</script>'
+
+
+def embedded_data(pages: DataFrame, html_col: str = "html", pattern: str = DATA_SCRIPT) -> DataFrame:
+    """Pages with data: the JSON of their data script as VARIANT; null where there is no script or its JSON is broken.
+
+    ``data_issue`` says which: no_script, bad_json, or null. A column of either name is replaced.
+    """
+    body = F.nullif(F.regexp_extract(html_col, pattern, 1), F.lit(""))
+    out = pages.withColumn("__body", body).withColumn("data", F.try_parse_json("__body"))
+    return out.withColumn("data_issue", F.when(F.col("__body").isNull(), "no_script").when(F.col("data").isNull(), "bad_json")).drop("__body")
+
+
+def answer_block(data: Column) -> Column:
+    """The first object ``ans`` over all interactions of all elements of a page's view, as VARIANT; null without one."""
+    elements = F.try_variant_get(data, "$.view.elements", "array<variant>")
+    interactions = F.flatten(F.array_compact(F.transform(elements, lambda e: F.try_variant_get(e, "$.interactions", "array<variant>"))))
+    blocks = F.transform(interactions, lambda i: F.try_variant_get(i, "$.ans", "variant"))
+    return F.get(F.filter(blocks, lambda x: F.schema_of_variant(x).startswith("OBJECT")), 0)
+
+
+def solution_tokens(pages: DataFrame, key: str, data: str = "data") -> DataFrame:
+    """key, pos, and a column for each field of the tokens in the first interaction's worked solution.
+
+    A page without a solution, and one whose solution is empty, give no rows. A field of another type than expected is null.
+    """
+    listed = F.try_variant_get(data, "$.view.elements[0].interactions[0].solution", "array<variant>")
+    rows = pages.select(key, F.posexplode(listed).alias("pos", "v"))
+    get = lambda f, kind: F.try_variant_get("v", f"$.{f}", kind).alias(f)
+    return rows.select(key, "pos", get("id", "string"), get("c", "string"), get("x", "int"), get("y", "int"), get("type", "string"), get("tags", "array<string>"))
 
 
 def page_facts(pages: DataFrame) -> DataFrame:

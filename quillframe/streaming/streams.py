@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
+from ..operators import latency
+
 EVENTS = "event_id long, ts timestamp, sample long, event string, status string, latency_ms double"
 
 
@@ -24,6 +27,13 @@ def rolling(events: DataFrame, size: str = "10 minutes", slide: str | None = Non
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "event", "n", "error_rate", "mean_latency")
 
 
+def window_sketches(events: DataFrame, size: str = "10 minutes", late: str = "30 minutes") -> DataFrame:
+    """start, end, event, sketch: latencies by tumbling window and event, as mergeable sketches. Works on batches and streams."""
+    df = events.withWatermark("ts", late) if events.isStreaming else events
+    out = latency.sketches(df, [F.window("ts", size).alias("w"), "event"], "latency_ms")
+    return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "event", "sketch")
+
+
 def predict_feedback(predictions: DataFrame, feedback: DataFrame, within: str = "1 hour", late: str = "30 minutes") -> DataFrame:
     """Each prediction with the feedback on its sample that came within a time; null without one.
 
@@ -38,32 +48,92 @@ def predict_feedback(predictions: DataFrame, feedback: DataFrame, within: str =
 
 
 def last_feedback(feedback: DataFrame) -> DataFrame:
-    """The last feedback of each sample, by time and event id."""
-    w = W.partitionBy("sample").orderBy(F.desc("ts"), F.desc("event_id"))
-    return feedback.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
-
+    """The last feedback of each sample, by time and event id. An aggregate: a sample with many rows sends one from each task."""
+    last = F.max_by(F.struct(*[F.col(c) for c in feedback.columns]), F.struct("ts", "event_id"))
+    return feedback.groupBy(F.col("sample").alias("__s")).agg(last.alias("__l")).select("__l.*")
+
+
+class LastFeedback(StatefulProcessor):
+    """Keyed state of one sample: its last feedback, forgotten when event time has passed it by ``keep_ms``."""
+
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "ts_us long, event_id long, due_ms long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        best = None
+        for pdf in rows:
+            pdf = pdf[pdf["ts"].notna()]
+            if len(pdf):
+                row = pdf.sort_values(["ts", "event_id"], na_position="first").iloc[[-1]]
+                if best is None or self._place(row) > self._place(best):
+                    best = row
+        if best is None:
+            return
+        place = self._place(best)
+        had = self.last.get() if self.last.exists() else None
+        if had is not None and (had[0], had[1]) >= place:
+            return
+        if had is not None:
+            self.handle.deleteTimer(had[2])
+        due = max(place[0] // 1000, timerValues.getCurrentWatermarkInMs()) + self.keep_ms
+        self.handle.registerTimer(due)
+        self.last.update((*place, due))
+        yield best
+
+    @staticmethod
+    def _place(row) -> tuple[int, int]:
+        event = row["event_id"].iloc[0]
+        return row["ts"].iloc[0].value // 1000, -(1 << 62) if pd.isna(event) else int(event)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def last_feedback_changes(feedback: DataFrame, keep: str = "7 days", late: str = "30 minutes") -> DataFrame:
+    """Stream form of last_feedback: a row whenever a sample's last feedback changes.
+
+    Each sample holds one row of state (time and id of its last feedback) and a timer in event time; when the watermark
+    passes that feedback by ``keep`` the state goes. Rows later than the watermark are dropped, so that what comes after the
+    state has gone is newer than it. A row that does not come after the last one changes nothing; rows without a sample or a
+    time are left out. The session's state store has to be RocksDB's.
+    """
+    keep_ms = int(pd.Timedelta(keep).total_seconds() * 1000)
+    rows = feedback.where("sample is not null and ts is not null").withWatermark("ts", late)
+    return rows.groupBy("sample").transformWithStateInPandas(LastFeedback(keep_ms), rows.schema, "Append", "EventTime")
 
-def keep_last_feedback(feedback: DataFrame, path: str, checkpoint: str):
-    """Stream form of last_feedback: each batch adds a folder with the last feedback of its own samples.
 
-    A batch costs what it brings, not what came before it; a batch that runs again writes its own folder again.
-    ``kept_feedback`` reads the last one of each sample, ``compact_feedback`` gathers old folders into one.
-    """
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    def keep(batch: DataFrame, batch_id: int) -> None:
-        last_feedback(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return feedback.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def keep_last_feedback(feedback: DataFrame, path: str, checkpoint: str, keep: str = "7 days", late: str = "30 minutes"):
+    """Append the changes to a table; a restart goes on from the checkpoint. ``kept_feedback`` reads the last of each sample."""
+    spark = feedback.sparkSession
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, STATE_STORE)
+    try:
+        changes = last_feedback_changes(feedback, keep, late)
+        return changes.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(key, before)
 
 
 def kept_feedback(spark: SparkSession, path: str) -> DataFrame:
-    """The last feedback of each sample over all batches."""
-    return last_feedback(spark.read.parquet(path).drop("batch"))
+    """The last feedback of each sample over all changes."""
+    return last_feedback(spark.read.parquet(path))
 
 
 def compact_feedback(spark: SparkSession, path: str, target: str) -> DataFrame:
-    """Write the last feedback of each sample to a new folder, as its batch -1, from where later batches go on."""
-    kept_feedback(spark, path).write.mode("overwrite").parquet(f"{target}/batch=-1")
+    """Write the last feedback of each sample to a new folder."""
+    kept_feedback(spark, path).write.parquet(target)
     return kept_feedback(spark, target)
 
 

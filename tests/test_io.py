@@ -100,12 +100,13 @@ def test_streams_equal_batches(spark, tmp_path):
     q = streams.keep_last_feedback(streams.tail(spark, log).where("event = 'feedback'"), str(tmp_path / "last"), str(tmp_path / "ck"))
     q.awaitTermination(60)
     assert [r.event_id for r in streams.kept_feedback(spark, str(tmp_path / "last")).collect()] == [4]
-    events(spark, [(9, "2026-01-01 00:20:00", 1, "feedback", "ok", 5.0)]).write.parquet(str(tmp_path / "last/batch=1"))
+    events(spark, [(9, "2026-01-01 00:20:00", 1, "feedback", "ok", 5.0)]).coalesce(1).write.mode("append").json(log)
+    streams.keep_last_feedback(streams.tail(spark, log).where("event = 'feedback'"), str(tmp_path / "last"), str(tmp_path / "ck")).awaitTermination(60)
     assert [r.event_id for r in streams.kept_feedback(spark, str(tmp_path / "last")).collect()] == [9]
     assert [r.event_id for r in streams.compact_feedback(spark, str(tmp_path / "last"), str(tmp_path / "small")).collect()] == [9]
     q = streams.append_log(streams.tail(spark, log), str(tmp_path / "copy"), str(tmp_path / "ck2"))
     q.awaitTermination(60)
-    assert spark.read.schema(streams.EVENTS).json(str(tmp_path / "copy")).count() == 4
+    assert spark.read.schema(streams.EVENTS).json(str(tmp_path / "copy")).count() == 5
 
 
 def test_predict_feedback(spark):
