@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -23,6 +24,8 @@ DENSE = 1 << (2 * TILE_BITS - 4)
 #: Ids stand in 32 bits: so many phrases of one length may be frequent.
 MOST_IDS = 1 << 31
 SALTS = 64
+#: Frequent words, and frequent phrases of one longer length, up to which a broadcast table holds them (some 30 MB each).
+FEW_WORDS, FEW_CODES = 200_000, 2_000_000
 
 _BREAK = b"\xff"  # in no UTF-8 text
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 9 else 255 if chr(b) in ".,;:!?\n\x0b\x0c\r" else b for b in range(256))
@@ -92,20 +95,58 @@ def _chunks(batches):
 _ARROW = pa.schema([("chunk", pa.int64()), ("lang", pa.string()), ("keys", pa.binary()), ("codes", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("words", pa.list_(pa.binary()))])
 
 
-def _longer(chunk: pa.Table, known: pa.Table) -> pa.Table:
-    """A chunk's positions one word on: ids of its frequent phrases where both parts of a longer one are frequent."""
-    if not chunk.num_rows:
-        return _ARROW.empty_table()
-    keys = unpacked(chunk.column("keys")[0].as_py())
-    ids = np.full(len(chunk.column("codes")[0]) + 1, -1, np.int64)  # the last is that of no phrase, -1
-    ids[known.column("at").to_numpy()] = known.column("id").to_numpy()
+def _grown(chunk: int, keys: bytes, ids: np.ndarray) -> pa.RecordBatch:
+    """A chunk's positions one word on, from the ids of its phrases (-1: not frequent; the last entry is that of no phrase)."""
+    keys = unpacked(keys)
     now = ids[keys]
     both = np.flatnonzero((now[:-1] >= 0) & (now[1:] >= 0))
     codes, counts, number = pair_tiles(now[both], now[both + 1])
     new = np.full(len(keys), -1, np.int32)
     new[both] = number
-    row = {"chunk": chunk.column("chunk")[0].as_py(), "lang": None, "keys": packed(new), "codes": codes, "counts": counts, "words": None}
-    return pa.Table.from_pylist([row], schema=_ARROW)
+    row = {"chunk": chunk, "lang": None, "keys": packed(new), "codes": codes, "counts": counts, "words": None}
+    return pa.RecordBatch.from_pylist([row], schema=_ARROW)
+
+
+def _joined(chunk: pa.Table, known: pa.Table) -> pa.Table:
+    """A chunk with the ids that a join has found for its phrases."""
+    if not chunk.num_rows:
+        return _ARROW.empty_table()
+    ids = np.full(len(chunk.column("codes")[0]) + 1, -1, np.int64)
+    ids[known.column("at").to_numpy()] = known.column("id").to_numpy()
+    return pa.Table.from_batches([_grown(chunk.column("chunk")[0].as_py(), chunk.column("keys")[0].as_py(), ids)])
+
+
+def _looked_up(table: Broadcast):
+    """Chunks with ids from a broadcast table: of words by language, or sorted codes with their ids."""
+
+    def run(batches):
+        for b in batches:
+            for i in range(len(b)):
+                words = b.column("words")[i].as_py()
+                if words is not None:
+                    known = table.value.get(b.column("lang")[i].as_py(), {})
+                    ids = np.fromiter((known.get(w, -1) for w in words), np.int64, len(words))
+                else:
+                    mine, (codes, own) = b.column("codes")[i].values.to_numpy(), table.value
+                    place = np.minimum(np.searchsorted(codes, mine), max(len(codes) - 1, 0))
+                    ids = np.where(codes[place] == mine, own[place], -1) if len(codes) else np.full(len(mine), -1)
+                yield _grown(b.column("chunk")[i].as_py(), b.column("keys")[i].as_py(), np.append(ids, -1))
+
+    return run
+
+
+def _table(ranked: DataFrame, k: int) -> Broadcast:
+    """The phrases of a length as a broadcast table; their number has been checked."""
+    rows = ranked.toArrow()
+    if k == 1:
+        value: dict = {}
+        for lang, word, i in zip(rows.column("lang").to_pylist(), rows.column("word").to_pylist(), rows.column("id").to_pylist(), strict=True):
+            value.setdefault(lang, {})[word.encode()] = i
+    else:
+        codes, ids = rows.column("code").to_numpy(), rows.column("id").to_numpy()
+        order = np.argsort(codes)
+        value = codes[order], ids[order]
+    return ranked.sparkSession.sparkContext.broadcast(value)
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, text_col: str = "text", lang_col: str = "lang", scratch: Scratch | None = None) -> tuple[list[DataFrame], DataFrame]:
@@ -115,7 +156,8 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     chunk's pairs of neighbouring ids are counted by tiles; counts are summed over chunks, pairs often enough are ranked by
     frequency, and their ranks are joined back to the chunks, where they are the ids of the next length. A phrase's code
     holds the ids of its first and of its last ``length - 1`` words. A chunk names a pair once, so a pair in a third of all
-    places is a row for each chunk. Returns a table (id, f, code or lang and word) for each length, and (lang, n).
+    places is a row for each chunk. Where a length has few enough frequent phrases (FEW_WORDS, FEW_CODES) their ranks come to
+    the chunks as a broadcast table, and beyond by joins; both give the same rows. Returns a table (id, f, code or lang and word) for each length, and (lang, n).
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
@@ -133,8 +175,12 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
             raise ValueError(f"{n} phrases of {k} words are frequent: raise least; ids hold {MOST_IDS}")
         found.append(scratch.write(ranked, f"phrases{k}"))
         if k < longest:
-            known = entries.join(found[-1].select(*keys, "id"), keys).select(F.col("chunk").alias("of_chunk"), "at", "id")
-            grown = chunks.groupBy("chunk").cogroup(known.groupBy("of_chunk")).applyInArrow(_longer, CHUNK)
+            ranks = found[-1].select(*keys, "id")
+            if n <= (FEW_WORDS if k == 1 else FEW_CODES):
+                grown = chunks.mapInArrow(_looked_up(_table(ranks, k)), CHUNK)
+            else:
+                known = entries.join(ranks, keys).select(F.col("chunk").alias("of_chunk"), "at", "id")
+                grown = chunks.groupBy("chunk").cogroup(known.groupBy("of_chunk")).applyInArrow(_joined, CHUNK)
             chunks = scratch.write(grown, f"chunks{k + 1}")
     return found, totals
 

@@ -109,8 +109,10 @@ def brute(rows, least, longest=5, top=2000):
     return {(lang, i + 1, p.decode(), -a, l, r, n[lang], -s) for lang, x in found.items() for i, (s, a, p, l, r) in enumerate(sorted(x)[:top])}
 
 
-@pytest.mark.parametrize("seed,least,chunk,bits,longest", [(1, 3, 400_000, 10, 5), (2, 5, 300, 2, 5), (3, 2, 50, 1, 4), (4, 4, 1, 3, 2)])
-def test_phrases_equal_definition(spark, monkeypatch, seed, least, chunk, bits, longest):
+@pytest.mark.parametrize("seed,least,chunk,bits,longest,few", [(1, 3, 400_000, 10, 5, 10**6), (2, 5, 300, 2, 5, 0), (3, 2, 50, 1, 4, 10**6), (4, 4, 1, 3, 2, 0)])
+def test_phrases_equal_definition(spark, monkeypatch, seed, least, chunk, bits, longest, few):
+    monkeypatch.setattr(collocations, "FEW_WORDS", few)
+    monkeypatch.setattr(collocations, "FEW_CODES", few)
     monkeypatch.setattr(collocations, "CHUNK_WORDS", chunk)
     monkeypatch.setattr(collocations, "TILE_BITS", bits)
     monkeypatch.setattr(collocations, "DENSE", 1 << bits)
