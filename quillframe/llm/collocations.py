@@ -163,6 +163,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     scratch = scratch or Scratch(spark)
     rows = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").alias("text"))
     chunks = scratch.write(rows.mapInArrow(_chunks, CHUNK), "chunks")
+    path = scratch.paths[-1]
     lists = lambda c: c.select("chunk", "lang", F.posexplode(F.arrays_zip("codes", "counts")).alias("at", "u")).select("chunk", "lang", "at", F.col("u.codes").alias("code"), F.col("u.counts").alias("c"))
     worded = chunks.select("chunk", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "u")).select("chunk", "lang", "at", F.col("u.words").cast("string").alias("word"), F.col("u.counts").alias("c"))
     totals = scratch.write(worded.groupBy("lang").agg(F.sum("c").alias("n")), "totals")
@@ -181,7 +182,9 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
             else:
                 known = entries.join(ranks, keys).select(F.col("chunk").alias("of_chunk"), "at", "id")
                 grown = chunks.groupBy("chunk").cogroup(known.groupBy("of_chunk")).applyInArrow(_joined, CHUNK)
-            chunks = scratch.write(grown, f"chunks{k + 1}")
+            chunks, past = scratch.write(grown, f"chunks{k + 1}"), path
+            path = scratch.paths[-1]
+            scratch.drop(past)  # counts and ranks of its length are tables of their own
     return found, totals
 
 

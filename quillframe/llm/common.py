@@ -71,13 +71,17 @@ class Scratch:
             df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop(self, path: str) -> None:
+        """Remove a table that nothing reads any more."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        self.paths.remove(path)
+
     def result(self, df: DataFrame, name: str) -> DataFrame:
         """Write df to stay, then remove all other tables."""
         out = written(df, name)
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for path in self.paths:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
+        for path in list(self.paths):
+            self.drop(path)
         return out
 
 
