@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.stats import let
+
 ID = "exercise_id"
 OFFSET = 2
 
@@ -56,8 +58,10 @@ def _range(first: int, last: Column) -> Column:
     return F.when(last >= first, F.sequence(F.lit(first), last.cast("int"))).otherwise(F.array().cast("array<int>"))
 
 
-def _written(df: DataFrame, *parts: Column) -> DataFrame:
-    """One row for each token of the parts (arrays of tokens)."""
+def _written(df: DataFrame, rows: bool, *parts: Column) -> DataFrame:
+    """One row for each exercise with its tokens (arrays of tokens joined), or one for each token."""
+    if rows:
+        return df.select(ID, F.concat(*parts).alias("tokens"))
     return df.select(ID, F.explode(F.concat(*parts)).alias("t")).select(ID, "t.row", "t.col", "t.label")
 
 
@@ -80,16 +84,16 @@ def lacks(a: Column, b: Column, k: Column) -> Column:
     return (k >= 0) & ((a % p) < (b % p))
 
 
-def addition(ex: DataFrame) -> DataFrame:
+def addition(ex: DataFrame, rows: bool = False) -> DataFrame:
     """Rows: carries 0, a 1, b with the operator 2, bar 3, sum 4."""
     a, b, r = F.col("a"), F.col("b"), F.col("a") + F.col("b")
     df = ex.select(ID, "a", "b", F.greatest(n_digits(a), n_digits(b), n_digits(r)).alias("w"))
     right = F.col("w") + (OFFSET - 1)
     marks = F.transform(F.filter(_range(1, F.col("w") - 1), lambda k: carries(a, b, k)), lambda k: _token(0, right - k, "carry_1"))
-    return _written(df, marks, _number(a, 1, right), _number(b, 2, right), _one(2, OFFSET - 1, "op_plus"), _one(3, OFFSET - 1, "result_bar"), _number(r, 4, right))
+    return _written(df, rows, marks, _number(a, 1, right), _number(b, 2, right), _one(2, OFFSET - 1, "op_plus"), _one(3, OFFSET - 1, "result_bar"), _number(r, 4, right))
 
 
-def subtraction(ex: DataFrame) -> DataFrame:
+def subtraction(ex: DataFrame, rows: bool = False) -> DataFrame:
     """Rows: borrow marks 0, a 1, b with the operator 2, bar 3, difference 4. The larger number comes first.
 
     At place k, S(k) says that the lower digits of a lack. A place that has lent shows its new digit (9 in a chain of zeros);
@@ -105,7 +109,7 @@ def subtraction(ex: DataFrame) -> DataFrame:
     takes = F.filter(places, lambda k: lacks(a, b, k) & ~((digit_at(a, k) == 0) & lent(k)) & (k < w - 1))
     borrows = F.transform(takes, lambda k: _token(0, right - k, "borrow_1"))
     result = F.lpad((a - b).cast("string"), w, F.lit("0"))
-    return _written(df, shown, borrows, _number(a, 1, right), _number(b, 2, right), _one(2, OFFSET - 1, "op_minus"), _one(3, OFFSET - 1, "result_bar"), _number(result, 4, right))
+    return _written(df, rows, shown, borrows, _number(a, 1, right), _number(b, 2, right), _one(2, OFFSET - 1, "op_minus"), _one(3, OFFSET - 1, "result_bar"), _number(result, 4, right))
 
 
 def _pass_carries(a: Column, m: Column, right: Column, row) -> Column:
@@ -115,7 +119,7 @@ def _pass_carries(a: Column, m: Column, right: Column, row) -> Column:
     return F.transform(places, lambda k: _token(row, right - k - 1, F.concat(F.lit("carry_"), carry(k).cast("string"))))
 
 
-def multiplication(ex: DataFrame) -> DataFrame:
+def multiplication(ex: DataFrame, rows: bool = False) -> DataFrame:
     """One-digit b: carries 0, a 1, b 2, bar 3, product 4. More digits: a 0, b 1, bar 2, then for each digit of b its carries
     and its partial product (with trailing zeros and, after the first, a plus), the carries of the sum, bar, product; rows
     of carries that stay empty close up.
@@ -140,10 +144,10 @@ def multiplication(ex: DataFrame) -> DataFrame:
     )
     long = [_number(a, 0, right), _one(1, left, "op_times"), _number(b, 1, right), _one(2, left, "result_bar"), F.flatten(F.transform(passes, each)), sums, _one(base + 1, left, "result_bar"), _number(r, base + 2, right)]
     # Close up: a row's number falls by the empty carry rows above it.
-    many = df.where("n > 1").select(ID, F.concat(*long).alias("ts"), F.transform(_range(0, n), lambda i: 3 + i * 2).alias("rows"))
-    many = many.select(ID, "ts", F.array_except("rows", F.transform("ts", lambda t: t["row"])).alias("empty"))
-    closed = F.transform("ts", lambda t: _token(t["row"] - F.size(F.filter("empty", lambda e: e < t["row"])), t["col"], t["label"]))
-    return _written(df.where("n = 1"), *short).unionByName(_written(many, closed))
+    closed = lambda ts, empty: F.transform(ts, lambda t: _token(t["row"] - F.size(F.filter(empty, lambda e: e < t["row"])), t["col"], t["label"]))
+    free = lambda ts: F.array_except(F.transform(_range(0, n), lambda i: 3 + i * 2), F.transform(ts, lambda t: t["row"]))
+    many = let(F.concat(*long), lambda ts: let(free(ts), lambda empty: closed(ts, empty)))
+    return _written(df.where("n = 1"), rows, *short).unionByName(_written(df.where("n > 1"), rows, many))
 
 
 def _steps() -> Column:
@@ -151,7 +155,7 @@ def _steps() -> Column:
     zero = F.lit(0).cast("long")
     step_type = "array<struct<q:long,p:long,r:long,c:int>>"
     start = F.struct(zero.alias("cur"), F.array().cast(step_type).alias("steps"))
-    b = F.col("b")
+    b = F.nullif(F.col("b"), F.lit(0))  # rows without a divisor may be looked at before they are left out
     places = F.transform(F.split(F.col("a").cast("string"), ""), lambda c, i: F.struct(c.cast("long").alias("d"), i.alias("i")))
 
     def take(acc, x):
@@ -171,7 +175,7 @@ def division_steps(ex: DataFrame) -> DataFrame:
     return df.select(ID, "a", "b", "step", F.col("s.q").alias("quotient_digit"), F.col("s.p").alias("product"), F.col("s.r").alias("remainder"), F.col("s.c").alias("right_col"))
 
 
-def long_division(ex: DataFrame) -> DataFrame:
+def long_division(ex: DataFrame, rows: bool = False) -> DataFrame:
     """Quotient in row 0; divisor, bracket (column -1) and dividend in row 1; product, bar and remainder of step k in rows 2 + 3k on."""
     df = ex.where("b > 0").select(ID, "a", "b", _steps().alias("steps"))
     a, b = F.col("a"), F.col("b")
@@ -186,15 +190,15 @@ def long_division(ex: DataFrame) -> DataFrame:
             F.filter(_one(row + 2, following, F.concat(F.lit("main_"), brought)), lambda t: ~last),
         )
 
-    return _written(df, F.flatten(F.transform("steps", tokens)), _number(b, 1, -2), _one(1, -1, "div_bracket"), _number(a, 1, n_digits(a) - 1))
+    return _written(df, rows, F.flatten(F.transform("steps", tokens)), _number(b, 1, -2), _one(1, -1, "div_bracket"), _number(a, 1, n_digits(a) - 1))
 
 
-def simple_division(ex: DataFrame) -> DataFrame:
+def simple_division(ex: DataFrame, rows: bool = False) -> DataFrame:
     """Exact divisions on one line: dividend, operator, divisor; the quotient right-aligned under a bar. Others are left out."""
     df = ex.where("b > 0 and a % b = 0").select(ID, "a", "b")
     a, b = F.col("a"), F.col("b")
     end = n_digits(a) + n_digits(b)
-    return _written(df, _number(a, 0, n_digits(a) - 1), _one(0, n_digits(a), "op_divide"), _number(b, 0, end), _one(1, 0, "result_bar"), _number(F.floor(a / b).cast("long"), 2, end))
+    return _written(df, rows, _number(a, 0, n_digits(a) - 1), _one(0, n_digits(a), "op_divide"), _number(b, 0, end), _one(1, 0, "result_bar"), _number(F.floor(a / b).cast("long"), 2, end))
 
 
 def solutions(ex: DataFrame) -> DataFrame:
@@ -241,13 +245,6 @@ def without_marks(tokens: DataFrame) -> DataFrame:
     return tokens.where(~is_mark())
 
 
-def partial_marks(tokens: DataFrame, share: float = 0.65, seed: int = 0) -> DataFrame:
-    """A share of the carry and borrow marks dropped, at least one, in a seeded order."""
-    w = W.partitionBy(ID, is_mark())
-    df = tokens.withColumn("__n", F.count(F.lit(1)).over(w)).withColumn("__r", F.row_number().over(w.orderBy(F.xxhash64(ID, "token_id", F.lit(seed)))))
-    return df.where(~is_mark() | (F.col("__r") > F.greatest(F.lit(1), F.floor(F.col("__n") * share)))).drop("__n", "__r")
-
-
 def partial_result(tokens: DataFrame, share: float = 0.5) -> DataFrame:
     """The last digits of the result dropped: a share (half-even), at least one, but one digit stays."""
     df = tokens.withColumn("__m", _max_row()).withColumn("__in", (F.col("row") == F.col("__m")) & F.col("label").startswith("main_"))
@@ -257,30 +254,6 @@ def partial_result(tokens: DataFrame, share: float = 0.5) -> DataFrame:
     return df.where(~F.col("__in") | (F.col("__r") > gone)).drop("__m", "__in", "__n", "__r")
 
 
-def without_operand_end(tokens: DataFrame) -> DataFrame:
-    """The rightmost digit of the second operand (row 2) dropped."""
-    mine = (F.col("row") == 2) & F.col("label").startswith("main_")
-    last = F.max(F.when(mine, F.col("col"))).over(W.partitionBy(ID))
-    return tokens.withColumn("__l", last).where(~(mine & (F.col("col") == F.coalesce("__l", F.lit(-99))))).drop("__l")
-
-
-def first_product_only(tokens: DataFrame) -> DataFrame:
-    return tokens.where("row <= 4")
-
-
-def without_sum_carries(tokens: DataFrame) -> DataFrame:
-    """The row of carries above the last bar dropped."""
-    return tokens.withColumn("__m", _max_row()).where("row <> __m - 2").drop("__m")
-
-
-def division_steps_up_to(tokens: DataFrame, steps: int) -> DataFrame:
-    return tokens.where(F.col("row") < 2 + 3 * steps)
-
-
-def without_last_remainder(tokens: DataFrame) -> DataFrame:
-    return without_result(tokens)
-
-
 def operator_on_the_right(tokens: DataFrame) -> DataFrame:
     """The operator of a sum or difference one column right of its operands."""
     op = F.col("label").isin("op_plus", "op_minus") & (F.col("row") == 2)

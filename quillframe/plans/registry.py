@@ -24,5 +24,5 @@ def query(sql: str | None = None):
     return add
 
 
-for _name in ("scenes", "datasets", "arithmetic", "collection", "logs", "composites", "files"):
+for _name in ("scenes", "datasets", "arithmetic", "collection", "logs", "composites", "files", "unfinished"):
     importlib.import_module(f"quillframe.plans.{_name}")
