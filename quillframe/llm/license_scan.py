@@ -103,7 +103,7 @@ class Automaton:
 
 
 def compiled(label: str, template: str) -> Automaton:
-    """The automaton of a template with its markup."""
+    """The automaton of a template with its markup. A template without mandatory words matches its optional ones, never nothing."""
     a = Automaton(label, [{}], [None], [[]], 0)
 
     def state() -> int:
@@ -138,7 +138,7 @@ def compiled(label: str, template: str) -> Automaton:
             a.free[at].append(s := state())
             at = s
     a.accept = at
-    a.anchor = max(must, key=len)
+    a.anchor = max(must, key=len, default=b"")  # without a mandatory word every text is looked at
     return a
 
 

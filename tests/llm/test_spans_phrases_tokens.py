@@ -201,3 +201,11 @@ def test_alignment_of_the_test_documents(spark, sf):
     want = alignments([r.text for r in rows])
     got = dict(rows_of(queries.op13_token_alignment(spark, sf)))
     assert got == {r.doc_id: w for r, w in zip(rows, want, strict=True)}
+
+
+def test_a_license_template_without_mandatory_words():
+    from quillframe.llm import license_scan
+
+    a = license_scan.compiled("x", "<<opt>>mit license<<end>>")
+    assert [a.longest(w.encode().split(), 0) for w in ("mit license", "mit", "other")] == [2, None, None]
+    assert license_scan.compiled("y", "").longest([b"a"], 0) is None
