@@ -11,7 +11,9 @@ exchange, is given its values by joins with the table of the order below, and is
 values are summed by document.
 
 Very frequent n-grams would make hot keys: the counts of up to FREQUENT words and of all pairs of the COMMON most frequent
-words are added up inside the tasks and broadcast, which changes no score.
+words are added up inside the tasks and broadcast, which changes no score. Other n-grams that a sample of documents shows to
+be hot (a passage that many documents share) are dealt over SALTS tasks, counted in two steps and answered on each of them;
+the sample decides on places only, so that it changes no score either.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from .common import sliced, written
 from .words import U, Prefix, signed, split, word_digests
 
 ALPHA = 0.4
-ORDER = 2
+ORDER = 3
 #: Rarer words and n-grams count as unseen; an unseen word counts as seen half a time.
 LEAST = 2
 UNSEEN = 0.5
@@ -40,6 +42,10 @@ COMMON = 1000
 SLICE = 200
 #: In place of the second word of a pair: a word by itself.
 ALONE = -(1 << 62)
+#: An n-gram with this share of its sample's rows is hot; about so many documents are sampled for it.
+HOT_SHARE = 1 / 2000
+HOT_SAMPLE = 2000
+SALTS = 32
 #: More than the places of frequent words.
 PLACES = 1 << 20
 
@@ -113,8 +119,10 @@ def _totals(batches: Iterator[pa.RecordBatch], words: Words, gains: np.ndarray,
         yield pa.RecordBatch.from_arrays([b.column("__key"), pa.array(sums, pa.float64()), pa.array(ones), pa.array(t.lengths)], ["__key", "s", "copies", "n"])
 
 
-def _exploded(batches: Iterator[pa.RecordBatch], words: Words, k: int, frequent: bool) -> Iterator[pa.RecordBatch]:
-    """A row for each occurrence of a k-gram: its first and its last k - 1 words, its own digest and the text's key.
+def _exploded(batches: Iterator[pa.RecordBatch], words: Words, k: int, frequent: bool, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each occurrence of a k-gram: its first and its last k - 1 words, its own digest, the text's key and a salt.
+
+    The salt is 1 to SALTS in turn for the hot (sorted digests), 0 for others.
 
     Pairs come in two lots, without those of the square table: frequent, both words by their places in one number (head),
     and all others, with the words outside the broadcast table by themselves (tail: ALONE).
@@ -139,7 +147,8 @@ def _exploded(batches: Iterator[pa.RecordBatch], words: Words, k: int, frequent:
             order = np.argsort(owner, kind="stable")  # a text's rows together: keys that repeat travel well
             head, tail, gram, owner = head[order], tail[order], gram[order], owner[order]
         keys = b.column("__key").to_numpy()[owner]
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (head, tail, gram, keys)], ["head", "tail", "gram", "__key"])
+        salt = np.where(np.isin(gram, hot), np.arange(len(gram)) % SALTS + 1, 0) if len(hot) else np.zeros(len(gram), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (head, tail, gram, keys, salt)], ["head", "tail", "gram", "__key", "salt"])
 
 
 def _word_value(n: Column, total: int, order: int) -> Column:
@@ -200,56 +209,90 @@ def backoff_scores(docs: DataFrame, train: DataFrame | None = None, text_col: st
     parts = [texts.mapInArrow(lambda it: _totals(it, words.value, square.value, unseen), "__key long, s double, copies long, n long")]
     none = F.lit(0).cast("long")
     others = values.where(_bin("n") < least_bin)
-    alone = others.select(F.col("word").alias("head"), F.lit(ALONE).alias("tail"), (F.col("value") - unseen).alias("gain"))
+    alone = others.select(F.col("word").alias("head"), F.lit(ALONE).alias("tail"), (F.col("value") - unseen).alias("gain"), F.lit(False).alias("hot"))
 
     # below: gram, n and value of every seen n-gram of the order below; frequent words go by their places.
     table = values_table(spark, known)
     places = table.select(F.col("place").alias("gram"), "n", "value")
     below = others.select(F.col("word").alias("gram"), "n", "value").unionByName(places)
-    fields = T.StructType([T.StructField(c, T.LongType(), False) for c in ("head", "tail", "gram", "__key")])
-
-    def dealt(rows: DataFrame, k: int, frequent: bool) -> DataFrame:
-        # The top order's own digests are not needed, so they stay out of the exchange.
-        keep = (["head"] if frequent else ["head", "tail"]) + (["gram"] if k < order else [])
-        return rows.mapInArrow(lambda it: _exploded(it, words.value, k, frequent), fields).select(*keep, "__key").repartition(*keep[: 1 if frequent else 2])
-
-    def counted(rows: DataFrame, asked: DataFrame, k: int, frequent: bool) -> DataFrame:
+    fields = T.StructType([T.StructField(c, T.LongType(), False) for c in ("head", "tail", "gram", "__key", "salt")])
+    nothing = np.zeros(0, np.int64)
+    every_so_many = {id(t): max(1, t.count() // HOT_SAMPLE) for t in (texts, learnt)}
+
+    def exploded(rows: DataFrame, k: int, frequent: bool, hot: np.ndarray) -> DataFrame:
+        return rows.mapInArrow(lambda it: _exploded(it, words.value, k, frequent, hot), fields)
+
+    def hot_grams(k: int, frequent: bool) -> np.ndarray:
+        """Sorted digests, at most 1 / HOT_SHARE for each of the two texts' tables."""
+        found = [nothing]
+        for t in (texts,) if train is None else (texts, learnt):
+            few = t.where(F.pmod(F.xxhash64("__key", "__text"), F.lit(every_so_many[id(t)])) == 0)
+            grams = exploded(few, k, frequent, nothing).where(F.col("tail") != ALONE).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+            rows = written(grams, "sampled-ngrams")
+            all_rows = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+            found.append(rows.where((F.col("n") > 1) & (F.col("n") >= HOT_SHARE * all_rows)).select("gram").toArrow()["gram"].to_numpy())
+        return np.unique(np.concatenate(found))
+
+    def dealt(rows: DataFrame, k: int, frequent: bool, hot: np.ndarray) -> DataFrame:
+        # The top order's own digests are not needed, so they stay out of the exchange; so does the salt where nothing is hot.
+        by = keys_of(frequent, hot)
+        return exploded(rows, k, frequent, hot).select(*by, *(["gram"] if k < order else []), "__key").repartition(*by)
+
+    def keys_of(frequent: bool, hot: np.ndarray) -> list[str]:
+        return (["head"] if frequent else ["head", "tail"]) + (["salt"] if len(hot) else [])
+
+    def counted(rows: DataFrame, asked: DataFrame, k: int, frequent: bool, hot: np.ndarray) -> DataFrame:
+        """One row for each seen n-gram: its key columns, n, gram (below the top order) and whether it is hot."""
         # Both uses of an exchange read the same rows and columns, so that Spark runs it once: the count looks at the keys too
-        # (any key passes), and the condition on the tail is bound to the count and so not pushed below the exchange.
+        # (any key passes), and conditions on the tail and the salt are bound to the count and so not pushed below the exchange.
         own = [F.min("gram").alias("gram")] if k < order else []
         by = ["head"] if frequent else ["head", "tail"]
-        seen = (asked if train is None else dealt(rows, k, frequent)).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.max("__key").alias("__most"), *own)
+        seen = (asked if train is None else dealt(rows, k, frequent, hot)).groupBy(*keys_of(frequent, hot)).agg(F.count(F.lit(1)).alias("n"), F.max("__key").alias("__most"), *own)
         n = F.col("n") if frequent else F.when(F.col("tail") != ALONE, F.col("n")).otherwise(0)
-        return seen.where((n >= least) & (F.col("__most") >= -(1 << 63)))
-
-    def answered(asked: DataFrame, gains: DataFrame, by: list[str]) -> DataFrame:
-        return asked.join(gains, by).select("__key", F.col("gain").alias("s"), none.alias("copies"), none.alias("n"))
+        any_key = F.col("__most") >= -(1 << 63)
+        if not len(hot):
+            return seen.where((n >= least) & any_key).withColumn("hot", F.lit(False))
+        cold = seen.where((F.when(F.col("salt") == 0, n).otherwise(0) >= least) & any_key).withColumn("hot", F.lit(False))
+        salted = seen.where((F.when(F.col("salt") > 0, n).otherwise(0) >= 1) & any_key)
+        whole = salted.groupBy(*by).agg(F.sum("n").alias("n"), *own).where(F.col("n") >= least).withColumn("hot", F.lit(True))
+        return cold.drop("salt", "__most").unionByName(whole)
+
+    def answered(asked: DataFrame, gains: DataFrame, by: list[str], k: int) -> DataFrame:
+        if "salt" in by:
+            salts = F.when(F.col("hot"), F.sequence(F.lit(1).cast("long"), F.lit(SALTS).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+            gains = gains.withColumn("salt", F.explode(salts))
+        joined = asked.join(gains.drop("hot"), by)
+        if k < order:  # here too the exchange is the counts' own: it keeps the n-grams' digests
+            joined = joined.where(F.when(F.col("gain").isNotNull(), F.col("gram")).otherwise(0) >= -(1 << 63))
+        return joined.select("__key", F.col("gain").alias("s"), none.alias("copies"), none.alias("n"))
 
     if order >= 2:
-        asked = dealt(texts, 2, True)
+        hot = hot_grams(2, True)
+        asked = dealt(texts, 2, True, hot)
         # One broadcast serves both words: a word's value tells its count.
         of = lambda p, v: F.broadcast(table.select(F.col("place").alias(p), F.col("value").alias(v)))
         h, v = of("__hp", "__hv"), of("__vp", "__v")
-        seen = counted(learnt, asked, 2, True)
+        seen = counted(learnt, asked, 2, True, hot)
         seen = seen.join(h, F.shiftright("head", 20) == F.col("__hp")).join(v, F.col("head").bitwiseAND(PLACES - 1) == F.col("__vp"))
         value = F.log(F.lit(ALPHA ** (order - 2) * ALPHA ** (order - 1) / max(total, 1)) * F.col("n")) - F.col("__hv")
-        pairs_seen = seen.select("head", "n", value.alias("value"), (value - F.col("__v")).alias("gain"), *(["gram"] if order > 2 else []))
+        pairs_seen = seen.select("head", "hot", "n", value.alias("value"), (value - F.col("__v")).alias("gain"), *(["gram"] if order > 2 else []))
         if order > 2:
             pairs_seen = written(pairs_seen, "pair-values")
-        parts.append(answered(asked, pairs_seen.select("head", "gain"), ["head"]))
+        parts.append(answered(asked, pairs_seen.select("head", "hot", "gain"), keys_of(True, hot), 2))
     for k in range(2, max(order, 2) + 1):
-        asked = dealt(texts, k, False)
-        seen = counted(learnt, asked, k, False)
+        hot = hot_grams(k, False) if k <= order else nothing
+        asked = dealt(texts, k, False, hot)
+        seen = counted(learnt, asked, k, False, hot)
         seen = seen.join(below.select(F.col("gram").alias("head"), F.col("n").alias("__h")), "head").join(below.select(F.col("gram").alias("tail"), F.col("value").alias("__v")), "tail")
         value = F.log(F.lit(ALPHA ** (order - k)) * F.col("n") / F.col("__h"))
-        seen = seen.select("head", "tail", "n", value.alias("value"), (value - F.col("__v")).alias("gain"), *(["gram"] if k < order else []))
+        seen = seen.select("head", "tail", "hot", "n", value.alias("value"), (value - F.col("__v")).alias("gain"), *(["gram"] if k < order else []))
         if k < order:
             seen = written(seen, "ngram-values")
             below = seen.select("gram", "n", "value")
             if k == 2:  # and the pairs of frequent words and of the square
                 below = below.unionByName(pairs_seen.select("gram", "n", "value")).unionByName(_square_rows(spark, known, common, pairs, order))
-        gains = alone if order < 2 else seen.select("head", "tail", "gain")
-        parts.append(answered(asked, gains.unionByName(alone) if k == 2 <= order else gains, ["head", "tail"]))
+        gains = alone if order < 2 else seen.select("head", "tail", "hot", "gain")
+        parts.append(answered(asked, gains.unionByName(alone) if k == 2 <= order else gains, keys_of(False, hot), k))
     sums = parts[0]
     for p in parts[1:]:
         sums = sums.unionByName(p)

@@ -82,12 +82,13 @@ ORACLE = {
     "op3_backoff_scores": r"""
 with t as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'),
     lambda v: v <> '') as ws, row_number() over () as rid from documents),
-w as (select rid, doc_id, i, ws[i] as w, case when i > 1 then ws[i - 1] end as v from (select *, unnest(range(1, len(ws) + 1)) as i from t)),
+w as (select rid, doc_id, i, ws[i] as w, case when i > 1 then ws[i - 1] end as v, case when i > 2 then ws[i - 2] end as p from (select *, unnest(range(1, len(ws) + 1)) as i from t)),
 u as (select w, count(*) as c from w group by w having count(*) >= 2),
 b as (select v, w, count(*) as c from w where v is not null group by v, w having count(*) >= 2),
+g as (select p, v, w, count(*) as c from w where p is not null group by p, v, w having count(*) >= 2),
 n as (select count(*) as n from w),
-s as (select rid, sum(case when b.c is not null then ln(b.c / x.c) else ln(0.4 * coalesce(y.c, 0.5) / n.n) end) as total, count(*) as k
-  from w cross join n left join b on b.v = w.v and b.w = w.w left join u x on x.w = w.v left join u y on y.w = w.w group by rid)
+s as (select rid, sum(case when g.c is not null then ln(g.c / h.c) when b.c is not null then ln(0.4 * b.c / x.c) else ln(0.16 * coalesce(y.c, 0.5) / n.n) end) as total, count(*) as k
+  from w cross join n left join g on g.p = w.p and g.v = w.v and g.w = w.w left join b h on h.v = w.p and h.w = w.v left join b on b.v = w.v and b.w = w.w left join u x on x.w = w.v left join u y on y.w = w.w group by rid)
 select doc_id, cast(len(ws) as bigint) as n_words, round(total / k, 6) as mean_log_score from t left join s using (rid)""",
     "op7_line_spread": r"""
 with t as (select doc_id, coalesce('s' || source, 'none') as site, string_split(coalesce(text, ''), chr(10)) as ls, row_number() over () as rid from documents),

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -166,8 +167,11 @@ def backoff(texts, train, order, least=2):
 
 @pytest.mark.parametrize("order,frequent,common", [(2, 100_000, 1000), (2, 3, 2), (2, 0, 1), (3, 5, 3), (4, 100_000, 1000)])
 @pytest.mark.parametrize("own", [True, False])
-def test_backoff_equals_definition(spark, monkeypatch, order, frequent, common, own):
+@pytest.mark.parametrize("hot", [1 / 2000, 2.0])
+def test_backoff_equals_definition(spark, monkeypatch, order, frequent, common, own, hot):
+    """With many n-grams salted (a share of 1 / 2000 of these few rows) and with none."""
     monkeypatch.setattr(backoff_lm, "COMMON", common)
+    monkeypatch.setattr(backoff_lm, "HOT_SHARE", hot)
     rng = random.Random(order)
     texts = [" ".join(rng.choice("abcdefgh") * rng.randrange(1, 3) for _ in range(rng.randrange(0, 30))) for _ in range(40)]
     texts += [texts[3], "Aa bb zzz", "qqq"]
@@ -183,6 +187,19 @@ def test_backoff_equals_definition(spark, monkeypatch, order, frequent, common,
             assert r.log_score is None and r.n_words == 0
 
 
+def test_hot_ngrams_are_dealt_over_many_tasks(spark):
+    """The rows of a passage that all documents share do not share a salt; other rows have none."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100), pa.int64()), pa.array(["p q r"] * 99 + ["s t u"])], ["__key", "__text"])
+    words = backoff_lm.Words(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+    gram = backoff_lm.Texts(batch).runs(3)[:1]
+    rows = pa.Table.from_batches(list(backoff_lm._exploded(iter([batch]), words, 3, False, gram))).to_pylist()
+    salts = [r["salt"] for r in rows if r["gram"] == gram[0]]
+    assert len(salts) == 99 and len(set(salts)) == backoff_lm.SALTS and min(salts) == 1
+    assert [r["salt"] for r in rows if r["gram"] != gram[0]] == [0]
+
+
 def test_documents_that_occur_twice_score_apart(spark):
     rng = random.Random(5)
     once = [" ".join(f"w{rng.randrange(3000)}" for _ in range(40)) for _ in range(60)]
