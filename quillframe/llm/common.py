@@ -120,6 +120,11 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def beside(df: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """own (a row of df) and keys (a struct of new columns): no name of df's can clash with a key's."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("own"), F.struct(*[v.alias(k) for k, v in keys.items()]).alias("keys"))
+
+
 def without(df: DataFrame, names) -> DataFrame:
     """df without columns called like an operator's results: the results replace them."""
     taken = {n.lower() for n in names}

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import beside, written
 from .words import U, Prefix, mix, signed, word_digests
 
 #: Latent directions: one for four passages, since a space with a direction for each passage would merge nothing, and so many at most.
@@ -454,4 +454,5 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows = docs.select(key.alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     bad = written(find_leaks(rows, benchmark).select(F.col("doc_id").alias("__key")).distinct(), "leaking")
     few = bad.count() <= 200_000
-    return docs.withColumn("__key", key).join(F.broadcast(bad) if few else bad, "__key", "left_anti").drop("__key")
+    held = beside(docs, {"k": key})
+    return held.join(F.broadcast(bad) if few else bad, F.col("keys.k") == F.col("__key"), "left_anti").select("own.*")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, appended, written
+from .common import Scratch, appended, beside, written
 from .words import U, Prefix, mix, signed, split, word_digests
 
 BITMAP_WORDS = 8
@@ -324,13 +324,12 @@ def _entries(index: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each component: the one with the least id. Rows with the same id and text count once.
 
-    Documents without words stay.
+    Documents without words stay. All input columns stay as they are, whatever their names; an empty table gives no rows.
     """
     judged = jaccard_components(docs, n, percent, id_col, text_col).select(F.col(id_col).alias("__id"), "__th", "stays")
     again = not judged.groupBy("__id", "__th").count().where("count > 1").isEmpty()
     go = judged.where("not stays").select("__id", "__th").distinct()
     few = go.count() <= PICKED_IDS
-    names = docs.columns
-    held = docs.withColumns({"__d": F.col(f"`{id_col}`").cast("long"), "__h": F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))})
-    out = held.join(F.broadcast(go) if few else go, held["__d"].eqNullSafe(go["__id"]) & (held["__h"] == go["__th"]), "left_anti")
-    return (out.dropDuplicates(["__d", "__h"]) if again else out).select(*[F.col(f"`{c}`") for c in names])
+    held = beside(docs, {"__d": F.col(f"`{id_col}`").cast("long"), "__h": F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))})
+    out = held.join(F.broadcast(go) if few else go, F.col("keys.__d").eqNullSafe(F.col("__id")) & (F.col("keys.__h") == F.col("__th")), "left_anti")
+    return (out.dropDuplicates(["keys"]) if again else out).select("own.*")

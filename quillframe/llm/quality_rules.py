@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, checked_join, let, without, written
+from .common import BLANKS, beside, checked_join, let, without, written
 
 MIN_WORDS = 10
 REPEAT_WINDOW = 5
@@ -117,12 +117,14 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source",
     """The documents that the rules and their host's verdict keep, with their own columns.
 
     Only the rejected rows' keys (id, digest of host and text) are gathered; up to REJECTED_IDS of them are broadcast.
+    All input columns stay as they are, whatever their names. Null and empty texts fail the rules and go; repeated rows go or
+    stay together; an empty table gives no rows.
     """
     host, text = F.col(f"`{host_col}`").cast("string"), F.col(f"`{text_col}`")
     keys = {"__d": F.col(f"`{id_col}`").cast("long"), "__h": F.xxhash64(F.coalesce(text, F.lit("")), F.coalesce(host, F.lit("")), host.isNull())}
     judged = host_quality(docs.select(host.alias("source"), text.alias("text"), *[v.alias(k) for k, v in keys.items()]), carry=["__d", "__h"])
     bad = written(judged.where("not kept").select(F.col("__d").alias("__bd"), F.col("__h").alias("__bh")).distinct(), "rejected")
     few = bad.count() <= REJECTED_IDS
-    rows = docs.withColumns(keys)
-    kept = rows.join(F.broadcast(bad) if few else bad, rows["__d"].eqNullSafe(bad["__bd"]) & (rows["__h"] == bad["__bh"]), "left_anti")
-    return kept.drop("__d", "__h")
+    rows = beside(docs, keys)
+    kept = rows.join(F.broadcast(bad) if few else bad, F.col("keys.__d").eqNullSafe(F.col("__bd")) & (F.col("keys.__h") == F.col("__bh")), "left_anti")
+    return kept.select("own.*")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import without, written
 
 ROUNDS = 6
+RESULTS = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -92,29 +93,20 @@ def feistel_shards(docs: DataFrame, n_shards: int = 24, seed: int = 20_240_601,
     empty table gives no rows.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    base = without(docs, ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]).withColumns(
-        {"size": F.octet_length(text).cast("long") + 8, "text_crc32": F.crc32(text.cast("binary")), "__tie": F.xxhash64(text)}
-    )
-    if carry is not None:
-        base = base.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{id_col}`").alias("__id"), "size", "text_crc32", "__tie")
-    else:
-        base = base.withColumn("__id", F.col(f"`{id_col}`"))
+    # The rows' own columns travel in one struct, where no name can clash with the keys'.
+    own = F.struct(*[F.col(f"`{c}`") for c in (without(docs, RESULTS).columns if carry is None else carry)])
+    base = docs.select(own.alias("own"), F.col(f"`{id_col}`").alias("__id"), (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("__tie"))
     rows, n = numbered(base, ["__id", "size", "__tie"])
 
     @F.pandas_udf("long")
     def place(numbers: pd.Series) -> pd.Series:
         return pd.Series(permute(numbers.to_numpy(), n, seed))
 
-    return (
-        rows.withColumn("__place", place("row_no"))
-        .withColumns({
-            "law": F.lit("rows"),
-            "shard": (F.col("__place") % n_shards).cast("int"),
-            "slot": F.floor(F.col("__place") / n_shards).cast("long"),
-            "grown_shard": F.lit(None).cast("int"),
-        })
-        .drop("__place", "__tie", "__id", "row_no")
-    )
+    at = rows.withColumn("__place", place("row_no"))
+    return at.select(
+        "own.*", "size", "text_crc32", F.lit("rows").alias("law"), (F.col("__place") % n_shards).cast("int").alias("shard"),
+        F.floor(F.col("__place") / n_shards).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+    )
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

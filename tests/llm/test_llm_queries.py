@@ -107,3 +107,22 @@ def test_pipeline_on_odd_tables(spark, tmp_path, rows):
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {"doc_id", "text", "lang", "source", "n_chars", "shard", "slot"} <= set(out.columns)
     assert out.count() <= 10 * max(1, len(rows))
+
+
+def test_pipeline_stages_keep_columns_of_any_name(spark, tmp_path):
+    import corpus_pipeline
+
+    names = ["__d", "__h", "__key", "__id", "__x", "own", "keys", "copy", "n_copies", "rate", "shuffle_key", "k", "__bd", "__th", "kept", "n_words"]
+    spark.createDataFrame([(1, "an item of seven words or so")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(30)), "en", "s", 9) + tuple(f"{n}{i}" for n in names) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        for r in out.collect():
+            assert [r[n] for n in names] == [f"{n}{r.doc_id}" for n in names]
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert set(docs.columns) <= set(out.columns)
+    assert all(r[n] == f"{n}{r.doc_id}" for r in out.collect() for n in names)
