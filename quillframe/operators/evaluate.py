@@ -12,6 +12,7 @@ from ..functions import geometry as g
 from ..functions import ontology as o
 from ..functions import stats
 from . import match
+from .lineage import cut
 
 SCENE = "scene_id"
 
@@ -42,6 +43,10 @@ def matched_boxes(gts: Column, preds: Column, threshold: float = match.MATCH_IOU
     return match.greedy_fold(F.filter(pairs, lambda x: x["s"] >= threshold))
 
 
+#: What the table of samples shows of each.
+SAMPLE_METRICS = ("n_pred", "n_gt", "matched", "label_correct", "recall", "row_acc", "col_acc", "mean_iou", "wall_ms")
+
+
 def label_pairs(gt: DataFrame, pred: DataFrame, threshold: float = match.MATCH_IOU) -> DataFrame:
     """Matched boxes with both labels: scene_id, gt_id, pred_id, iou, gt_label, pred_label."""
     pairs = scene_boxes(gts=(gt, "gt_id"), preds=(pred, "pred_id")).select(SCENE, F.explode(matched_boxes(F.col("gts"), F.col("preds"), threshold)).alias("m"))
@@ -226,3 +231,16 @@ def report(scenes: DataFrame, gt: DataFrame, pred: DataFrame, dets: DataFrame) -
     labels = label_recall(confusion(label_pairs(gt, pred))).select(F.lit("per_label").alias("section"), F.col("gt_label").alias("key"), F.lit("recall").alias("metric"), F.col("recall").alias("value"))
     each = samples.where("recall is not null").select(F.lit("per_sample").alias("section"), F.col(SCENE).cast("string").alias("key"), F.lit("recall").alias("metric"), F.col("recall").alias("value"))
     return groups.unionByName(labels).unionByName(each)
+
+
+def report_tables(scenes: DataFrame, gt: DataFrame, pred: DataFrame, dets: DataFrame) -> dict[str, DataFrame]:
+    """The five tables of a report, each with key, metric and value: aggregate, per_kind, per_case, per_label, per_sample.
+
+    The samples are worked out once (a checkpoint) and serve four of them. Metrics without a value have no row.
+    """
+    samples = cut(sample_metrics(scenes, gt, pred, dets))
+    groups = by_metric(metrics_by(samples), ["grouping", "key"]).where("value is not null")
+    pick = lambda name: groups.where(F.col("grouping") == name).drop("grouping")
+    labels = by_metric(label_recall(confusion(label_pairs(gt, pred))).select(F.col("gt_label").alias("key"), "correct", "total", "recall"), ["key"])
+    each = by_metric(samples.select(F.col(SCENE).alias("key"), *SAMPLE_METRICS), ["key"]).where("value is not null")
+    return {"aggregate": pick("all"), "per_kind": pick("equation_kind"), "per_case": pick("scene_case"), "per_label": labels, "per_sample": each}

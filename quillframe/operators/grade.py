@@ -113,8 +113,8 @@ def _core(expected: DataFrame) -> DataFrame:
     return expected.where(~((F.col("role") == "borrow") & ~F.col("given")))
 
 
-def graded_cells(submitted: DataFrame, expected: DataFrame) -> DataFrame:
-    """Each cell of each submission with what was written there and its group's status.
+def graded_rows(submitted: DataFrame, expected: DataFrame) -> DataFrame:
+    """Each submission with its cells (es), and for each cell what was written there and its group's status.
 
     Steps (carry, borrow, partial) count by presence: one token makes the group OK. Other groups are OK when every cell is
     right, else wrong cells are ERROR and empty ones MISSING if any is wrong, else the group is MISSING as a whole; given
@@ -162,7 +162,12 @@ def graded_cells(submitted: DataFrame, expected: DataFrame) -> DataFrame:
         return F.concat(graded, F.flatten(F.transform(F.filter(cells, optional), lambda e: borrowed(e, tokens))))
 
     both = together(submitted, expected)
-    return both.select(SUB, EX, F.explode(whole(F.col("tokens"), F.col("cells"))).alias("e")).select(SUB, EX, "e.*")
+    return both.select(SUB, EX, whole(F.col("tokens"), F.col("cells")).alias("es"))
+
+
+def graded_cells(submitted: DataFrame, expected: DataFrame) -> DataFrame:
+    """The cells of ``graded_rows``, a row for each."""
+    return graded_rows(submitted, expected).select(SUB, EX, F.explode("es").alias("e")).select(SUB, EX, "e.*")
 
 
 def _graded(e: Column, group_x: Column, got: Column, token_id: Column, status: Column, required: Column, matched: Column, group_wrong: Column) -> Column:
@@ -211,6 +216,53 @@ def verdicts(cells: DataFrame) -> DataFrame:
     return df.select(SUB, "progress", long.alias("outcome"), short.alias("short_outcome"))
 
 
+def evaluated(submitted: DataFrame, expected: DataFrame) -> DataFrame:
+    """One row for each submission: progress, finished, outcome, short_outcome, hint and elements.
+
+    Given cells replace what was drawn over them; then everything is matched, graded and judged inside the row, in one
+    exchange of the tokens and one of the cells. hint: (role, left_x, y) of the missing group nearest the lowest answer row,
+    the rightmost first; null when nothing is missing. elements: as ``graded_elements``, sorted, with their token ids.
+    """
+    graded = graded_rows(with_given(submitted, expected), expected)
+    es = F.col("es")
+    own = lambda e: ~e["given"]
+    is_step = lambda e: e["role"].isin(*STEP_ROLES) & own(e)
+    is_answer = lambda e: e["role"].isin(*ANSWER_ROLES) & own(e)
+    error, missing = lambda e: e["status"] == "ERROR", lambda e: e["status"] == "MISSING"
+    count = lambda holds: F.size(F.filter(es, holds)).cast("long")
+    some = lambda holds: F.exists(es, holds)
+    answer_y = F.array_max(F.transform(F.filter(es, is_answer), lambda e: e["y"]))
+    open_cells = F.filter(es, lambda e: missing(e) & ~e["group_wrong"] & own(e))
+    hint = lambda y: F.array_min(F.transform(open_cells, lambda e: F.struct(F.abs(e["y"] - y).alias("d"), (-e["x"]).alias("n"), e["y"].alias("y"), e["group_x"].alias("left_x"), e["role"].alias("role"))))
+    df = graded.select(
+        SUB, count(lambda e: e["matched"] & e["required"]).alias("m"), count(lambda e: e["required"]).alias("n"), some(lambda e: error(e) & is_answer(e)).alias("e"),
+        some(lambda e: missing(e) & is_answer(e)).alias("mi"), some(lambda e: missing(e) & is_step(e)).alias("s"), some(error).alias("ae"), stats.let(answer_y, hint).alias("h"), _elements(es).alias("elements"),
+    )
+    done = F.col("m") == F.col("n")
+    long = F.when(F.col("e"), "mistake").when(F.col("mi"), "incomplete").when(F.col("s"), "missing_step").when(done, "correct").otherwise("incomplete")
+    return df.select(
+        SUB, F.when(F.col("n") > 0, F.col("m") / F.col("n")).otherwise(1.0).alias("progress"), done.alias("finished"), long.alias("outcome"),
+        F.when(done, "correct").when(F.col("ae"), "mistake").otherwise("incomplete").alias("short_outcome"), F.when(F.col("h").isNotNull(), F.struct("h.role", "h.left_x", "h.y")).alias("hint"), "elements",
+    )
+
+
+def _elements(es: Column) -> Column:
+    """The elements of a row of graded cells: whole groups, but the cells that are not right of a group with a wrong one."""
+    ids = lambda part: F.array_compact(F.transform(part, lambda e: e["token_id"]))
+    element = lambda e, left, width, num, tokens: F.struct(e["role"].alias("role"), left.alias("left_x"), e["y"].alias("y"), width.alias("width"), num.alias("num"), e["status"].alias("status"), tokens.alias("token_ids"))
+    alone = F.filter(es, lambda e: e["group_wrong"] & (e["status"] != "OK"))
+    whole = F.filter(es, lambda e: ~e["group_wrong"] | e["role"].isin("carry", "partial") | ((e["role"] == "borrow") & (e["status"] == "OK")))
+    key = lambda e: F.struct(e["role"].alias("role"), e["y"].alias("y"), e["group_x"].alias("group_x"), e["status"].alias("status"))
+
+    def group(k: Column, cells: Column) -> Column:
+        part = F.sort_array(F.filter(cells, lambda e: key(e) == k))
+        return stats.let(part, lambda p: element(k, k["group_x"], F.size(p).cast("long"), F.array_join(F.transform(p, lambda e: e["c"]), ""), ids(p)))
+
+    groups_ = stats.let(whole, lambda cells: F.transform(F.array_distinct(F.transform(cells, key)), lambda k: group(k, cells)))
+    single = F.transform(alone, lambda e: element(e, e["x"], F.lit(1).cast("long"), e["c"], F.array_compact(F.array(e["token_id"]))))
+    return F.sort_array(F.concat(groups_, single))
+
+
 def next_hint(cells: DataFrame, answer_rows: DataFrame) -> DataFrame:
     """The missing group nearest the answer row, the rightmost first (answer_rows: exercise_id, answer_y)."""
     miss = cells.where("status = 'MISSING' and not group_wrong and not given").groupBy(SUB, EX, "role", "y", "group_x").agg(F.max("x").alias("last_x"))

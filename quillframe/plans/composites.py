@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import ontology as o
-from ..operators import cluster, evaluate, grade, graph, latency, match, pixels, quality, runs, worked
+from ..operators import assembly, cluster, evaluate, grade, graph, latency, match, pixels, quality, runs, worked
 from .arithmetic import ADD, CELLS, MATCH, PROGRESS, SHIFT, added, cells, expected, submitted
 from .datasets import LABELS, SPLIT, assets
 from .registry import query
@@ -248,3 +248,82 @@ union all select 'per_sample', cast(scene_id as varchar), 'recall', round(recall
 def c08_evaluation_report(t):
     """The whole evaluation as one long table: aggregate, by kind, by case, by label and by sample."""
     return evaluate.report(t.scenes, t.gt_symbols, t.predictions, t.detections).withColumn("value", F.round("value", 6))
+
+
+P11_TEMPLATE = "case op when 'multiply' then 'PRODUCT_' when 'divide' then 'DIVISION_' when 'add' then 'ADDITION_' else 'SUBTRACTION_' end || b % 4 as template, case when a % 10 = 0 then cast(a as string) else a // 10 || '.' || a % 10 end as a_text, case when b % 5 > 0 then cast(b as string) else b // 10 || '.' || b % 10 end as b_text"
+
+
+@query(f"""with x as (select exercise_id, {P11_TEMPLATE} from exercises), n as (select *, cast(contains(a_text, '.') as int) + cast(contains(b_text, '.') as int) as k from x)
+select exercise_id, template, a_text, b_text, case when template like 'PRODUCT%' then k <= 1 when template like 'DIVISION%' then k = 0 else true end as allowed from n""")
+def p11_arguments_allowed(t):
+    x = t.sql(f"select exercise_id, {P11_TEMPLATE.replace('a // 10', 'a div 10').replace('b // 10', 'b div 10')} from exercises")
+    return x.withColumn("allowed", assembly.arguments_allowed(F.col("template"), F.array("a_text", "b_text")))
+
+
+@query("""select scene_id, det_id, coalesce(confidence < 0.5, false) as low_conf, coalesce(confidence < 0.25, false) or coalesce(d > 48, false) as flagged from (select p.scene_id, p.pred_id as det_id, p.conf * (p.pred_id % 3) / 2 as confidence,
+  sqrt(pow((p.x0 + p.x1) / 2 - (s.x0 + s.x1) / 2 - 12 * (p.pred_id % 5), 2) + pow((p.y0 + p.y1) / 2 - (s.y0 + s.y1) / 2, 2)) as d from predictions p left join gt_symbols s on s.scene_id = p.scene_id and s.gt_id = p.pred_id) q""")
+def p15_review_flags(t):
+    p = t.predictions.select("scene_id", F.col("pred_id").alias("det_id"), "conf", *[F.col(c).alias(f"d_{c}") for c in g.BOX])
+    both = p.join(t.gt_symbols.select("scene_id", F.col("gt_id").alias("det_id"), *g.BOX), ["scene_id", "det_id"], "left")
+    a, b = g.box("d_"), g.box()
+    d = F.sqrt(F.pow(g.center_x(a) - g.center_x(b) - 12 * (F.col("det_id") % 5), F.lit(2)) + F.pow(g.center_y(a) - g.center_y(b), F.lit(2)))
+    low, flagged = assembly.review_flags(F.col("conf") * (F.col("det_id") % 3) / 2, d)
+    return both.select("scene_id", "det_id", low.alias("low_conf"), flagged.alias("flagged"))
+
+
+A28_LABELS = ("select scene_id, 'op_' || case gt_id % 3 when 0 then 'plus' when 1 then 'minus' else 'times' end as label from gt_symbols where gt_id <= 3", "select scene_id, case when scene_id % 11 = 0 and gt_id = 2 then 'div_bracket' else 'op_' || case when scene_id % 3 = 0 and gt_id % 3 = 1 then 'divide' when scene_id % 3 = 1 and gt_id % 3 = 2 then 'plus' when gt_id % 3 = 0 then 'plus' when gt_id % 3 = 1 then 'minus' else 'times' end end as label from gt_symbols where gt_id <= 3")
+A28_SCENES = "select scene_id, case when equation_kind = 'bare_digits' then 'ood_unknown' else equation_kind end as kind from scenes"
+
+
+@query(f"""with a as ({A28_LABELS[0]}), b as ({A28_LABELS[1]}), k as (select scene_id, string_agg(label, ',' order by label) as la, count(*) as n from a where label like 'op_%' group by scene_id), m as (select scene_id, string_agg(label, ',' order by label) filter (where label like 'op_%') as lb, count(*) filter (where label like 'op_%') as n, bool_or(label in ('div_bracket', 'op_divide')) as dv, bool_or(label = 'op_times') as ti, bool_or(label = 'op_minus') as mi, bool_or(label = 'op_plus') as pl from b group by scene_id),
+j as (select s.scene_id, kind, coalesce(k.n, 0) = coalesce(m.n, 0) and coalesce(la, '') <> coalesce(lb, '') as swapped, dv, ti, mi, pl from ({A28_SCENES}) s left join k on k.scene_id = s.scene_id left join m on m.scene_id = s.scene_id)
+select scene_id, swapped, case when swapped and kind <> 'ood_unknown' then case when dv then 'divide' when ti then 'multiply' when mi then 'subtract' when pl then 'add' else kind end else kind end as kind from j""")
+def a28_drawn_kinds(t):
+    return assembly.drawn_kinds(t.sql(A28_LABELS[0]), t.sql(A28_LABELS[1]), t.sql(A28_SCENES))
+
+
+@query(f"""with {GIVEN_IN}, {PROGRESS}, f as (select submission_id, bool_or(status = 'ERROR' and role = 'answer') as e, bool_or(status = 'MISSING' and role = 'answer') as m, bool_or(status = 'MISSING' and role = 'carry') as s, bool_or(status = 'ERROR') as ae from gr group by submission_id),
+h as (select submission_id, role || ':' || cast(group_x as int) || ':' || cast(y as int) as hint from gr where status = 'MISSING' and not group_wrong and not given qualify row_number() over (partition by submission_id order by abs(y - 6), -x, y, group_x, role) = 1),
+el as (select submission_id, role, group_x as left_x, y, count(*) as width, string_agg(c, '' order by x) as num, status from gr where not group_wrong or role = 'carry' group by submission_id, role, y, group_x, status union all select submission_id, role, x, y, 1, c, status from gr where group_wrong and status <> 'OK'),
+et as (select submission_id, string_agg(role || ':' || cast(left_x as int) || ':' || cast(y as int) || ':' || width || ':' || num || ':' || status, ',' order by role, left_x, y, width, num, status) as elements from el group by submission_id)
+select f.submission_id, round(case when total > 0 then matched / total else 1 end, 6) as progress, total = 0 or matched = total as finished, case when e then 'mistake' when m then 'incomplete' when s then 'missing_step' when matched = total then 'correct' else 'incomplete' end as outcome,
+  case when matched = total then 'correct' when ae then 'mistake' else 'incomplete' end as short_outcome, hint, elements from f join p on p.submission_id = f.submission_id left join h on h.submission_id = f.submission_id left join et on et.submission_id = f.submission_id""")
+def e06_evaluated_whole(t):
+    """Verdict, next hint and elements of each submission, graded once."""
+    part = lambda s, *names: F.concat_ws(":", *[s[n] for n in names])
+    df = grade.evaluated(submitted(t), expected(t))
+    elements = F.array_join(F.transform("elements", lambda e: part(e, "role", "left_x", "y", "width", "num", "status")), ",")
+    return df.select("submission_id", F.round("progress", 6).alias("progress"), "finished", "outcome", "short_outcome", F.when(F.col("hint").isNotNull(), part(F.col("hint"), "role", "left_x", "y")).alias("hint"), elements.alias("elements"))
+
+
+GIVEN_CELLS = "select scene_id, gt_id as cell_id, label, x0 - 8 as x0, y0 - 8 as y0, x1 + 8 as x1, y1 + 8 as y1 from gt_symbols where gt_id % 2 = 0 and gt_id > 1"
+KIND_LOGITS = "select s.scene_id, s.pred_kind, embedding from scenes s left join embeddings e on e.vec_id = s.scene_id"
+
+
+@query()
+def c06_recognised_scenes(t):
+    """Boxes of two sources and given cells to nested rows, with kinds demoted by the entropy of their logits."""
+    scenes = t.sql(KIND_LOGITS).withColumn("logits", F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double") * 3))
+    df = assembly.recognised(t.two_sources, scenes, "a", t.sql(GIVEN_CELLS))
+    return df.withColumn("rows_json", F.to_json("rows")).drop("rows")
+
+
+REPORT_TABLES = "n_pred, n_gt, matched, label_correct, recall, row_acc, col_acc, mean_iou, wall_ms"
+
+
+@query(f"""{SAMPLES}, c as (select a.label as gt_label, p.label as pred_label, count(*) as n from m join gt_symbols a on a.scene_id = m.scene_id and a.gt_id = m.gt_id join predictions p on p.scene_id = m.scene_id and p.pred_id = m.pred_id group by 1, 2),
+q as ({REPORT.format(MACRO)}), l as (select gt_label, cast(sum(case when gt_label = pred_label then n else 0 end) as double) as correct, cast(sum(n) as double) as total from c group by gt_label),
+l2 as (select gt_label, correct, total, round(correct / total, 6) as recall from l),
+ps as (select cast(scene_id as varchar) as key, cast(n_pred as double) as n_pred, cast(n_gt as double) as n_gt, cast(matched as double) as matched, cast(label_correct as double) as label_correct, round(recall + 1e-9, 6) as recall, round(row_acc + 1e-9, 6) as row_acc, round(col_acc + 1e-9, 6) as col_acc, round(mean_iou + 1e-9, 6) as mean_iou, cast(wall_ms as double) as wall_ms from s),
+long as (unpivot (select section, key, cast(n_samples as double) as n_samples, kind_acc, ood_rate, ood_honest_rate, label_acc, recall, row_acc, col_acc, cast(n_spatial as double) as n_spatial, cast(total_wall_ms as double) as total_wall_ms from q) on n_samples, kind_acc, ood_rate, ood_honest_rate, label_acc, recall, row_acc, col_acc, n_spatial, total_wall_ms into name metric value value),
+u as (unpivot ps on {REPORT_TABLES} into name metric value value), v as (unpivot l2 on correct, total, recall into name metric value value)
+select section, key, metric, value from long union all select 'per_label', gt_label, metric, value from v union all select 'per_sample', key, metric, value from u""")
+def s18_report_tables(t):
+    """All five tables of the report with all their metrics, as one long table."""
+    tables = evaluate.report_tables(t.scenes, t.gt_symbols, t.predictions, t.detections)
+    out = None
+    for name, df in tables.items():
+        lift = 1e-9 if name == "per_sample" else 0.0
+        part = df.select(F.lit(name).alias("section"), F.col("key").cast("string").alias("key"), "metric", F.round(F.col("value") + F.when(F.col("metric").isin("recall", "row_acc", "col_acc", "mean_iou"), lift).otherwise(0.0), 6).alias("value"))
+        out = part if out is None else out.unionByName(part)
+    return out

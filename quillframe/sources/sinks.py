@@ -60,9 +60,7 @@ def tensors(pixels: DataFrame, classes: DataFrame, values: str = "px") -> DataFr
     return pixels.join(F.broadcast(classes) if few else classes, "label").select("asset_id", "class_id", F.transform(values, lambda p: (p / 255.0).cast("float")).alias("pixels"))
 
 
-def report_tables(aggregate: DataFrame, by_group: DataFrame, labels: DataFrame, samples: DataFrame) -> dict[str, DataFrame]:
-    """The five tables of an evaluation report."""
-    from ..operators.evaluate import by_metric
-
-    pick = lambda g: by_metric(by_group.where(F.col("grouping") == g).drop("grouping"), ["key"])
-    return {"aggregate": by_metric(aggregate), "per_kind": pick("equation_kind"), "per_case": pick("scene_case"), "per_label": labels, "per_sample": samples}
+def write_report(tables: dict[str, DataFrame], path: str) -> None:
+    """Each table of a report in a folder of its own."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
