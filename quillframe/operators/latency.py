@@ -43,35 +43,41 @@ def quantiles(parts: DataFrame, ranks: dict[str, float]) -> DataFrame:
 
 
 def exact_quantile(df: DataFrame, key: str, value: str, rank: float, k: int = K) -> DataFrame:
-    """key, quantile: the first value that a share ``rank`` of a key's values does not exceed, exactly.
+    """key, quantile: the first value that a share ``rank`` of a key's values does not exceed, exactly."""
+    return exact_quantiles(df, [key], value, {"quantile": rank}, k=k).select(key, "quantile")
 
-    The sketch tells between which values the quantile lies; only the values in between are counted one by one, about two
-    hundredths of a key's, and of those each distinct one is a row. Where the sketch was wrong, which the counts show, all
-    values of the key are counted. Nulls and NaN are left out; a key without other values has null. Null keys are a key.
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, ranks: dict[str, float], parts: DataFrame | None = None, k: int = K) -> DataFrame:
+    """The keys, n_values and a column for each rank: the first value that this share of a key's values does not exceed, exactly.
+
+    A key's sketch (from ``parts``, where they are stored, else made here) tells between which values a quantile lies; only
+    the values in between are counted one by one, about two hundredths of a key's, and of those each distinct one is a row.
+    Where the sketch was wrong, which the counts show, all values of the key are counted. Nulls and NaN are left out; a key
+    without other values has null. Null keys are keys.
     """
-    rows = df.select(F.col(key).alias("__k"), _number(value).alias("__v"))
-    probe = lambda q: F.kll_sketch_get_quantile_double("sketch", F.lit(min(1.0, max(0.0, q))))
-    some = F.kll_sketch_get_n_double("sketch") > 0
+    rows = df.select(F.struct(*keys).alias("__k"), _number(value).alias("__v"))
+    parts = sketches(rows, ["__k"], "__v", k) if parts is None else parts.select(F.struct(*keys).alias("__k"), "sketch")
+    probe = lambda q: F.when(F.kll_sketch_get_n_double("sketch") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(min(1.0, max(0.0, q)))))
+    between = [F.struct(F.lit(n).alias("name"), F.lit(float(q)).alias("rank"), probe(q - 2 * RANK_ERROR).alias("lo"), probe(q + 2 * RANK_ERROR).alias("hi")) for n, q in ranks.items()]
     # written once: a sketch that is worked out again may keep other values
-    edges = sketches(rows, ["__k"], "__v", k).select("__k", F.when(some, probe(rank - 2 * RANK_ERROR)).alias("__lo"), F.when(some, probe(rank + 2 * RANK_ERROR)).alias("__hi"))
-    edges = cut(edges)
-    inside = (F.col("__v") >= F.col("__lo")) & (F.col("__v") <= F.col("__hi"))
-
-    def picked(joined, within):
-        """Counts below and of each value inside: the place of the quantile among them."""
-        totals = joined.groupBy("__k").agg(F.count("__v").alias("n"), F.count(F.when(~within & (F.col("__v") < F.col("__lo")), 1)).alias("below"), F.count(F.when(within, 1)).alias("in_"))
-        totals = totals.withColumn("at", F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(rank) - 1e-9)) - F.col("below"))
-        values = joined.where(within).groupBy("__k", "__v").count().withColumn("upto", F.sum("count").over(W.partitionBy("__k").orderBy("__v")))
-        first = values.join(totals.select(F.col("__k").alias("__t"), "at"), F.col("__k").eqNullSafe(F.col("__t"))).where("upto >= at").groupBy("__k").agg(F.min("__v").alias("quantile"))
-        good = (F.col("n") == 0) | ((F.col("at") >= 1) & (F.col("at") <= F.col("in_")))
-        return totals.select("__k", good.alias("good")), first
-
-    on = lambda a, b: a.join(b.withColumnRenamed("__k", "__e"), F.col("__k").eqNullSafe(F.col("__e")), "left").drop("__e")
-    checked, first = picked(on(rows, edges), inside)
-    out = on(checked, first)
-    if not out.where("not good").isEmpty():
-        missed = out.where("not good").select("__k")
-        wide = rows.join(missed.withColumnRenamed("__k", "__m"), F.col("__k").eqNullSafe(F.col("__m")), "left_semi").withColumns({"__lo": F.lit(None).cast("double"), "__hi": F.lit(None).cast("double")})
-        again, first = picked(wide, F.col("__v").isNotNull())
-        out = out.where("good").unionByName(on(again, first))
-    return out.select(F.col("__k").alias(key), "quantile")
+    edges = cut(parts.select("__k", F.explode(F.array(*between)).alias("e")).select("__k", "e.*"))
+    below = F.coalesce(F.col("__v") < F.col("lo"), F.lit(False))
+    inside = F.col("__v").isNotNull() & ~below & F.coalesce(F.col("__v") <= F.col("hi"), F.lit(True))
+    same = lambda *cs: [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in cs]
+
+    def picked(edges):
+        """n, quantile and whether it lay between the bounds, for each key and name."""
+        joined = edges.alias("a").join(rows.alias("b"), same("__k"), "left").select("a.*", "__v")
+        totals = joined.groupBy("__k", "name", "rank").agg(F.count("__v").alias("n"), F.count(F.when(below, 1)).alias("below"), F.count(F.when(inside, 1)).alias("in_"))
+        totals = totals.withColumn("at", F.greatest(F.lit(1), F.ceil(F.col("n") * F.col("rank") - 1e-9)) - F.col("below"))
+        values = joined.where(inside).groupBy("__k", "name", "__v").count().withColumn("upto", F.sum("count").over(W.partitionBy("__k", "name").orderBy("__v")))
+        found = totals.alias("a").join(values.alias("b"), [*same("__k", "name"), F.col("upto") >= F.col("at")], "left").groupBy("a.__k", "a.name", "n", "at", "in_").agg(F.min("__v").alias("quantile"))
+        return found.select("__k", "name", "n", "quantile", ((F.col("n") == 0) | ((F.col("at") >= 1) & (F.col("at") <= F.col("in_")))).alias("good"))
+
+    out = cut(picked(edges))
+    missed = out.where("not good")
+    if not missed.isEmpty():
+        wide = edges.alias("a").join(missed.alias("b"), same("__k", "name"), "left_semi").withColumns({"lo": F.lit(None).cast("double"), "hi": F.lit(None).cast("double")})
+        out = out.where("good").unionByName(picked(wide))
+    found = out.groupBy("__k").agg(F.max("n").alias("n_values"), *[F.max(F.when(F.col("name") == n, F.col("quantile"))).alias(n) for n in ranks])
+    return found.select(*[F.col("__k")[c].alias(c) for c in keys], "n_values", *ranks)
