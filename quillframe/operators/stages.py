@@ -328,4 +328,4 @@ def with_errors(df: DataFrame, knobs: dict[str, float], seed: int = 0, case: str
 
 def exploded(df: DataFrame, *keep: str) -> DataFrame:
     """One row for each token."""
-    return df.select(ID, *keep, F.explode("tokens").alias("t")).select(ID, *keep, "t.row", "t.col", "t.label")
+    return worked.token_rows(df, *keep)

@@ -49,8 +49,14 @@ def _one(row, col, label) -> Column:
 
 def _number(n: Column, row, right, label: str = "main_") -> Column:
     """Tokens of a number (or of its digits as text) that ends at column ``right``."""
-    text = n.cast("string")
-    return F.transform(F.split(text, ""), lambda c, i: _token(row, _column(right) - F.length(text) + 1 + i, F.concat(F.lit(label), c)))
+    place = lambda s: F.struct(s.alias("s"), (_column(right) - F.length(s) + 1).alias("first"))
+    return let(place(n.cast("string")), lambda x: F.transform(F.split(x["s"], ""), lambda c, i: _token(row, x["first"] + i, F.concat(F.lit(label), c))))
+
+
+def _marked(places: Column, carry, row, col) -> Column:
+    """A token carry_<n> in column col(k) for each place k whose carry n is over 0."""
+    found = F.filter(F.transform(places, lambda k: F.struct(k.alias("k"), carry(k).alias("n"))), lambda x: x["n"] > 0)
+    return F.transform(found, lambda x: _token(row, col(x["k"]), F.concat(F.lit("carry_"), x["n"].cast("string"))))
 
 
 def _range(first: int, last: Column) -> Column:
@@ -62,7 +68,16 @@ def _written(df: DataFrame, rows: bool, *parts: Column) -> DataFrame:
     """One row for each exercise with its tokens (arrays of tokens joined), or one for each token."""
     if rows:
         return df.select(ID, F.concat(*parts).alias("tokens"))
-    return df.select(ID, F.explode(F.concat(*parts)).alias("t")).select(ID, "t.row", "t.col", "t.label")
+    return token_rows(df.select(ID, F.concat(*parts).alias("tokens")))
+
+
+def token_rows(df: DataFrame, *keep: str) -> DataFrame:
+    """One row for each token.
+
+    An inner explode would have Spark infer a filter on the size of the array and work out all tokens in it once more, below
+    whatever makes the exercises distinct: for each row of the source.
+    """
+    return df.select(ID, *keep, F.explode_outer("tokens").alias("t")).where("t is not null").select(ID, *keep, "t.row", "t.col", "t.label")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -115,8 +130,7 @@ def subtraction(ex: DataFrame, rows: bool = False) -> DataFrame:
 def _pass_carries(a: Column, m: Column, right: Column, row) -> Column:
     """Carry marks of a times one digit m: the carry out of place k stands one column to the left, but for the leftmost."""
     carry = lambda k: F.floor((a % power10(k + 1)) * m / power10(k + 1)).cast("long")
-    places = F.filter(_range(0, n_digits(a) - 2), lambda k: carry(k) > 0)
-    return F.transform(places, lambda k: _token(row, right - k - 1, F.concat(F.lit("carry_"), carry(k).cast("string"))))
+    return _marked(_range(0, n_digits(a) - 2), carry, row, lambda k: right - k - 1)
 
 
 def multiplication(ex: DataFrame, rows: bool = False) -> DataFrame:
@@ -130,24 +144,27 @@ def multiplication(ex: DataFrame, rows: bool = False) -> DataFrame:
     right, left = w + (OFFSET - 1), OFFSET - 1
     short = [_pass_carries(a, b, right, 0), _number(a, 1, right), _one(2, left, "op_times"), _number(b, 2, right), _one(3, left, "result_bar"), _number(r, 4, right)]
     passes = _range(0, n - 1)
-    part = lambda i: a * digit_at(b, i)
-    full = lambda i: F.concat(part(i).cast("string"), F.repeat(F.lit("0"), i))
-    # Carry out of place k when the partial products are added: what their digits up to place k come to, over 10 ** (k + 1).
-    below = lambda k: F.aggregate(passes, F.lit(0).cast("long"), lambda s, i: s + F.when(i <= k, part(i) % power10(k + 1 - i) * power10(i)).otherwise(0).cast("long"))
-    carry = lambda k: F.floor(below(k) / power10(k + 1)).cast("long")
-    last = F.array_max(F.transform(passes, lambda i: F.length(full(i)))) - 1
+    # Of each digit of b: its place, the digit, the partial product as it is written and as a number.
+    one = lambda i, d: F.struct(i.alias("i"), d.alias("d"), F.concat((a * d).cast("string"), F.repeat(F.lit("0"), i)).alias("s"), (a * d * power10(i)).alias("v"))
+    written = F.transform(passes, lambda i: let(digit_at(b, i), lambda d: one(i, d)))
     base = 3 + n * 2
-    sums = F.transform(F.filter(_range(0, last), lambda k: (carry(k) > 0) & (right - k > OFFSET)), lambda k: _token(base, right - k - 1, F.concat(F.lit("carry_"), carry(k).cast("string"))))
-    each = lambda i: F.concat(
-        _pass_carries(a, digit_at(b, i), right - i, 3 + i * 2), _number(full(i), 4 + i * 2, right),
-        F.filter(_one(4 + i * 2, right - F.length(full(i)), "op_plus"), lambda t: i > 0),
-    )
-    long = [_number(a, 0, right), _one(1, left, "op_times"), _number(b, 1, right), _one(2, left, "result_bar"), F.flatten(F.transform(passes, each)), sums, _one(base + 1, left, "result_bar"), _number(r, base + 2, right)]
+
+    def tokens(ps: Column) -> Column:
+        # Carry out of place k when the partial products are added: what their digits up to place k come to, over 10 ** (k + 1).
+        carry = lambda k: let(power10(k + 1), lambda p: F.floor(F.aggregate(ps, F.lit(0).cast("long"), lambda s, x: s + x["v"] % p) / p).cast("long"))
+        last = F.array_max(F.transform(ps, lambda x: F.length(x["s"]))) - 1
+        sums = _marked(F.filter(_range(0, last), lambda k: right - k > OFFSET), carry, base, lambda k: right - k - 1)
+        each = lambda x: F.concat(
+            _pass_carries(a, x["d"], right - x["i"], 3 + x["i"] * 2), _number(x["s"], 4 + x["i"] * 2, right),
+            F.filter(_one(4 + x["i"] * 2, right - F.length(x["s"]), "op_plus"), lambda t: x["i"] > 0),
+        )
+        return F.concat(_number(a, 0, right), _one(1, left, "op_times"), _number(b, 1, right), _one(2, left, "result_bar"), F.flatten(F.transform(ps, each)), sums, _one(base + 1, left, "result_bar"), _number(r, base + 2, right))
+
     # Close up: a row's number falls by the empty carry rows above it.
     closed = lambda ts, empty: F.transform(ts, lambda t: _token(t["row"] - F.size(F.filter(empty, lambda e: e < t["row"])), t["col"], t["label"]))
     free = lambda ts: F.array_except(F.transform(_range(0, n), lambda i: 3 + i * 2), F.transform(ts, lambda t: t["row"]))
-    many = let(F.concat(*long), lambda ts: let(free(ts), lambda empty: closed(ts, empty)))
-    return _written(df.where("n = 1"), rows, *short).unionByName(_written(df.where("n > 1"), rows, many))
+    many = let(let(written, tokens), lambda ts: let(free(ts), lambda empty: closed(ts, empty)))
+    return _written(df.where("n >= 1"), rows, F.when(n == 1, F.concat(*short)).otherwise(many))
 
 
 def _steps() -> Column:
