@@ -223,3 +223,18 @@ def test_jitter_stays_near_and_inside(spark):
             moved += [v - w for v, w in zip(got, b) if 6 < w < 506]
     assert abs(sum(moved) / len(moved)) < 1 and min(moved) < -4 and max(moved) > 4
 
+
+
+def test_few_boxes_are_assigned_like_many():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        cost = rng.integers(0, 6, (rng.integers(1, 9), rng.integers(1, 9))).astype(float)
+        assert match._assign_few(cost.tolist()) == match._assign(cost)
+
+
+def test_small_scenes_are_folded_without_a_group_of_pandas_or_rounds(spark):
+    box = spark.createDataFrame([(1, 1, 0.0, 0.0, 5.0, 5.0), (1, 2, 4.0, 0.0, 9.0, 5.0)], "scene_id long, id long, x0 double, y0 double, x1 double, y1 double")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for df in (match.assign(box.withColumnRenamed("id", "target_id"), box.withColumnRenamed("id", "det_id")), match.merge_overlapping(box.withColumnRenamed("id", "box_id"))):
+        assert "InPandas" not in plan(df) and df.count() > 0
+    assert [tuple(r) for r in match.merge_boxes(box).collect()] == [(0.0, 0.0, 9.0, 5.0, 1)]
