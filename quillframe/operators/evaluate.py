@@ -39,7 +39,8 @@ def _corners(box: Column) -> tuple[Column, ...]:
 
 def matched_boxes(gts: Column, preds: Column, threshold: float = match.MATCH_IOU) -> Column:
     """Array of (s, p, q, gt, pred): the greedy matching of two arrays of boxes, with its IoU, ids and boxes."""
-    pairs = F.flatten(F.transform(gts, lambda a: F.transform(preds, lambda b: F.struct(g.iou(_corners(a), _corners(b)).alias("s"), a["id"].alias("p"), b["id"].alias("q"), a.alias("gt"), b.alias("pred")))))
+    near = lambda a: preds if threshold <= 0 else F.filter(preds, lambda b: ~g.apart(_corners(a), _corners(b)))
+    pairs = F.flatten(F.transform(gts, lambda a: F.transform(near(a), lambda b: F.struct(g.iou(_corners(a), _corners(b)).alias("s"), a["id"].alias("p"), b["id"].alias("q"), a.alias("gt"), b.alias("pred")))))
     return match.greedy_fold(F.filter(pairs, lambda x: x["s"] >= threshold))
 
 
@@ -49,15 +50,15 @@ SAMPLE_METRICS = ("n_pred", "n_gt", "matched", "label_correct", "recall", "row_a
 
 def label_pairs(gt: DataFrame, pred: DataFrame, threshold: float = match.MATCH_IOU) -> DataFrame:
     """Matched boxes with both labels: scene_id, gt_id, pred_id, iou, gt_label, pred_label."""
-    pairs = scene_boxes(gts=(gt, "gt_id"), preds=(pred, "pred_id")).select(SCENE, F.explode(matched_boxes(F.col("gts"), F.col("preds"), threshold)).alias("m"))
+    pairs = scene_boxes(gts=(gt, "gt_id"), preds=(pred, "pred_id"))
+    pairs = match.exploded(pairs, SCENE, matched_boxes(F.col("gts"), F.col("preds"), threshold), "m")
     return pairs.select(SCENE, F.col("m.p").alias("gt_id"), F.col("m.q").alias("pred_id"), F.col("m.s").alias("iou"), F.col("m.gt.label").alias("gt_label"), F.col("m.pred.label").alias("pred_label"))
 
 
 def _cuts(values: Column, share: float = 0.10) -> Column:
     """Of an array of numbers, those that begin a new cluster: the step from the next smaller one is over a share of the range."""
-    v = F.array_sort(values)
-    wide = (F.array_max(values) - F.array_min(values)) * share
-    return F.filter(v, lambda x, i: (i > 0) & (x - F.coalesce(F.get(v, i - 1), x) > wide))
+    split = lambda v, wide: F.filter(v, lambda x, i: (i > 0) & (x - F.coalesce(F.get(v, i - 1), x) > wide))
+    return stats.let(F.sort_array(values), lambda v: stats.let((F.array_max(v) - F.array_min(v)) * share, lambda wide: split(v, wide)))
 
 
 def _cluster(cuts: Column, value: Column) -> Column:
@@ -73,20 +74,25 @@ def sample_metrics(scenes: DataFrame, gt: DataFrame, pred: DataFrame, dets: Data
     """
     boxes = scene_boxes(gts=(gt, "gt_id"), preds=(pred, "pred_id"), dets=(dets, "det_id"))
     cx, cy = lambda b: g.center_x(_corners(b)), lambda b: g.center_y(_corners(b))
-    boxes = boxes.select(
-        SCENE, "dets", F.size("gts").cast("long").alias("__g"), F.size("preds").cast("long").alias("__p"), matched_boxes(F.col("gts"), F.col("preds")).alias("m"),
-        _cuts(F.transform("gts", cy)).alias("row_cuts"), _cuts(F.transform("gts", cx)).alias("col_cuts"),
+    # A lambda works out again, for each element, what it takes from outside; so that comes in worked out once, by let.
+    scene = F.struct(
+        _cuts(F.transform("gts", cy)).alias("rows"), _cuts(F.transform("gts", cx)).alias("cols"),
+        F.transform("dets", lambda d: F.struct(cx(d).alias("x"), cy(d).alias("y"), d["id"].alias("id"), d["row"].alias("row"), d["col"].alias("col"))).alias("dets"),
     )
 
-    def judged(m: Column) -> Column:
-        dx, dy = lambda d: cx(d) - cx(m["pred"]), lambda d: cy(d) - cy(m["pred"])
-        near = F.array_min(F.transform("dets", lambda d: F.struct((dx(d) * dx(d) + dy(d) * dy(d)).alias("d2"), d["id"].alias("id"), d["row"].alias("row"), d["col"].alias("col"))))
+    def judged(s: Column, m: Column) -> Column:
+        d2 = lambda d, at: (d["x"] - at["x"]) * (d["x"] - at["x"]) + (d["y"] - at["y"]) * (d["y"] - at["y"])
+        places = lambda at: F.transform(s["dets"], lambda d: F.struct(d2(d, at).alias("d2"), d["id"].alias("id"), d["row"].alias("row"), d["col"].alias("col")))
+        near = F.array_min(stats.let(F.struct(cx(m["pred"]).alias("x"), cy(m["pred"]).alias("y")), places))
         return F.struct(
             m["s"].alias("iou"), (m["gt"]["label"] == m["pred"]["label"]).alias("same"), near.alias("near"),
-            _cluster(F.col("row_cuts"), cy(m["gt"])).alias("row"), _cluster(F.col("col_cuts"), cx(m["gt"])).alias("col"),
+            stats.let(cy(m["gt"]), lambda y: _cluster(s["rows"], y)).alias("row"), stats.let(cx(m["gt"]), lambda x: _cluster(s["cols"], x)).alias("col"),
         )
 
-    boxes = boxes.select(SCENE, "__g", "__p", F.transform("m", judged).alias("m"))
+    matched = matched_boxes(F.col("gts"), F.col("preds"))
+    boxes = boxes.select(
+        SCENE, F.size("gts").cast("long").alias("__g"), F.size("preds").cast("long").alias("__p"), stats.let(scene, lambda s: F.transform(matched, lambda m: judged(s, m))).alias("m"),
+    )
     n = F.size("m")
     count = lambda holds: F.size(F.filter("m", holds))
     placed = count(lambda x: x["near"].isNotNull())
