@@ -39,12 +39,11 @@ def rows_and_columns(dets: DataFrame, scene: str = "scene_id") -> DataFrame:
     structure = F.col("label").isin("result_bar", "div_bracket")
     alone = ~F.max(~structure).over(W.partitionBy(scene))  # nothing but structure: it is clustered like other boxes
     df = df.withColumn("__follows", structure & ~alone)
-    free = size_cluster(df.where(~F.col("__follows")), "__cx", "__w", "col_cluster", order=["det_id"], keys=(scene,))
-    other = free.select(scene, F.col("det_id").alias("__fid"), F.col("__cx").alias("__fx"), F.col("col_cluster").alias("__fc"))
-    follows = df.where("__follows")
-    near = F.min(F.struct(F.abs(F.col("__cx") - F.col("__fx")).alias("d"), "__fid", "__fc"))
-    found = follows.join(other, scene).groupBy(scene, "det_id").agg(near["__fc"].alias("col_cluster"))
-    return free.unionByName(follows.join(found, [scene, "det_id"])).drop("__cx", "__cy", "__w", "__h", "__follows")
+    df = size_cluster(df.where("__follows is not null"), "__cx", "__w", "col_cluster", order=["det_id"], keys=(scene, "__follows"))
+    others = F.collect_list(F.when(~F.col("__follows"), F.struct("det_id", "__cx", "col_cluster"))).over(W.partitionBy(scene))
+    near = F.array_min(F.transform("__others", lambda o: F.struct(F.abs(F.col("__cx") - o["__cx"]).alias("d"), o["det_id"].alias("id"), o["col_cluster"].alias("c"))))
+    df = df.withColumn("__others", others).withColumn("col_cluster", F.when(F.col("__follows"), near["c"]).otherwise(F.col("col_cluster")))
+    return df.drop("__cx", "__cy", "__w", "__h", "__follows", "__others")
 
 
 def ordinals(df: DataFrame, most: int = 7, scene: str = "scene_id", order: str = "det_id") -> DataFrame:
@@ -62,12 +61,13 @@ def islands(df: DataFrame, keys: list[str], x: str = "x", name: str = "island")
 def row_conflicts(preds: DataFrame, scene: str = "scene_id") -> DataFrame:
     """spatial_conflict: the box's row has a median centre above the row before or below the row after it; never for bars and brackets."""
     structure = F.col("label").isin("result_bar", "div_bracket")
-    free = preds.where(~structure)
-    medians = free.groupBy(scene, "row").agg(F.median(g.center_y(g.box())).alias("m"))
-    w = W.partitionBy(scene).orderBy("row")
-    bad = (F.lag("m").over(w) > F.col("m")) | (F.lead("m").over(w) < F.col("m"))
-    flags = medians.select(scene, "row", F.coalesce(bad, F.lit(False)).alias("spatial_conflict"))
-    return preds.join(flags, [scene, "row"], "left").withColumn("spatial_conflict", F.coalesce("spatial_conflict", F.lit(False)) & ~structure)
+    m = F.median(F.when(~structure, g.center_y(g.box()))).over(W.partitionBy(scene, "row"))
+    beyond = lambda order: F.last("__m", ignorenulls=True).over(W.partitionBy(scene).orderBy(order).rangeBetween(W.unboundedPreceding, -1))
+    df = preds.withColumn("__m", m)
+    df = df.withColumns({"__above": beyond(F.asc("row")), "__below": beyond(F.desc("row"))})
+    bad = (F.col("__above") > F.col("__m")) | (F.col("__below") < F.col("__m"))
+    known = F.col(scene).isNotNull() & F.col("row").isNotNull()
+    return df.withColumn("spatial_conflict", F.coalesce(bad & known, F.lit(False)) & ~structure).drop("__m", "__above", "__below")
 
 
 def carry_conflicts(preds: DataFrame, scene: str = "scene_id") -> DataFrame:
@@ -114,26 +114,51 @@ def rand_index(df: DataFrame, a: str, b: str, scene: str = "scene_id") -> DataFr
 
 def gate(preds: DataFrame, scenes: DataFrame, scene: str = "scene_id") -> DataFrame:
     """route (ood, bare_digits or valid) and ood_reason of each scene, from counts of digits, structure and marks."""
+    return routed(scenes.select(scene).join(preds.groupBy(scene).agg(*gate_counts()), scene, "left"), scene)
+
+
+def gate_counts() -> list[Column]:
+    """What a scene is routed by, as aggregates over its boxes: n, digits, structural, marks."""
     kind = o.role(F.col("label"))
     n = lambda c: F.sum(c.cast("int"))
     marks = F.col("label").isin("result_bar", "div_bracket")
-    counts = preds.groupBy(scene).agg(F.count(F.lit(1)).alias("n"), n(kind.isin("main", "carry", "borrow")).alias("digits"), n(kind.isin("operator", "structure") | marks).alias("structural"), n(marks).alias("marks"))
-    df = scenes.select(scene).join(counts, scene, "left").na.fill(0)
-    digits, structural = F.col("digits") > 0, F.col("structural") > 0
-    route = F.when(F.col("n") == 0, "ood").when(F.col("n") == 1, "bare_digits").when(~digits & (F.col("marks") > 0), "bare_digits").when(~digits, "ood").when(~structural, "bare_digits").otherwise("valid")
-    reason = F.when(F.col("n") == 0, "true_empty").when((F.col("n") > 1) & ~digits & (F.col("marks") == 0), "no_digits")
-    return df.select(scene, route.alias("route"), reason.alias("ood_reason"))
+    return [F.count(F.lit(1)).alias("n"), n(kind.isin("main", "carry", "borrow")).alias("digits"), n(kind.isin("operator", "structure") | marks).alias("structural"), n(marks).alias("marks")]
+
+
+def routed(df: DataFrame, scene: str = "scene_id", *keep) -> DataFrame:
+    """scene_id, route, ood_reason and what else is to be kept, from the counts of the gate; a scene without counts has no boxes."""
+    n, digits, structural, marks = (F.coalesce(c, F.lit(0)) for c in ("n", "digits", "structural", "marks"))
+    route = F.when(n == 0, "ood").when(n == 1, "bare_digits").when((digits == 0) & (marks > 0), "bare_digits").when(digits == 0, "ood").when(structural == 0, "bare_digits").otherwise("valid")
+    reason = F.when(n == 0, "true_empty").when((n > 1) & (digits == 0) & (marks == 0), "no_digits")
+    return df.select(scene, route.alias("route"), reason.alias("ood_reason"), *keep)
+
+
+def gathered(df: DataFrame, token: Column, *aggregates: Column, scene: str = "scene_id") -> DataFrame:
+    """One row for each scene: its tokens nested by out_row as an array of (row, tokens), and aggregates over its boxes."""
+    listed = F.sort_array(F.collect_list(F.struct(F.col("out_row").alias("row"), token.alias("t"))))
+    one = df.groupBy(scene).agg(listed.alias("rows"), *aggregates)
+    of_row = lambda r: F.transform(F.filter("rows", lambda x: x["row"] == r), lambda x: x["t"])
+    nested = F.transform(F.array_distinct(F.transform("rows", lambda x: x["row"])), lambda r: F.struct(r.alias("row"), of_row(r).alias("tokens")))
+    return one.withColumn("rows", nested)
 
 
 def implied_kind(preds: DataFrame, least_bracket: float = 0.3, scene: str = "scene_id") -> DataFrame:
     """Operator counts and the kind that the tokens imply, for information only: null without a signal."""
+    df = preds.groupBy(scene).agg(*operator_counts())
+    return df.withColumn("implied", implied(least_bracket))
+
+
+def operator_counts() -> list[Column]:
+    """Operators of a scene by label and the confidence of its best bracket, as aggregates over its boxes."""
     n = lambda x: F.sum((F.col("label") == x).cast("int"))
-    names = ["op_plus", "op_minus", "op_times", "op_divide"]
     bracket = F.coalesce(F.max(F.when(F.col("label") == "div_bracket", F.col("confidence"))), F.lit(0.0))
-    df = preds.groupBy(scene).agg(*[n(x).alias(x) for x in names], bracket.alias("bracket_conf"))
+    return [*[n(x).alias(x) for x in ("op_plus", "op_minus", "op_times", "op_divide")], bracket.alias("bracket_conf")]
+
+
+def implied(least_bracket: float = 0.3) -> Column:
     divides = (F.col("bracket_conf") > least_bracket) | (F.col("op_divide") > 0)
     plus, minus = F.col("op_plus"), F.col("op_minus")
-    return df.withColumn("implied", F.when(divides, "divide").when(F.col("op_times") > 0, "multiply").when(minus > plus, "subtract").when(plus > minus, "add"))
+    return (F.when(divides, "divide").when(F.col("op_times") > 0, "multiply").when(minus > plus, "subtract").when(plus > minus, "add"))
 
 
 def typeset(tokens: DataFrame, scene: str = "scene_id") -> DataFrame:

@@ -161,9 +161,9 @@ def c06_recognised_set(t):
     kept = match.truncated(match.suppress(match.gated(d, "a"), "a")).drop("rank", "truncated")
     placed = cluster.rows_and_columns(kept).withColumnsRenamed({"row_cluster": "row", "col_cluster": "col"})
     clean = match.best_bar(match.distinct_operators(cluster.carry_conflicts(placed)))
-    rows = cluster.nested_rows(cluster.renumbered(cluster.row_conflicts(clean)))
-    routes = cluster.gate(clean, t.scenes)
-    return routes.join(rows, "scene_id", "left").select("scene_id", "route", "ood_reason", F.coalesce(F.size("rows"), F.lit(0)).alias("n_rows"), F.to_json("rows").alias("rows_json"))
+    rows = cluster.gathered(cluster.renumbered(cluster.row_conflicts(clean)), F.struct("out_col", "label", "det_id"), *cluster.gate_counts())
+    n_rows, rows_json = F.coalesce(F.size("rows"), F.lit(0)).alias("n_rows"), F.to_json("rows").alias("rows_json")
+    return cluster.routed(t.scenes.select("scene_id").join(rows, "scene_id", "left"), "scene_id", n_rows, rows_json)
 
 
 @query(f"""{SPLIT}, c as (select label, count(*) as n from a group by label), w as (select unnest(['de', 'en', 'es', 'fr', 'it']) as label), b as (select n, w.label is not null as need from c full join w on w.label = c.label),
