@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import ontology as o
+from ..functions.stats import let
 from . import cluster, graph, match
-from .lineage import cut
 
 SCENE = "scene_id"
 UNKNOWN = "unknown"
@@ -27,23 +29,43 @@ def with_given_cells(dets: DataFrame, cells: DataFrame, most: int = match.MAX_NO
     in a free cell is given; cells that took none become boxes of confidence 1 (ids from GIVEN_IDS), as far as ``most``
     boxes a scene allow, operators first. Detections are never dropped. known_label: what a given box is known to be.
     """
-    took, _ = match.merge_given(dets, cells)
-    own = cells.select(SCENE, "cell_id", F.col("label").alias("known_label"))
-    drawn = dets.select(SCENE, "det_id", "label", "confidence", *g.BOX).join(took.join(own, [SCENE, "cell_id"]), [SCENE, "det_id"], "left")
-    drawn = drawn.withColumn("given", F.col("cell_id").isNotNull()).drop("cell_id")
-    counts = dets.groupBy(SCENE).agg(F.count(F.lit(1)).alias("n_child"))
-    free = cells.join(took.select(SCENE, "cell_id"), [SCENE, "cell_id"], "left_anti").withColumnRenamed("cell_id", "given_id")
-    left = match.capped_given(free, counts, most)
-    boxes = left.select(SCENE, (F.lit(GIVEN_IDS) + F.col("given_id")).alias("det_id"), "label", F.lit(1.0).alias("confidence"), *g.BOX, F.col("label").alias("known_label"), F.lit(True).alias("given"))
-    return drawn.unionByName(boxes)
+    def side(df, name, ident, confidence):
+        box = F.struct(F.col(ident).cast("long").alias("id"), "label", confidence.cast("double").alias("confidence"), *[F.col(c).cast("double").alias(c) for c in g.BOX])
+        return df.select(SCENE, F.lit(name).alias("side"), box.alias("b"))
+
+    both = side(dets, "dets", "det_id", F.col("confidence")).unionByName(side(cells, "cells", "cell_id", F.lit(1.0)))
+    one = both.groupBy(SCENE).agg(*[F.sort_array(F.collect_list(F.when(F.col("side") == n, F.col("b")))).alias(n) for n in ("dets", "cells")])
+    shown = lambda b, ident, known, given: F.struct(ident.alias("det_id"), b["label"].alias("label"), b["confidence"].alias("confidence"), *[b[c].alias(c) for c in g.BOX], known.alias("known_label"), given.alias("given"))
+
+    def step(acc, d):
+        cx, cy = (g.center_x(tuple(d[c] for c in g.BOX)), g.center_y(tuple(d[c] for c in g.BOX)))
+        holds = lambda c: d["id"].isNotNull() & (cx >= c["x0"]) & (cx <= c["x1"]) & (cy >= c["y0"]) & (cy <= c["y1"])
+
+        def take(hit):
+            free = F.when(hit.isNull(), acc["free"]).otherwise(F.filter(acc["free"], lambda c: ~c["id"].eqNullSafe(hit["id"])))
+            return F.struct(free.alias("free"), F.array_append(acc["out"], shown(d, d["id"], hit["label"], hit.isNotNull())).alias("out"))
+
+        return let(F.get(F.filter(acc["free"], holds), 0), take)
 
+    none = F.array().cast(f"array<struct<det_id:bigint,label:string,confidence:double,{','.join(f'{c}:double' for c in g.BOX)},known_label:string,given:boolean>>")
+    named = F.col(SCENE).isNotNull()
+    start = F.struct(F.when(named, F.col("cells")).otherwise(F.slice("cells", 1, 0)).alias("free"), none.alias("out"))
 
-def known_labels(merged: DataFrame, cells: DataFrame) -> DataFrame:
-    """scene_id, box, label: one row for each rounded box of a given cell or of a detection over one; the latter wins."""
-    rows = cells.select(SCENE, *g.BOX, "label", F.lit(0).alias("__turn"), F.col("cell_id").alias("__id"))
-    rows = rows.unionByName(merged.where("given").select(SCENE, *g.BOX, F.col("known_label").alias("label"), F.lit(1).alias("__turn"), F.col("det_id").alias("__id")))
-    keys = [F.bround(F.col(c), 0).alias(c) for c in g.BOX]
-    return rows.groupBy(SCENE, *keys).agg(F.max_by("label", F.struct("__turn", "__id")).alias("label"))
+    def with_free(acc):
+        rank = lambda c: F.when(c["label"].isNull(), 2).when(c["label"].startswith("op_"), 0).otherwise(1)
+        free = F.sort_array(F.transform(F.when(named, acc["free"]).otherwise(F.col("cells")), lambda c: F.struct(rank(c).alias("rank"), c["id"].alias("id"), c.alias("c"))))
+        fits = F.slice(free, F.lit(1), F.greatest(F.lit(0), F.lit(most) - F.size("dets")))
+        return F.concat(acc["out"], F.transform(fits, lambda x: shown(x["c"], F.lit(GIVEN_IDS) + x["id"], x["c"]["label"], F.lit(True))))
+
+    return match.exploded(one, SCENE, let(F.aggregate("dets", start, step), with_free), "b").select(SCENE, "b.*")
+
+
+def with_pins(merged: DataFrame) -> DataFrame:
+    """The boxes with ``pin``: what a given box is known to be, by the last (in order of id) given box of the same rounded corners."""
+    keys = [F.bround(F.col(c), 0) for c in g.BOX]
+    last = F.max_by("known_label", "det_id").over(W.partitionBy(SCENE, "given", *keys))
+    placed = functools.reduce(lambda a, b: a & b, [k.isNotNull() for k in keys])
+    return merged.withColumn("pin", F.when(F.col("given") & placed, last))
 
 
 def recognised(dets: DataFrame, scenes: DataFrame, first_source: str, cells: DataFrame | None = None) -> DataFrame:
@@ -55,33 +77,29 @@ def recognised(dets: DataFrame, scenes: DataFrame, first_source: str, cells: Dat
     the scene routed by its shape, rows that cross flagged, and everything numbered and nested. The recognised kind is passed
     on as it is, whatever the operators imply; a valid scene whose logits are too even becomes 'unknown' with reason
     high_entropy and keeps its rows. A scene without digits, or without any box, is 'unknown' and has no rows. Scenes
-    without logits are not judged by them. What several later steps read is cut off by checkpoints, so that it is worked out
-    once.
+    without logits are not judged by them. The boxes of a scene are brought together once; each step reads only the one
+    before it, so that nothing is worked out twice and nothing is written between.
     """
     kept = match.suppress(match.gated(dets, first_source), first_source)
     if cells is not None:
-        merged = with_given_cells(cut(kept), cells)
+        merged = with_pins(with_given_cells(kept, cells))
     else:
-        merged = kept.select(SCENE, "det_id", "label", "confidence", *g.BOX, F.lit(None).cast("string").alias("known_label"), F.lit(False).alias("given"))
-    merged = cut(merged)
+        none = F.lit(None).cast("string")
+        merged = kept.select(SCENE, "det_id", "label", "confidence", *g.BOX, none.alias("known_label"), F.lit(False).alias("given"), none.alias("pin"))
     few = match.truncated(merged)
     placed = cluster.rows_and_columns(few.drop("rank", "known_label")).withColumnsRenamed({"row_cluster": "row", "col_cluster": "col"})
-    pinned = placed if cells is None else match.pin_labels(placed, known_labels(merged, cells))
-    clean = cut(match.best_bar(match.distinct_operators(cluster.carry_conflicts(cut(pinned)))))
+    pinned = placed.withColumn("label", F.when(F.col("given"), F.coalesce("pin", "label")).otherwise(F.col("label"))).drop("pin")
+    clean = match.best_bar(match.distinct_operators(cluster.carry_conflicts(pinned)))
     numbered = cluster.renumbered(cluster.row_conflicts(clean))
     token = F.struct(
         F.col("out_col").alias("col"), "label", o.role(F.col("label")).alias("role"), "det_id", "grid_col", *g.BOX, "confidence", "spatial_conflict", "carry_conflict", "given",
     )
     n = lambda c: F.sum(c.cast("long"))
-    rows = numbered.groupBy(SCENE, "out_row").agg(
-        F.sort_array(F.collect_list(token)).alias("tokens"), n(F.col("given")).alias("g"), n(F.col("spatial_conflict")).alias("s"), F.max("truncated").alias("t"),
-    )
-    rows = rows.groupBy(SCENE).agg(
-        F.sort_array(F.collect_list(F.struct(F.col("out_row").alias("row"), "tokens"))).alias("rows"), F.sum("g").alias("n_given"), F.sum("s").alias("n_conflicts"), F.max("t").alias("truncated"),
-    )
-    routes = cluster.gate(clean, scenes)
+    counts = [n(F.col("given")).alias("n_given"), n(F.col("spatial_conflict")).alias("n_conflicts"), F.max("truncated").alias("truncated")]
+    rows = cluster.gathered(numbered, token, *counts, *cluster.gate_counts(), *cluster.operator_counts())
     logits = F.col("logits") if "logits" in scenes.columns else F.lit(None).cast("array<double>")
-    df = scenes.select(SCENE, "pred_kind", logits.alias("logits")).join(routes, SCENE).join(rows, SCENE, "left").join(cluster.implied_kind(clean).select(SCENE, "implied"), SCENE, "left")
+    df = scenes.select(SCENE, "pred_kind", logits.alias("logits")).join(rows, SCENE, "left")
+    df = cluster.routed(df, SCENE, "pred_kind", "logits", "rows", "n_given", "n_conflicts", "truncated", F.when(F.col("n").isNotNull(), cluster.implied()).alias("implied"))
     valid, ood = F.col("route") == "valid", F.col("route") == "ood"
     uneven = F.coalesce(graph.kind_entropy(F.col("logits"))[1], F.lit(False))
     kind = F.when(ood | (valid & uneven), UNKNOWN).when(valid, F.coalesce("pred_kind", F.lit(UNKNOWN))).otherwise("bare_digits")

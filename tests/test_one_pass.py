@@ -46,3 +46,20 @@ def test_provenance_works_the_boxes_out_once(spark):
 def test_matched_pairs_are_worked_out_once(spark, sf):
     t = Tables(spark, sf)
     assert "size(" not in plan(evaluate.label_pairs(t.gt_symbols, t.predictions))
+
+
+@pytest.mark.parametrize("name, passes", [("c06_recognised_set", 1), ("c06_recognised_scenes", 2)])
+def test_recognised_scenes_work_their_boxes_out_once(spark, sf, name, passes):
+    """The symbols are numbered once for each side (boxes, given cells), nothing is written between the steps, and scenes are joined last."""
+    found = plan(QUERIES[name](spark, sf))
+    assert sum("Window [" in line and "l_linenumber" in line for line in found.splitlines()) == passes
+    assert "Scan ExistingRDD" not in found
+
+
+def test_row_conflicts_skip_rows_of_structure_only(spark):
+    """The row of a bar has no median: the rows around it are compared with each other."""
+    from quillframe.operators import cluster
+
+    rows = [(1, 1, "main_1", 0, 100.0), (1, 2, "result_bar", 1, 0.0), (1, 3, "main_2", 2, 50.0), (1, 4, "main_3", None, 0.0)]
+    df = spark.createDataFrame([(s, i, k, r, 0.0, y, 10.0, y + 10) for s, i, k, r, y in rows], "scene_id long, det_id long, label string, row int, x0 double, y0 double, x1 double, y1 double")
+    assert {r.det_id: r.spatial_conflict for r in cluster.row_conflicts(df).collect()} == {1: True, 2: False, 3: True, 4: False}
