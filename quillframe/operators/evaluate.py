@@ -145,12 +145,10 @@ def confusion(pairs: DataFrame) -> DataFrame:
 
 def label_recall(conf: DataFrame, top: int = 3) -> DataFrame:
     """Recall of each label with its most frequent confusions, worst recall first in ``rank``."""
-    wrong = conf.where("gt_label <> pred_label")
-    w = W.partitionBy("gt_label").orderBy(F.desc("n"), "pred_label")
-    most = wrong.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top)
-    listed = most.groupBy("gt_label").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "pred_label", "n"))), lambda x: F.concat_ws(":", x["pred_label"], x["n"])), " ").alias("confused_with"))
-    per = conf.groupBy("gt_label").agg(F.sum(F.when(F.col("gt_label") == F.col("pred_label"), F.col("n")).otherwise(0)).alias("correct"), F.sum("n").alias("total"))
-    out = per.withColumn("recall", F.col("correct") / F.col("total")).join(listed, "gt_label", "left").na.fill("", ["confused_with"])
+    wrong = F.when(F.col("gt_label") != F.col("pred_label"), F.struct((-F.col("n")).alias("less"), "pred_label", "n"))
+    per = conf.groupBy("gt_label").agg(F.sum(F.when(F.col("gt_label") == F.col("pred_label"), F.col("n")).otherwise(0)).alias("correct"), F.sum("n").alias("total"), F.sort_array(F.collect_list(wrong)).alias("wrong"))
+    listed = F.array_join(F.transform(F.slice("wrong", 1, top), lambda x: F.concat_ws(":", x["pred_label"], x["n"])), " ")
+    out = per.select("gt_label", "correct", "total", (F.col("correct") / F.col("total")).alias("recall"), listed.alias("confused_with"))
     return out.withColumn("rank", F.row_number().over(W.orderBy("recall", "gt_label")))
 
 
@@ -230,8 +228,11 @@ def by_metric(aggregate: DataFrame, keys: list[str] = ()) -> DataFrame:
 
 
 def report(scenes: DataFrame, gt: DataFrame, pred: DataFrame, dets: DataFrame) -> DataFrame:
-    """section, key, metric, value: means overall (aggregate), per_kind and per_case, recall per_label and per_sample."""
-    samples = sample_metrics(scenes, gt, pred, dets)
+    """section, key, metric, value: means overall (aggregate), per_kind and per_case, recall per_label and per_sample.
+
+    The samples are worked out once (a checkpoint).
+    """
+    samples = cut(sample_metrics(scenes, gt, pred, dets))
     section = F.create_map(*[F.lit(x) for x in ("all", "aggregate", "equation_kind", "per_kind", "scene_case", "per_case")])[F.col("grouping")]
     groups = by_metric(metrics_by(samples).withColumn("section", section).drop("grouping"), ["section", "key"]).where("value is not null")
     labels = label_recall(confusion(label_pairs(gt, pred))).select(F.lit("per_label").alias("section"), F.col("gt_label").alias("key"), F.lit("recall").alias("metric"), F.col("recall").alias("value"))

@@ -63,3 +63,16 @@ def test_row_conflicts_skip_rows_of_structure_only(spark):
     rows = [(1, 1, "main_1", 0, 100.0), (1, 2, "result_bar", 1, 0.0), (1, 3, "main_2", 2, 50.0), (1, 4, "main_3", None, 0.0)]
     df = spark.createDataFrame([(s, i, k, r, 0.0, y, 10.0, y + 10) for s, i, k, r, y in rows], "scene_id long, det_id long, label string, row int, x0 double, y0 double, x1 double, y1 double")
     assert {r.det_id: r.spatial_conflict for r in cluster.row_conflicts(df).collect()} == {1: True, 2: False, 3: True, 4: False}
+
+
+@pytest.mark.parametrize("name, passes", [("a05_label_recall", 2), ("c08_evaluation_report", 2)])
+def test_evaluation_works_its_pairs_out_once(spark, sf, name, passes):
+    """The symbols are numbered once for each side of the pairs; confusions come with the recall, samples from their checkpoint."""
+    found = plan(QUERIES[name](spark, sf))
+    assert sum("Window [" in line and "l_linenumber" in line for line in found.splitlines()) == passes
+
+
+def test_three_most_frequent_confusions(spark):
+    rows = [("a", "a", 5), ("a", "d", 1), ("a", "c", 2), ("a", "b", 2), ("a", "e", 1), ("b", "b", 1)]
+    got = evaluate.label_recall(spark.createDataFrame(rows, "gt_label string, pred_label string, n long")).collect()
+    assert [(r.gt_label, r.correct, r.total, r.confused_with, r.rank) for r in sorted(got, key=lambda r: r.rank)] == [("a", 5, 11, "b:2 c:2 d:1", 1), ("b", 1, 1, "", 2)]
