@@ -4,6 +4,14 @@ A word after some others scores the count of the longest n-gram that ends with i
 n-gram without the word; each shorter n-gram costs a factor ALPHA. Seen means LEAST occurrences or more: the texts that are
 scored train the model too, so that every n-gram occurs once for certain.
 
+Documents that train their own model go in chunks. A chunk keeps its words as numbers and names each distinct n-gram once, with
+its count: rows of one range of digests meet in a group, which adds the counts up and answers each chunk, for an n-gram that
+is seen, with the count of the whole corpus. An n-gram of three words or more is asked for only where both n-grams of a word
+less are seen, since no n-gram is more frequent than its parts. An n-gram has one entry a chunk however often it stands there,
+so none is hot. A chunk's answers meet its words in a cogroup, which gives each word its value and each document its sum.
+
+What follows holds for a model that another table trains.
+
 In logarithms, the score of a document is a sum over its words of what the words alone are worth, plus, for every seen
 n-gram of two words or more that it holds, the gain over the n-gram without its first word. So there is one table of values
 for each order. Documents are exploded to n-grams, dealt by hash; the count table of an order is an aggregate over that
@@ -23,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,6 +57,13 @@ HOT_SAMPLE = 2000
 SALTS = 32
 #: More than the places of frequent words.
 PLACES = 1 << 20
+#: Words of a chunk (a longer text is a chunk of its own), and of the texts of one range of digests; small corpora have so many ranges.
+CHUNK = 2_000_000
+RANGE = 2_000_000
+RANGES, LEAST_RANGE = 64, 100_000
+CHUNKS = "chunk long, words long, keys binary, lengths binary, dictionary binary, places binary"
+ASKED = "chunk long, k int, part int, grams binary, counts binary"
+ANSWERS = "chunk long, k int, part int, counts binary"
 
 
 class Words:
@@ -151,6 +167,173 @@ def _exploded(batches: Iterator[pa.RecordBatch], words: Words, k: int, frequent:
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (head, tail, gram, keys, salt)], ["head", "tail", "gram", "__key", "salt"])
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 on, as compressed planes of the bytes that the greatest needs."""
+    x = np.ascontiguousarray(x).view(U)
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return len(x).to_bytes(8, "little") + bytes([width]) + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    n, width = int.from_bytes(raw[:8], "little"), raw[8]
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        out[:, :width] = np.frombuffer(pa.decompress(raw[9:], n * width, codec="zstd"), np.uint8).reshape(width, n).T
+    return out.reshape(-1).view(np.int64)
+
+
+def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each chunk of texts: their keys and lengths, the distinct words' digests (frequent ones first) and each word's place among them."""
+    number = TaskContext.get().partitionId() << 32
+    keys, lengths, digests, held = [], [], [], 0
+
+    def chunk() -> pa.RecordBatch:
+        nonlocal keys, lengths, digests, held, number
+        words, at, n = np.unique(np.concatenate(digests), return_inverse=True, return_counts=True)
+        order = np.argsort(-n, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        row = [number, held, np.concatenate(keys).tobytes(), _packed(np.concatenate(lengths)), words[order].tobytes(), _packed(rank[at])]
+        keys, lengths, digests, held, number = [], [], [], 0, number + 1
+        return pa.RecordBatch.from_pylist([dict(zip((f.split()[0] for f in CHUNKS.split(", ")), row, strict=True))], SCHEMAS["chunks"])
+
+    for b in sliced(batches, SLICE):
+        t, own, start = Texts(b), b.column("__key").to_numpy(), 0
+        ends = np.cumsum(t.lengths)
+        while start < len(b):
+            before = int(ends[start - 1]) if start else 0
+            stop = int(np.searchsorted(ends, before + CHUNK - held, "right"))
+            if stop == start and not held:  # a text longer than a chunk
+                stop += 1
+            if stop > start:
+                keys.append(own[start:stop])
+                lengths.append(t.lengths[start:stop])
+                digests.append(t.digests[before : int(ends[stop - 1])])
+                held += int(ends[stop - 1]) - before
+                start = stop
+            if start < len(b):
+                yield chunk()
+    if keys:
+        yield chunk()
+
+
+def _schema(ddl: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary()}
+    return pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in ddl.split(", ")])
+
+
+SCORED = "__key long, log_score double, n_words long"
+SCHEMAS = {"chunks": _schema(CHUNKS), "asked": _schema(ASKED), "answers": _schema(ANSWERS), "scored": _schema(SCORED)}
+
+
+def _begin(part: int, ranges: int) -> U:
+    """The least digest of a range."""
+    return U(-(-(part << 32) // ranges) << 32)
+
+
+class Chunk:
+    """The words of a chunk, and the counts of its n-grams as far as they are answered (0: not seen)."""
+
+    def __init__(self, row: dict, answers: pa.Table | None = None):
+        self.id, self.keys, self.lengths = row["chunk"], np.frombuffer(row["keys"], np.int64), _unpacked(row["lengths"])
+        self.dictionary, self.places = np.frombuffer(row["dictionary"], np.int64), _unpacked(row["places"])
+        self.owner = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        self.prefix = Prefix(self.dictionary[self.places].view(U), 1)
+        self.counts: list[np.ndarray] = []
+        lists: dict[int, list] = {}
+        if answers is not None:
+            for r in sorted(answers.to_pylist(), key=lambda r: (r["k"], r["part"])):
+                lists.setdefault(r["k"], []).append(_unpacked(r["counts"]))
+        for k in range(1, len(lists) + 1):
+            n = np.concatenate(lists[k])
+            if k == 1:
+                of_word = np.empty(len(n), np.int64)
+                of_word[np.argsort(self.dictionary.view(U), kind="stable")] = n
+                self.counts.append(of_word[self.places])
+            else:
+                pick, grams = self.grams(k)
+                own = np.zeros(max(0, len(self.places) - k + 1), np.int64)
+                own[pick] = n[np.unique(grams, return_inverse=True)[1]]
+                self.counts.append(own)
+
+    def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where n-grams of k words that may be seen begin, and their digests."""
+        if len(self.places) < k or k > 2 and len(self.counts) < k - 1:
+            return np.zeros(0, np.int64), np.zeros(0, U)
+        may = self.owner[: len(self.owner) - k + 1] == self.owner[k - 1 :]
+        if k > 2:
+            below = self.counts[k - 2] > 0
+            may &= below[:-1] & below[1:]
+        pick = np.flatnonzero(may)
+        return pick, self.prefix.windows(k)[pick]
+
+    def asked(self, k: int, ranges: int) -> Iterator[pa.RecordBatch]:
+        """A row for each range that has distinct n-grams of k words: their digests in order, as differences from the one before (the first from the range's begin), and their counts here."""
+        if k == 1:
+            order = np.argsort(self.dictionary.view(U), kind="stable")
+            grams, n = self.dictionary.view(U)[order], np.bincount(self.places, minlength=len(self.dictionary))[order]
+        else:
+            grams, n = np.unique(self.grams(k)[1], return_counts=True)
+        ends = np.searchsorted((grams >> U(32)) * U(ranges) >> U(32), np.arange(ranges + 1, dtype=U))
+        rows = [
+            {"chunk": self.id, "k": k, "part": i, "grams": _packed(np.diff(grams[lo:hi], prepend=_begin(i, ranges))), "counts": _packed(n[lo:hi])}
+            for i, (lo, hi) in enumerate(itertools.pairwise(ends.tolist())) if lo < hi
+        ]
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, SCHEMAS["asked"])
+
+    def scored(self, order: int, total: int) -> pa.Table:
+        """A row for each text: the sum of its words' values."""
+        seen = self.counts[0] if self.counts else np.zeros(0, np.int64)
+        value = np.log(ALPHA ** (order - 1) * np.where(seen > 0, seen, UNSEEN) / max(total, 1))
+        for k in range(2, len(self.counts) + 1):
+            at = np.flatnonzero(self.counts[k - 1])
+            value[at + k - 1] = np.log(ALPHA ** (order - k) * self.counts[k - 1][at] / self.counts[k - 2][at])
+        sums = np.bincount(self.owner, weights=value, minlength=len(self.keys)).astype(np.float64)
+        return pa.Table.from_arrays([pa.array(self.keys), pa.array(sums), pa.array(self.lengths)], schema=SCHEMAS["scored"])
+
+
+def _answered(rows: pa.Table, least: int, ranges: int) -> pa.Table:
+    """For each chunk the counts that its n-grams of one range have in all of them, 0 below least."""
+    begin = _begin(rows.column("part")[0].as_py(), ranges)
+    grams = [begin + np.cumsum(_unpacked(x).view(U), dtype=U) for x in rows.column("grams").to_pylist()]
+    n = np.concatenate([_unpacked(x) for x in rows.column("counts").to_pylist()])
+    distinct, at = np.unique(np.concatenate(grams), return_inverse=True)
+    total = np.bincount(at, weights=n).astype(np.int64)
+    found = np.where(total >= least, total, 0)[at]
+    parts = np.split(found, np.cumsum([len(g) for g in grams])[:-1])
+    own = rows.select(["chunk", "k", "part"])
+    return pa.Table.from_arrays([*own.columns, pa.array([_packed(p) for p in parts], pa.binary())], schema=SCHEMAS["answers"])
+
+
+def _chunk_scores(texts: DataFrame, order: int, least: int) -> tuple[DataFrame, int]:
+    """__key, log_score and n_words of texts that train their own model, and the number of all words."""
+    chunks = written(texts.mapInArrow(_chunked, CHUNKS), "chunks")
+    total = chunks.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+    ranges = max(-(-total // RANGE), min(RANGES, -(-total // LEAST_RANGE)), 1)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                c = Chunk(row)
+                for k in range(1, min(order, 2) + 1):
+                    yield from c.asked(k, ranges)
+
+    def counted(asked: DataFrame) -> DataFrame:
+        return asked.groupBy("k", "part").applyInArrow(lambda rows: _answered(rows, least, ranges), ANSWERS)
+
+    def met(answers: DataFrame, made, fields: str) -> DataFrame:
+        return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda own, found: made(Chunk(own.to_pylist()[0], found)), fields)
+
+    answers = written(counted(chunks.mapInArrow(first, ASKED)), "answers")
+    for k in range(3, order + 1):
+        more = met(answers, lambda c, k=k: pa.Table.from_batches(c.asked(k, ranges), SCHEMAS["asked"]), ASKED)
+        answers = answers.unionByName(written(counted(more), "answers"))
+    scores = met(answers, lambda c: c.scored(order, total), SCORED)
+    return scores.groupBy("__key").agg(F.max("log_score").alias("log_score"), F.max("n_words").alias("n_words")), total
+
+
 def _word_value(n: Column, total: int, order: int) -> Column:
     return F.log(F.lit(ALPHA ** (order - 1) / max(total, 1)) * n)
 
@@ -183,7 +366,10 @@ def backoff_scores(docs: DataFrame, train: DataFrame | None = None, text_col: st
     ident = F.col(f"`{id_col}`").cast("string") if id_col in docs.columns else F.lit("")
     keyed = docs.select(*[F.col(f"`{c}`") for c in cols], F.xxhash64(F.coalesce(ident, F.lit("")), F.coalesce(text, F.lit(""))).alias("__key"), text.alias("__text"))
     texts = keyed.select("__key", "__text")
-    learnt = texts if train is None else train.select(F.lit(0).cast("long").alias("__key"), text.alias("__text"))
+    if train is None:
+        sums, total = _chunk_scores(texts, order, least)
+        return _finished(keyed, sums, cols, total)
+    learnt = train.select(F.lit(0).cast("long").alias("__key"), text.alias("__text"))
 
     every = written(learnt.select("__text").mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
     total = every.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -225,7 +411,7 @@ def backoff_scores(docs: DataFrame, train: DataFrame | None = None, text_col: st
     def hot_grams(k: int, frequent: bool) -> np.ndarray:
         """Sorted digests, at most 1 / HOT_SHARE for each of the two texts' tables."""
         found = [nothing]
-        for t in (texts,) if train is None else (texts, learnt):
+        for t in (texts, learnt):
             few = t.where(F.pmod(F.xxhash64("__key", "__text"), F.lit(every_so_many[id(t)])) == 0)
             grams = exploded(few, k, frequent, nothing).where(F.col("tail") != ALONE).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
             rows = written(grams, "sampled-ngrams")
@@ -247,7 +433,7 @@ def backoff_scores(docs: DataFrame, train: DataFrame | None = None, text_col: st
         # (any key passes), and conditions on the tail and the salt are bound to the count and so not pushed below the exchange.
         own = [F.min("gram").alias("gram")] if k < order else []
         by = ["head"] if frequent else ["head", "tail"]
-        seen = (asked if train is None else dealt(rows, k, frequent, hot)).groupBy(*keys_of(frequent, hot)).agg(F.count(F.lit(1)).alias("n"), F.max("__key").alias("__most"), *own)
+        seen = dealt(rows, k, frequent, hot).groupBy(*keys_of(frequent, hot)).agg(F.count(F.lit(1)).alias("n"), F.max("__key").alias("__most"), *own)
         n = F.col("n") if frequent else F.when(F.col("tail") != ALONE, F.col("n")).otherwise(0)
         any_key = F.col("__most") >= -(1 << 63)
         if not len(hot):
@@ -298,6 +484,10 @@ def backoff_scores(docs: DataFrame, train: DataFrame | None = None, text_col: st
         sums = sums.unionByName(p)
     # Equal rows were each asked for: their sum is divided by their number.
     sums = sums.groupBy("__key").agg((F.sum("s") / F.sum("copies")).alias("log_score"), F.max("n").alias("n_words"))
+    return _finished(keyed, sums, cols, total)
+
+
+def _finished(keyed: DataFrame, sums: DataFrame, cols: list[str], total: int) -> DataFrame:
     out = keyed.drop("__text").join(sums, "__key").drop("__key")
     score = F.when((F.col("n_words") > 0) & F.lit(total > 0), F.col("log_score"))
     return out.select(*[F.col(f"`{c}`") for c in cols], "n_words", score.alias("log_score"), (score / F.col("n_words")).alias("mean_log_score"))

@@ -208,6 +208,44 @@ def test_documents_that_occur_twice_score_apart(spark):
     assert min(got[i] for i in range(20)) > max(got[i] for i in range(20, 60))
 
 
+def test_own_model_moves_few_bytes_a_word(spark):
+    """A chunk names a distinct n-gram once: rows for each occurrence took over 20 bytes a word for each order."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty()
+        found = sc.statusStore().executorList(False)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+    rng = random.Random(6)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.7)) % 20000}" for _ in range(200)) for _ in range(2000)]
+    d = docs(spark, [(i, t, "") for i, t in enumerate(texts)]).repartition(2).cache()
+    d.count()
+    before = shuffled()
+    assert backoff_lm.backoff_scores(d).where("n_words = 200").count() == 2000
+    assert shuffled() - before < 20 * 200 * 2000
+
+
+def test_chunks_hold_whole_texts(monkeypatch):
+    import types
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(backoff_lm, "CHUNK", 50)
+    monkeypatch.setattr(backoff_lm, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 3)))
+    rng = random.Random(7)
+    sizes = [0, 20, 30, 1, 120, 0, 49, 2, 50, 51, 0] + [rng.randrange(40) for _ in range(300)]
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(n)) or None for n in sizes]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["__key", "__text"])
+    rows = [r for b in backoff_lm._chunked(iter([batch])) for r in b.to_pylist()]
+    assert [r["chunk"] for r in rows] == [(3 << 32) + i for i in range(len(rows))]
+    chunks = [backoff_lm.Chunk(r) for r in rows]
+    assert np.concatenate([c.keys for c in chunks]).tolist() == list(range(len(texts)))
+    assert np.concatenate([c.lengths for c in chunks]).tolist() == sizes
+    assert all(r["words"] == c.lengths.sum() and (r["words"] <= 50 or (c.lengths > 0).sum() == 1) for r, c in zip(rows, chunks, strict=True))
+    assert np.concatenate([c.dictionary[c.places] for c in chunks]).tolist() == backoff_lm.Texts(batch).digests.tolist()
+
+
 # ---- Jaccard join ----
 
 
