@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import collections
 import itertools
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +43,7 @@ RUN = 8
 COSINE = 0.4
 LATENT_COSINE = 0.7
 INSIDE = 0.4
+SLACK = 1e-3
 LCS_SURE = 0.6
 LCS_MAYBE = 0.4
 ANSWER = 0.8
@@ -88,16 +90,25 @@ def places_of(a: list) -> dict:
 
 
 def lcs(a: dict, n: int, b: list) -> int:
-    """Length of the longest common subsequence of n words, given by their places, and b: one integer operation for each word of b."""
+    """Length of the longest common subsequence of n words, given by their places, and b."""
+    return lcs_of_places(n, [hit for y in b if (hit := a.get(y))])
+
+
+def lcs_of_places(n: int, hits: list[int]) -> int:
+    """The same, by the places of b's words that are among the n: one integer operation for each."""
     full = (1 << n) - 1
     rows = full
-    for y in b:
-        if hit := a.get(y):
-            hit &= rows
-            rows = ((rows + hit) | (rows - hit)) & full
+    for hit in hits:
+        hit &= rows
+        rows = ((rows + hit) | (rows - hit)) & full
     return n - rows.bit_count()
 
 
+def most_common(hits: list[int]) -> int:
+    """No common subsequence is longer: a word counts as often as both sides have it."""
+    return sum(min(k, hit.bit_count()) for hit, k in collections.Counter(hits).items())
+
+
 def _normals(terms: np.ndarray, rank: int) -> np.ndarray:
     """The random matrix's rows, each from its term's digest, so that no task needs the whole matrix."""
     seeds = mix(terms[:, None] ^ mix(np.arange(1, 2 * rank + 1, dtype=U) * U(0x9E3779B97F4A7C15))[None, :])
@@ -253,12 +264,12 @@ class Slice:
         whole = np.zeros((len(terms) + 1, len(vectors)), dtype=np.float32)
         for p, (rows, share) in enumerate(vectors):
             whole[self.row_of[rows], p] = share
-        # For each window length the passages it suits (a run of columns, since they are sorted by length).
+        # For each window length the passages it suits (a run of columns, since they are sorted by length), and each term's greatest share there.
         self.by_window = {}
         for window, (least, most) in FITS.items():
             lo, hi = np.searchsorted(lengths, least), np.searchsorted(lengths, most, "right")
             if lo < hi:
-                self.by_window[window] = first + lo, np.ascontiguousarray(whole[:, lo:hi])
+                self.by_window[window] = first + lo, np.ascontiguousarray(whole[:, lo:hi]), whole[:, lo:hi].max(axis=1)
 
 
 class Index:
@@ -295,6 +306,7 @@ class Index:
         latent = np.array([w.astype(np.float32) @ self.basis[at] for at, w in own])
         latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
         self.basis *= idf[:, None].astype(np.float32)
+        self.norms = np.linalg.norm(self.basis, axis=1)
         self.latent = {}
         for window, (least, most) in FITS.items():
             lo, hi = np.searchsorted(lengths, least), np.searchsorted(lengths, most, "right")
@@ -331,7 +343,8 @@ class Index:
         """start, end, passage, cosine: windows near a passage, by the TF-IDF vectors themselves or in the latent space.
 
         A window is multiplied with all passages that suit its length. Neither cosine can reach its bound where less than
-        COSINE ** 2 of the window's squared weight lies on words that the benchmark has: such windows are passed over.
+        COSINE ** 2 of the window's squared weight lies on words that the benchmark has: such windows are passed over. So are
+        those whose words' greatest shares in any passage, or norms in the latent space, do not add up to the bound.
         """
         square = self.square[at]
         whole = np.append(0.0, np.cumsum(square))
@@ -340,24 +353,34 @@ class Index:
             starts = np.arange(0, len(at) - window + 1, window // 2)
             total = whole[starts + window] - whole[starts]
             starts = starts[(known[starts + window] - known[starts] >= COSINE**2 * total) & (total > 0)]
-            for some in np.split(starts, range(BLOCK // window, len(starts), BLOCK // window)):
-                words = at[some[:, None] + np.arange(window)]
-                length = np.sqrt(whole[some + window] - whole[some])
-                for s in self.slices:
-                    if window in s.by_window:
-                        first, matrix = s.by_window[window]
-                        cosine = matrix[s.row_of[words]].sum(axis=1) / length[:, None]
+            for s in self.slices:
+                if window in s.by_window:
+                    first, matrix, most = s.by_window[window]
+                    rows = s.row_of[at]
+                    for some, length in self._able(starts, window, whole, most[rows], COSINE):
+                        cosine = matrix[rows[some[:, None] + np.arange(window)]].sum(axis=1) / length[:, None]
                         i, p = np.nonzero(cosine >= COSINE)
                         yield some[i], some[i] + window, first + p, cosine[i, p]
-                folded = self.basis[words].sum(axis=1)
+            first, passages = self.latent[window]
+            for some, length in self._able(starts, window, whole, self.norms[at], INSIDE):
+                folded = self.basis[at[some[:, None] + np.arange(window)]].sum(axis=1)
                 inside = np.linalg.norm(folded, axis=1)
                 able = np.flatnonzero(inside >= INSIDE * length)
                 if len(able):
-                    first, passages = self.latent[window]
                     cosine = (folded[able] / inside[able, None]) @ passages
                     i, p = np.nonzero(cosine >= LATENT_COSINE)
                     yield some[able[i]], some[able[i]] + window, first + p, cosine[i, p]
 
+    @staticmethod
+    def _able(starts: np.ndarray, window: int, whole: np.ndarray, most: np.ndarray, share: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Blocks of the windows whose words' most add up to a share of their length, with the lengths; SLACK is for rounding."""
+        sums = np.append(0.0, np.cumsum(most, dtype=np.float64))
+        length = np.sqrt(whole[starts + window] - whole[starts])
+        pick = sums[starts + window] - sums[starts] >= (share - SLACK) * length
+        starts, length = starts[pick], length[pick]
+        for i in range(0, len(starts), BLOCK // window):
+            yield starts[i : i + BLOCK // window], length[i : i + BLOCK // window]
+
     def candidates(self, texts: list[list[bytes]]) -> list[dict[int, list[tuple[int, int, float]]]]:
         """For each text, place of a passage: the ranges of the text that its near windows and shared runs cover, each with its best cosine."""
         step = max(FITS) // 2  # texts begin where every window length begins
@@ -388,9 +411,20 @@ class Index:
         passage, answer, long = self.masks[p]
         n = len(self.words[p])
         near = words[max(0, lo - n) : hi + n]
-        if sum(w in passage for w in near) < LCS_MAYBE * n:  # no common subsequence is longer than that
+        hits, at = [], []
+        for i, hit in enumerate(map(passage.get, near)):
+            if hit:
+                hits.append(hit)
+                at.append(i)
+        # Windows are passed over where their bound tells that they change nothing.
+        if len(hits) < LCS_MAYBE * n:
             return None
-        share = max(lcs(passage, n, near[i : i + 2 * n]) for i in range(0, max(1, len(near) - n), max(1, n // 2))) / n
+        best = 0
+        for i in range(0, max(1, len(near) - n), max(1, n // 2)):
+            own = hits[bisect_left(at, i) : bisect_left(at, i + 2 * n)]
+            if len(own) > best and len(own) / n >= LCS_MAYBE and (most := most_common(own)) > best and most / n >= LCS_MAYBE:
+                best = max(best, lcs_of_places(n, own))
+        share = best / n
         if share < LCS_MAYBE:
             return None
         says = max(lcs(answer, long, near[i : i + 3 * n + max(FITS)]) for i in range(0, max(1, len(near) - 2 * n - max(FITS)), n)) >= ANSWER * long

@@ -1,5 +1,6 @@
 """Small cases against brute force, and the cases that must not crash: nulls, empty and very long texts, ties, repeats, clashing names."""
 
+import collections
 import hashlib
 import random
 import re
@@ -564,3 +565,44 @@ def test_lcs(a, b):
         for j, y in enumerate(b):
             table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
     assert latent_leaks.lcs(latent_leaks.places_of(a), len(a), b) == table[-1][-1]
+
+
+def test_bounds_pass_windows_over_and_lose_none(spark, monkeypatch):
+    """What windows are near is the same as when all are multiplied, and not all of them are."""
+    rng = random.Random(8)
+    word = lambda: f"w{int(rng.paretovariate(0.8)) % 5000}"
+    items = [" ".join(word() for _ in range(rng.choice([6, 12, 30, 60]))) for _ in range(40)]
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id long, text string")
+    found = latent_leaks.passages(bench)
+    index = latent_leaks.Index(found, latent_leaks.latent_basis(found, 10), 10, found.count())
+    words = [word() for _ in range(6000)]
+    for i, t in enumerate(items):
+        words[i * 140 : i * 140 + len(t.split())] = [w if rng.random() < 0.8 else word() for w in t.split()]
+    at = np.array([index.places.get(w.encode(), 0) for w in words], dtype=np.int32)
+    multiplied, able = [], latent_leaks.Index._able
+
+    def counting(starts, *args):
+        for some, length in able(starts, *args):
+            multiplied.append(len(some))
+            yield some, length
+
+    def near():
+        return sorted((int(lo), int(hi), int(p), float(c)) for found in index._near_windows(at) for lo, hi, p, c in zip(*found, strict=True))
+
+    monkeypatch.setattr(latent_leaks.Index, "_able", staticmethod(counting))
+    got, few = near(), sum(multiplied)
+    multiplied.clear()
+    monkeypatch.setattr(latent_leaks, "SLACK", 10.0)  # no window is passed over
+    every = near()
+    assert [x[:3] for x in every] == [x[:3] for x in got] and len(got) > 40
+    assert max(abs(x[3] - y[3]) for x, y in zip(every, got, strict=True)) < 1e-4
+    assert few < sum(multiplied)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_common_places_bound_the_subsequence(seed):
+    rng = random.Random(seed)
+    a, b = ([rng.choice("abcdefghijkl") for _ in range(n)] for n in (rng.randrange(1, 30), rng.randrange(60)))
+    places = latent_leaks.places_of(a)
+    hits = [places[x] for x in b if x in places]
+    assert latent_leaks.lcs(places, len(a), b) <= latent_leaks.most_common(hits) == sum((collections.Counter(a) & collections.Counter(b)).values())
