@@ -156,14 +156,20 @@ def e06_evaluated(t):
 
 @query()
 def c06_recognised_set(t):
-    """Boxes of two sources to nested rows: gate, suppression, cut to 80, rows and columns, conflicts, duplicates, numbering."""
+    """Boxes of two sources to nested rows: gate, suppression, cut to 80, rows and columns, conflicts, duplicates, numbering.
+
+    Each token tells its two conflicts; n_conflicts and n_carry_conflicts count them in the scene.
+    """
     d = t.two_sources.withColumn("given", F.lit(False))
     kept = match.truncated(match.suppress(match.gated(d, "a"), "a")).drop("rank", "truncated")
     placed = cluster.rows_and_columns(kept).withColumnsRenamed({"row_cluster": "row", "col_cluster": "col"})
     clean = match.best_bar(match.distinct_operators(cluster.carry_conflicts(placed)))
-    rows = cluster.gathered(cluster.renumbered(cluster.row_conflicts(clean)), F.struct("out_col", "label", "det_id"), *cluster.gate_counts())
+    flags = {"n_conflicts": "spatial_conflict", "n_carry_conflicts": "carry_conflict"}
+    counts = [F.sum(F.col(c).cast("long")).alias(n) for n, c in flags.items()]
+    rows = cluster.gathered(cluster.renumbered(cluster.row_conflicts(clean)), F.struct("out_col", "label", "det_id", *flags.values()), *counts, *cluster.gate_counts())
     n_rows, rows_json = F.coalesce(F.size("rows"), F.lit(0)).alias("n_rows"), F.to_json("rows").alias("rows_json")
-    return cluster.routed(t.scenes.select("scene_id").join(rows, "scene_id", "left"), "scene_id", n_rows, rows_json)
+    shown = [F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in flags]
+    return cluster.routed(t.scenes.select("scene_id").join(rows, "scene_id", "left"), "scene_id", n_rows, *shown, rows_json)
 
 
 @query(f"""{SPLIT}, c as (select label, count(*) as n from a group by label), w as (select unnest(['de', 'en', 'es', 'fr', 'it']) as label), b as (select n, w.label is not null as need from c full join w on w.label = c.label),

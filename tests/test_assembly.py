@@ -117,6 +117,24 @@ def test_recognised_scenes_of_the_tables(spark, sf):
             assert sum(x["given"] for x in tokens) == r.n_given and sum(x["spatial_conflict"] for x in tokens) == r.n_conflicts
 
 
+def test_recognised_set_tells_its_conflicts(spark):
+    """A carry above its column's main digit and one without a main digit are flagged, a borrow below its main digit is not."""
+    import json
+    from types import SimpleNamespace
+
+    from quillframe.plans.composites import c06_recognised_set
+
+    placed = [("main_3", 0, 100), ("carry_1", 0, 0), ("carry_1", 100, 0), ("main_2", 200, 0), ("borrow_1", 200, 100), ("op_plus", 300, 0)]
+    rows = [(1, i, label, 0.9, float(x), float(y), float(x + 20), float(y + 20), "a") for i, (label, x, y) in enumerate(placed)]
+    two_sources = spark.createDataFrame(rows, f"scene_id long, det_id long, label string, confidence double, {BOX}, source string")
+    scenes = spark.createDataFrame([(1,), (2,)], "scene_id long")
+    got = {r.scene_id: r for r in c06_recognised_set(SimpleNamespace(two_sources=two_sources, scenes=scenes)).collect()}
+    tokens = [x for line in json.loads(got[1].rows_json) for x in line["tokens"]]
+    assert {x["det_id"]: x["carry_conflict"] for x in tokens} == {0: False, 1: True, 2: True, 3: False, 4: False, 5: False}
+    assert not any(x["spatial_conflict"] for x in tokens)
+    assert {s: (r.n_conflicts, r.n_carry_conflicts) for s, r in got.items()} == {1: (0, 2), 2: (0, 0)}
+
+
 def test_report_is_written(spark, sf, tmp_path):
     t = Tables(spark, sf)
     tables = evaluate.report_tables(t.scenes, t.gt_symbols, t.predictions, t.detections)
